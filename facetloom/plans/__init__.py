@@ -2,6 +2,7 @@
 
 from facetloom.plans import (  # noqa: F401
     catalog_queries,
+    facet_queries,
 )
 from facetloom.plans.registry import ORACLES, QUERIES
 

@@ -73,6 +73,7 @@ def session(partitions: int = 8):
         SparkSession.builder.master("local[8]").appName("facetloom")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     spark = configure(builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
