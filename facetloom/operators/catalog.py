@@ -62,46 +62,57 @@ def product_category_path(bridge: DataFrame, products: DataFrame, ids: DataFrame
     return products.join(ids, "parent_asin", "left_semi").join(paths, "parent_asin", "left")
 
 
-def disclosed_constraints(
-    title="title", features="features", details="details", price_text="price_text",
-    corpus: Column | None = None,
-) -> Column:
-    """All cleaned constraints of a product, in order, without repeats.
-
-    Features then details; the first material leads, the first colour comes
-    second, the price closes the list.
-    """
-    corpus = X.searchable_text() if corpus is None else corpus
-    material = F.get(X.word_tags(corpus, V.MATERIALS), F.lit(0))
-    color = F.get(X.word_tags(corpus, V.COLORS), F.lit(0))
-    base = F.concat(X.flatten_list(F.col(features)), X.flatten_map(F.col(details)))
-    led = F.when(material.isNotNull(), F.concat(F.array(material), base)).otherwise(base)
-    tint = F.array(F.concat(F.lit("color: "), color))
-    tinted = F.when(
-        color.isNotNull(),
-        F.concat(F.slice(led, 1, 1), tint, F.slice(led, 2, F.greatest(F.size(led), F.lit(1)))),
-    ).otherwise(led)
-    price = F.col(price_text)
-    priced = F.when(
-        price.isNotNull() & (price != ""),
-        F.concat(tinted, F.array(F.concat(F.lit("budget around $"), price))),
-    ).otherwise(tinted)
-    cleaned = F.filter(F.transform(priced, lambda c: X.clean_text(c)), lambda c: c != "")
-    return F.array_distinct(cleaned)
-
+def with_disclosed(catalog: DataFrame, corpus: Column | None = None) -> DataFrame:
+    """Add ``corpus``, ``materials``, ``colors`` and ``disclosed``.
 
-def with_constraints(catalog: DataFrame) -> DataFrame:
-    """Catalog plus ``corpus`` and the first four ``constraints`` (title if none)."""
-    titled = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("product"))
+    ``disclosed`` lists all cleaned constraints in order, without repeats:
+    features then details; the first material leads, the first colour comes
+    second, the price closes the list.  Steps are separate columns so that no
+    list is built twice.
+    """
+    none = F.array().cast(EMPTY)
+    material = F.get("materials", F.lit(0))
+    color = F.get("colors", F.lit(0))
+    price = F.col("price_text")
     return (
-        catalog.withColumn("corpus", X.searchable_text())
-        .withColumn("constraints", disclosed_constraints(corpus=F.col("corpus")))
+        catalog.withColumn("corpus", X.searchable_text() if corpus is None else corpus)
+        .withColumn("materials", X.word_tags(F.col("corpus"), V.MATERIALS))
+        .withColumn("colors", X.word_tags(F.col("corpus"), V.COLORS))
+        .withColumn("_base", F.concat(X.flatten_list(F.col("features")), X.flatten_map(F.col("details"))))
         .withColumn(
-            "constraints",
-            F.when(F.size("constraints") > 0, F.slice("constraints", 1, 4)).otherwise(
-                F.array(X.clean_text(titled))
+            "_base", F.concat(F.when(material.isNotNull(), F.array(material)).otherwise(none), "_base")
+        )
+        .withColumn(
+            "_base",
+            F.concat(
+                F.slice("_base", 1, 1),
+                F.when(color.isNotNull(), F.array(F.concat(F.lit("color: "), color))).otherwise(none),
+                F.slice("_base", 2, F.greatest(F.size("_base"), F.lit(1))),
+                F.when(
+                    price.isNotNull() & (price != ""),
+                    F.array(F.concat(F.lit("budget around $"), price)),
+                ).otherwise(none),
             ),
         )
+        .withColumn(
+            "disclosed",
+            F.array_distinct(
+                F.filter(F.transform("_base", lambda c: X.clean_text(c)), lambda c: c != "")
+            ),
+        )
+        .drop("_base")
+    )
+
+
+def shown_title() -> Column:
+    return X.clean_text(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("product")))
+
+
+def with_constraints(catalog: DataFrame) -> DataFrame:
+    """``with_disclosed`` plus the first four ``constraints`` (the title if none)."""
+    return with_disclosed(catalog).withColumn(
+        "constraints",
+        F.when(F.size("disclosed") > 0, F.slice("disclosed", 1, 4)).otherwise(F.array(shown_title())),
     )
 
 
@@ -137,8 +148,8 @@ def attribute_facts(catalog: DataFrame, unicode: bool = False) -> DataFrame:
         "category": levels,
         "brand": brands,
         "budget": budget,
-        "material": X.word_tags(F.col("corpus"), V.MATERIALS),
-        "color": X.word_tags(F.col("corpus"), V.COLORS),
+        "material": F.col("materials"),
+        "color": F.col("colors"),
         "other": F.col("constraints"),
     }
     base = base.withColumn(
@@ -174,13 +185,13 @@ def attribute_facts(catalog: DataFrame, unicode: bool = False) -> DataFrame:
 
 def intent_card(catalog: DataFrame) -> DataFrame:
     """Target category, hard constraints (1-2) and soft preferences (3-4 or first)."""
-    title = X.clean_text(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("product")))
-    cards = catalog.withColumn("c", disclosed_constraints(corpus=X.evaluator_text()))
-    cards = cards.withColumn("c", F.when(F.size("c") > 0, F.col("c")).otherwise(F.array(title)))
+    cards = with_disclosed(catalog, X.evaluator_text()).withColumn(
+        "c", F.when(F.size("disclosed") > 0, F.col("disclosed")).otherwise(F.array(shown_title()))
+    )
     soft = F.slice("c", 3, 2)
     return cards.select(
         "parent_asin",
-        title.alias("target_category"),
+        shown_title().alias("target_category"),
         F.slice("c", 1, 2).alias("hard_constraints"),
         F.when(F.size(soft) > 0, soft).otherwise(F.slice("c", 1, 1)).alias("soft_preferences"),
     )

@@ -204,3 +204,45 @@ def semantic_query_text(
     middle = F.when(F.size(category_alternatives) > 0, alternatives).otherwise(named)
     parts = F.filter(F.concat(fragments, middle, typed), lambda p: p.isNotNull() & (p != ""))
     return F.array_join(F.array_distinct(parts), " | ")
+
+
+def eligible_crosses(
+    positives: DataFrame, contexts: DataFrame, items: DataFrame, min_support: int = 20
+) -> DataFrame:
+    """Feature pairs seen together often enough to deserve a weight of their own.
+
+    ``positives``: (context_key, parent_asin, n).  Pairs are folded to (context
+    feature, product) counts before item features multiply them.  Only contexts
+    about attributes count, rare names never do.
+    """
+    fields = "|".join(V.ASK_ATTRIBUTES)
+    allowed = F.filter(
+        "features", lambda f: f.rlike(f"^ctx:({fields})=") & ~f.contains(V.RARE)
+    )
+    sides = positives.join(contexts.select("context_key", allowed.alias("c")), "context_key")
+    by_product = (
+        sides.select("parent_asin", "n", F.explode("c").alias("context_feature"))
+        .groupBy("context_feature", "parent_asin").agg(F.sum("n").alias("n"))
+    )
+    exposure = by_product.groupBy("context_feature").agg(F.sum("n").alias("context_exposure"))
+    named = items.select("parent_asin", F.filter("features", lambda f: ~f.contains(V.RARE)).alias("i"))
+    counted = (
+        by_product.join(named, "parent_asin")
+        .select("context_feature", "n", F.explode("i").alias("item_feature"))
+        .groupBy("context_feature", "item_feature").agg(F.sum("n").alias("positive_support"))
+        .filter(F.col("positive_support") >= min_support)
+    )
+    return counted.join(exposure.filter(F.col("context_exposure") >= min_support), "context_feature").select(
+        "context_feature", "item_feature", "positive_support", "context_exposure"
+    )
+
+
+def cross_audit(crosses: DataFrame) -> DataFrame:
+    """Crosses with their field pair, supports and weight, heaviest first."""
+    field = lambda c: F.regexp_extract(c, r"^[^:]+:([^=]*)", 1)
+    return crosses.select(
+        "context_feature", "item_feature",
+        F.concat(field("context_feature"), F.lit("×"), field("item_feature")).alias("field_pair"),
+        "positive_support", "context_exposure", F.col("weight").alias("learned_weight"),
+        F.abs("weight").alias("absolute_weight"),
+    ).orderBy(F.desc("absolute_weight"), "context_feature", "item_feature")

@@ -3,6 +3,7 @@
 from facetloom.plans import (  # noqa: F401
     catalog_queries,
     facet_queries,
+    ranking_queries,
 )
 from facetloom.plans.registry import ORACLES, QUERIES
 

@@ -25,6 +25,7 @@ from facetloom.sources.tables import Tables, product_id
   array_to_string(detail_items, '|') AS details, store, price, coalesce(price::VARCHAR, 'ask') AS price_text,
   average_rating, rating_number FROM prod""",
     ),
+    raw=True,
 )
 def q_read_catalog(t: Tables):
     common = ["title", "features", "details", "categories", "store"]
@@ -188,12 +189,12 @@ def q_product_document(t: Tables):
     )
 
 
-@query("coarse_category", O.with_views("prod_cons", "SELECT parent_asin, category AS coarse_category FROM prod_cons"))
+@query("coarse_category", O.with_views("prod_cons", "SELECT parent_asin, category AS coarse_category FROM prod_cons"), raw=True)
 def q_coarse_category(t: Tables):
     return C.product_categories(t.catalog)
 
 
-@query("category_prefixes", O.with_views("bridge", "SELECT parent_asin, name, full_path, parent_path, position, is_leaf FROM bridge"))
+@query("category_prefixes", O.with_views("bridge", "SELECT parent_asin, name, full_path, parent_path, position, is_leaf FROM bridge"), raw=True)
 def q_category_prefixes(t: Tables):
     return t.bridge
 
@@ -207,7 +208,7 @@ FROM (SELECT parent_asin, unnest(all_constraints) AS c FROM prod_all)""",
     ),
 )
 def q_classify_constraint(t: Tables):
-    rows = t.catalog.select("parent_asin", F.explode(C.disclosed_constraints()).alias("display"))
+    rows = C.with_disclosed(t.catalog).select("parent_asin", F.explode("disclosed").alias("display"))
     return rows.select(
         "parent_asin", "display",
         X.classify_constraint(F.col("display")).alias("conversation_type"),
@@ -235,7 +236,7 @@ def q_regex_tags(t: Tables):
     )
 
 
-@query("attribute_facts", O.with_views("facts", "SELECT attribute, normalized_value, parent_asin, display_value, ordinal FROM facts"))
+@query("attribute_facts", O.with_views("facts", "SELECT attribute, normalized_value, parent_asin, display_value, ordinal FROM facts"), raw=True)
 def q_attribute_facts(t: Tables):
     return t.facts
 

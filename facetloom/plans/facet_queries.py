@@ -189,12 +189,12 @@ def q_category_bridge_join(t: Tables):
     )
 
 
-def wanted_states(t: Tables):
-    """Session turns with a shared state key; boundary sessions end with a guess."""
+def wanted_states(t: Tables, guessing: bool = True):
+    """Session turns with a shared state key; boundary sessions may end with a guess."""
     known = F.transform("known", lambda k: K.token(F.lit("other"), k["value"]))
     guess = F.array(F.concat(F.lit("other=size "), F.pmod("session_id", F.lit(60)).cast("string")))
-    guessing = (F.col("scenario") == "boundary") & (F.col("turn") == 4)
-    wanted = F.array_sort(F.array_distinct(F.when(guessing, F.concat(known, guess)).otherwise(known)))
+    guessed = F.lit(guessing) & (F.col("scenario") == "boundary") & (F.col("turn") == 4)
+    wanted = F.array_sort(F.array_distinct(F.when(guessed, F.concat(known, guess)).otherwise(known)))
     return t.states.withColumn("wanted", wanted).withColumn("pool", F.col("category")).withColumn(
         "state_key", S.stable_hash(F.col("pool"), F.array_join("wanted", "\x01"))
     )
@@ -208,6 +208,7 @@ def other_members(t: Tables):
 WANTED_SQL = """st AS MATERIALIZED (SELECT *, list_sort(list_distinct(list_concat(list_transform(known, lambda k: 'other=' || k.value),
   CASE WHEN scenario = 'boundary' AND turn = 4 THEN ['other=size ' || (session_id % 60)] ELSE [] END))) AS wanted FROM states),
 tok AS MATERIALIZED (SELECT parent_asin, category, list('other=' || normalized_value) AS toks FROM facts JOIN profile USING (parent_asin) WHERE attribute = 'other' GROUP BY 1, 2)"""
+PLAIN_SQL = WANTED_SQL.replace("scenario = 'boundary' AND turn = 4", "false")
 SURVIVORS_SQL = """d AS MATERIALIZED (SELECT DISTINCT category, wanted FROM st),
 surv AS MATERIALIZED (SELECT d.category, d.wanted, t.parent_asin FROM d JOIN tok t ON t.category = d.category AND list_has_all(t.toks, d.wanted))"""
 

@@ -12,12 +12,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name``."""
+def query(name: str, sql: str | None = None, raw: bool = False):
+    """Register ``fn(tables) -> DataFrame`` under ``name``.
+
+    ``raw`` queries start from the source tables, e.g. those that build an index.
+    """
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(Tables(spark, folder))
+            return fn(Tables(spark, folder, stored=not raw))
 
         run.__name__ = name
         QUERIES[name] = run

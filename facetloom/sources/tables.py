@@ -10,11 +10,14 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from facetloom.functions import scalars as S
 from facetloom.functions import text as X
 from facetloom.functions import vocab as V
 from facetloom.operators import catalog as C
+from facetloom.session import scratch_path
+from facetloom.sources.sinks import write_table
 
 TURNS = 4
 
@@ -23,17 +26,53 @@ def product_id(key: Column) -> Column:
     return F.concat(F.lit("P"), F.lpad(key.cast("string"), 8, "0"))
 
 
+# Index tables written so far: (application, folder, name) -> (path, schema).
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def index_table(partition_by: tuple[str, ...] = ()):
+    """View that is built once per application and source folder, then read back.
+
+    The engine indexes a catalog once and answers many queries from the index,
+    so the tables live as parquet in the shared folder: they survive executor
+    loss, and later queries plan against pruned, sized files.
+    """
+
+    def wrap(build):
+        def get(self) -> DataFrame:
+            return self.keep(build.__name__, lambda: build(self), partition_by)
+
+        get.__name__ = build.__name__
+        get.__doc__ = build.__doc__
+        return cached_property(get)
+
+    return wrap
+
+
 class Tables:
-    """Lazy views; nothing runs until a result is asked for."""
+    """Views over one folder; index tables are stored unless ``stored`` is off."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, stored: bool = True) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.stored = stored
+
+    def keep(self, name: str, build, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """Read the index table ``name``, building it on first use."""
+        if not self.stored:
+            return build()
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            path = scratch_path(self.spark, name)
+            write_table(build(), path, partition_by=partition_by)
+            _STORED[key] = (path, self.spark.read.parquet(path).schema)
+        path, schema = _STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @cached_property
+    @index_table()
     def catalog(self) -> DataFrame:
         sales = self.table("lineitem").groupBy("l_partkey").agg(
             F.sum("l_quantity").alias("quantity"), F.count("*").alias("n")
@@ -69,23 +108,23 @@ class Tables:
             )
         )
 
-    @cached_property
+    @index_table()
     def bridge(self) -> DataFrame:
         return C.category_prefixes(self.catalog)
 
-    @cached_property
+    @index_table()
     def nodes(self) -> DataFrame:
         return C.category_nodes(self.bridge)
 
-    @cached_property
+    @index_table(partition_by=("attribute",))
     def facts(self) -> DataFrame:
         return C.attribute_facts(self.catalog)
 
-    @cached_property
+    @index_table()
     def profile(self) -> DataFrame:
         return C.product_profile(self.catalog)
 
-    @cached_property
+    @index_table()
     def products(self) -> DataFrame:
         return self.catalog.select(
             "parent_asin", "price", "average_rating", "rating_number",
@@ -109,7 +148,7 @@ class Tables:
             .when(slot < 17, "boundary").otherwise("intent_override").alias("scenario"),
         )
 
-    @cached_property
+    @index_table()
     def session_profiles(self) -> DataFrame:
         """Sessions with their target's category and typed constraints."""
         target = self.profile.select(
