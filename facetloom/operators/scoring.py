@@ -68,58 +68,61 @@ def score_fm(pairs: DataFrame, contexts: DataFrame, items: DataFrame) -> DataFra
     )
 
 
-def context_cross_weights(
-    contexts: DataFrame, crosses: DataFrame, disabled: tuple[str, str] | None = None
-) -> DataFrame:
-    """(context_key, cross): item feature -> weight summed over the context's features.
+def feature_field(name: str) -> Column:
+    """Field of a feature name such as ``ctx:color=red``."""
+    return F.regexp_extract(name, r"^[^:]+:([^=]*)", 1)
+
+
+def product_crosses(items: DataFrame, crosses: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cross weight of (context feature, product), summed over the product's features.
 
-    ``crosses``: (context_feature, item_feature, weight).  A context has about a
-    dozen features, so its map holds at most their crosses.
+    ``crosses``: (context_feature, item_feature, weight).
     """
-    if disabled is not None:
-        field = lambda c: F.regexp_extract(c, r"^[^:]+:([^=]*)", 1)
-        crosses = crosses.filter(
-            ~((field("context_feature") == disabled[0]) & (field("item_feature") == disabled[1]))
-        )
-    rows = contexts.select("context_key", F.explode("features").alias("context_feature")).join(
-        crosses, "context_feature"
-    )
-    summed = rows.groupBy("context_key", "item_feature").agg(F.sum("weight").alias("weight"))
-    return summed.groupBy("context_key").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("item_feature", "weight")))).alias("cross")
+    named = items.select("parent_asin", F.explode("features").alias("item_feature"))
+    joined = named.join(crosses, "item_feature")
+    if "item_field" in by:
+        joined = joined.withColumn("item_field", feature_field("item_feature"))
+    return joined.groupBy("context_feature", "parent_asin", *by).agg(F.sum("weight").alias("weight"))
+
+
+def crossing_features(pairs: DataFrame, contexts: DataFrame, crosses: DataFrame) -> DataFrame:
+    """(context_key, parent_asin, context_feature) for features that have a cross."""
+    useful = crosses.select("context_feature").distinct()
+    own = contexts.select("context_key", F.explode("features").alias("context_feature")).join(
+        useful, "context_feature", "left_semi"
     )
+    return spread_join(pairs.select("context_key", "parent_asin"), own, ["context_key"], ["parent_asin"])
 
 
 def cross_weight_join(
     pairs: DataFrame, contexts: DataFrame, items: DataFrame, crosses: DataFrame,
     disabled: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """(context_key, parent_asin, cross_score): explicit cross weights of each pair."""
-    weights = context_cross_weights(contexts, crosses, disabled)
-    rows = pairs.join(items.select("parent_asin", "features"), "parent_asin")
-    joined = spread_join(rows, weights, ["context_key"], ["parent_asin"], "left")
-    total = F.aggregate(
-        "features", F.lit(0.0),
-        lambda s, f: s + F.coalesce(F.try_element_at(F.col("cross"), f), F.lit(0.0)),
+    """(context_key, parent_asin, cross_score) of the pairs that have any cross.
+
+    Weights are first summed per (context feature, product), which every context
+    with that feature shares; a pair then adds up its dozen features.
+    """
+    if disabled is not None:
+        off = (feature_field("context_feature") == disabled[0]) & (feature_field("item_feature") == disabled[1])
+        crosses = crosses.filter(~off)
+    rows = crossing_features(pairs, contexts, crosses)
+    return (
+        rows.join(product_crosses(items, crosses), ["context_feature", "parent_asin"])
+        .groupBy("context_key", "parent_asin").agg(F.sum("weight").alias("cross_score"))
     )
-    return joined.select("context_key", "parent_asin", F.coalesce(total, F.lit(0.0)).alias("cross_score"))
 
 
 def score_hybrid(
     pairs: DataFrame, contexts: DataFrame, items: DataFrame, crosses: DataFrame,
     disabled: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Factorization machine plus crosses, in one pass over the pairs."""
-    weights = context_cross_weights(contexts, crosses, disabled)
-    both = contexts.select("context_key", "context_vector").join(weights, "context_key", "left")
-    rows = pairs.join(items.select("parent_asin", "base", "vector", "features"), "parent_asin")
-    joined = spread_join(rows, both, ["context_key"], ["parent_asin"])
-    crossed = F.aggregate(
-        "features", F.lit(0.0),
-        lambda s, f: s + F.coalesce(F.try_element_at(F.col("cross"), f), F.lit(0.0)),
+    """Factorization machine plus explicit crosses."""
+    base = score_fm(pairs, contexts, items)
+    crossed = cross_weight_join(pairs, contexts, items, crosses, disabled)
+    return base.join(crossed, ["context_key", "parent_asin"], "left").select(
+        "context_key", "parent_asin", (F.col("score") + F.coalesce("cross_score", F.lit(0.0))).alias("score")
     )
-    score = F.col("base") + dot(F.col("context_vector"), F.col("vector")) + F.coalesce(crossed, F.lit(0.0))
-    return joined.select("context_key", "parent_asin", score.alias("score"))
 
 
 def routed_scores(
@@ -145,24 +148,10 @@ def cross_contributions(
     pairs: DataFrame, contexts: DataFrame, items: DataFrame, crosses: DataFrame
 ) -> DataFrame:
     """(context_key, parent_asin, context_field, item_field, contribution)."""
-    field = lambda c: F.regexp_extract(c, r"^[^:]+:([^=]*)", 1)
-    weights = (
-        contexts.select("context_key", F.explode("features").alias("context_feature"))
-        .join(crosses, "context_feature")
-        .groupBy("context_key", "item_feature")
-        .agg(F.collect_list(F.struct(field("context_feature").alias("context_field"), "weight")).alias("w"))
-        .groupBy("context_key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("item_feature", "w"))).alias("cross"))
-    )
-    rows = pairs.join(items.select("parent_asin", "features"), "parent_asin")
-    joined = spread_join(rows, weights, ["context_key"], ["parent_asin"])
-    active = F.filter(
-        F.transform("features", lambda f: F.struct(f.alias("f"), F.try_element_at(F.col("cross"), f).alias("w"))),
-        lambda x: x["w"].isNotNull(),
-    )
+    rows = crossing_features(pairs, contexts, crosses)
     return (
-        joined.select("context_key", "parent_asin", F.explode(active).alias("a"))
-        .select("context_key", "parent_asin", field("a.f").alias("item_field"), F.explode("a.w").alias("w"))
-        .groupBy("context_key", "parent_asin", F.col("w.context_field").alias("context_field"), "item_field")
-        .agg(F.sum("w.weight").alias("contribution"))
+        rows.join(product_crosses(items, crosses, ("item_field",)), ["context_feature", "parent_asin"])
+        .withColumn("context_field", feature_field("context_feature"))
+        .groupBy("context_key", "parent_asin", "context_field", "item_field")
+        .agg(F.sum("weight").alias("contribution"))
     )

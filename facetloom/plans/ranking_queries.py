@@ -261,24 +261,27 @@ def q_cross_weight_join(t: Tables):
     full = scoring.cross_weight_join(pairs(t), contexts(t), items(t), crosses(t))
     less = scoring.cross_weight_join(pairs(t), contexts(t), items(t), crosses(t), ("category", "brand"))
     less = less.withColumnRenamed("cross_score", "without_category_brand")
-    return full.join(less, ["context_key", "parent_asin"]).select(
-        "context_key", "parent_asin", F.round("cross_score", 6).alias("cross_score"),
-        F.round("without_category_brand", 6).alias("without_category_brand"),
-    )
+    keys = ["context_key", "parent_asin"]
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
+    joined = pairs(t).join(full, keys, "left").join(less, keys, "left")
+    return joined.select(*keys, zero("cross_score"), zero("without_category_brand"))
 
 
 @query(
     "cross_contributions",
     sql(
-        """ SELECT split_part(split_part(context_feature, '=', 1), ':', 2) AS context_field, split_part(split_part(item_feature, '=', 1), ':', 2) AS item_field,
-  context_key, parent_asin, round(sum(weight), 6) AS contribution
-FROM cf JOIN crosses ON context_feature = cf.name JOIN pr USING (context_key) JOIN items i ON i.parent_asin = pr.parent_asin AND i.name = item_feature GROUP BY ALL"""
-        .replace("context_key, parent_asin, round", "cf.context_key, pr.parent_asin, round")
+        """, cc AS (SELECT split_part(split_part(context_feature, '=', 1), ':', 2) AS context_field, split_part(split_part(item_feature, '=', 1), ':', 2) AS item_field,
+  cf.context_key, pr.parent_asin, sum(weight) AS contribution
+FROM cf JOIN crosses ON context_feature = cf.name JOIN pr USING (context_key) JOIN items i ON i.parent_asin = pr.parent_asin AND i.name = item_feature GROUP BY ALL)
+SELECT context_field, item_field, parent_asin, count(*) AS n_contexts, round(sum(contribution), 5) + 0.0 AS contribution, round(max(contribution), 6) + 0.0 AS largest FROM cc GROUP BY ALL"""
     ),
 )
 def q_cross_contributions(t: Tables):
     found = scoring.cross_contributions(pairs(t), contexts(t), items(t), crosses(t))
-    return found.withColumn("contribution", F.round("contribution", 6))
+    return found.groupBy("context_field", "item_field", "parent_asin").agg(
+        F.count("*").alias("n_contexts"), (F.round(F.sum("contribution"), 5) + 0.0).alias("contribution"),
+        (F.round(F.max("contribution"), 6) + 0.0).alias("largest"),
+    )
 
 
 @query(
@@ -451,7 +454,7 @@ SELECT session_id, 1 AS turn, rank, parent_asin FROM (SELECT *, row_number() OVE
     ),
 )
 def q_normalize_recommendations(t: Tables):
-    position = F.col("l_linenumber") * F.lit(1000000000) + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000
+    position = F.col("l_linenumber").cast("long") * F.lit(1000000000) + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000
     recs = t.table("lineitem").select(
         F.col("l_orderkey").alias("session_id"), F.lit(1).alias("turn"), position.alias("position"),
         product_id(F.col("l_partkey") + F.col("l_suppkey")).alias("parent_asin"),
