@@ -198,6 +198,13 @@ def intent_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(c), "’", "'"), r"[^a-z0-9]+", " "))
 
 
+def intent_words(text: str) -> str:
+    """``intent_text`` of a fixed cue."""
+    import re
+
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).strip()
+
+
 def semantic_fragment(c: Column, has_operators: Column | None = None) -> Column:
     """Text safe to embed, or null: too short, or it carries logic words."""
     fragment = F.trim(collapse_white(c))

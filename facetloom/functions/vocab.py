@@ -145,7 +145,7 @@ BRAND_STOPWORDS = frozenset(
     }
 )
 COLOR_IDIOMS = (
-    r"\b(?:black\s+friday|black[-\s]+tie|red[-\s]+carpet|"
+    r"^(?:black\s+friday|black[-\s]+tie|red[-\s]+carpet|"
     r"blue[-\s]+collar|white[-\s]+collar)\b"
 )
 MATERIAL_BEFORE = r"\b(?:vegan|faux|synthetic|artificial|pu)\s+$"
@@ -181,22 +181,21 @@ CATEGORY_TARGETS = {
     "sunglasses": (("Sunglasses",), ()),
 }
 
-# Negation around a mention: what may end just before it, what may start after.
-NEGATION_BEFORE = (
-    r"\bnot\s+(?:for\s+)?(?:a\s+|an\s+|any\s+)?$",
-    r"\bno\s+(?:a\s+|an\s+|any\s+)?$",
-    r"\banything\s+(?:but|except)\s+$",
-    r"\b(?:except|exclude|excluding|avoid|without)\s+(?:a\s+|an\s+|any\s+)?$",
-    r"\bother\s+than\s+$",
-    r"\b(?:do\s+not|don't|dont)\s+want\s+(?:a\s+|an\s+|any\s+)?$",
-    r"\b(?:instead\s+of|rather\s+than)\s+$",
-    r"\bnon[-\s]+$",
-    r"\bfree\s+of\s+$",
-)
-NEGATION_AFTER = (
-    r"^\s+(?:is\s+)?irrelevant\b",
-    r"^[-\s]+free\b",
+# Negations of a phrase, which stands where {0} is.
+NEGATIONS = (
+    r"\bnot\s+(?:for\s+)?(?:a\s+|an\s+|any\s+)?{0}\b",
+    r"\bno\s+(?:a\s+|an\s+|any\s+)?{0}\b",
+    r"\banything\s+(?:but|except)\s+{0}\b",
+    r"\b(?:except|exclude|excluding|avoid|without)\s+(?:a\s+|an\s+|any\s+)?{0}\b",
+    r"\bother\s+than\s+{0}\b",
+    r"\b(?:do\s+not|don't|dont)\s+want\s+(?:a\s+|an\s+|any\s+)?{0}\b",
+    r"\b(?:instead\s+of|rather\s+than)\s+{0}\b",
+    r"\b{0}\s+(?:is\s+)?irrelevant\b",
+    r"\bnon[-\s]+{0}\b",
+    r"\b{0}[-\s]+free\b",
+    r"\bfree\s+of\s+{0}\b",
 )
+NEGATION_CARRIER = r"^\s*(?:,\s*)?(?:and|or)\s*$"
 
 REMOVABLE = {
     "color": r"colou?r",

@@ -4,6 +4,7 @@ from facetloom.plans import (  # noqa: F401
     catalog_queries,
     facet_queries,
     ranking_queries,
+    session_queries,
 )
 from facetloom.plans.registry import ORACLES, QUERIES
 

@@ -201,6 +201,26 @@ FROM (SELECT s.*, p.category, p.constraints, unnest([1, 2, 3, 4]) AS turn FROM s
 FROM (SELECT s.session_id, s.scenario, p.category, list_transform(p.constraints, lambda c: c.display) AS shown,
   unnest([1, 2, 3, 4]) AS turn FROM sess s JOIN profile p ON p.parent_asin = s.target)""",
     ),
+    "free": (
+        ("sess", "profile"),
+        """SELECT message_id, CASE message_id % 12
+  WHEN 0 THEN 'Looking for a ' || word || ' under $1,2' || n || ', not leather or ' || material
+  WHEN 1 THEN 'black or white ' || word || ' for jogging please'
+  WHEN 2 THEN 'Black and white ' || word || 's, up to $' || n
+  WHEN 3 THEN 'faux leather ' || word || ' with no ' || material
+  WHEN 4 THEN 'any color is fine, size 9 or 10, ' || material || ' shirt'
+  WHEN 5 THEN 'footwear for road runners from ' || brand
+  WHEN 6 THEN brand || ' ' || word || ', my budget is $' || n
+  WHEN 7 THEN 'show me some cool things for the beach'
+  WHEN 8 THEN 'cheap waterproof ' || word || ' without ' || material
+  WHEN 9 THEN 'black tie ' || word || ' in navy blue'
+  WHEN 10 THEN 'I don''t care about the brand, ' || material || ' ' || word || ' size ' || n
+  ELSE 'either comfy or lightweight ' || word || ' instead of ' || material END AS text
+FROM (SELECT session_id AS message_id, split_part(category, ' ', 2) AS word, session_id % 90 + 10 AS n, 'Brand#' || (session_id % 25 + 1) AS brand,
+  (["""
+        + quoted(V.MESSAGE_MATERIALS)
+        + """])[session_id % 8 + 1] AS material FROM sess JOIN profile ON parent_asin = target)""",
+    ),
     "edits": (
         (),
         """SELECT user_id AS session_id, ts, event_id, CASE event_type WHEN 'view' THEN 'set' WHEN 'click' THEN 'alternatives'

@@ -448,7 +448,7 @@ def q_session_metrics(t: Tables):
     O.with_views(
         "prod",
         """, r AS (SELECT l_orderkey AS session_id, 'P' || lpad((l_partkey + l_suppkey)::VARCHAR, 8, '0') AS parent_asin,
-  l_linenumber * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS position FROM lineitem),
+  l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS position FROM lineitem),
 f AS (SELECT session_id, parent_asin, min(position) AS position FROM r WHERE parent_asin IN (SELECT parent_asin FROM prod) GROUP BY 1, 2)
 SELECT session_id, 1 AS turn, rank, parent_asin FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY position) AS rank FROM f) WHERE rank <= 10""",
     ),

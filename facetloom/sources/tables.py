@@ -214,6 +214,44 @@ class Tables:
             F.when(F.col("turn") == 1, opening).otherwise(later).alias("text"),
         )
 
+    @index_table()
+    def free_texts(self) -> DataFrame:
+        """One free-form wish per session, worded in twelve ways around its target."""
+        word = F.split_part("category", F.lit(" "), F.lit(2))
+        material = F.element_at(
+            F.array(*[F.lit(m) for m in V.MESSAGE_MATERIALS]), (F.pmod("session_id", F.lit(8)) + 1).cast("int")
+        )
+        number = F.pmod("session_id", F.lit(90)) + 10
+        parts = {
+            "word": word, "material": material, "n": number.cast("string"),
+            "brand": F.concat(F.lit("Brand#"), (F.pmod("session_id", F.lit(25)) + 1).cast("string")),
+        }
+        wordings = (
+            "Looking for a {word} under $1,2{n}, not leather or {material}",
+            "black or white {word} for jogging please",
+            "Black and white {word}s, up to ${n}",
+            "faux leather {word} with no {material}",
+            "any color is fine, size 9 or 10, {material} shirt",
+            "footwear for road runners from {brand}",
+            "{brand} {word}, my budget is ${n}",
+            "show me some cool things for the beach",
+            "cheap waterproof {word} without {material}",
+            "black tie {word} in navy blue",
+            "I don't care about the brand, {material} {word} size {n}",
+            "either comfy or lightweight {word} instead of {material}",
+        )
+
+        def worded(text: str) -> Column:
+            pieces = []
+            for i, chunk in enumerate(text.replace("}", "{").split("{")):
+                pieces.append(parts[chunk] if i % 2 else F.lit(chunk))
+            return F.concat(*pieces)
+
+        choice = F.element_at(
+            F.array(*[worded(w) for w in wordings]), (F.pmod("session_id", F.lit(12)) + 1).cast("int")
+        )
+        return self.session_profiles.select(F.col("session_id").alias("message_id"), choice.alias("text"))
+
     @cached_property
     def edits(self) -> DataFrame:
         """Preference edits of a session in (ts, event_id) order."""
@@ -236,7 +274,7 @@ class Tables:
     @cached_property
     def text_queries(self) -> DataFrame:
         return self.table("benchmark").select(
-            F.col("item_id").alias("query_id"), X.query_tokens(F.col("text")).alias("tokens")
+            F.col("item_id").alias("query_id"), X.query_tokens(F.col("text"), unicode=True).alias("tokens")
         )
 
     @cached_property
