@@ -2,6 +2,7 @@
 
 from facetloom.plans import (  # noqa: F401
     catalog_queries,
+    dataset_queries,
     facet_queries,
     ranking_queries,
     session_queries,
