@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from facetloom.functions import text as X
 from facetloom.functions import vocab as V
 from facetloom.functions.scalars import stable_hash
-from facetloom.session import spread_join
+from facetloom.session import cut, spread_join
 
 
 def token(attribute: Column, value: Column) -> Column:
@@ -154,6 +154,8 @@ def fold_turns(
             F.when(F.col("alive"), F.col("wanted")).otherwise(F.col("accepted")).alias("accepted"),
             (F.size(F.coalesce("values", none)) > 0).alias("_asked"), F.coalesce("alive", F.lit(False)).alias("_alive"),
         ).withColumn("rolled_back", F.col("_asked") & ~F.col("_alive")).drop("_asked", "_alive")
+        # Each turn reads the previous one twice: cut, or the plan doubles per turn.
+        step = cut(step)
         result = step if result is None else result.unionByName(step)
         state = step.select("session_id", "pool", "accepted")
     return result.filter("spoke").drop("spoke")

@@ -194,17 +194,21 @@ def session_metrics(outcomes: DataFrame) -> DataFrame:
     rates.  No sessions give a row of zeros with a null turn count.
     """
     turns = F.coalesce("first_hit_turn", F.lit(V.MAX_TURNS + 1))
-    summed = outcomes.rollup("scenario").agg(
-        F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("hit_rate"),
-        F.avg("reciprocal_rank").alias("mrr"), F.avg(turns).alias("mttc"), F.grouping("scenario").alias("_all"),
+    sums = ("n", "hits", "reciprocal", "turns")
+    per = outcomes.groupBy("scenario").agg(
+        F.count("*").alias("n"), F.sum(F.col("hit").cast("double")).alias("hits"),
+        F.sum("reciprocal_rank").alias("reciprocal"), F.sum(turns).alias("turns"),
     )
-    rate = F.round(F.coalesce("hit_rate", F.lit(0.0)), 6)
-    mrr = F.round(F.coalesce("mrr", F.lit(0.0)), 6)
-    mttc = F.round("mttc", 6)
-    efficiency = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (11.0 - mttc) / 10.0))
+    # Totals come from the handful of scenario rows; no session still gives one row.
+    every = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).select(F.lit("all").alias("scenario"), *sums)
+    summed = per.unionByName(every)
+    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    rate = F.round(F.coalesce(mean("hits"), F.lit(0.0)), 6)
+    mrr = F.round(F.coalesce(mean("reciprocal"), F.lit(0.0)), 6)
+    mttc = F.round(mean("turns"), 6)
+    efficiency = F.when(mttc.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (11.0 - mttc) / 10.0)))
     return summed.select(
-        F.when(F.col("_all") == 1, "all").otherwise(F.col("scenario")).alias("scenario"),
-        "n", rate.alias("hit_rate_at_10"), mrr.alias("mrr"), mttc.alias("mttc"),
+        "scenario", "n", rate.alias("hit_rate_at_10"), mrr.alias("mrr"), mttc.alias("mttc"),
         F.round(efficiency, 6).alias("efficiency"),
         F.round(0.5 * rate + 0.3 * mrr + 0.2 * efficiency, 6).alias("score"),
     )
@@ -265,7 +269,7 @@ def dataset_manifest(states: DataFrame) -> DataFrame:
     stats = widths.agg(
         F.min("width").cast("double").alias("minimum"),
         (F.sum(F.col("width") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.percentile("width", F.lit(0.5), "n").alias("median"),
+        F.percentile("width", F.lit(0.5), F.col("n")).alias("median"),
         F.max("width").cast("double").alias("maximum"),
     )
     flat_widths = stats.select(

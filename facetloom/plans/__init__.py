@@ -9,6 +9,6 @@ from facetloom.plans import (  # noqa: F401
 )
 from facetloom.plans.registry import ORACLES, QUERIES
 
-flagship = QUERIES["attribute_facts"]
+flagship = QUERIES["session_target_rank"]
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

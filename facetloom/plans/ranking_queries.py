@@ -702,3 +702,26 @@ def dense_hits(t: Tables, depth: int = 200):
 def q_hybrid_rank(t: Tables):
     fused = retrieval.hybrid_rank(base_hits(t), lexical_hits(t, 200), dense_hits(t), "dense")
     return fused.withColumn("score", F.round("score", 9))
+
+
+@query(
+    "session_target_rank",
+    O.with_views(
+        "states facts",
+        f""", {PLAIN_SQL}, {SURVIVORS_SQL},
+g AS (SELECT category, wanted, list({{'r': rating_number, 'id': parent_asin}}) AS l, count(*) AS width FROM surv JOIN prod USING (parent_asin) GROUP BY 1, 2)
+SELECT session_id, turn, len(list_filter(l, lambda x: x.r > p.rating_number OR x.r = p.rating_number AND x.id < target)) + 1 AS rank, width
+FROM st JOIN g ON g.category = st.category AND g.wanted = st.wanted JOIN prod p ON p.parent_asin = st.target""",
+    ),
+)
+def q_session_target_rank(t: Tables):
+    """Rank of each session's target, by popularity, among what its facts leave over."""
+    turns = context_rows(t).select("session_id", "turn", "state_key", "target")
+    keys = turns.select("state_key", "target").distinct().withColumn("label_key", F.concat_ws("|", "state_key", "target"))
+    popular = survivors(t).join(
+        t.products.select("parent_asin", F.col("rating_number").cast("double").alias("score")), "parent_asin"
+    )
+    scores = keys.select("state_key", "label_key").join(popular, "state_key").drop("state_key")
+    ranks = metrics.target_rank(scores, keys.select("label_key", "target"), "label_key")
+    ranks = ranks.join(keys.select("label_key", "state_key"), "label_key").select("state_key", "target", "rank", "width")
+    return turns.join(ranks, ["state_key", "target"]).select("session_id", "turn", "rank", "width")

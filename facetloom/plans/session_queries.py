@@ -282,7 +282,7 @@ def q_fold_edits_stream(t: Tables):
     # A session whose preferences became empty emits no row in its last batch,
     # so the touched sessions are read off the source as well.
     run = (
-        stream.fold_edits_stream(edits).writeStream.outputMode("update").foreachBatch(keep)
+        stream.fold_edits_stream(edits, idle_minutes=None).writeStream.outputMode("update").foreachBatch(keep)
         .option("checkpointLocation", scratch_path(spark, "edits-checkpoint"))
         .trigger(availableNow=True).start()
     )

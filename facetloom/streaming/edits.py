@@ -51,11 +51,12 @@ def current(state: dict):
                 yield attribute, value, "required" if kind == "set" else "alternative"
 
 
-def fold_edits_stream(edits: DataFrame, idle_minutes: int = 24 * 60) -> DataFrame:
+def fold_edits_stream(edits: DataFrame, idle_minutes: int | None = 24 * 60) -> DataFrame:
     """Current preferences of every session touched by a micro-batch.
 
     ``edits``: streaming (session_id, seq, op, attribute, value).  A session that
-    stays silent for ``idle_minutes`` is forgotten.  Write with output mode
+    stays silent for ``idle_minutes`` is forgotten (never, if None: a bounded
+    replay must not wait for timers).  Write with output mode
     ``update``; each emission replaces the session's earlier rows.
     """
 
@@ -70,10 +71,11 @@ def fold_edits_stream(edits: DataFrame, idle_minutes: int = 24 * 60) -> DataFram
             rows = zip(batch["seq"].tolist(), batch["op"], batch["attribute"], batch["value"])
             folded = merge(folded, rows)
         state.update((json.dumps(folded),))
-        state.setTimeoutDuration(idle_minutes * 60 * 1000)
+        if idle_minutes is not None:
+            state.setTimeoutDuration(idle_minutes * 60 * 1000)
         rows = [(key[0], *row) for row in current(folded)]
         yield pd.DataFrame(rows, columns=["session_id", "attribute", "value", "role"])
 
     return edits.groupBy("session_id").applyInPandasWithState(
-        step, OUTPUT, STATE, "update", "ProcessingTimeTimeout"
+        step, OUTPUT, STATE, "update", "NoTimeout" if idle_minutes is None else "ProcessingTimeTimeout"
     )
