@@ -21,7 +21,7 @@ HEADLINE = (
     "attribute_facts", "facet_filter", "and_intersect_rollback", "rebuild_candidates",
     "context_features", "score_fm", "rank_candidates", "session_target_rank", "session_metrics",
     "question_entropy", "bm25_search", "cosine_topk", "hybrid_rank", "fold_edits_batch",
-    "price_ceiling_parse", "slot_polarity",
+    "template_extract",
 )
 
 
@@ -47,9 +47,6 @@ def main() -> None:
     for build in (R.items, R.context_rows, R.survivors, R.contexts, R.crosses, R.scored):
         build(tables)
     R.kept_index(tables)
-    from facetloom.plans import session_queries
-
-    session_queries.parsed(tables)
     times["build_ranking_tables"] = round(time.time() - started, 3)
 
     for name in HEADLINE:

@@ -65,7 +65,14 @@ class Tables:
         if key not in _STORED:
             path = scratch_path(self.spark, name)
             write_table(build(), path, partition_by=partition_by)
-            _STORED[key] = (path, self.spark.read.parquet(path).schema)
+            written = self.spark.read.parquet(path)
+            cores = self.spark.sparkContext.defaultParallelism
+            if not partition_by and len(written.inputFiles()) < cores:
+                # Fewer files than cores would leave later scans of a small
+                # source on one task; large sources never get here.
+                path = scratch_path(self.spark, name)
+                write_table(written.repartition(cores), path)
+            _STORED[key] = (path, written.schema)
         path, schema = _STORED[key]
         return self.spark.read.schema(schema).parquet(path)
 
