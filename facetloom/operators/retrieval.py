@@ -132,15 +132,14 @@ def cosine_pairs(queries: DataFrame, vectors: DataFrame, candidates: DataFrame,
 
 
 def cosine_topk(
-    queries: DataFrame, vectors: DataFrame, limit: int, block: int = 256
+    queries: DataFrame, vectors: DataFrame, limit: int, block: int = 256, pack: int = 50_000
 ) -> DataFrame:
     """Exact cosine of every query against all vectors, best ``limit`` each.
 
-    Queries are packed into blocks of ``block`` vectors; a task multiplies one
-    block with one Arrow batch of items and emits at most ``limit`` rows per
-    query and batch, so scores are never materialised for all pairs.  Blocks
-    reach the items by an equi join on a block number carried by every item
-    partition.
+    Queries are packed into blocks of about ``block`` vectors and items into
+    packs of about ``pack``; a task multiplies one block with one pack and emits
+    at most ``limit`` rows per query, so scores are never materialised for all
+    pairs and a task's memory does not grow with the tables.
     """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -157,8 +156,9 @@ def cosine_topk(
         q.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("b"), "query_id", "vector")
         .groupBy("b").agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
     )
-    spread = max(8, vectors.sparkSession.sparkContext.defaultParallelism)
-    # Items are grouped into ``spread`` packs; each block meets each pack once.
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    spread = max(cores, -(-vectors.count() // pack))
+    # Each block meets each pack once.
     packed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(spread)).alias("p"), "id", "vector")
     left = packed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
     right = blocks.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>")))
