@@ -11,7 +11,7 @@ from facetloom.operators import ordering
 from facetloom.operators import sessions as N
 from facetloom.operators import utterances as U
 from facetloom.plans import oracle as O
-from facetloom.plans.registry import query
+from facetloom.plans.registry import ORACLES, query
 from facetloom.session import scratch_path
 from facetloom.sources.tables import Tables
 from facetloom.streaming import edits as stream
@@ -265,7 +265,7 @@ def q_fold_edits_batch(t: Tables):
     return N.fold_edits_batch(sequenced_edits(t))
 
 
-@query("fold_edits_stream")
+@query("fold_edits_stream", ORACLES["fold_edits_batch"])
 def q_fold_edits_stream(t: Tables):
     """The edits replayed as a file stream; the last emission per session."""
     spark = t.spark
@@ -279,8 +279,6 @@ def q_fold_edits_stream(t: Tables):
     def keep(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    # A session whose preferences became empty emits no row in its last batch,
-    # so the touched sessions are read off the source as well.
     run = (
         stream.fold_edits_stream(edits, idle_minutes=None).writeStream.outputMode("update").foreachBatch(keep)
         .option("checkpointLocation", scratch_path(spark, "edits-checkpoint"))
@@ -289,7 +287,9 @@ def q_fold_edits_stream(t: Tables):
     run.awaitTermination()
     out = spark.read.parquet(f"{sink}/batch=*")
     last = out.groupBy("session_id").agg(F.max("batch").alias("batch"))
-    return out.join(last, ["session_id", "batch"]).select("session_id", "attribute", "value", "role")
+    return out.join(last, ["session_id", "batch"]).filter(F.col("role") != "none").select(
+        "session_id", "attribute", "value", "role"
+    )
 
 
 def asked_turns(t: Tables):

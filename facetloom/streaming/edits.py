@@ -57,7 +57,8 @@ def fold_edits_stream(edits: DataFrame, idle_minutes: int | None = 24 * 60) -> D
     ``edits``: streaming (session_id, seq, op, attribute, value).  A session that
     stays silent for ``idle_minutes`` is forgotten (never, if None: a bounded
     replay must not wait for timers).  Write with output mode
-    ``update``; each emission replaces the session's earlier rows.
+    ``update``; each emission replaces the session's earlier rows, and a session
+    left without preferences emits one row of role ``none``.
     """
 
     def step(key, batches, state):
@@ -73,7 +74,7 @@ def fold_edits_stream(edits: DataFrame, idle_minutes: int | None = 24 * 60) -> D
         state.update((json.dumps(folded),))
         if idle_minutes is not None:
             state.setTimeoutDuration(idle_minutes * 60 * 1000)
-        rows = [(key[0], *row) for row in current(folded)]
+        rows = [(key[0], *row) for row in current(folded)] or [(key[0], None, None, "none")]
         yield pd.DataFrame(rows, columns=["session_id", "attribute", "value", "role"])
 
     return edits.groupBy("session_id").applyInPandasWithState(
