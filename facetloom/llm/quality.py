@@ -1,8 +1,8 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote bad, good or not at all on each document;
-a table of known labels, where there is one, is one more labeller. Expectation-
-maximisation over the counts of vote patterns, taken over all documents,
+a table of known labels, where there is one, settles the class of its documents.
+Expectation-maximisation over the counts of vote patterns, taken over all documents,
 estimates how each labeller votes on good and on bad documents, and so how
 likely each pattern is bad. These posteriors are the targets of a linear scorer
 over hashed features, fitted on at most ``TRAIN_ROWS`` documents (known-label
@@ -33,6 +33,7 @@ FEATURES = 1 << 17
 TRAIN_ROWS = 20_000
 REJECT_AT = 0.5
 BAD, GOOD, ABSTAIN = 1, 0, 2
+SURE = 0.01  # chance that a known label is wrong
 
 #: Insults that the abuse labellers count.
 INSULTS = frozenset({
@@ -134,18 +135,24 @@ def with_known(voted: DataFrame, labels: DataFrame) -> DataFrame:
 def expectation_maximisation(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray]:
     """Posterior of bad for each vote pattern, and P(vote | class) per labeller.
 
-    The number of patterns depends on the labellers only: three to their number
-    at most.
+    The last vote of a pattern is the known label: where there is one, it is the
+    class. The number of patterns depends on the labellers only: three to their
+    number at most.
     """
     names = sorted(patterns)
     if not names:
         return {}, np.zeros((0, 2, 3))
     counts = np.array([patterns[p] for p in names], float)
     grid = np.array([[int(c) for c in p] for p in names])
+    known, grid = grid[:, -1], grid[:, :-1]
     one_hot = np.stack([grid == v for v in range(3)], axis=2).astype(float)  # pattern, labeller, vote
+
+    def settled(chance: np.ndarray) -> np.ndarray:
+        return np.where(known == BAD, 1 - SURE, np.where(known == GOOD, SURE, chance))
+
     # To start with, a document is bad as far as its votes say so.
     said = (grid == BAD).sum(1)
-    bad = np.clip(said / np.maximum(1, np.minimum(2, (grid != ABSTAIN).sum(1))), 0.01, 0.99)
+    bad = settled(np.clip(said / np.maximum(1, np.minimum(2, (grid != ABSTAIN).sum(1))), SURE, 1 - SURE))
     rates = np.zeros((grid.shape[1], 2, 3))
     for _ in range(rounds):
         weight = np.stack([counts * (1 - bad), counts * bad])  # class, pattern
@@ -153,7 +160,7 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 100) -> tup
         rates = np.einsum("cp,plv->lcv", weight, one_hot) + 0.1
         rates /= rates.sum(2, keepdims=True)
         log = np.log(prior)[:, None] + np.einsum("plv,lcv->cp", one_hot, np.log(rates))
-        now = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+        now = settled(1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50))))
         if np.abs(now - bad).max() < 1e-6:
             break
         bad = now
@@ -214,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[str,
             fitted[task] = np.zeros(FEATURES), -10.0
             continue
         model = LogisticRegression(
-            weightCol="weight", regParam=0.001, standardization=False, maxIter=60, tol=1e-5
+            weightCol="weight", regParam=0.001, standardization=False, maxIter=40, tol=1e-4
         ).fit(both)
         fitted[task] = model.coefficients.toArray(), float(model.intercept)
     return fitted

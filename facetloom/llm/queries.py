@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm import chat, decontaminate, packing, rules, simhash, urls, warc
+from facetloom.llm import chat, decontaminate, packing, quality, rules, simhash, suffixes, urls, warc
 from facetloom.llm.common import read
 
 
@@ -43,6 +43,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    judged = quality.classify(docs, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    chance = {f"p_{t}": F.round(f"verdict.{t}", 4) for t in quality.TASKS}
+    return judged.select("doc_id", *[c.alias(n) for n, c in chance.items()], F.col("verdict.kept").alias("kept"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.cascade(read(spark, sf_dir, "documents", "doc_id", "text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -62,9 +69,19 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(probe), template), template).drop("n_refused")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), length=200)
+    removed = F.aggregate("cuts.spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
+    return found.select(
+        "doc_id", F.col("cuts.n_bytes").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("cuts.spans").cast("long").alias("n_spans"), F.sha2("cuts.kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_packing, op2_warc, op3_url_filter, op4_simhash, op6_decontaminate, op8_quality_rules, op9_chat_format,
+        op1_packing, op2_warc, op3_url_filter, op4_simhash, op6_decontaminate, op7_quality_classifier,
+        op8_quality_rules, op9_chat_format, op10_suffix_dedup,
     )
 }
 

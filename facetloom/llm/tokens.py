@@ -1,19 +1,29 @@
 """Token ids of texts by a public tokenizer, word by word and remembered.
 
-The vocabulary used here drops white space, so the ids of a text are the ids of
-its words one after the other. Words repeat; each worker keeps the ids of the
-words it met, up to ``MEMORY_WORDS``.
+The vocabulary used here drops white space, folds case and never merges across
+words or between letters and other characters. So the ids of a text are the ids
+of its words in turn, and those of most words the ids of its letter runs and
+marks in turn. Words and runs repeat; each worker remembers a bounded number of
+both. Words with characters outside ASCII and Latin letters, and those that
+could hold a special token, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Callable
 
 import numpy as np
 
-MEMORY_WORDS = 200_000
+WORDS_KEPT = 150_000
+RUNS_KEPT = 250_000
 LONGEST_KEPT = 48
 
+#: Where the tokenizer splits words of plain letters, and which words those are.
+RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
+
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -21,6 +31,32 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Memory(dict):
+    """What ``find`` says of a key, remembered in two generations of ``most`` keys."""
+
+    def __init__(self, find: Callable, most: int) -> None:
+        super().__init__()
+        self.find, self.most, self.old = find, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class WordIds:
     """Little-endian unsigned 32-bit ids of whole texts."""
 
@@ -29,28 +65,25 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.runs = Memory(self._of_run, RUNS_KEPT)
+        self.words = Memory(self._of_word, WORDS_KEPT)
+
+    def _of_run(self, run: str) -> bytes:
+        plain = run if run.isascii() else "".join(self.letters[b] for b in run.encode())
+        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(plain))
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _of_word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if "<|" not in text and PLAIN.fullmatch(text):
+            return b"".join(map(self.runs.__getitem__, RUN.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the closing id; a null text counts as empty."""
-        # Splitting at ASCII white space only: the tokenizer drops all of it,
+        # Only ASCII white space divides here: the tokenizer drops all of it,
         # and no other character is white space for both.
-        split = [(t or "").encode().split() for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
-        if len(self.known) + len(new) > MEMORY_WORDS:
-            self.known.clear()
-            new = set().union(*split)
-        known = self.known
-        once: dict[bytes, bytes] = {}
-        batch = sorted(new)
-        for at in range(0, len(batch), 4096):
-            part = batch[at : at + 4096]
-            for word, ids in zip(part, self._ids(part), strict=True):
-                (known if len(word) <= LONGEST_KEPT else once)[word] = ids
-        look = known.__getitem__ if not once else lambda w: known.get(w) if w in known else once[w]
-        return [b"".join(map(look, words)) + self.end for words in split]
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, (t or "").encode().split())) + self.end for t in texts]
