@@ -31,7 +31,8 @@ from facetloom.llm.rules import Measures
 
 FEATURES = 1 << 17
 TRAIN_ROWS = 20_000
-REJECT_AT = 0.5
+REJECT_AT = 0.6
+PENALTY = {"regParam": 0.0003, "elasticNetParam": 1.0}  # few of many words matter
 BAD, GOOD, ABSTAIN = 1, 0, 2
 SURE = 0.01  # chance that a known label is wrong
 
@@ -88,11 +89,9 @@ KNOWN = {"junk": ("quality", 0), "abuse": ("toxic", 1)}
 
 
 def feature_ids(d: Document) -> np.ndarray:
-    """Hashed features: beginnings of words, and measures in steps."""
+    """Hashed features: words, beginnings of words, and measures in steps."""
     kinds = d.kinds
-    names = {w[:4] for w in kinds}
-    names |= {"6" + w[:6] for w in kinds if len(w) > 4}
-    names |= {"8" + w[:8] for w in kinds if len(w) > 6}
+    names = kinds | {"5" + w[:5] for w in kinds if len(w) > 5}
     n = max(1, d.n_words)
     for name, share in (
         ("symbols", d.n_symbols / n), ("upper", d.n_upper / n), ("marks", d.n_marked / n),
@@ -221,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[str,
             fitted[task] = np.zeros(FEATURES), -10.0
             continue
         model = LogisticRegression(
-            weightCol="weight", regParam=0.001, standardization=False, maxIter=40, tol=1e-4
+            weightCol="weight", standardization=False, maxIter=40, tol=1e-4, **PENALTY
         ).fit(both)
         fitted[task] = model.coefficients.toArray(), float(model.intercept)
     return fitted
