@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm import chat, decontaminate, packing, quality, rules, simhash, suffixes, urls, warc
+from facetloom.llm import chat, decontaminate, licenses, packing, quality, rules, simhash, suffixes, urls, warc
 from facetloom.llm.common import read
 
 
@@ -33,6 +33,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "license",
+        F.round("reduction", 6).alias("reduction"), "missing", "extra", "confirmed",
+    )
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     found = decontaminate.find_hits(docs, read(spark, sf_dir, "benchmark", "item_id", "text"), window=13)
@@ -80,7 +88,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_packing, op2_warc, op3_url_filter, op4_simhash, op6_decontaminate, op7_quality_classifier,
+        op1_packing, op2_warc, op3_url_filter, op4_simhash, op5_license_scan, op6_decontaminate, op7_quality_classifier,
         op8_quality_rules, op9_chat_format, op10_suffix_dedup,
     )
 }
