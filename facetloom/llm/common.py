@@ -29,3 +29,16 @@ def text_key(text: Column) -> Column:
 def same_document(left: DataFrame, right: DataFrame, id_col: str, key_col: str) -> Column:
     """Join condition on (id, text key); a null id equals a null id."""
     return left[id_col].eqNullSafe(right[id_col]) & (left[key_col] == right[key_col])
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or with enough underscores before it not to be one of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def row_type(df: DataFrame, without: str = "") -> str:
+    """Schema string of ``df`` for a function over its batches."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != without)

@@ -17,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetloom.llm.common import free_name, row_type
+
 WINDOW = 13
 # Bytes of item text in one automaton; a larger benchmark takes more passes.
 BLOCK_BYTES = 4 << 20
@@ -159,17 +161,19 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[t
     return found
 
 
-HITS = "hits struct<n_words:bigint,runs:array<struct<start:bigint,end:bigint>>,items:array<bigint>>"
+HITS = "struct<n_words:bigint,runs:array<struct<start:bigint,end:bigint>>,items:array<bigint>>"
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_hits(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, into: str = "hits"
+) -> DataFrame:
     """``docs`` (any columns with ``text``) and their hits: n_words, runs of hit words, item ids.
 
-    The three columns are in a struct ``hits``, replacing a column of that name.
+    The three are in a struct ``into``, replacing a column of that name.
     """
     blocks = item_blocks(items, block_bytes)
     spark = docs.sparkSession
-    rows = docs.drop("hits")
+    rows = docs.drop(into)
     shared = [spark.sparkContext.broadcast(b) for b in blocks]
     names = rows.columns
     at = names.index("text")
@@ -192,10 +196,9 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_byt
                 [pa.array(n_words, pa.int64()), pa.array(runs, run_type), pa.array(named, pa.list_(pa.int64()))],
                 ["n_words", "runs", "items"],
             )
-            yield pa.RecordBatch.from_arrays([*batch.columns, hits], [*names, "hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, hits], [*names, into])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), HITS])
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, f"{row_type(rows)}, `{into}` {HITS}")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -218,13 +221,12 @@ def decontaminate(
     others every span of hit words is cut from the text, from the first
     character of its first word to the last of its last; ``n_chars`` follows.
     """
-    found = find_hits(docs, items, window)
-    hit = hit_words()
-    kept = found.where(~((hit > 0) & (hit >= F.lit(max_share) * F.col("hits.n_words"))))
-    columns = docs.columns
-    names = [c for c in kept.columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "hits")
-    at, runs_at = names.index("text"), names.index("hits")
+    into = free_name(docs.columns, "hits")
+    found = find_hits(docs, items, window, into=into)
+    hit = hit_words(into)
+    kept = found.where(~((hit > 0) & (hit >= F.lit(max_share) * F.col(f"{into}.n_words"))))
+    names = kept.columns
+    at, runs_at = names.index("text"), names.index(into)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,17 +237,17 @@ def decontaminate(
                     [without_words(t, r) if r else t for t, r in zip(texts.to_pylist(), runs, strict=True)], texts.type
                 )
             arrays = [texts if k == at else c for k, c in enumerate(batch.columns) if k != runs_at]
-            yield pa.RecordBatch.from_arrays(arrays, [c for c in names if c != "hits"])
+            yield pa.RecordBatch.from_arrays(arrays, [c for c in names if c != into])
 
-    clean = kept.mapInArrow(cut, schema)
-    if "n_chars" in columns:
+    clean = kept.mapInArrow(cut, row_type(kept, without=into))
+    if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*columns)
+    return clean.select(*docs.columns)
 
 
-def hit_words():
+def hit_words(into: str = "hits") -> Column:
     """Number of hit words of a row of ``find_hits``."""
-    return F.aggregate("hits.runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    return F.aggregate(f"{into}.runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
 
 
 def without_words(text: str, runs: list[dict]) -> str:

@@ -63,19 +63,24 @@ SENTENCE = re.compile(r"[^\n]+?(?:[.!?;](?=\s)|(?=\n)|$)", re.S)
 WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W\d_]+")
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of candidate sentences and of runs of them."""
+def blocks(text: str) -> list[list[tuple[int, int]]]:
+    """Candidates by (start, end): sentences with a cue and runs of them, each with longer versions.
+
+    A notice may go on after its last cue, so a version reaches up to ``NEAR``
+    sentences further.
+    """
     cue = re.compile(CUE)
     places = [m.span() for m in SENTENCE.finditer(text)]
     hits = [k for k, (s, e) in enumerate(places) if cue.search(text, s, e)]
-    found, run = [places[k] for k in hits], []
+    runs, run = [(k, k) for k in hits], []
     for k in [*hits, None]:
         if run and (k is None or k - run[-1] > NEAR + 1):
             if len(run) > 1:
-                found.append((places[run[0]][0], places[run[-1]][1]))
+                runs.append((run[0], run[-1]))
             run = []
         run.append(k)
-    return found
+    last = len(places) - 1
+    return [[(places[a][0], places[k][1]) for k in range(b, min(b + NEAR, last) + 1)] for a, b in runs]
 
 
 def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
@@ -124,6 +129,15 @@ class Scanner:
             "confirmed": numbers and len(missing) + len(extra) <= self.tolerance * len(wording),
         }
 
+    def first(self, text: str, versions: list[tuple[int, int]]) -> tuple[int, int, dict]:
+        """The shortest version that is confirmed, or else the shortest."""
+        judged = [(s, e, self.known[text[s:e]]) for s, e in versions[:1]]
+        for s, e in versions[1:]:
+            if judged[-1][2]["confirmed"]:
+                return judged[-1]
+            judged.append((s, e, self.known[text[s:e]]))
+        return judged[-1] if judged[-1][2]["confirmed"] else judged[0]
+
 
 FOUND = (
     "doc_id long, start long, end long, license string, reduction double, runner_up string,"
@@ -149,7 +163,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, tolerance: fl
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                judged = [(s, e, scanner.known[text[s:e]]) for s, e in blocks(text)]
+                judged = [scanner.first(text, versions) for versions in blocks(text)]
                 whole = [(s, e) for s, e, j in judged if j["confirmed"]]
                 out += [
                     {"doc_id": doc, "start": s, "end": e, **j} for s, e, j in judged

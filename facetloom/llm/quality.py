@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import store
+from facetloom.llm.common import free_name, row_type, store
 from facetloom.llm.rules import Measures
 
 FEATURES = 1 << 17
@@ -226,11 +226,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[str,
     return fitted
 
 
-def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, reject_at: float = REJECT_AT) -> DataFrame:
-    """``docs`` (any columns, doc_id and text among them) with ``verdict`` (chance per task, kept)."""
+def classify(
+    docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, reject_at: float = REJECT_AT, into: str = "verdict"
+) -> DataFrame:
+    """``docs`` (any columns, doc_id and text among them) with a struct ``into``: chance per task, kept."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fitted = fit(plain, labels, rows)
-    data = docs.drop("verdict")
+    data = docs.drop(into)
     names = data.columns
     at = names.index("text")
     weights = data.sparkSession.sparkContext.broadcast(fitted)  # FEATURES numbers per task
@@ -246,13 +248,13 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, reject_
                     ids = feature_ids(Document(text))
                     chance = {t: float(1 / (1 + np.exp(-np.clip(w[ids].sum() + b, -50, 50)))) for t, (w, b) in models.items()}
                     out.append(chance | {"kept": all(p < reject_at for p in chance.values())})
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*names, "verdict"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*names, into])
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema]
     fields = ",".join(f"{t}:double" for t in TASKS)
-    return data.mapInArrow(run, ", ".join([*schema, f"verdict struct<{fields},kept:boolean>"]))
+    return data.mapInArrow(run, f"{row_type(data)}, `{into}` struct<{fields},kept:boolean>")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those the classifier rejects."""
-    return classify(docs, labels).where("verdict.kept").select(*docs.columns)
+    into = free_name(docs.columns, "verdict")
+    return classify(docs, labels, into=into).where(f"{into}.kept").select(*docs.columns)

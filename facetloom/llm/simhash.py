@@ -298,8 +298,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) ->
     keepers = near_duplicates(docs, shingle, radius).select(
         F.col("keeper_id").alias("_keeper"), F.col("keeper_key").alias("_key")
     ).distinct()
-    taken = {c.lower() for c in docs.columns}
-    names = [n for n in ("_keeper", "_key") if n not in taken]
     mark = "_" * (max([len(c) for c in docs.columns]) + 1)
     keepers = keepers.toDF(mark + "id", mark + "key")
     keyed = docs.withColumn(mark + "own", text_key(F.col("text").cast("string")))

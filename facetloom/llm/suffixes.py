@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import store, text_key
+from facetloom.llm.common import free_name, row_type, store, text_key
 from facetloom.llm.decontaminate import merged
 
 LENGTH = 200
@@ -212,7 +212,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, offsets: np.ndarray, si
         spot = place[at]
         has = spot > 0
         before = order[np.maximum(spot - 1, 0)]
-        most = np.where(has, np.minimum(ends[at] - at, ends[before] - before), 0)
+        most = np.where(has, np.clip(ends[before] - before, 0, ends[at] - at), 0)
         h = np.minimum(np.maximum(now[lanes] - 1, 0), most)
         going = np.flatnonzero(h < most)
         while len(going):
@@ -411,9 +411,9 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return both.select("doc_id", "text_key", "text", "wanted").mapInArrow(run, FETCHED)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with ``cuts`` (n_bytes, spans of removed bytes, kept bytes) in place of such a column."""
-    rows = docs.drop("cuts")
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, into: str = "cuts") -> DataFrame:
+    """``docs`` with a struct ``into``: n_bytes, spans of removed bytes, kept bytes."""
+    rows = docs.drop(into)
     text = F.col("text").cast("string")
     keyed = rows.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
     lists = repeated_spans(keyed, length, gram).groupBy("doc_id", "text_key").agg(
@@ -445,11 +445,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                         last = e
                     kept.append(data[last:])
                     out.append({"n_bytes": len(data), "spans": [{"begin": s, "end": e} for s, e in spans], "kept": b"".join(kept)})
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], [*names[:-1], "cuts"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], [*names[:-1], into])
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    cuts = "cuts struct<n_bytes:bigint,spans:array<struct<begin:bigint,end:bigint>>,kept:binary>"
-    return both.mapInArrow(cut, ", ".join([*schema, cuts]))
+    kind_name = "struct<n_bytes:bigint,spans:array<struct<begin:bigint,end:bigint>>,kept:binary>"
+    return both.mapInArrow(cut, f"{row_type(rows)}, `{into}` {kind_name}")
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -458,19 +457,19 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A character that loses some of its bytes loses all; a document that loses
     everything stays with an empty text.
     """
-    found = remove_repeats(docs, length)
+    into = free_name(docs.columns, "cuts")
+    found = remove_repeats(docs, length, into=into)
     names = found.columns
-    cuts, at = names.index("cuts"), names.index("text")
+    cuts, at = names.index(into), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = batch.column(cuts).field("kept").to_pylist()
             texts = [None if t is None else k.decode(errors="ignore") for t, k in zip(batch.column(at).to_pylist(), kept, strict=True)]
             arrays = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns) if k != cuts]
-            yield pa.RecordBatch.from_arrays(arrays, [c for c in names if c != "cuts"])
+            yield pa.RecordBatch.from_arrays(arrays, [c for c in names if c != into])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name != "cuts")
-    clean = found.mapInArrow(run, schema)
+    clean = found.mapInArrow(run, row_type(found, without=into))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)
