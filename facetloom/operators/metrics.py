@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from facetloom.functions import scalars as S
 from facetloom.functions import vocab as V
-from facetloom.operators.ordering import int_block, running_sum, top_k
+from facetloom.operators.ordering import int_block, numbered, running_sum, top_k
 from facetloom.session import spread_join
 
 
@@ -17,29 +17,31 @@ def rank_candidates(scores: DataFrame, key: str, k: int = 10) -> DataFrame:
 
 
 def target_rank(scores: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """Rank, percentile, pairwise accuracy and width of each key's target.
+    """Rank, percentile, pairwise accuracy and width of every (key, target).
 
-    Counting the products ahead of the target needs no sort: two aggregates that
-    combine map-side and one join of a row per key.
+    Each key's products are numbered once, best score first and ties by id, and
+    all its targets look their number up: linear in products and in targets.
+    Equal scores are counted before they are walked, and the walk goes block by
+    block along the key's range of scores.
     """
-    goal = scores.join(
-        targets.withColumnRenamed("target", "parent_asin"), [key, "parent_asin"]
-    ).select(key, F.col("parent_asin").alias("target"), F.col("score").alias("target_score"))
-    rows = spread_join(scores, goal, [key], ["parent_asin"])
-    other = F.col("parent_asin") != F.col("target")
-    ahead = (F.col("score") > F.col("target_score")) | (
-        (F.col("score") == F.col("target_score")) & (F.col("parent_asin") < F.col("target"))
+    per_score = scores.groupBy(key, "score").agg(F.count("*").alias("n"))
+    span = per_score.groupBy(key).agg(
+        F.max("score").alias("top"), F.min("score").alias("low"), F.sum("n").alias("width")
     )
-    win = F.when(F.col("target_score") > F.col("score"), 1.0).when(
-        F.col("target_score") == F.col("score"), 0.5
-    ).otherwise(0.0)
-    counted = rows.groupBy(key).agg(
-        F.any_value("target").alias("target"),
-        (F.count_if(other & ahead) + 1).alias("rank"),
-        F.count("*").alias("width"),
-        F.sum(F.when(other, win).otherwise(0.0)).alias("wins"),
+    reach = F.col("top") - F.col("low")
+    block = F.when(reach > 0, F.floor((F.col("top") - F.col("score")) / reach * 255)).otherwise(F.lit(0))
+    walked = running_sum(per_score.join(span, key), [key], [F.desc("score")], block, F.col("n"), "upto")
+    tied = numbered(
+        scores.select(key, "score", "parent_asin"), [key, "score"], [F.col("parent_asin")],
+        F.substring("parent_asin", 1, 7), "place",
     )
-    return counted.withColumn(
+    goal = targets.select(key, F.col("target").alias("parent_asin")).distinct()
+    found = tied.join(goal, [key, "parent_asin"]).join(walked.select(key, "score", "n", "upto", "width"), [key, "score"])
+    return found.select(
+        key, F.col("parent_asin").alias("target"),
+        (F.col("upto") - F.col("n") + F.col("place")).alias("rank"), "width",
+        (F.col("width") - F.col("upto") + 0.5 * (F.col("n") - 1)).alias("wins"),
+    ).withColumn(
         "rank_percentile", (F.col("rank") - 1) / F.greatest(F.lit(1), F.col("width") - 1)
     ).withColumn(
         "pairwise_accuracy",
@@ -123,20 +125,22 @@ def temperature_grid(
 ) -> DataFrame:
     """Weighted negative log likelihood of the target per temperature.
 
-    ``targets``: (key, target, weight).  The grid is five aggregate columns of a
-    single pass; ``best`` marks the smallest loss, the first one on ties.
+    ``targets``: (key, target, weight), several targets per key allowed.  The
+    grid is five aggregate columns of a single pass over the scores; ``best``
+    marks the smallest loss, the first one on ties.
     """
     peaks = scores.groupBy(key).agg(F.max("score").alias("peak"))
-    goal = scores.join(
-        targets.withColumnRenamed("target", "parent_asin"), [key, "parent_asin"]
-    ).select(key, F.col("score").alias("target_score"), "weight").join(peaks, key)
-    rows = spread_join(scores, goal, [key], ["parent_asin"])
     shifted = F.col("score") - F.col("peak")
-    per_state = rows.groupBy(key).agg(
-        F.any_value("weight").alias("weight"),
-        F.any_value(F.col("target_score") - F.col("peak")).alias("target_shift"),
+    masses = spread_join(scores, peaks, [key], ["parent_asin"]).groupBy(key).agg(
+        F.any_value("peak").alias("peak"),
         *[F.sum(F.exp(shifted / t)).alias(f"z{i}") for i, t in enumerate(temperatures)],
     )
+    goal = scores.join(
+        targets.withColumnRenamed("target", "parent_asin"), [key, "parent_asin"]
+    ).select(key, "parent_asin", F.col("score").alias("target_score"), "weight")
+    per_state = spread_join(goal, masses, [key], ["parent_asin"]).withColumn(
+        "target_shift", F.col("target_score") - F.col("peak")
+    )
     losses = per_state.agg(
         *[
             weighted_mean(F.log(f"z{i}") - F.col("target_shift") / t, F.col("weight")).alias(f"l{i}")

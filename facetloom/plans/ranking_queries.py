@@ -12,6 +12,7 @@ from facetloom.plans import oracle as O
 from facetloom.plans.catalog_queries import CONTEXT_SQL, ITEM_SQL, state_context, tokens_sql
 from facetloom.plans.facet_queries import PLAIN_SQL, SURVIVORS_SQL, other_members, wanted_states
 from facetloom.plans.registry import query
+from facetloom.session import spread_join
 from facetloom.sources.tables import Tables, hash_weight, product_id
 
 DIMENSION = 16
@@ -48,7 +49,7 @@ def context_rows(t: Tables):
         rows = wanted_states(t, guessing=False).withColumn("names", state_context(t))
         return rows.select(
             "session_id", "turn", "scenario", "target", "state_key", "pool", "wanted", "known", "names",
-            F.sha2(F.array_join("names", "|"), 256).alias("context_key"),
+            F.sha2(F.array_join(F.concat("names", F.array("pool"), "wanted"), "|"), 256).alias("context_key"),
         )
 
     return t.keep("context_rows", build)
@@ -109,12 +110,10 @@ def scored(t: Tables):
     return t.keep("scored", build)
 
 
-def labels(t: Tables):
-    """One target per context: the smallest of the targets that share it."""
-    return context_rows(t).groupBy("context_key").agg(
-        F.min("target").alias("target"), F.count("*").alias("n_turns"), F.any_value("scenario").alias("scenario"),
-        F.min("turn").alias("turn"),
-    )
+def session_targets(t: Tables):
+    """Every session turn with its context, target and share of its trajectory's weight."""
+    rows = context_rows(t).select("session_id", "turn", "scenario", "context_key", "target")
+    return metrics.state_weights(rows, "session_id")
 
 
 # --- shared oracle text ------------------------------------------------------
@@ -126,7 +125,7 @@ VOCAB_SQL = f"""ctxn AS MATERIALIZED (SELECT DISTINCT 'ctx:' || field || '=' ||
   UNION SELECT unnest(['ctx:override=pre', 'ctx:override=post', 'ctx:answer_source=other'])
   UNION SELECT 'ctx:' || unnest([{O.quoted(V.ASK_ATTRIBUTES)}]) || '={V.RARE}'),
 itemn AS MATERIALIZED (SELECT DISTINCT name FROM items UNION SELECT 'item:' || unnest([{O.quoted(V.ASK_ATTRIBUTES)}]) || '={V.RARE}')"""
-FM_SQL = f"""cr AS MATERIALIZED (SELECT c.*, sha256(array_to_string(names, '|')) AS context_key, st.wanted FROM ctx c JOIN st USING (session_id, turn)),
+FM_SQL = f"""cr AS MATERIALIZED (SELECT c.*, sha256(array_to_string(list_concat(names, [st.category], st.wanted), '|')) AS context_key, st.wanted FROM ctx c JOIN st USING (session_id, turn)),
 cx AS MATERIALIZED (SELECT context_key, any_value(names) AS names, any_value(scenario) AS scenario, any_value(category) AS category, any_value(wanted) AS wanted FROM cr GROUP BY 1),
 cf AS MATERIALIZED (SELECT DISTINCT context_key, coalesce(e.name, r.name) AS name FROM (SELECT context_key, unnest(names) AS n FROM cx)
   LEFT JOIN ctxn e ON e.name = n LEFT JOIN ctxn r ON contains(n, '=') AND r.name = split_part(n, '=', 1) || '={V.RARE}' WHERE coalesce(e.name, r.name) IS NOT NULL),
@@ -149,7 +148,8 @@ crosses AS MATERIALIZED (SELECT context_feature, item_feature, positive_support,
 XSCORE_SQL = """ciw AS MATERIALIZED (SELECT context_key, item_feature AS name, sum(weight) AS w FROM cf JOIN crosses ON context_feature = cf.name GROUP BY 1, 2),
 xs AS MATERIALIZED (SELECT context_key, parent_asin, sum(w) AS x FROM pr JOIN items USING (parent_asin) JOIN ciw USING (context_key, name) GROUP BY 1, 2),
 sc AS MATERIALIZED (SELECT context_key, parent_asin, round(fm + coalesce(x, 0), 9) AS score FROM fm LEFT JOIN xs USING (context_key, parent_asin))"""
-LABEL_SQL = """lb AS MATERIALIZED (SELECT context_key, min(target) AS target, count(*) AS n_turns, any_value(scenario) AS scenario, min(turn) AS turn FROM cr GROUP BY 1)"""
+STATE_SQL = """states_w AS MATERIALIZED (SELECT session_id, turn, scenario, context_key, target, 1.0::DOUBLE / count(*) OVER (PARTITION BY session_id) AS weight FROM cr),
+lb AS MATERIALIZED (SELECT context_key, target, sum(weight) AS weight FROM states_w GROUP BY 1, 2)"""
 BASE_SQL = f", {ITEM_SQL}, {CONTEXT_SQL}, {PLAIN_SQL}, {SURVIVORS_SQL}, {VOCAB_SQL}, {FM_SQL}"
 ALL_SQL = f"{BASE_SQL}, {CROSS_SQL}, {XSCORE_SQL}"
 
@@ -309,15 +309,15 @@ def q_rank_candidates(t: Tables):
 
 
 RANK_SQL = """rk AS MATERIALIZED (SELECT s.context_key, lb.target, count(*) FILTER (s.parent_asin <> lb.target AND (s.score > g.score OR s.score = g.score AND s.parent_asin < lb.target)) + 1 AS rank,
-  count(*) AS width, sum(CASE WHEN s.parent_asin = lb.target THEN 0 WHEN g.score > s.score THEN 1.0 WHEN g.score = s.score THEN 0.5 ELSE 0 END)::DOUBLE AS wins,
-  any_value(lb.scenario) AS scenario, any_value(lb.turn) AS turn, any_value(lb.n_turns) AS n_turns
+  count(*) AS width, sum(CASE WHEN s.parent_asin = lb.target THEN 0 WHEN g.score > s.score THEN 1.0 WHEN g.score = s.score THEN 0.5 ELSE 0 END)::DOUBLE AS wins
   FROM sc s JOIN lb USING (context_key) JOIN sc g ON g.context_key = s.context_key AND g.parent_asin = lb.target GROUP BY 1, 2),
-rp AS MATERIALIZED (SELECT *, (rank - 1) / greatest(1, width - 1)::DOUBLE AS rank_percentile, CASE WHEN width = 1 THEN 1.0::DOUBLE ELSE wins / (width - 1) END AS pairwise_accuracy, 1.0 / n_turns AS weight FROM rk)"""
+rq AS MATERIALIZED (SELECT *, (rank - 1) / greatest(1, width - 1)::DOUBLE AS rank_percentile, CASE WHEN width = 1 THEN 1.0::DOUBLE ELSE wins / (width - 1) END AS pairwise_accuracy FROM rk),
+rp AS MATERIALIZED (SELECT * FROM states_w JOIN rq USING (context_key, target))"""
 
 
-@query("target_rank", sql(f", {LABEL_SQL}, {RANK_SQL} SELECT context_key, target, rank, width, wins, round(rank_percentile, 6) AS rank_percentile, round(pairwise_accuracy, 6) AS pairwise_accuracy FROM rp"))
+@query("target_rank", sql(f", {STATE_SQL}, {RANK_SQL} SELECT context_key, target, rank, width, wins, round(rank_percentile, 6) AS rank_percentile, round(pairwise_accuracy, 6) AS pairwise_accuracy FROM rq"))
 def q_target_rank(t: Tables):
-    ranks = metrics.target_rank(scored(t), labels(t).select("context_key", "target"), "context_key")
+    ranks = metrics.target_rank(scored(t), session_targets(t), "context_key")
     return ranks.select(
         "context_key", "target", "rank", "width", "wins", F.round("rank_percentile", 6).alias("rank_percentile"),
         F.round("pairwise_accuracy", 6).alias("pairwise_accuracy"),
@@ -325,10 +325,11 @@ def q_target_rank(t: Tables):
 
 
 def state_ranks(t: Tables):
-    tagged = labels(t)
-    ranks = metrics.target_rank(scored(t), tagged.select("context_key", "target"), "context_key")
-    return ranks.join(tagged.drop("target"), "context_key").select(
-        "rank", "width", "rank_percentile", "pairwise_accuracy", (1.0 / F.col("n_turns")).alias("weight"),
+    """Ranks of all session turns: turns that share context and target share the rank."""
+    states = session_targets(t)
+    ranks = metrics.target_rank(scored(t), states, "context_key")
+    return spread_join(states, ranks, ["context_key", "target"], ["session_id", "turn"]).select(
+        "rank", "width", "rank_percentile", "pairwise_accuracy", "weight",
         "scenario", S.turn_bucket(F.col("turn")).alias("turn_bucket"),
     )
 
@@ -343,7 +344,7 @@ MEANS = {
 @query(
     "ranking_metrics",
     sql(
-        f""", {LABEL_SQL}, {RANK_SQL}, sl AS MATERIALIZED (SELECT 'all' AS slice, 'all' AS value, * FROM rp UNION ALL SELECT 'scenario', scenario, * FROM rp UNION ALL SELECT 'turn_bucket', {O.turn_bucket('turn')}, * FROM rp),
+        f""", {STATE_SQL}, {RANK_SQL}, sl AS MATERIALIZED (SELECT 'all' AS slice, 'all' AS value, * FROM rp UNION ALL SELECT 'scenario', scenario, * FROM rp UNION ALL SELECT 'turn_bucket', {O.turn_bucket('turn')}, * FROM rp),
 med AS (SELECT slice, value, c, min(v) AS m FROM (SELECT slice, value, c, v, sum(w) OVER (PARTITION BY slice, value, c ORDER BY v) AS cum, sum(w) OVER (PARTITION BY slice, value, c) AS total
   FROM (SELECT slice, value, 'rank' AS c, rank AS v, sum(weight) AS w FROM sl GROUP BY ALL UNION ALL SELECT slice, value, 'width', width, sum(weight) FROM sl GROUP BY ALL)) WHERE cum >= total / 2 - total * 1e-12 GROUP BY ALL)
 SELECT slice, value, count(*) AS state_count, """
@@ -384,17 +385,17 @@ def q_weighted_median(t: Tables):
 @query(
     "temperature_grid",
     sql(
-        f""", {LABEL_SQL}, pk AS (SELECT context_key, max(score) AS peak FROM sc GROUP BY 1),
-z AS (SELECT context_key, temperature, any_value(1.0 / n_turns) AS weight, any_value((g.score - peak) / temperature) AS tgt, ln(sum(exp((s.score - peak) / temperature))) AS lz
-  FROM sc s JOIN pk USING (context_key) JOIN lb USING (context_key) JOIN sc g ON g.context_key = s.context_key AND g.parent_asin = lb.target, (SELECT unnest([0.25, 0.5, 1.0, 2.0, 4.0])::DOUBLE AS temperature) GROUP BY ALL),
-l AS (SELECT temperature, sum(weight * (lz - tgt)) / sum(weight) AS loss FROM z GROUP BY 1)
+        f""", {STATE_SQL}, pk AS (SELECT context_key, max(score) AS peak FROM sc GROUP BY 1),
+z AS (SELECT s.context_key, temperature, any_value(peak) AS peak, ln(sum(exp((s.score - peak) / temperature))) AS lz
+  FROM sc s JOIN pk USING (context_key), (SELECT unnest([0.25, 0.5, 1.0, 2.0, 4.0])::DOUBLE AS temperature) GROUP BY ALL),
+l AS (SELECT temperature, sum(lb.weight * (lz - (g.score - peak) / temperature)) / sum(lb.weight) AS loss
+  FROM lb JOIN sc g ON g.context_key = lb.context_key AND g.parent_asin = lb.target JOIN z ON z.context_key = lb.context_key GROUP BY 1)
 SELECT temperature, round(loss, 6) AS loss, temperature = (SELECT arg_min(temperature, loss) FROM l) AS best FROM l"""
-        .replace("SELECT context_key, temperature, any_value", "SELECT s.context_key, temperature, any_value")
     ),
 )
 def q_temperature_grid(t: Tables):
-    tagged = labels(t).select("context_key", "target", (1.0 / F.col("n_turns")).alias("weight"))
-    return metrics.temperature_grid(scored(t), tagged, "context_key").withColumn("loss", F.round("loss", 6))
+    goals = session_targets(t).groupBy("context_key", "target").agg(F.sum("weight").alias("weight"))
+    return metrics.temperature_grid(scored(t), goals, "context_key").withColumn("loss", F.round("loss", 6))
 
 
 # --- sessions scored as lists ------------------------------------------------------
@@ -717,11 +718,10 @@ FROM st JOIN g ON g.category = st.category AND g.wanted = st.wanted JOIN prod p
 def q_session_target_rank(t: Tables):
     """Rank of each session's target, by popularity, among what its facts leave over."""
     turns = context_rows(t).select("session_id", "turn", "state_key", "target")
-    keys = turns.select("state_key", "target").distinct().withColumn("label_key", F.concat_ws("|", "state_key", "target"))
     popular = survivors(t).join(
         t.products.select("parent_asin", F.col("rating_number").cast("double").alias("score")), "parent_asin"
     )
-    scores = keys.select("state_key", "label_key").join(popular, "state_key").drop("state_key")
-    ranks = metrics.target_rank(scores, keys.select("label_key", "target"), "label_key")
-    ranks = ranks.join(keys.select("label_key", "state_key"), "label_key").select("state_key", "target", "rank", "width")
-    return turns.join(ranks, ["state_key", "target"]).select("session_id", "turn", "rank", "width")
+    ranks = metrics.target_rank(popular, turns.select("state_key", "target"), "state_key")
+    return spread_join(
+        turns, ranks.select("state_key", "target", "rank", "width"), ["state_key", "target"], ["session_id"]
+    ).select("session_id", "turn", "rank", "width")
