@@ -79,3 +79,17 @@ def evidence_weight(known: Column, empty: float = 0.05, saturation: int = 3) ->
     return F.when(known == 0, F.lit(empty)).otherwise(
         F.least(F.lit(1.0), known / F.lit(float(max(1, saturation))))
     )
+
+
+def shortest_number(c: Column, digits: int = 6) -> Column:
+    """A non-negative number with ``digits`` significant digits and no trailing zeros: 10, 9.5, 1e+06."""
+    bare = lambda text: F.regexp_replace(text, r"(\.\d*?)0+$", "$1")
+    trim = lambda text: F.regexp_replace(F.when(F.contains(text, F.lit(".")), bare(text)).otherwise(text), r"\.$", "")
+    shown = None
+    for whole in range(1, digits + 1):  # digits before the point
+        places = digits - whole
+        fits = c < 10.0**whole - 0.5 * 10.0**-places
+        text = trim(F.format_string(f"%.{places}f", c))
+        shown = F.when(fits, text) if shown is None else shown.when(fits, text)
+    parts = F.split(F.format_string(f"%.{digits - 1}e", c), "e")
+    return shown.otherwise(F.concat(trim(parts[0]), F.lit("e"), parts[1]))

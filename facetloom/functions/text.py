@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -59,6 +59,23 @@ def normalize_value(c: Column, unicode: bool = False) -> Column:
     return F.trim(collapse_white(fold_case(c, unicode)))
 
 
+def with_normalized(df: DataFrame, column: str, into: str) -> DataFrame:
+    """``df`` with ``normalize_value`` of a column, each distinct non-ASCII value folded once.
+
+    Values of plain ASCII never leave the JVM and take no part in the join.
+    """
+    odd = (
+        df.filter(F.col(column).rlike(NOT_ASCII)).select(F.col(column).alias("_odd")).distinct()
+        .withColumn("_folded", normalize_value(F.col("_odd"), True))
+    )
+    key = F.when(F.col(column).rlike(NOT_ASCII), F.col(column))
+    return (
+        df.withColumn("_key", key).join(odd, F.col("_key") == F.col("_odd"), "left")
+        .withColumn(into, F.coalesce("_folded", normalize_value(F.col(column))))
+        .drop("_key", "_odd", "_folded")
+    )
+
+
 def normalize_constraint(c: Column, unicode: bool = False) -> Column:
     return normalize_value(clean_text(c, None), unicode)
 
@@ -187,7 +204,7 @@ def document_terms(c: Column, unicode: bool = False) -> Column:
     return F.regexp_extract_all(fold_case(c, unicode), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def normalize_utterance(c: Column, unicode: bool = False) -> Column:
+def normalize_utterance(c: Column, unicode: bool = True) -> Column:
     text = F.translate(fold_case(c, unicode), "’", "'")
     text = F.regexp_replace(text, r"(?<=\d),(?=\d{3}\b)", "")
     return F.trim(F.regexp_replace(text, r"[^a-z0-9$.'-]+", " "))

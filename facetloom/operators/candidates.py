@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from facetloom.functions import text as X
 from facetloom.functions import vocab as V
-from facetloom.functions.scalars import stable_hash
+from facetloom.functions.scalars import shortest_number, stable_hash
 from facetloom.session import cut, spread_join
 
 
@@ -128,7 +128,7 @@ def pool_summary(pool_members: DataFrame) -> DataFrame:
 
 
 def fold_turns(
-    turns: DataFrame, pool_members: DataFrame, max_turns: int = V.MAX_TURNS
+    turns: DataFrame, pool_members: DataFrame
 ) -> DataFrame:
     """Accepted facts of every session after every turn.
 
@@ -141,7 +141,8 @@ def fold_turns(
     none = F.array().cast("array<string>")
     state = turns.groupBy("session_id").agg(F.any_value("pool").alias("pool")).withColumn("accepted", none)
     result = None
-    for turn in range(1, max_turns + 1):
+    last = turns.agg(F.max("turn")).first()[0] or 0
+    for turn in range(1, last + 1):
         values = turns.filter(F.col("turn") == turn).select("session_id", "values")
         tried = state.join(values, "session_id", "left").withColumn(
             "wanted",
@@ -158,6 +159,8 @@ def fold_turns(
         step = cut(step)
         result = step if result is None else result.unionByName(step)
         state = step.select("session_id", "pool", "accepted")
+    if result is None:
+        return turns.select("session_id", "pool", "turn", none.alias("accepted"), F.lit(False).alias("rolled_back"))
     return result.filter("spoke").drop("spoke")
 
 
@@ -289,7 +292,7 @@ def rebuild_candidates(
     h, a, e = F.size("hard"), F.size("alternatives"), F.size("excluded")
     price_reason = F.when(
         F.col("max_price").isNotNull(),
-        F.array(F.concat(F.lit("budget:maximum:"), F.col("max_price").cast("string"))),
+        F.array(F.concat(F.lit("budget:maximum:"), shortest_number(F.col("max_price")))),
     ).otherwise(none)
     blame = F.concat(
         reasons("hard", F.lit(0), "", False),
@@ -362,7 +365,7 @@ def answer_split(replies: DataFrame, facts: DataFrame) -> DataFrame:
     asked = (
         options.select("attribute", F.explode(F.array("option.left", "option.right")).alias("text"))
         .distinct()
-        .withColumn("normalized_value", X.normalize_value(F.col("text")))
+        .transform(X.with_normalized, "text", "normalized_value")
         .join(known, ["attribute", "normalized_value"], "left_semi")
         .select("attribute", "text")
         .distinct()

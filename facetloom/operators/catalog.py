@@ -28,12 +28,13 @@ def category_prefixes(catalog: DataFrame) -> DataFrame:
 
 def category_nodes(bridge: DataFrame) -> DataFrame:
     """Category tree with product counts; the full path is the key."""
-    return bridge.groupBy("full_path").agg(
+    nodes = bridge.groupBy("full_path").agg(
         F.any_value("name").alias("name"),
         F.any_value("parent_path").alias("parent_path"),
         F.any_value("position").alias("depth"),
         F.count("*").alias("product_count"),
-    ).withColumn("normalized_name", X.normalize_value(F.col("name")))
+    )
+    return X.with_normalized(nodes, "name", "normalized_name")
 
 
 def category_counts(bridge: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def with_constraints(catalog: DataFrame) -> DataFrame:
     )
 
 
-def attribute_facts(catalog: DataFrame, unicode: bool = False) -> DataFrame:
+def attribute_facts(catalog: DataFrame) -> DataFrame:
     """(attribute, normalized_value, display_value, parent_asin, ordinal) facts."""
     base = with_constraints(catalog)
     categories = F.filter(
@@ -174,8 +175,8 @@ def attribute_facts(catalog: DataFrame, unicode: bool = False) -> DataFrame:
     rows = (
         base.select("parent_asin", F.explode(table).alias("attribute", "v"))
         .select("parent_asin", "attribute", F.posexplode("v").alias("ordinal", "display_value"))
-        .withColumn("normalized_value", X.normalize_value(F.col("display_value"), unicode))
     )
+    rows = X.with_normalized(rows, "display_value", "normalized_value")
     # Values that only differ before normalisation: the first one stands.
     return rows.groupBy("attribute", "normalized_value", "parent_asin").agg(
         F.min_by("display_value", "ordinal").alias("display_value"),

@@ -132,11 +132,11 @@ def resolve_pools(sessions: DataFrame, products: DataFrame) -> DataFrame:
     default = products.filter(F.col("coarse_category") == V.DEFAULT_CATEGORY).limit(1).agg(
         F.when(F.count("*") > 0, V.DEFAULT_CATEGORY).otherwise("*").alias("_default")
     )
-    marked = sessions.join(known, "category", "left").withColumn("_one", F.lit(1))
+    marked = sessions.join(known, "category", "left")
     return (
-        marked.join(default.withColumn("_one", F.lit(1)), "_one")
+        marked.crossJoin(F.broadcast(default))  # one row
         .withColumn("pool", F.when(F.col("_known"), F.col("category")).otherwise(F.col("_default")))
-        .drop("_known", "_default", "_one")
+        .drop("_known", "_default")
     )
 
 

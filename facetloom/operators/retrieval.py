@@ -81,8 +81,7 @@ def bm25_search(
     asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
     # One totals row rides along with the small query side.
     weighted = (
-        asked.join(terms, "term").withColumn("_one", F.lit(1))
-        .join(totals.withColumn("_one", F.lit(1)), "_one")
+        asked.join(terms, "term").crossJoin(F.broadcast(totals))
         .select("query_id", "term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
     )
     hits = spread_join(postings, weighted, ["term"], ["id"])
@@ -139,7 +138,8 @@ def cosine_topk(
     Queries are packed into blocks of about ``block`` vectors and items into
     packs of about ``pack``; a task multiplies one block with one pack and emits
     at most ``limit`` rows per query, so scores are never materialised for all
-    pairs and a task's memory does not grow with the tables.
+    pairs and a task's memory does not grow with the tables.  A zero or NaN query
+    gets the first items by id with score 0.
     """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -148,9 +148,7 @@ def cosine_topk(
     schema = StructType(
         [StructField("query_id", query_type), StructField("id", item_type), StructField("score", DoubleType())]
     )
-    q = queries.filter(
-        F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) > 0
-    )
+    q = queries.filter(F.col("vector").isNotNull())
     n_blocks = max(1, -(-q.count() // block))
     blocks = (
         q.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("b"), "query_id", "vector")
@@ -175,7 +173,9 @@ def cosine_topk(
             for qs in right_batches["qs"]:
                 names = [r["query_id"] for r in qs]
                 m = np.stack([np.asarray(r["vector"], dtype="float64") for r in qs])
-                m /= np.linalg.norm(m, axis=1, keepdims=True)
+                norm = np.linalg.norm(m, axis=1, keepdims=True)
+                # A query without direction scores everything zero: order by id.
+                m = np.where(np.isfinite(norm) & (norm > 0), m / np.where(norm > 0, norm, 1), 0.0)
                 scores = m @ items.T
                 for name, row in zip(names, scores):
                     best = np.argsort(-np.round(row, 12), kind="stable")[:limit]

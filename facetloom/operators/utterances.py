@@ -96,7 +96,7 @@ def brand_mentions(messages: DataFrame, brands: DataFrame) -> DataFrame:
     ).withColumn(
         "stops",
         F.transform("starts", lambda s: s + F.char_length(F.regexp_extract(F.substring(F.col("norm"), s + 1, F.char_length("norm")), "^[a-z0-9]+", 0))),
-    ).withColumn("_one", F.lit(1)).join(longest.withColumn("_one", F.lit(1)), "_one")
+    ).crossJoin(F.broadcast(longest))  # one row
     grams = (
         words.select("message_id", "norm", "stops", "longest", F.posexplode("starts").alias("i", "start"))
         .withColumn("stop", F.explode(F.slice("stops", F.col("i") + 1, F.col("longest"))))
@@ -215,7 +215,7 @@ def size_parse(text: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def parse_messages(messages: DataFrame, brands: DataFrame, unicode: bool = False) -> DataFrame:
+def parse_messages(messages: DataFrame, brands: DataFrame, unicode: bool = True) -> DataFrame:
     """All slots of free-form messages.
 
     ``messages``: (message_id, text).  Result: message_id, norm, removed,
@@ -381,7 +381,7 @@ def contextual_answer(replies: DataFrame, facts: DataFrame) -> DataFrame:
     ``answer``.
     """
     payload = X.clean_text(F.col("text"), None)
-    rows = replies.withColumn("payload", payload).withColumn("normalized_value", X.normalize_value(F.col("payload")))
+    rows = X.with_normalized(replies.withColumn("payload", payload), "payload", "normalized_value")
     brands = facts.filter(F.col("attribute") == "brand").select("normalized_value", F.lit(True).alias("known")).distinct()
     rows = rows.join(brands, "normalized_value", "left")
     money = F.regexp_replace(F.regexp_extract("payload", V.MONEY_REPLY, 1), ",", "")

@@ -318,7 +318,14 @@ def tokens_sql(c: str, limit: int = 16) -> str:
     return f"list_slice({O.dedup(kept)}, 1, {limit})"
 
 
-@query("query_tokens", f"SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS tokens FROM documents")
+@query(
+    "query_tokens",
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents),
+e AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+f AS (SELECT doc_id, w, min(i) AS i FROM e WHERE w NOT IN ({O.quoted(V.QUERY_STOPWORDS)}) AND (length(w) >= 2 OR regexp_matches(w, '^\\p{{N}}$')) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
+SELECT doc_id, coalesce(t.tokens, '') AS tokens FROM documents LEFT JOIN (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS tokens FROM r WHERE n <= 16 GROUP BY 1) t USING (doc_id)""",
+)
 def q_query_tokens(t: Tables):
     return t.documents.select(
         "doc_id", F.array_join(X.query_tokens(F.col("text"), unicode=True), " ").alias("tokens")

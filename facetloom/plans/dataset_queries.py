@@ -23,20 +23,24 @@ from facetloom.sources.tables import Tables, product_id
 # --- splits and quotas ---------------------------------------------------------
 
 
-@query(
-    "stratified_split",
-    O.with_views(
-        "profile",
-        """, n AS (SELECT count(*) AS n FROM profile), t AS (SELECT n, n * 8 // 10 AS a, n // 10 AS b FROM n)
-SELECT split, CASE split WHEN 'train' THEN a + (CASE WHEN n - a - 2 * b > 0 AND n * 8 % 10 >= n % 10 THEN 1 ELSE 0 END) ELSE b END AS n_products,
-  (SELECT count(DISTINCT category) FROM profile) AS n_train_categories FROM t, (SELECT unnest(['train', 'validation', 'test']) AS split)""",
-    ),
-)
+SPLITS_SQL = f"""tot AS (SELECT count(*) AS n, count(*) * 8 // 10 AS a, count(*) // 10 AS b, count(DISTINCT category) AS nc FROM profile),
+goal AS (SELECT n, nc, n - tr AS held, tr, b + CASE WHEN n - tr - 2 * b > 0 THEN 1 ELSE 0 END AS val FROM (SELECT *, a + CASE WHEN n - a - 2 * b > 0 AND n * 8 % 10 >= n % 10 THEN 1 ELSE 0 END AS tr FROM tot)),
+line AS MATERIALIZED (SELECT parent_asin, category, {O.hash_key("'split-products'", "'2026'", 'parent_asin')} AS h,
+  row_number() OVER (PARTITION BY category ORDER BY {O.hash_key("'split-products'", "'2026'", 'parent_asin')}, parent_asin) AS slot,
+  row_number() OVER (ORDER BY {O.hash_key("'split-categories'", "'2026'", 'category')}, category, {O.hash_key("'split-products'", "'2026'", 'parent_asin')}, parent_asin) - 1 AS pos FROM profile),
+plc AS MATERIALIZED (SELECT *, CASE WHEN (pos + 1) * held // n = pos * held // n THEN 'train'
+  WHEN (pos * held // n + 1) * val // held > (pos * held // n) * val // held THEN 'validation' ELSE 'test' END AS split FROM line, goal),
+tr AS MATERIALIZED (SELECT *, count(*) FILTER (split = 'train') OVER (PARTITION BY category) AS n_train,
+  count(*) FILTER (split = 'train') OVER (PARTITION BY category ORDER BY slot) AS train_rank FROM plc),
+wants AS (SELECT parent_asin, split, row_number() OVER (ORDER BY h, parent_asin) AS i FROM tr WHERE n_train = 0 AND slot = 1 AND (SELECT tr >= nc FROM goal)),
+gives AS (SELECT parent_asin, row_number() OVER (ORDER BY h, parent_asin) AS i FROM tr WHERE split = 'train' AND train_rank >= 2),
+trades AS (SELECT w.parent_asin, 'train' AS traded FROM wants w JOIN gives USING (i) UNION ALL SELECT g.parent_asin, w.split FROM wants w JOIN gives g USING (i)),
+splits AS MATERIALIZED (SELECT parent_asin, category, coalesce(traded, split) AS split FROM tr LEFT JOIN trades USING (parent_asin))"""
+
+
+@query("stratified_split", O.with_views("profile", f", {SPLITS_SQL} SELECT parent_asin, category, split FROM splits"))
 def q_stratified_split(t: Tables):
-    splits = product_splits(t)
-    covered = splits.filter(F.col("split") == "train").agg(F.count_distinct("category").alias("n_train_categories"))
-    counts = splits.groupBy("split").agg(F.count("*").alias("n_products")).withColumn("_one", F.lit(1))
-    return counts.join(covered.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return product_splits(t)
 
 
 def product_splits(t: Tables):
@@ -45,34 +49,50 @@ def product_splits(t: Tables):
 
 @query(
     "split_integrity",
-    """WITH s AS (SELECT l_partkey AS k, l_returnflag AS split FROM lineitem WHERE l_discount = 0.05), p AS (SELECT k, count(DISTINCT split) AS n FROM s GROUP BY 1)
-SELECT 'several' AS problem, 'P' || lpad(k::VARCHAR, 8, '0') AS parent_asin FROM p WHERE n > 1
-UNION ALL SELECT 'none', 'P' || lpad(p_partkey::VARCHAR, 8, '0') FROM part WHERE p_partkey NOT IN (SELECT k FROM p)""",
+    O.with_views(
+        "profile",
+        f""", {SPLITS_SQL}, seen AS (SELECT parent_asin, split FROM splits WHERE category NOT LIKE '%brown%'
+  UNION ALL SELECT parent_asin, 'test' FROM splits WHERE parent_asin LIKE '%7' UNION ALL SELECT 'S' || s_suppkey, 'train' FROM supplier),
+per AS (SELECT parent_asin, count(DISTINCT split) AS k FROM seen GROUP BY 1)
+SELECT 'several' AS problem, parent_asin FROM per WHERE k > 1 UNION ALL SELECT 'none', parent_asin FROM profile WHERE parent_asin NOT IN (SELECT parent_asin FROM per)
+UNION ALL SELECT 'unknown', parent_asin FROM per WHERE parent_asin NOT IN (SELECT parent_asin FROM profile)""",
+    ),
 )
 def q_split_integrity(t: Tables):
-    made = t.table("lineitem").filter(F.col("l_discount") == 0.05).select(
-        product_id(F.col("l_partkey")).alias("parent_asin"), F.col("l_returnflag").alias("split")
+    """The engine's splits, damaged: a category's products missing, some in two splits, some unknown."""
+    splits = product_splits(t)
+    damaged = (
+        splits.filter(~F.col("category").like("%brown%")).select("parent_asin", "split")
+        .unionByName(splits.filter(F.col("parent_asin").like("%7")).select("parent_asin", F.lit("test").alias("split")))
+        .unionByName(t.table("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("parent_asin"), F.lit("train").alias("split")))
     )
-    return D.split_integrity(made, t.products)
+    return D.split_integrity(damaged, t.products)
 
 
-def slot_sql(label: str, i: int) -> str:
-    return f"{{'h': {O.hash_key(chr(39) + 'scenario-public' + chr(39), chr(39) + '2026' + chr(39), chr(39) + 'block' + chr(39), 'b::VARCHAR', chr(39) + label + chr(39), chr(39) + str(i) + chr(39))}, 'l': '{label}', 'i': {i}}}"
+# Rows placed before the first order, so that the last block is a partial one.
+EARLIER = 7
 
 
-SLOTS_SQL = ", ".join(slot_sql(label, i) for label, n in V.SCENARIO_MIXES["public"].items() for i in range(n))
+def slots_sql(kind: str, counts: dict[str, int]) -> str:
+    entries = (
+        f"{{'h': {O.hash_key(*[f"'{p}'" for p in ('scenario-public', '2026', kind)], 'b::VARCHAR', f"'{label}'", f"'{i}'")}, 'l': '{label}', 'i': {i}}}"
+        for label, n in counts.items() for i in range(n)
+    )
+    return f"list_sort([{', '.join(entries)}])"
 
 
 @query(
     "exact_quota_labels",
-    f"""WITH b AS (SELECT b, list_sort([{SLOTS_SQL}]) AS s FROM (SELECT DISTINCT o_orderkey // 20 AS b FROM orders))
-SELECT o_orderkey, s[o_orderkey % 20 + 1].l AS label FROM orders JOIN b ON b = o_orderkey // 20""",
+    f"""WITH b AS (SELECT DISTINCT (o_orderkey + {EARLIER}) // 20 AS b FROM orders),
+s AS (SELECT b, CASE WHEN b < (SELECT (max(o_orderkey) + 1 + {EARLIER}) // 20 FROM orders) THEN {slots_sql("block", V.SCENARIO_MIXES["public"])}
+  ELSE {slots_sql("partial", D.largest_remainder(EARLIER, V.SCENARIO_MIXES["public"]))} END AS s FROM b)
+SELECT o_orderkey, s[(o_orderkey + {EARLIER}) % 20 + 1].l AS label FROM orders JOIN s ON b = (o_orderkey + {EARLIER}) // 20""",
 )
 def q_exact_quota_labels(t: Tables):
-    orders = t.table("orders").select("o_orderkey")
-    # Every block is whole, as a partial last block needs the row count.
-    whole = 20 * (1 << 40)
-    return D.exact_quota_labels(orders, "o_orderkey", whole, V.SCENARIO_MIXES["public"], "scenario-public").select("o_orderkey", "label")
+    orders = t.table("orders").select("o_orderkey", (F.col("o_orderkey") + EARLIER).alias("position"))
+    # Keys run from zero, without gaps.
+    total = EARLIER + orders.count()
+    return D.exact_quota_labels(orders, "position", total, V.SCENARIO_MIXES["public"], "scenario-public").select("o_orderkey", "label")
 
 
 @query(
@@ -130,7 +150,7 @@ def q_state_survivors(t: Tables):
     )
     turns = rows.select("session_id", "pool", "turn", F.array_except("wanted", before).alias("values"))
     members, _ = other_members(t)
-    folded = K.fold_turns(turns, members, 4)
+    folded = K.fold_turns(turns, members)
     keyed = folded.withColumn("state_key", S.stable_hash(F.col("pool"), F.array_join("accepted", "\x01")))
     states = keyed.select("state_key", "pool", F.col("accepted").alias("wanted")).distinct()
     found = K.match_all(states, members, keep_open=True).groupBy("state_key").agg(
@@ -145,7 +165,8 @@ def training_states(t: Tables):
         labelled = labelled_states(t)
         split = product_splits(t).select(F.col("parent_asin").alias("target"), "split")
         weighted = metrics.state_weights(labelled.withColumn("trajectory", F.col("target")), "trajectory")
-        return weighted.join(split, "target")
+        # Sessions in one situation share its row, which weighs as much as all of them.
+        return weighted.withColumn("weight", F.col("weight") * F.col("n_sessions")).join(split, "target")
 
     return t.keep("training_states", build)
 

@@ -341,7 +341,7 @@ SELECT session_id, n, first_id, last_id, n = 0 AND (o.mat IS NOT NULL OR o.tint_
     CASE WHEN o.tint_any AND e <= 3 THEN ['color:red', 'color:blue'] ELSE [] END,
     CASE WHEN o.no_brand IS NOT NULL AND e = 4 THEN ['brand:excluded:' || o.no_brand] ELSE [] END,
     CASE WHEN o.no_brand IS NOT NULL AND e = 5 THEN ['category:excluded:ring'] ELSE [] END,
-    CASE WHEN o.max_price IS NOT NULL AND e <= 6 THEN ['budget:maximum:' || o.max_price] ELSE [] END))), '|') END AS reasons
+    CASE WHEN o.max_price IS NOT NULL AND e <= 6 THEN ['budget:maximum:' || format('{:g}', o.max_price)] ELSE [] END))), '|') END AS reasons
 FROM st JOIN o ON o.labels = st.labels AND o.mat IS NOT DISTINCT FROM st.mat AND o.tint_all = st.tint_all AND o.tint_any = st.tint_any
   AND o.no_brand IS NOT DISTINCT FROM st.no_brand AND o.max_price IS NOT DISTINCT FROM st.max_price AND o.inclusive = st.inclusive""",
     ),
@@ -356,13 +356,15 @@ def q_rebuild_candidates(t: Tables):
 
 
 def labelled_states(t: Tables):
-    """Distinct (target, turn) situations: what is known and what was known before."""
-    rows = t.states.select("target", "turn", "category", "known").dropDuplicates(["target", "turn"])
+    """Distinct (target, turn) situations, the sessions in each, what is known and what was known before."""
+    rows = t.states.groupBy("target", "turn").agg(
+        F.count("*").alias("n_sessions"), F.any_value("category").alias("category"), F.any_value("known").alias("known")
+    )
     before = F.slice("known", 1, F.greatest(F.size("known") - 1, F.lit(0)))
     before = F.when(F.col("turn") > F.size("known"), F.col("known")).otherwise(before)
     wanted = F.array_sort(F.array_distinct(F.transform(before, lambda k: K.token(F.lit("other"), k["value"]))))
     return rows.select(
-        F.concat_ws("|", "target", "turn").alias("state_id"), "target", "turn", "category",
+        F.concat_ws("|", "target", "turn").alias("state_id"), "target", "turn", "category", "n_sessions",
         F.array_distinct(F.transform("known", lambda k: K.token(k["attribute"], k["value"]))).alias("known"),
         wanted.alias("wanted"), F.col("category").alias("pool"),
     ).withColumn("state_key", S.stable_hash(F.col("pool"), F.array_join("wanted", "\x01")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from facetloom.functions import scalars as S
@@ -659,10 +660,19 @@ def q_l2_normalize(t: Tables):
 
 def base_hits(t: Tables, depth: int = 200):
     """The longest documents, for every query: a stand-in ranker."""
-    docs = t.table("documents").select(F.col("doc_id").alias("id"), "n_chars", (F.char_length("lang")).alias("k"))
-    lists = t.text_queries.select("query_id", F.lit(2).alias("k"))
-    best = ordering.top_k(docs, ["k"], [F.desc("n_chars"), F.asc("id")], depth)
-    return lists.join(best, "k").select("query_id", "id", "rank")
+    return listed(t.text_queries.select("query_id"), first_documents(t, [F.desc("n_chars"), F.asc("id")], depth))
+
+
+def first_documents(t: Tables, order, depth: int):
+    """One row: the first ``depth`` documents in an order, with their places."""
+    best = t.table("documents").select(F.col("doc_id").alias("id"), "n_chars").orderBy(*order).limit(depth)
+    placed = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return placed.agg(F.collect_list(F.struct("id", "rank")).alias("l"))
+
+
+def listed(queries, one):
+    """Every query with the entries of the one list."""
+    return queries.crossJoin(F.broadcast(one)).select("query_id", F.inline("l"))
 
 
 LISTS_SQL = f"""{BM25_SQL}, bs AS (SELECT item_id AS query_id, id, rank FROM benchmark, (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 200),
@@ -689,10 +699,8 @@ def q_rrf_fuse(t: Tables):
 
 def dense_hits(t: Tables, depth: int = 200):
     """Shortest documents, for two thirds of the queries: a stand-in dense list."""
-    docs = t.table("documents").select(F.col("doc_id").alias("id"), "n_chars", (F.char_length("lang")).alias("k"))
-    lists = t.text_queries.filter(F.pmod("query_id", F.lit(3)) > 0).select("query_id", F.lit(2).alias("k"))
-    best = ordering.top_k(docs, ["k"], [F.asc("n_chars"), F.asc("id")], depth)
-    return lists.join(best, "k").select("query_id", "id", "rank")
+    asked = t.text_queries.filter(F.pmod("query_id", F.lit(3)) > 0).select("query_id")
+    return listed(asked, first_documents(t, [F.asc("n_chars"), F.asc("id")], depth))
 
 
 @query(

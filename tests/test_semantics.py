@@ -182,7 +182,7 @@ def test_fold_turns_rolls_back_one_turn_only(spark):
         [(1, "c", 1, ["color=red"]), (1, "c", 2, ["color=blue"]), (1, "c", 3, ["other=x"])],
         "session_id int, pool string, turn int, values array<string>",
     )
-    got = {r["turn"]: (r["accepted"], r["rolled_back"]) for r in K.fold_turns(turns, members, 3).collect()}
+    got = {r["turn"]: (r["accepted"], r["rolled_back"]) for r in K.fold_turns(turns, members).collect()}
     assert got == {1: (["color=red"], False), 2: (["color=red"], True), 3: (["color=red", "other=x"], False)}
 
 
@@ -207,7 +207,7 @@ def test_rebuild_fails_closed(spark):
         got.setdefault(r["state_key"], set()).add(r["parent_asin"])
     assert got == {"red": {"P1", "P3"}, "cheap": {"P1"}, "or": {"P1", "P2"}, "odd": {"P1", "P2", "P3", "P4"}}
     reasons = {r["state_key"]: r["reasons"] for r in outcome.collect()}
-    assert reasons["cheaper"] == ["budget:maximum:10.0"] and reasons["none"] == ["category:excluded:hats"]
+    assert reasons["cheaper"] == ["budget:maximum:10"] and reasons["none"] == ["category:excluded:hats"]
     assert reasons["both"] == ["color:blue", "color:red"] and reasons["red"] == []
 
 
@@ -243,14 +243,18 @@ def test_metrics_edges(spark):
     assert (row["rank"], row["width"], row["pairwise_accuracy"]) == (1, 1, 1.0)
 
 
-def test_splits():
+def test_splits(spark):
     assert D.largest_remainder(7, V.SPLIT_QUOTAS) == {"train": 5, "validation": 1, "test": 1}
-    sizes = [(f"c{i}", 1 + (i * 7) % 23) for i in range(60)]
-    rows = D.split_allocations(sizes)
-    total = sum(n for _, n in sizes)
+    # Many categories of one product: some would have no training product without a trade.
+    sizes = {f"c{i}": 1 if i % 3 else 1 + (i * 7) % 23 for i in range(60)}
+    products = spark.createDataFrame([(f"{c}-{k}", c) for c, n in sizes.items() for k in range(n)], "parent_asin string, category string")
+    rows = D.stratified_split(products).collect()
+    total = sum(sizes.values())
+    assert len(rows) == total == len({r["parent_asin"] for r in rows})
     for split, n in D.largest_remainder(total, V.SPLIT_QUOTAS).items():
-        assert sum(r[2] for r in rows if r[1] == split) == n
-    assert all(r[2] >= 1 for r in rows if r[1] == "train")
+        assert sum(r["split"] == split for r in rows) == n
+    assert {r["category"] for r in rows if r["split"] == "train"} == set(sizes)
+    assert D.stratified_split(products.where("false")).count() == 0
 
 
 def test_stratified_split_covers(spark):
@@ -391,3 +395,51 @@ def test_no_cartesian_product_and_pushdown(spark):
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan, name
     plan = QUERIES["weighted_mean"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_discount:double>" in plan
+
+
+def test_values_fold_alike_on_both_sides(spark):
+    from facetloom.operators import facets
+
+    catalog = spark.createDataFrame(
+        [("A", "Straße"), ("B", "strasse"), ("C", "ＳＴＲＡＳＳＥ"), ("D", "other")], "parent_asin string, store string"
+    ).select(
+        "parent_asin", F.lit("t").alias("title"), F.array().cast("array<string>").alias("features"),
+        F.create_map().cast("map<string,string>").alias("details"), F.array(F.lit("Parts"), F.col("store")).alias("categories"),
+        "store", F.lit(None).cast("double").alias("price"), F.lit(1.0).alias("average_rating"), F.lit(1).alias("rating_number"),
+        F.array().cast("array<string>").alias("description"),
+    )
+    facts = C.attribute_facts(catalog)
+    for asked in ("Straße", "STRASSE", "straße"):
+        assert [r[0] for r in facets.facet_lookup(facts, "brand", asked).collect()] == ["A", "B", "C"]
+    nodes = C.category_nodes(C.category_prefixes(catalog))
+    assert facets.category_lookup(nodes, "strasse").count() == 3
+
+
+def test_queries_without_direction(spark):
+    from facetloom.operators import retrieval
+
+    items = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(1, 5)], "id int, vector array<double>")
+    queries = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0])], "query_id int, vector array<double>"
+    )
+    got = {}
+    for r in retrieval.cosine_topk(queries, items, 2).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 6)))
+    assert [i for i, _ in got[1]] == [4, 3] and got[2] == got[3] == [(1, 0.0), (2, 0.0)]
+
+
+def test_shortest_number(spark):
+    from facetloom.functions.scalars import shortest_number
+
+    values = [0.0, 10.0, 9.5, 12.345678, 1200.0 , 123456.0, 999999.6, 1234567.0, 0.5, 100.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", shortest_number(F.col("v")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [f"{r['v']:g}" for r in rows]
+
+
+def test_targets_of_one_context(spark):
+    scores = spark.createDataFrame(
+        [("k", "a", 2.0), ("k", "b", 1.0), ("k", "c", 1.0), ("k", "d", 0.5), ("j", "a", 1.0)], "k string, parent_asin string, score double"
+    )
+    targets = spark.createDataFrame([("k", t) for t in "abcd"] + [("j", "a"), ("k", "c")], "k string, target string")
+    got = {(r["k"], r["target"]): (r["rank"], r["width"], r["wins"]) for r in metrics.target_rank(scores, targets, "k").collect()}
+    assert got == {("k", "a"): (1, 4, 3.0), ("k", "b"): (2, 4, 1.5), ("k", "c"): (3, 4, 1.5), ("k", "d"): (4, 4, 0.0), ("j", "a"): (1, 1, 0.0)}
