@@ -406,7 +406,7 @@ def test_values_fold_alike_on_both_sides(spark):
         "parent_asin", F.lit("t").alias("title"), F.array().cast("array<string>").alias("features"),
         F.create_map().cast("map<string,string>").alias("details"), F.array(F.lit("Parts"), F.col("store")).alias("categories"),
         "store", F.lit(None).cast("double").alias("price"), F.lit(1.0).alias("average_rating"), F.lit(1).alias("rating_number"),
-        F.array().cast("array<string>").alias("description"),
+        F.array().cast("array<string>").alias("description"), F.lit(None).cast("string").alias("price_text"),
     )
     facts = C.attribute_facts(catalog)
     for asked in ("Straße", "STRASSE", "straße"):
