@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm import chat, decontaminate, licenses, packing, quality, rules, simhash, suffixes, urls, warc
+from facetloom.llm import chat, decontaminate, licenses, oracles, packing, quality, rules, simhash, suffixes, urls, warc
 from facetloom.llm.common import read
 
 
@@ -93,4 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": oracles.OP2, "op6_decontaminate": oracles.OP6, "op8_quality_rules": oracles.OP8, "op9_chat_format": oracles.OP9,
+}
