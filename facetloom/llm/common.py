@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,20 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns)
 
 
+#: Rows and bytes in one batch to Python: texts may be long, and two workers share an executor.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+def arrow_map(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches that stay small when texts are long."""
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
+    return df.mapInArrow(function, schema)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: executors may be lost after this."""
     path = scratch_path(df.sparkSession, name)
@@ -22,13 +38,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_key(text: Column) -> Column:
-    """With the id it tells rows apart that share an id but not their text."""
-    return F.xxhash64(text)
-
-
-def same_document(left: DataFrame, right: DataFrame, id_col: str, key_col: str) -> Column:
-    """Join condition on (id, text key); a null id equals a null id."""
-    return left[id_col].eqNullSafe(right[id_col]) & (left[key_col] == right[key_col])
+    """32 bits that, with the id, tell rows apart that share an id but not their text."""
+    return F.shiftrightunsigned(F.xxhash64(text), 32)
 
 
 def free_name(columns: list[str], name: str) -> str:

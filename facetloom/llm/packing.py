@@ -17,15 +17,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import store
+from facetloom.llm.common import arrow_map, store
 from facetloom.llm.tokens import WordIds, vocabulary_path
 
 END_ID = 1
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 1024
 
 TOKENS = "part int, before long, doc_id long, n long, ids binary"
 
@@ -41,22 +42,16 @@ def token_table(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 batch = whole.slice(at, TEXTS_AT_ONCE)
-                ids = words.encode(batch.column(1).to_pylist())
-                n = [len(x) // 4 for x in ids]
-                starts = []
-                for k in n:
-                    starts.append(before)
-                    before += k
+                ids, n = words.encode(batch.column(1))
+                ends = before + np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part] * len(n), pa.int32()), pa.array(starts, pa.int64()),
-                        batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()),
-                    ],
+                    [pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), batch.column(0), pa.array(n), ids],
                     ["part", "before", "doc_id", "n", "ids"],
                 )
+                before = int(ends[-1]) if len(n) else before
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return store(rows.mapInArrow(encode, TOKENS), "tokens")
+    return store(rows.transform(arrow_map, encode, TOKENS), "tokens")
 
 
 def tail_sizes(rest: int) -> list[int]:

@@ -12,17 +12,22 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-WORDS_KEPT = 150_000
+OTHERS_KEPT = 50_000
 RUNS_KEPT = 250_000
 LONGEST_KEPT = 48
 
 #: Where the tokenizer splits words of plain letters, and which words those are.
 RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
+LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ſ]+").fullmatch
+CLOSING = frozenset(".,;:!?")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -67,23 +72,57 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.end_id = end_id
         self.runs = Memory(self._of_run, RUNS_KEPT)
-        self.words = Memory(self._of_word, WORDS_KEPT)
+        self.others = Memory(self._of_other, OTHERS_KEPT)
 
     def _of_run(self, run: str) -> bytes:
         plain = run if run.isascii() else "".join(self.letters[b] for b in run.encode())
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(plain))
-
-    def _of_word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if "<|" not in text and PLAIN.fullmatch(text):
-            return b"".join(map(self.runs.__getitem__, RUN.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text and the closing id; a null text counts as empty."""
+        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+
+    def _of_other(self, word: str) -> bytes:
+        if "<|" not in word and PLAIN.fullmatch(word):
+            return b"".join(map(self.runs.__getitem__, RUN.findall(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; most are letters, or letters and a closing mark."""
+        runs, others, found = self.runs, self.others, []
+        for word in words:
+            if word.isalpha() and LATIN(word):
+                found.append(runs[word.lower()])
+            elif word[-1:] in CLOSING and word[:-1].isalpha() and LATIN(word, 0, len(word) - 1):
+                found.append(runs[word[:-1].lower()] + runs[word[-1]])
+            else:
+                found.append(others[word])
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of each text and the closing id, as bytes, and their numbers; a null text counts as empty.
+
+        Each different word of the batch is looked up once; its ids are copied
+        to all its places together.
+        """
         # Only ASCII white space divides here: the tokenizer drops all of it,
         # and no other character is white space for both.
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, (t or "").encode().split())) + self.end for t in texts]
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        found = self.of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        each = sizes[which]
+        before = np.concatenate([[0], np.cumsum(each)])
+        first = (np.cumsum(sizes) - sizes)[which]
+        ids = pool[np.arange(before[-1]) + np.repeat(first - before[:-1], each)]
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        counts = np.diff(before[edges]) + 1
+        ends = np.cumsum(counts)
+        whole = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
+        closing = np.zeros(len(whole), bool)
+        closing[ends - 1] = True
+        whole[closing] = self.end_id
+        whole[~closing] = ids
+        offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
+        return data, counts
