@@ -82,28 +82,16 @@ def index_stats(products: DataFrame, nodes: DataFrame, facts: DataFrame) -> Data
     return one.unionByName(tree).unionByName(rows)
 
 
-def content_fingerprint(df: DataFrame, key: str, payload: str, digits: int = 3) -> DataFrame:
-    """Row count and an order-free SHA-256 digest of ``key NUL payload`` rows.
+def content_fingerprint(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """Row count and an order-free digest of ``key NUL payload`` rows.
 
-    Repeated rows are counted first (map-side), so copies never pile up.  Row
-    digests are gathered into 16**digits buckets by their own prefix, bucket
-    digests into one.  Raise ``digits`` with the table: 3 keeps 4 million rows
-    at about 1,000 per bucket, 5 keeps 10**11 at about 100,000.
+    Each row's SHA-256 is cut into eight 32-bit words and the words are summed
+    by place: sums combine map-side, count copies, and need no list of rows.
     """
-    rows = (
-        df.select(
-            F.sha2(F.concat(F.col(key), F.lit(S.NUL), F.col(payload), F.lit("\n")), 256).alias("h")
-        )
-        .groupBy("h")
-        .agg(F.count("*").alias("copies"))
-    )
-    item = F.concat("h", F.lit(":"), F.col("copies").cast("string"))
-    buckets = rows.groupBy(F.substring("h", 1, digits).alias("b")).agg(
-        F.sum("copies").alias("n"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(item)), ""), 256).alias("h"),
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("b", "h")))
-    return buckets.agg(
-        F.sum("n").alias("n"),
-        F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("digest"),
+    row = F.sha2(F.concat(F.col(key), F.lit(S.NUL), F.col(payload), F.lit("\n")), 256)
+    words = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
+    sums = df.select(row.alias("h")).agg(
+        F.count("*").alias("n"), *[F.coalesce(F.sum(w), F.lit(0)).cast("decimal(38,0)").alias(f"w{i}") for i, w in enumerate(words)]
     )
+    return sums.select("n", F.sha2(F.concat_ws(":", "n", *[f"w{i}" for i in range(8)]), 256).alias("digest"))
+

@@ -104,9 +104,8 @@ DOCUMENT_SQL = (
     O.with_views(
         "prod",
         f""", h AS (SELECT sha256(parent_asin || chr(0) || {DOCUMENT_SQL} || chr(10)) AS h FROM prod),
-c AS (SELECT h, count(*) AS n FROM h GROUP BY 1),
-b AS (SELECT substr(h, 1, 3) AS b, sum(n) AS n, sha256(string_agg(h || ':' || n, '' ORDER BY h)) AS h FROM c GROUP BY 1)
-SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM b""",
+w AS (SELECT count(*) AS n, {", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::HUGEINT) AS w{i}" for i in range(8))} FROM h)
+SELECT n, sha256(concat_ws(':', n, {", ".join(f"w{i}" for i in range(8))})) AS digest FROM w""",
     ),
 )
 def q_content_fingerprint(t: Tables):

@@ -241,8 +241,9 @@ def q_ordered_dedup(t: Tables):
 
 
 def sequenced_edits(t: Tables):
-    """Edits with one sortable number per event: microseconds, then event id."""
-    seq = F.unix_micros(F.col("ts").cast("timestamp")) * 4096 + F.pmod("event_id", F.lit(4096))
+    """Edits with one sortable number per event: microseconds, then the whole event id."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(19,0)")
+    seq = (micros * F.lit("9223372036854775808").cast("decimal(19,0)") + F.col("event_id")).cast("decimal(38,0)")
     return t.edits.select("session_id", seq.alias("seq"), "op", "attribute", "value")
 
 
@@ -272,7 +273,7 @@ def q_fold_edits_stream(t: Tables):
     source, sink = scratch_path(spark, "edits-in"), scratch_path(spark, "edits-out")
     sequenced_edits(t).repartition(4, "seq").write.parquet(source)
     edits = (
-        spark.readStream.schema("session_id bigint, seq bigint, op string, attribute string, value string")
+        spark.readStream.schema("session_id bigint, seq decimal(38,0), op string, attribute string, value string")
         .option("maxFilesPerTrigger", 2).parquet(source)
     )
 

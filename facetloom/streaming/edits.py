@@ -69,7 +69,7 @@ def fold_edits_stream(edits: DataFrame, idle_minutes: int | None = 24 * 60) -> D
             return
         folded = json.loads(state.get[0]) if state.exists else {}
         for batch in batches:
-            rows = zip(batch["seq"].tolist(), batch["op"], batch["attribute"], batch["value"])
+            rows = zip(map(int, batch["seq"]), batch["op"], batch["attribute"], batch["value"])
             folded = merge(folded, rows)
         state.update((json.dumps(folded),))
         if idle_minutes is not None:
