@@ -12,7 +12,7 @@ from facetloom.operators import dataset as D
 from facetloom.operators import metrics, scoring, training
 from facetloom.plans import oracle as O
 from facetloom.plans import ranking_queries as R
-from facetloom.plans.catalog_queries import SPLIT_SQL
+from facetloom.plans.catalog_queries import ITEM_SQL, SPLIT_SQL
 from facetloom.plans.facet_queries import (
     LABELLED_SQL, SURVIVORS_SQL, WANTED_SQL, labelled_candidates, labelled_states, other_members, wanted_states,
 )
@@ -183,7 +183,7 @@ def training_pool(t: Tables):
 
 def state_scores(t: Tables):
     """Stand-in model scores of pool rows: item base values."""
-    return training_pool(t).join(R.items(t).select("parent_asin", F.col("base").alias("score")), "parent_asin").select(
+    return training_pool(t).join(R.items(t).select("parent_asin", F.round("base", 9).alias("score")), "parent_asin").select(
         "state_id", "parent_asin", "score"
     )
 
@@ -197,12 +197,54 @@ def sampled(t: Tables, policy: str = "downweight_ties"):
     return t.keep(f"sampled_{policy}", build)
 
 
-@query("survivor_negatives")
+POOL_SQL = f"""{ITEM_SQL}, {SPLITS_SQL}, {LABELLED_SQL},
+feat AS MATERIALIZED (SELECT parent_asin, list(name) AS fs FROM items GROUP BY 1),
+tiw AS MATERIALIZED (SELECT name, d, {O.hash_weight('name', 'd')} AS w FROM (SELECT DISTINCT name FROM items), (SELECT unnest([{R.DIMS}, 'linear']) AS d)),
+tsum AS (SELECT parent_asin, d, sum(w) AS s, sum(w * w) AS q FROM items JOIN tiw USING (name) GROUP BY 1, 2),
+tbase AS MATERIALIZED (SELECT parent_asin, round(sum(s) FILTER (d = 'linear') + 0.5 * sum(s * s - q) FILTER (d <> 'linear'), 9) AS score FROM tsum GROUP BY 1),
+tpool AS MATERIALIZED (SELECT c.state_id, c.target, c.parent_asin, len(list_intersect(known_tokens, e.ev)) >= len(list_intersect(known_tokens, te.ev)) AS tie
+  FROM labc c JOIN ev e ON e.parent_asin = c.parent_asin JOIN ev te ON te.parent_asin = c.target JOIN splits s ON s.parent_asin = c.parent_asin
+  JOIN splits ts ON ts.parent_asin = c.target WHERE s.split = ts.split AND c.parent_asin <> c.target)"""
+
+
+def sampled_sql(ties: bool) -> str:
+    """Common tables of the sampled pairs, with or without indistinguishable products."""
+    key = lambda kind: O.hash_key(f"'{kind}'", "'2026'", "'0'", "state_id", "parent_asin")
+    return f"""{POOL_SQL},
+s0 AS MATERIALIZED (SELECT p.*, score, len(list_intersect(f.fs, tf.fs)) AS shared FROM (SELECT *, count(*) OVER (PARTITION BY state_id) AS valid,
+    row_number() OVER (PARTITION BY state_id ORDER BY {key('pre-pool')}, parent_asin) AS pre FROM tpool {'' if ties else 'WHERE NOT tie'}) p
+  JOIN tbase USING (parent_asin) JOIN feat f USING (parent_asin) JOIN feat tf ON tf.parent_asin = p.target WHERE pre <= 128),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY score DESC, parent_asin) <= 8 AS hard FROM s0),
+s2 AS (SELECT *, NOT hard AND row_number() OVER (PARTITION BY state_id, hard ORDER BY shared DESC, {key('near')}, parent_asin) <= 4 AS near FROM s1),
+s3 AS (SELECT *, NOT hard AND NOT near AND row_number() OVER (PARTITION BY state_id, hard OR near ORDER BY {key('random')}, parent_asin) <= 4 AS rest FROM s2),
+smp AS MATERIALIZED (SELECT state_id, target, parent_asin, tie, CASE WHEN valid <= 16 THEN 'all' WHEN hard THEN 'model_hard' WHEN near THEN 'near_match' ELSE 'random' END AS sampler
+  FROM s3 WHERE valid <= 16 OR hard OR near OR rest)"""
+
+
+PAIRS_SQL = f"""{sampled_sql(True)},
+nst AS (SELECT target || '|' || turn AS state_id, count(*) AS n FROM states GROUP BY 1),
+tst AS MATERIALIZED (SELECT state_id, n::DOUBLE / count(*) OVER (PARTITION BY target) AS tw, len(known_tokens) AS known FROM lab JOIN nst USING (state_id)),
+prs AS MATERIALIZED (SELECT smp.*, tw, CASE WHEN known = 0 THEN 0.05::DOUBLE ELSE least(1.0::DOUBLE, known / 3.0::DOUBLE) END AS ew, 1.0::DOUBLE / count(*) OVER (PARTITION BY state_id) AS sw,
+  CASE WHEN tie THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END AS aw FROM smp JOIN tst USING (state_id))"""
+
+
+@query("survivor_negatives", O.with_views("states facts", f", {sampled_sql(True)} SELECT state_id, target, parent_asin, sampler, tie FROM smp"))
 def q_survivor_negatives(t: Tables):
     return sampled(t).select("state_id", "target", "parent_asin", "sampler", "tie")
 
 
-@query("product_fixed_negatives")
+@query(
+    "product_fixed_negatives",
+    O.with_views(
+        "profile",
+        f""", {ITEM_SQL}, {SPLITS_SQL}, feat AS MATERIALIZED (SELECT parent_asin, list(name) AS fs FROM items GROUP BY 1),
+ring AS MATERIALIZED (SELECT parent_asin, category, split, count(*) OVER (PARTITION BY category, split) AS size,
+  row_number() OVER (PARTITION BY category, split ORDER BY {O.hash_key("'product-fixed-pool'", "'2026'", 'parent_asin')}, parent_asin) AS place FROM splits),
+wa AS (SELECT parent_asin AS target, category, split, (place - 1 + step) % size + 1 AS place FROM (SELECT *, unnest(range(1, least(128, size - 1) + 1)) AS step FROM ring)),
+sh AS (SELECT target, r.parent_asin, len(list_intersect(a.fs, b.fs)) AS shared FROM wa JOIN ring r USING (category, split, place) JOIN feat a ON a.parent_asin = target JOIN feat b ON b.parent_asin = r.parent_asin)
+SELECT * FROM (SELECT target, parent_asin, shared, row_number() OVER (PARTITION BY target ORDER BY shared DESC, {O.hash_key("'product-fixed'", "'2026'", 'target', 'parent_asin')}, parent_asin) AS rank FROM sh) WHERE rank <= 16""",
+    ),
+)
 def q_product_fixed_negatives(t: Tables):
     return D.product_fixed_negatives(product_splits(t), R.items(t)).select("target", "parent_asin", "shared", "rank")
 
@@ -212,7 +254,14 @@ def weighted_pairs(t: Tables):
     return D.pair_weights(sampled(t), states)
 
 
-@query("pair_weights")
+@query(
+    "pair_weights",
+    O.with_views(
+        "states facts",
+        f""", {PAIRS_SQL} SELECT state_id, parent_asin, sampler, round(tw, 6) AS trajectory_weight, round(ew, 6) AS evidence_weight, round(sw, 6) AS sampling_weight,
+  round(aw, 6) AS ambiguity_weight, round(tw * ew * sw * aw, 8) AS effective_weight FROM prs""",
+    ),
+)
 def q_pair_weights(t: Tables):
     return weighted_pairs(t).select(
         "state_id", "parent_asin", "sampler", F.round("trajectory_weight", 6).alias("trajectory_weight"),
@@ -221,22 +270,52 @@ def q_pair_weights(t: Tables):
     )
 
 
-@query("set_valued_positive")
+@query(
+    "set_valued_positive",
+    O.with_views(
+        "states facts",
+        f""", {sampled_sql(False)},
+ti AS (SELECT state_id, parent_asin AS tied, count(*) OVER (PARTITION BY state_id) AS ties,
+  row_number() OVER (PARTITION BY state_id ORDER BY {O.hash_key("'tie'", 'state_id', 'parent_asin')}, parent_asin) AS slot FROM tpool WHERE tie),
+pk AS (SELECT s.*, {O.stable_int("'positive'", "'2026'", "'0'", 's.state_id', 's.parent_asin')} % (coalesce(ties, 0) + 1)::UBIGINT AS slot
+  FROM smp s LEFT JOIN (SELECT DISTINCT state_id, ties FROM ti) USING (state_id))
+SELECT pk.state_id, target, parent_asin, coalesce(tied, target) AS positive FROM pk LEFT JOIN ti ON ti.state_id = pk.state_id AND ti.slot = pk.slot""",
+    ),
+)
 def q_set_valued_positive(t: Tables):
     return D.set_valued_positive(sampled(t, "set_valued_positives"), training_pool(t)).select(
         "state_id", "target", "parent_asin", "positive"
     )
 
 
-@query("sampler_diagnostics")
+@query(
+    "sampler_diagnostics",
+    O.with_views(
+        "states facts",
+        f""", {PAIRS_SQL}, v AS (SELECT (SELECT count(DISTINCT state_id) FROM tpool) AS swp, (SELECT count(*) FROM tpool) AS c, (SELECT count(*) FROM tpool WHERE tie) AS ti,
+  (SELECT count(DISTINCT state_id) FROM prs) AS act, (SELECT count(*) FROM prs) AS pc, (SELECT coalesce(sum(tw * ew * sw * aw), 0) FROM prs) AS w, (SELECT count(*) FROM tst) AS sc)
+SELECT unnest(['states_with_pool', 'candidates', 'skipped_ties', 'active_states', 'pair_count', 'effective_weight', 'state_count', 'active_rate', 'tie_rate']) AS key,
+  round(unnest([swp::DOUBLE, c, ti, act, pc, w, sc, act / greatest(1, sc), ti / greatest(1, c)]), 6) AS value FROM v
+UNION ALL SELECT 'sampler:' || sampler, count(*)::DOUBLE FROM prs GROUP BY 1""",
+    ),
+)
 def q_sampler_diagnostics(t: Tables):
     found = D.sampler_diagnostics(training_pool(t), weighted_pairs(t), training_states(t))
     return found.select("key", F.round("value", 6).alias("value"))
 
 
-@query("negative_audit")
+@query(
+    "negative_audit",
+    O.with_views(
+        "states facts",
+        f""", {PAIRS_SQL} SELECT state_id, target, parent_asin, sampler, tie, round(tw * ew * sw * aw, 8) AS effective_weight FROM prs
+ORDER BY {O.hash_key("'audit'", "'2026'", 'state_id', 'parent_asin')} LIMIT 250""",
+    ),
+)
 def q_negative_audit(t: Tables):
-    return D.negative_audit(weighted_pairs(t).select("state_id", "target", "parent_asin", "sampler", "tie", "effective_weight"))
+    return D.negative_audit(
+        weighted_pairs(t).select("state_id", "target", "parent_asin", "sampler", "tie", F.round("effective_weight", 8).alias("effective_weight"))
+    )
 
 
 @query(
