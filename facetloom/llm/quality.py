@@ -22,17 +22,18 @@ from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import free_name, row_type, store
+from facetloom.llm.common import arrow_map, free_name, row_type, store
 from facetloom.llm.rules import Measures
 
 FEATURES = 1 << 17
 TRAIN_ROWS = 20_000
 REJECT_AT = 0.6
-PENALTY = {"regParam": 0.0003, "elasticNetParam": 1.0}  # few of many words matter
+STEP, SPARSE, EPOCHS = 0.5, 3.0, 12  # few of many words matter
 BAD, GOOD, ABSTAIN = 1, 0, 2
 SURE = 0.01  # chance that a known label is wrong
 
@@ -89,7 +90,7 @@ KNOWN = {"junk": ("quality", 0), "abuse": ("toxic", 1)}
 
 
 def feature_ids(d: Document) -> np.ndarray:
-    """Hashed features: words, beginnings of words, and measures in steps."""
+    """Hashed features: words, beginnings of words, measures in steps; the last is always on."""
     kinds = d.kinds
     names = kinds | {"5" + w[:5] for w in kinds if len(w) > 5}
     n = max(1, d.n_words)
@@ -101,7 +102,8 @@ def feature_ids(d: Document) -> np.ndarray:
         # Every step reached is a feature, so weights add up along the scale.
         names |= {f"{name} {k}" for k in range(int(min(share, 1.0) * 20))}
     names |= {f"insults {k}" for k in range(100, 100 + min(d.n_insults, 3))}
-    return np.unique(np.fromiter((crc32(x.encode()) for x in names), np.int64, len(names)) % FEATURES)
+    ids = np.unique(np.fromiter((crc32(x.encode()) for x in names), np.int64, len(names)) % FEATURES)
+    return np.append(ids, FEATURES).astype(np.int32)
 
 
 def votes(docs: DataFrame) -> DataFrame:
@@ -110,13 +112,13 @@ def votes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
                 found = [Document(t) for t in batch.column(1).to_pylist()]
                 columns = [pa.array(["".join(str(f(d)) for f in fs) for d in found], pa.string()) for fs in labellers.values()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *labellers])
 
-    return docs.mapInArrow(run, ", ".join(["doc_id long", *(f"{t} string" for t in labellers)]))
+    return docs.transform(arrow_map, run, ", ".join(["doc_id long", *(f"{t} string" for t in labellers)]))
 
 
 def with_known(voted: DataFrame, labels: DataFrame) -> DataFrame:
@@ -185,44 +187,64 @@ def training_rows(docs: DataFrame, voted: DataFrame, rows: int) -> DataFrame:
     return docs.join(chosen.where(take).dropDuplicates(["doc_id"]), "doc_id").select("text", *TASKS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, tuple[np.ndarray, float]]:
-    """Weights and intercept of each task's scorer."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import Vectors, VectorUDT
+def follow_the_leader(rows: list[np.ndarray], chances: np.ndarray) -> np.ndarray:
+    """Sparse logistic weights of hashed features, learned row by row against soft targets.
 
+    Follow the regularised leader: a feature's weight stays zero until its
+    gradients add up to more than ``SPARSE``, so rare words do not count. The
+    last weight is the intercept.
+    """
+    z, n = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
+
+    def weight(total, seen):
+        return np.where(np.abs(total) <= SPARSE, 0.0, (np.sign(total) * SPARSE - total) * STEP / (1 + np.sqrt(seen)))
+
+    for _ in range(EPOCHS):
+        for ids, chance in zip(rows, chances, strict=True):
+            total, seen = z[ids], n[ids]
+            w = weight(total, seen)
+            slope = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - chance
+            z[ids] = total + slope - (np.sqrt(seen + slope * slope) - np.sqrt(seen)) / STEP * w
+            n[ids] = seen + slope * slope
+    return weight(z, n)
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
+    """Weights of each task's scorer, the intercept last."""
     voted = store(with_known(votes(docs), labels), "votes")
     bad = posteriors(voted)
 
-    @F.udf(VectorUDT())
-    def vector(ids):
-        return Vectors.sparse(FEATURES, ids, [1.0] * len(ids))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [feature_ids(Document(t)).tolist() for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64())), *part.columns[1:]], ["ids", *TASKS])
-
-    shape = ", ".join(["ids array<long>", *(f"{t} string" for t in TASKS)])
-    sample = store(training_rows(docs, voted, rows).mapInArrow(run, shape), "training-rows")
-    fitted = {}
-    for task in TASKS:
-        chance = F.coalesce(F.create_map(*[F.lit(x) for pair in bad[task].items() for x in pair])[F.col(task)], F.lit(0.0)) if bad[task] else F.lit(0.0)
-        # A row counts for both classes, as far as it belongs to each.
-        both = sample.select(
-            vector("ids").alias("features"), chance.alias("p")
-        ).select("features", F.explode(F.array(
-            F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")),
-            F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")),
-        )).alias("c")).select("features", "c.label", "c.weight").where("weight > 0.001")
-        if len({r[0] for r in both.select("label").distinct().collect()}) < 2:
-            fitted[task] = np.zeros(FEATURES), -10.0
-            continue
-        model = LogisticRegression(
-            weightCol="weight", standardization=False, maxIter=40, tol=1e-4, **PENALTY
-        ).fit(both)
-        fitted[task] = model.coefficients.toArray(), float(model.intercept)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids = [feature_ids(Document(t)) for t in part.column(0).to_pylist()]
+                chances = [
+                    pa.array([bad[task].get(p, 0.0) for p in part.column(k + 1).to_pylist()], pa.float64())
+                    for k, task in enumerate(TASKS)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), *chances], ["ids", *TASKS])
+
+    shape = ", ".join(["ids array<int>", *(f"{t} double" for t in TASKS)])
+    sample = training_rows(docs, voted, rows).transform(arrow_map, run, shape)
+    # One task learns each scorer, from a number of rows that is bounded whatever the corpus.
+    each = store(sample, "training-rows").select("ids", F.explode(F.create_map(
+        *[x for t in TASKS for x in (F.lit(t), F.col(t))]
+    )).alias("task", "chance"))
+
+    def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort([crc32(i.tobytes()) for i in frame.ids], kind="stable")  # the same on every run
+        weights = follow_the_leader([frame.ids.iloc[k] for k in order], frame.chance.to_numpy()[order])
+        at = np.flatnonzero(weights)
+        return pd.DataFrame({"task": frame.task.iloc[0], "feature": at.astype(np.int32), "weight": weights[at]})
+
+    learned = each.groupBy("task").applyInPandas(learn, "task string, feature int, weight double")
+    fitted = {task: np.zeros(FEATURES + 1) for task in TASKS}
+    for task, feature, weight in learned.collect():  # at most FEATURES + 1 for each task
+        fitted[task][feature] = weight
+    for weights in fitted.values():
+        if not weights.any():  # nothing to learn from: reject nothing
+            weights[FEATURES] = -10.0
     return fitted
 
 
@@ -241,17 +263,17 @@ def classify(
         models = weights.value
         kind = pa.struct([*((t, pa.float64()) for t in models), ("kept", pa.bool_())])
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
+            for k in range(0, whole.num_rows, 64):
+                batch = whole.slice(k, 64)
                 out = []
                 for text in batch.column(at).to_pylist():
                     ids = feature_ids(Document(text))
-                    chance = {t: float(1 / (1 + np.exp(-np.clip(w[ids].sum() + b, -50, 50)))) for t, (w, b) in models.items()}
+                    chance = {t: float(1 / (1 + np.exp(-np.clip(w[ids].sum(), -50, 50)))) for t, w in models.items()}
                     out.append(chance | {"kept": all(p < reject_at for p in chance.values())})
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*names, into])
 
     fields = ",".join(f"{t}:double" for t in TASKS)
-    return data.mapInArrow(run, f"{row_type(data)}, `{into}` struct<{fields},kept:boolean>")
+    return data.transform(arrow_map, run, f"{row_type(data)}, `{into}` struct<{fields},kept:boolean>")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
