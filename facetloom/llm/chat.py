@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetloom.llm.common import arrow_map
+
 
 @dataclass(frozen=True)
 class Template:
@@ -151,7 +153,7 @@ def format_turns(turns: DataFrame, template: Template | None = None) -> DataFram
                     ["conv_id", "position", "role", "allowed", "chunk", "segments"],
                 )
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, CHUNKS)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").transform(arrow_map, run, CHUNKS)
 
 
 DIGESTS = (
@@ -198,4 +200,4 @@ def read_back(chunks: DataFrame, template: Template | None = None) -> DataFrame:
             [pa.array([r[k] for r in plain], kind) for k, kind in enumerate(kinds)], names
         )
 
-    return chunks.mapInArrow(run, DIGESTS)
+    return chunks.transform(arrow_map, run, DIGESTS)

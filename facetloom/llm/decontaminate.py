@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import free_name, row_type
+from facetloom.llm.common import arrow_map, free_name, row_type
 
 WINDOW = 13
 # Bytes of item text in one automaton; a larger benchmark takes more passes.
@@ -198,7 +198,7 @@ def find_hits(
             )
             yield pa.RecordBatch.from_arrays([*batch.columns, hits], [*names, into])
 
-    return rows.mapInArrow(scan, f"{row_type(rows)}, `{into}` {HITS}")
+    return rows.transform(arrow_map, scan, f"{row_type(rows)}, `{into}` {HITS}")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -239,7 +239,7 @@ def decontaminate(
             arrays = [texts if k == at else c for k, c in enumerate(batch.columns) if k != runs_at]
             yield pa.RecordBatch.from_arrays(arrays, [c for c in names if c != into])
 
-    clean = kept.mapInArrow(cut, row_type(kept, without=into))
+    clean = kept.transform(arrow_map, cut, row_type(kept, without=into))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetloom.llm.common import arrow_map
 from facetloom.llm.tokens import Memory
 
 TOLERANCE = 0.1
@@ -171,4 +172,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, tolerance: fl
                 ]
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return rows.where(F.col("text").rlike(CUE)).mapInArrow(run, FOUND)
+    return rows.where(F.col("text").rlike(CUE)).transform(arrow_map, run, FOUND)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetloom.llm.common import arrow_map
+
 SAMPLE_ROWS = 2000
 SYMBOLS = b"#*$%&|<>"
 
@@ -140,7 +142,7 @@ def rule_order(docs: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS) -> list[tu
             schema=kinds,
         )
 
-    sums = hash_sample(docs, rows).mapInArrow(measure, "rule int, seconds double, rejected long, n long")
+    sums = hash_sample(docs, rows).transform(arrow_map, measure, "rule int, seconds double, rejected long, n long")
     found = sums.groupBy("rule").agg(F.sum("seconds"), F.sum("rejected"), F.sum("n")).collect()
     measured = [(rules[k].name, s / max(1, n), r / max(1, n)) for k, s, r, n in found]
     return sorted(measured, key=lambda r: (-r[2] / max(r[1], 1e-9), r[0]))
@@ -178,4 +180,4 @@ def cascade(docs: DataFrame, rules=RULES, report: tuple[str, ...] = BASE, sample
                 )
 
     counts = "".join(f"{name} long, " for name in report)
-    return rows.mapInArrow(run, f"doc_id long, {counts}first_rejection string, n_asked long")
+    return rows.transform(arrow_map, run, f"doc_id long, {counts}first_rejection string, n_asked long")
