@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import store, text_key
+from facetloom.llm.common import arrow_map, store, text_key
 
 BITS = 64
 SEED = 42
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
-    return store(rows.mapInArrow(encode, "doc_id long, text_key long, fp long"), "fingerprints")
+    return store(rows.transform(arrow_map, encode, "doc_id long, text_key long, fp long"), "fingerprints")
 
 
 def correlated_parts(fps: DataFrame, parts: int = PARTS) -> list[list[int]]:
@@ -231,7 +231,7 @@ def links(fps: DataFrame, radius: int = 2, parts: int = PARTS) -> DataFrame:
         raise ValueError("crowded values are resolved by one-bit neighbours, which is radius 2")
     values = store(part_values(fps, corpus_allocation(fps, radius, parts)), "part-values")
     stands = values.where("not probe").select("key", "fp")
-    size = stands.groupBy("key").agg(F.count("*").alias("size"))
+    size = store(stands.groupBy("key").agg(F.count("*").alias("size")), "part-sizes")
     crowded = store(size.where(F.col("size") > CROWD).select("key"), "crowded-values")
     asked = values.where("probe").select("key", F.col("fp").alias("other"))
     close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius) & (F.col("fp") > F.col("other"))
@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataF
     )
     rooted = store(rooted, "fingerprint-roots")
     groups = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    named = rooted.select("fp", "root").join(groups, "root").select("fp", "first")
+    # A plain table, so that a fingerprint with very many copies can be split.
+    named = store(rooted.select("fp", "root").join(groups, "root").select("fp", "first"), "fingerprint-groups")
     return rows.join(named, "fp").select(
         "doc_id", "text_key", "fp", F.col("first.doc_id").alias("component_id"),
         F.col("first.doc_id").alias("keeper_id"), F.col("first.text_key").alias("keeper_key"),

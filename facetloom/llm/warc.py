@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import store
+from facetloom.llm.common import arrow_map, store
 from facetloom.session import scratch_path
 
 # Fixed values of the archive format.
@@ -57,6 +57,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(
         F.min("page_id").alias("response_id"), F.count("*").alias("_n")
     ).where("_n > 1").drop("_n")
+    first = store(first, "warc-first")  # a plain table, so that a payload with very many pages can be split
     return rows.join(first, "digest", "left").select("page_id", "url", "payload", "response_id")
 
 
@@ -172,7 +173,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
             pa.schema([("path", pa.string()), ("records", pa.int64()), ("raw_bytes", pa.int64()), ("archive_bytes", pa.int64())]),
         )
 
-    return store(with_revisits(pages, min_bytes).mapInArrow(write, MANIFEST), "warc-manifest")
+    return store(with_revisits(pages, min_bytes).transform(arrow_map, write, MANIFEST), "warc-manifest")
 
 
 def records_in(data: bytes) -> Iterator[tuple[int, bytes]]:
@@ -219,7 +220,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = manifest.select("path")
-    return files.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism), "path").mapInArrow(read, RECORDS)
+    return files.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism), "path").transform(arrow_map, read, RECORDS)
 
 
 def roundtrip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
