@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import free_name, row_type, store, text_key
+from facetloom.llm.common import arrow_map, free_name, row_type, store, text_key
 from facetloom.llm.decontaminate import merged
 
 LENGTH = 200
@@ -86,9 +86,9 @@ class Hashes:
 
 
 def stretches(data: np.ndarray, length: int, gram: int):
-    """(start, n, rel, gram hash, stretch hash) of the stretches of one slice.
+    """(start, n, gram hash, stretch hash) of the stretches of one slice.
 
-    Windows ``start`` to ``start + n - 1`` share the anchor at ``start + rel``.
+    Windows ``start`` to ``start + n - 1`` share an anchor.
     """
     width = length - gram + 1
     n_windows = len(data) - length + 1
@@ -113,10 +113,10 @@ def stretches(data: np.ndarray, length: int, gram: int):
     whole = hashes.of(1, begin, end - 1 + length)
     # Where the anchor stands and how long the stretch is belong to its identity.
     whole = (whole ^ ((at - begin) * 1_000_003 + (end - begin)).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return begin, end - begin, at - begin, grams[at].view(np.int64), whole.view(np.int64)
+    return begin, end - begin, grams[at].view(np.int64), whole.view(np.int64)
 
 
-STRETCHES = "doc_id long, text_key long, gram long, whole long, start long, n int, rel int"
+STRETCHES = "doc_id long, text_key long, gram long, whole long, start long, n int"
 
 
 def stretch_table(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -124,7 +124,7 @@ def stretch_table(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in STRETCHES.split(", ")]
-        types = [pa.int64()] * 5 + [pa.int32()] * 2
+        types = [pa.int64()] * 5 + [pa.int32()]
         for batch in batches:
             held, size = [], 0
             for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -133,8 +133,8 @@ def stretch_table(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                     part = data[at : at + SLICE]
                     if len(part) < length:
                         break
-                    start, n, rel, grams, whole = stretches(part, length, gram)
-                    held.append((doc, key, grams, whole, start + at, n, rel))
+                    start, n, grams, whole = stretches(part, length, gram)
+                    held.append((doc, key, grams, whole, start + at, n))
                     size += len(start)
                 if size >= 50_000:
                     yield table(held, names, types)
@@ -147,10 +147,10 @@ def stretch_table(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         which = np.repeat(np.arange(len(held)), counts)
         ids = pa.array([h[0] for h in held], pa.int64()).take(pa.array(which))
         keys = pa.array([h[1] for h in held], pa.int64()).take(pa.array(which))
-        rest = [pa.array(np.concatenate([h[k] for h in held]).astype(t.to_pandas_dtype())) for k, t in zip(range(2, 7), types[2:], strict=True)]
+        rest = [pa.array(np.concatenate([h[k] for h in held]).astype(t.to_pandas_dtype())) for k, t in zip(range(2, 6), types[2:], strict=True)]
         return pa.RecordBatch.from_arrays([ids, keys, *rest], names)
 
-    return docs.mapInArrow(run, STRETCHES)
+    return docs.transform(arrow_map, run, STRETCHES)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -342,21 +342,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     ``docs`` has doc_id, text_key and text.
     """
     found = store(stretch_table(docs, length, gram), "stretches")
-    grams = found.groupBy("gram").agg(
-        F.count("*").alias("n_all"), (F.min("whole") != F.max("whole")).alias("mixed")
-    ).where("n_all > 1").select("gram", "mixed")
-    often = store(found.join(grams, "gram"), "stretches-often")
-    last = F.col("start") + F.col("n") - 1 + length
-    plain = often.where("not mixed").select("doc_id", "text_key", F.col("start").alias("begin"), last.alias("end"))
-
-    mixed = often.where("mixed").drop("mixed")
+    grams = found.groupBy("gram").agg(F.count("*").alias("n_all")).where("n_all > 1").select("gram")
+    # Stored first, so that a gram with very many stretches can be split in the join.
+    often = store(found.join(store(grams, "grams-often"), "gram", "left_semi"), "stretches-often")
     wholes = store(
-        mixed.groupBy("gram", "whole").agg(
-            F.count("*").alias("copies"), F.min(F.struct("start", "text_key", "doc_id", "n", "rel")).alias("first")
+        often.groupBy("gram", "whole").agg(
+            F.count("*").alias("copies"), F.min(F.struct("start", "text_key", "doc_id", "n")).alias("first")
         ), "stretches-different",
     )
+    # A stretch that occurs twice as a whole.
+    last = F.col("start") + F.col("n") - 1 + length
     copied = wholes.where("copies > 1").select("gram", "whole")
-    copies = mixed.join(copied, ["gram", "whole"], "left_semi").select(
+    copies = often.join(copied, ["gram", "whole"], "left_semi").select(
         "doc_id", "text_key", F.col("start").alias("begin"), last.alias("end")
     )
 
@@ -364,6 +361,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     undecided = wholes.groupBy("gram").agg(
         F.count("*").alias("kinds"), F.count_if(F.col("copies") == 1).alias("single")
     ).where("single > 0")
+    undecided = store(undecided, "grams-undecided")
     parts = F.ceil(F.col("kinds") / WIDE)
     wanted = wholes.join(undecided, "gram").select(
         "gram", "whole", "copies", "first.*", parts.alias("parts"), F.pmod("whole", parts).alias("part")
@@ -374,7 +372,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     shard = store(shard_spans(fetched, length), "shard-spans")
     sure = shard.where("d1 is null").select("doc_id", "text_key", "begin", "end")
     crossed = merge_shards(shard.where("d1 is not null"))
-    return plain.unionByName(copies).unionByName(sure).unionByName(crossed)
+    return copies.unionByName(sure).unionByName(crossed)
 
 
 FETCHED = "shard long, gram long, whole long, copies long, parts long, doc_id long, text_key long, start long, n int, data binary"
@@ -408,7 +406,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             [pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names
         )
 
-    return both.select("doc_id", "text_key", "text", "wanted").mapInArrow(run, FETCHED)
+    return both.select("doc_id", "text_key", "text", "wanted").transform(arrow_map, run, FETCHED)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, into: str = "cuts") -> DataFrame:
@@ -448,7 +446,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, into
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], [*names[:-1], into])
 
     kind_name = "struct<n_bytes:bigint,spans:array<struct<begin:bigint,end:bigint>>,kept:binary>"
-    return both.mapInArrow(cut, f"{row_type(rows)}, `{into}` {kind_name}")
+    return both.transform(arrow_map, cut, f"{row_type(rows)}, `{into}` {kind_name}")
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -469,7 +467,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             arrays = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns) if k != cuts]
             yield pa.RecordBatch.from_arrays(arrays, [c for c in names if c != into])
 
-    clean = found.mapInArrow(run, row_type(found, without=into))
+    clean = found.transform(arrow_map, run, row_type(found, without=into))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)
