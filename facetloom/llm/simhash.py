@@ -296,7 +296,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
     """``docs`` with one row of each group: the first by (id, text key)."""
-    keepers = near_duplicates(docs, shingle, radius).select(
+    return keep_first(docs, near_duplicates(docs, shingle, radius))
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``grouped`` names as keepers (keeper_id, keeper_key)."""
+    keepers = grouped.select(
         F.col("keeper_id").alias("_keeper"), F.col("keeper_key").alias("_key")
     ).distinct()
     mark = "_" * (max([len(c) for c in docs.columns]) + 1)

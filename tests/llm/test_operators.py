@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from facetloom.llm import chat, decontaminate, licenses, packing, quality, rules, simhash, suffixes, urls, warc
+from facetloom.llm import chat, copies, decontaminate, licenses, packing, quality, rules, simhash, suffixes, urls, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -250,6 +250,62 @@ def test_simhash_keeps_one(corpus, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def brute_copies(rows, similar=0.8):
+    """Smallest (id is null, id) of each group by all pairs of shingle sets."""
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        return frozenset(tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = {frozenset(): []}
+    for doc, text in rows:
+        sets.setdefault(grams(text), []).append((doc is None, doc or 0))
+    parent = {s: s for s in sets}
+
+    def find(s):
+        while parent[s] != s:
+            s = parent[s]
+        return s
+
+    kinds = list(sets)
+    for i, a in enumerate(kinds):
+        for b in kinds[i + 1:]:
+            if a and b and 0.8 * len(a) <= len(b) <= len(a) / 0.8 and 5 * len(a & b) >= 4 * len(a | b):
+                parent[find(a)] = find(b)
+    first = {}
+    for s, ids in sets.items():
+        for k in ids:
+            first[find(s)] = min(k, first.get(find(s), k))
+    return Counter(first.values())
+
+
+@pytest.mark.parametrize("leaders", [0, 2])
+def test_near_copies_against_all_pairs(spark, corpus, empty, monkeypatch, leaders):
+    monkeypatch.setattr(copies, "LEADERS", leaders)
+    rng = random.Random(7)
+    word = lambda: "w" + str(rng.randrange(3000))
+    rows = []
+    for group in range(3):
+        base = [word() for _ in range(120 + 80 * group)]
+        for k in range(40):  # edited copies on both sides of four fifths
+            edited = list(base)
+            for at in rng.sample(range(len(base)), rng.randrange(1, 8)):
+                edited[at] = word()
+            rows.append((800000 + 100 * group + k, " ".join(edited)))
+    some = corpus.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = copies.drop_near_copies(some)
+    assert Counter((d is None, d or 0) for d, _ in texts(kept)) == brute_copies(texts(some))
+    assert copies.drop_near_copies(empty).count() == 0
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    words = [f"word{k}" for k in range(300)]
+    edited = [*words[:100], "other", *words[101:200], "another", *words[201:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, "unlike the others")], "doc_id long, text string")
+    assert {d for d, _ in texts(corpus_pipeline.drop_near_duplicates(spark, docs, SF))} == {1, 3}
+
+
 # -- 5 licenses
 
 
