@@ -1,13 +1,14 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote bad, good or not at all on each document;
-a table of known labels, where there is one, settles the class of its documents.
+a table of known labels, where there is one, settles the class of its documents
+and so anchors the labellers' accuracies.
 Expectation-maximisation over the counts of vote patterns, taken over all documents,
 estimates how each labeller votes on good and on bad documents, and so how
 likely each pattern is bad. These posteriors are the targets of a linear scorer
-over hashed features, fitted on at most ``TRAIN_ROWS`` documents (known-label
-documents first, in hash order); the scorer then judges every document. Two such
-tasks, junk and abuse, decide together: a document is kept if neither rejects it.
+over hashed features, fitted on at most ``TRAIN_ROWS`` documents (a hash sample of
+all, and those with known labels for half of the rows at most); the scorer then
+judges every document. Two such tasks, junk and abuse, decide together: a document is kept if neither rejects it.
 
 Texts are read whole. A null or empty text votes like a text without words and
 is kept unless the scorer learned otherwise. A label of a repeated id is the
@@ -36,6 +37,7 @@ REJECT_AT = 0.6
 STEP, SPARSE, EPOCHS = 0.5, 3.0, 12  # few of many words matter
 BAD, GOOD, ABSTAIN = 1, 0, 2
 SURE = 0.01  # chance that a known label is wrong
+WORTH = 10  # known labels that weigh as much as a pattern's posterior
 
 #: Insults that the abuse labellers count.
 INSULTS = frozenset({
@@ -169,27 +171,43 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 100) -> tup
 
 
 def posteriors(voted: DataFrame) -> dict[str, dict[str, float]]:
-    """Posterior of bad by task and pattern, from pattern counts over all documents."""
+    """Posterior of bad by task and pattern, from pattern counts over all documents.
+
+    Labellers are not independent, so where documents of a pattern have known labels,
+    these correct it; the posterior counts as ``WORTH`` of them.
+    """
     found = {}
     for task in TASKS:
         counted = {r[0]: r[1] for r in voted.groupBy(task).count().collect()}
         found[task], _ = expectation_maximisation(counted)
+        for pattern in [p for p in found[task] if p[-1] == str(ABSTAIN)]:
+            bad, good = (counted.get(pattern[:-1] + str(v), 0) for v in (BAD, GOOD))
+            found[task][pattern] = (bad + WORTH * found[task][pattern]) / (bad + good + WORTH)
     return found
 
 
 def training_rows(docs: DataFrame, voted: DataFrame, rows: int) -> DataFrame:
-    """(text, patterns) of at most about ``rows`` documents, those with known labels if there are any."""
-    known = voted.where(" or ".join(f"right({t}, 1) <> '{ABSTAIN}'" for t in TASKS))
-    n = known.count()
-    chosen, n = (known, n) if n else (voted, voted.count())
+    """(text, patterns) of at most about ``rows`` documents.
+
+    Documents with known labels take half of the rows at most, a hash sample of all
+    others the rest.
+    """
+    known = " or ".join(f"right({t}, 1) <> '{ABSTAIN}'" for t in TASKS)
+    n_known, n = voted.agg(F.count_if(F.expr(known)), F.count("*")).first()
+    of_known = min(n_known, rows // 2)
     steps = 1 << 30
-    take = F.pmod(F.xxhash64(F.lit("training"), "doc_id"), F.lit(steps)) < int(min(1.0, rows / max(1, n)) * steps)
-    return docs.join(chosen.where(take).dropDuplicates(["doc_id"]), "doc_id").select("text", *TASKS)
+    share = F.when(F.expr(known), int(of_known / max(1, n_known) * steps)).otherwise(
+        int(min(1.0, (rows - of_known) / max(1, n - n_known)) * steps)
+    )
+    take = F.pmod(F.xxhash64(F.lit("training"), "doc_id"), F.lit(steps)) < share
+    return docs.join(voted.where(take).dropDuplicates(["doc_id"]), "doc_id").select("text", *TASKS)
 
 
-def follow_the_leader(rows: list[np.ndarray], chances: np.ndarray) -> np.ndarray:
+def follow_the_leader(rows: list[np.ndarray], chances: np.ndarray, shares: np.ndarray | None = None) -> np.ndarray:
     """Sparse logistic weights of hashed features, learned row by row against soft targets.
 
+    A row's gradient counts by its share, whole if there are no shares.
+
     Follow the regularised leader: a feature's weight stays zero until its
     gradients add up to more than ``SPARSE``, so rare words do not count. The
     last weight is the intercept.
@@ -199,16 +217,38 @@ def follow_the_leader(rows: list[np.ndarray], chances: np.ndarray) -> np.ndarray
     def weight(total, seen):
         return np.where(np.abs(total) <= SPARSE, 0.0, (np.sign(total) * SPARSE - total) * STEP / (1 + np.sqrt(seen)))
 
+    shares = np.ones(len(rows)) if shares is None else shares
     for _ in range(EPOCHS):
-        for ids, chance in zip(rows, chances, strict=True):
+        for ids, chance, share in zip(rows, chances, shares, strict=True):
             total, seen = z[ids], n[ids]
             w = weight(total, seen)
-            slope = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - chance
+            slope = share * (1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - chance)
             z[ids] = total + slope - (np.sqrt(seen + slope * slope) - np.sqrt(seen)) / STEP * w
             n[ids] = seen + slope * slope
     return weight(z, n)
 
 
+def learned_weights(rows: list[np.ndarray], chances: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Weights learned from all ``rows``.
+
+    Labellers see few kinds of bad documents, so where labels of both classes are
+    known, a scorer of those documents is one more labeller of the others: its
+    log-odds, less those of its prior, are added to the ones of the votes. The
+    others then count by how sure they are, and together no more than the known.
+    """
+    shares = None
+    if known.any() and not known.all() and np.ptp(chances[known]) > 0:
+        first = follow_the_leader([r for r, k in zip(rows, known, strict=True) if k], chances[known])
+        odds = lambda p: np.log(p / (1 - p))
+        said = np.array([first[r].sum() for r, k in zip(rows, known, strict=True) if not k])
+        voted = odds(np.clip(chances[~known], 1e-6, 1 - 1e-6))
+        chances = chances.copy()
+        chances[~known] = 1 / (1 + np.exp(-np.clip(voted + said - odds(chances[known].mean()), -50, 50)))
+        shares = np.ones(len(rows))
+        shares[~known] = (2 * chances[~known] - 1) ** 2 * min(1.0, known.sum() / (~known).sum())
+    return follow_the_leader(rows, chances, shares)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """Weights of each task's scorer, the intercept last."""
     voted = store(with_known(votes(docs), labels), "votes")
@@ -223,18 +263,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[str,
                     pa.array([bad[task].get(p, 0.0) for p in part.column(k + 1).to_pylist()], pa.float64())
                     for k, task in enumerate(TASKS)
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), *chances], ["ids", *TASKS])
+                settled = [pa.array([p[-1] != str(ABSTAIN) for p in part.column(k + 1).to_pylist()], pa.bool_()) for k in range(len(TASKS))]
+                columns = [pa.array(ids, pa.list_(pa.int32())), *chances, *settled]
+                yield pa.RecordBatch.from_arrays(columns, ["ids", *TASKS, *(f"{t}_known" for t in TASKS)])
 
-    shape = ", ".join(["ids array<int>", *(f"{t} double" for t in TASKS)])
+    shape = ", ".join(["ids array<int>", *(f"{t} double" for t in TASKS), *(f"{t}_known boolean" for t in TASKS)])
     sample = training_rows(docs, voted, rows).transform(arrow_map, run, shape)
     # One task learns each scorer, from a number of rows that is bounded whatever the corpus.
     each = store(sample, "training-rows").select("ids", F.explode(F.create_map(
-        *[x for t in TASKS for x in (F.lit(t), F.col(t))]
-    )).alias("task", "chance"))
+        *[x for t in TASKS for x in (F.lit(t), F.struct(F.col(t).alias("chance"), F.col(f"{t}_known").alias("known")))]
+    )).alias("task", "row")).select("ids", "task", "row.*")
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort([crc32(i.tobytes()) for i in frame.ids], kind="stable")  # the same on every run
-        weights = follow_the_leader([frame.ids.iloc[k] for k in order], frame.chance.to_numpy()[order])
+        weights = learned_weights(
+            [frame.ids.iloc[k] for k in order], frame.chance.to_numpy()[order], frame.known.to_numpy()[order]
+        )
         at = np.flatnonzero(weights)
         return pd.DataFrame({"task": frame.task.iloc[0], "feature": at.astype(np.int32), "weight": weights[at]})
 

@@ -418,6 +418,21 @@ def test_em_finds_the_better_labeller():
     assert quality.expectation_maximisation({})[0] == {}
 
 
+def test_votes_teach_beside_labels(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    before = quality.fit(docs, labels)["junk"]
+    one = labels.where("quality = 1").orderBy("doc_id").limit(1)
+    alone = quality.training_rows(docs, quality.with_known(quality.votes(docs), one), 20_000)
+    assert alone.count() == docs.select("doc_id").distinct().count()  # one label does not silence the others
+    known = labels.select(F.col("doc_id").alias("known")).distinct()
+    assert docs.join(known, docs.doc_id == known.known, "left_anti").count() > 0
+    monkeypatch.setitem(quality.TASKS, "junk", {name: lambda d: quality.BAD if len(d.text) % 2 else quality.GOOD for name in quality.TASKS["junk"]})
+    assert not np.allclose(before, quality.fit(docs, labels)["junk"])
+
+
 def test_quality_hard_cases(spark, corpus, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     judged = quality.classify(corpus, labels)
