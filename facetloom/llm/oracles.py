@@ -54,3 +54,42 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(n)::BIGINT AS formatted_chars FROM f GROUP BY 1"""
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a string's bytes, bit by bit."""
+    bits = f"list_transform(range(8 * strlen({text})), lambda i: (('0x' || substr(hex({text}), (2 * (i // 8) + 1)::BIGINT, 2))::BIGINT >> (i % 8)::BIGINT) & 1)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+
+OP11 = f"""WITH RECURSIVE r AS MATERIALIZED (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all({_FOLD}, '[a-zÀ-ÿ]{{7,}}')) AS w FROM documents),
+k AS MATERIALIZED (SELECT d, w, d || ':' || w AS t, count(*) AS n FROM r GROUP BY 1, 2),
+h AS MATERIALIZED (SELECT w, n, {_crc32("t")} AS h FROM k),
+c AS MATERIALIZED (SELECT w, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w) + 2)::BIGINT) ELSE w END AS w FROM h)
+  WHERE length(w) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+g AS MATERIALIZED (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS cut FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM c)),
+p AS (SELECT a.w AS a, b.w AS b FROM g a JOIN g b ON a.i = b.i AND a.cut = b.cut AND a.w <> b.w
+  UNION SELECT g.w, c.w FROM g JOIN c ON g.cut = c.w UNION SELECT c.w, g.w FROM g JOIN c ON g.cut = c.w),
+m AS (SELECT p.a AS w, count(*) AS n_near, arg_min(p.b, (-c.n, p.b)) AS best, max(c.n) AS most FROM p JOIN c ON c.w = p.b GROUP BY 1),
+f AS MATERIALIZED (SELECT c.w, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * c.n THEN best END AS form, CASE WHEN most >= 10 * c.n THEN most END AS form_n FROM c LEFT JOIN m USING (w)),
+s AS (SELECT w, w AS reached, form AS onward FROM f UNION ALL SELECT s.w, s.onward, f.form FROM s JOIN f ON f.w = s.onward),
+x AS (SELECT w, reached FROM s WHERE onward IS NULL)
+SELECT f.w AS word, form, reached AS root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM f JOIN x ON f.w = x.w"""
+
+_RUNS = f"(SELECT rid, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS g FROM {{}})"
+
+OP12 = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
+b AS MATERIALIZED (SELECT 0 AS rid, {_WORDS} AS ws FROM benchmark),
+dg AS MATERIALIZED (SELECT rid, g, count(*) AS n FROM {_RUNS.format("d")} GROUP BY 1, 2),
+bg AS MATERIALIZED (SELECT g, count(*) AS n FROM {_RUNS.format("b")} GROUP BY 1),
+k AS MATERIALIZED (SELECT g, {_crc32("g")} % 10000 AS bucket FROM (SELECT g FROM dg UNION SELECT g FROM bg)),
+s AS (SELECT bucket, sum(n) AS s FROM dg JOIN k USING (g) GROUP BY 1), t AS (SELECT bucket, sum(n) AS t FROM bg JOIN k USING (g) GROUP BY 1),
+gain AS MATERIALIZED (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM dg) + 10000))::DOUBLE
+  / ((s + 1) * ((SELECT coalesce(sum(n), 0) FROM bg) + 10000))::DOUBLE))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT rid, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM dg JOIN k USING (g) JOIN gain USING (bucket) GROUP BY 1),
+e AS MATERIALIZED (SELECT rid, doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (rid)),
+f AS MATERIALIZED (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM e),
+o AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features DESC, weight DESC) AS rank FROM f WHERE n_words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score,
+  CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM f WHERE n_words >= 20) THEN rank END::BIGINT AS rank FROM f LEFT JOIN o USING (rid)"""

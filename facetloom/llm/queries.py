@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm import chat, decontaminate, licenses, oracles, packing, quality, rules, simhash, suffixes, urls, warc
+from facetloom.llm import (
+    bpe, chat, decontaminate, licenses, oracles, packing, quality, resampling, rules, simhash, spelling, suffixes, urls, warc,
+)
 from facetloom.llm.common import read
 
 
@@ -86,13 +88,33 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(read(spark, sf_dir, "documents", "doc_id", "text"), ratio=10)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "text")
+    return resampling.resample(docs, target, percent=25, min_words=20, longest=2, buckets=10_000, seed=7)
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.roundtrip(read(spark, sf_dir, "documents", "doc_id", "text"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_packing, op2_warc, op3_url_filter, op4_simhash, op5_license_scan, op6_decontaminate, op7_quality_classifier,
-        op8_quality_rules, op9_chat_format, op10_suffix_dedup,
+        op8_quality_rules, op9_chat_format, op10_suffix_dedup, op11_spelling_variants, op12_importance_resampling, op13_bpe,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op2_warc": oracles.OP2, "op6_decontaminate": oracles.OP6, "op8_quality_rules": oracles.OP8, "op9_chat_format": oracles.OP9,
+    "op11_spelling_variants": oracles.OP11, "op12_importance_resampling": oracles.OP12,
 }
