@@ -28,12 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetloom.llm.common import arrow_map, store
-from facetloom.operators.ordering import top_k
 
 LETTERS = 26 + 64  # a to z, then the code points C0 to FF
 SHORTEST = 7
 LAST_LENGTH = 64
-CELL = 16_384  # words wanted in a cell
+CELL = 32_768  # words wanted in a cell
 SAMPLE = 4_096  # words of each length that a tree is built from
 BUCKET = 32
 COUNTED = 200_000  # different words a task holds before it hands counts on
@@ -93,8 +92,10 @@ class LetterTree:
         while work:
             node, rows = work.pop()
             q = asked[rows]
-            above = np.where(q > self.high[node], q - self.high[node], 0).sum(1) <= over
-            below = np.where(q < self.low[node], self.low[node] - q, 0).sum(1) <= under
+            # Counts of one word add up to no more than the wider type holds.
+            kind = np.promote_types(q.dtype, self.low[node].dtype)
+            above = (np.maximum(q, self.high[node]) - self.high[node]).sum(1, dtype=kind) <= over
+            below = (self.low[node] - np.minimum(q, self.low[node])).sum(1, dtype=kind) <= under
             rows = rows[above & below]
             if not len(rows):
                 continue
@@ -113,26 +114,60 @@ def one_edit(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
 
 
-def near_in_cell(points: list[str], asked: list[str], reach: tuple[int, int]) -> Iterator[tuple[int, int]]:
-    """(asked, point) places of words one edit apart."""
+def letter_rows(words: list[str], size: int) -> np.ndarray:
+    """Letters of words of one length, a row per word."""
+    return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), size)
+
+
+def edited(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows where words of ``a`` become those of ``b``, as long or one letter longer, by one edit."""
+    size = a.shape[1]
+    head = a == b[:, :size]
+    if b.shape[1] == size:
+        return head.sum(1) == size - 1
+    # Equal up to some place, and from there on with one letter left out.
+    tail = (a == b[:, 1:])[:, ::-1]
+    lead = np.where(head.all(1), size, head.argmin(1))
+    trail = np.where(tail.all(1), size, tail.argmin(1))
+    return lead + trail >= size
+
+
+def near_in_cell(points: list[str], asked: list[str], reach: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(asked, point) places of words one edit apart, some at a time."""
     if not points or not asked:
         return
     own, other = vectors(points), vectors(asked)
     kind = np.promote_types(own.dtype, other.dtype)
-    own, other = own.astype(kind), other.astype(kind)
+    used = own.any(0)
+    # Letters that no point has count against a question at once.
+    fit = np.flatnonzero(other[:, ~used].sum(1) <= reach[0])
+    own, other = own[:, used].astype(kind), other[:, used].astype(kind)
+    lengths = {len(w) for w in points}, {len(asked[k]) for k in fit}
+    even = all(len(x) == 1 for x in lengths) and max(*lengths[0], *lengths[1]) < LAST_LENGTH
+    if even:
+        rows_own = letter_rows(points, *lengths[0])
+        rows_asked = letter_rows([asked[k] for k in fit], *lengths[1])
     tree = LetterTree(own, BUCKET, tight=True)
-    for leaf, rows in tree.touched(other, *reach):
+    for leaf, rows in tree.touched(other[fit], *reach):
         # Words with equal counts cannot be parted by the tree, so a leaf may be long.
         for begin in range(0, len(tree.leaves[leaf]), ASKED):
             places = tree.leaves[leaf][begin : begin + ASKED]
             step = max(1, ASKED * BUCKET // len(places))
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
-                apart = other[part][:, None] - own[places][None]
-                over, under = np.maximum(apart, 0).sum(2), np.maximum(-apart, 0).sum(2)
-                for i, j in zip(*np.nonzero((over <= reach[0]) & (under <= reach[1]))):
-                    if one_edit(asked[part[i]], points[places[j]]):
-                        yield int(part[i]), int(places[j])
+                apart = other[fit[part]][:, None] - own[places][None]
+                # Of words of one length each, what one count has less another has more.
+                close = np.maximum(apart, 0).sum(2, dtype=kind) <= reach[0]
+                if not even:
+                    close &= np.maximum(-apart, 0).sum(2, dtype=kind) <= reach[1]
+                i, j = np.nonzero(close)
+                i, j = part[i], places[j]
+                if even:
+                    holds = edited(rows_asked[i], rows_own[j])
+                else:
+                    holds = np.array([one_edit(asked[fit[x]], points[y]) for x, y in zip(i, j)], bool)
+                if holds.any():
+                    yield fit[i[holds]], j[holds]
 
 
 def word_counts(docs: DataFrame, least: int = 2, shortest: int = SHORTEST, noise: int = 31) -> DataFrame:
@@ -177,13 +212,17 @@ def word_counts(docs: DataFrame, least: int = 2, shortest: int = SHORTEST, noise
 def sampled_trees(words: DataFrame) -> dict[int, LetterTree]:
     """A tree per length class, its leaves about ``CELL`` words each.
 
-    At most ``SAMPLE`` words of each of the few classes come to the driver.
+    About ``SAMPLE`` words of each of the few classes come to the driver, chosen by hash.
     """
-    classed = words.select("word", F.least(F.length("word"), F.lit(LAST_LENGTH)).alias("size"))
-    totals = dict(tuple(r) for r in classed.groupBy("size").count().collect())
+    size = F.least(F.length("word"), F.lit(LAST_LENGTH))
+    totals = dict(tuple(r) for r in words.groupBy(size.alias("size")).count().collect())
+    if not totals:
+        return {}
+    # Of 2^30 equal shares of the hashes, as many as hold ``SAMPLE`` words of a length on average.
+    share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1 << 30, (SAMPLE << 30) // n))])
     drawn: dict[int, list[str]] = {}
-    for word, size in top_k(classed, ["size"], [F.xxhash64("word"), F.col("word")], SAMPLE).select("word", "size").collect():
-        drawn.setdefault(size, []).append(word)
+    for row in words.where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share[size]).select("word").orderBy("word").collect():
+        drawn.setdefault(min(len(row["word"]), LAST_LENGTH), []).append(row["word"])
     return {
         size: LetterTree(vectors(own), max(8, len(own) * CELL // totals[size]), tight=False) for size, own in drawn.items()
     }
@@ -216,25 +255,24 @@ def near_words(words: DataFrame) -> DataFrame:
                         )
 
     def search(table: pd.DataFrame) -> pd.DataFrame:
-        found: dict[str, list] = {}
-
-        def add(word: str, near: str, n: int) -> None:
-            entry = found.setdefault(word, [0, -n, near])
-            entry[0] += 1
-            if (-n, near) < (entry[1], entry[2]):
-                entry[1:] = [-n, near]
-
         points = table[table["role"] == 0]
-        names, counts = points["word"].tolist(), points["n"].tolist()
+        names, counts = points["word"].to_numpy(object), points["n"].to_numpy()
+        found = []
         for role, reach in ((1, SAME), (2, LONGER)):
             asking = table[table["role"] == role]
-            asked, numbers = asking["word"].tolist(), asking["n"].tolist()
-            for i, j in near_in_cell(names, asked, reach):
-                add(asked[i], names[j], counts[j])
+            asked, numbers = asking["word"].to_numpy(object), asking["n"].to_numpy()
+            for i, j in near_in_cell(names.tolist(), asked.tolist(), reach):
+                found.append((asked[i], names[j], counts[j]))
                 if role == 2:  # a question to the next length is asked one way only
-                    add(names[j], asked[i], numbers[i])
-        rows = [(w, *entry) for w, entry in found.items()]
-        return pd.DataFrame(rows, columns=["word", "n_near", "less", "near"])
+                    found.append((names[j], asked[i], numbers[i]))
+        if not found:
+            return pd.DataFrame({"word": [], "n_near": [], "less": [], "near": []}, dtype=object)
+        words, near, n = map(np.concatenate, zip(*found))
+        pairs = pd.DataFrame({"word": words, "near": near, "less": -n}).sort_values(["less", "near"])
+        of = pairs.groupby("word", sort=False)
+        best = of.first().reset_index()
+        best = best.assign(n_near=of.size().to_numpy())[["word", "n_near", "less", "near"]]
+        return best.astype({"word": object, "near": object})
 
     placed = store(words.transform(arrow_map, place, "cell long, role tinyint, word string, n long"), "cells")
     found = placed.groupBy("cell").applyInPandas(search, "word string, n_near long, less long, near string")

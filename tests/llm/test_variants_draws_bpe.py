@@ -110,10 +110,10 @@ def test_small_cells_find_the_same(spark, corpus, monkeypatch):
 def test_cell_search(words):
     by_size = {k: [w for w in words if len(w) == k] for k in (7, 8, 9)}
     for own in by_size.values():
-        pairs = {(own[i], own[j]) for i, j in spelling.near_in_cell(own, own, spelling.SAME)}
+        pairs = {(own[i], own[j]) for x, y in spelling.near_in_cell(own, own, spelling.SAME) for i, j in zip(x, y)}
         assert pairs == {(a, b) for a in own for b in own if sum(x != y for x, y in zip(a, b)) == 1}
     shorter, longer = by_size[7], by_size[8]
-    pairs = {(shorter[i], longer[j]) for i, j in spelling.near_in_cell(longer, shorter, spelling.LONGER)}
+    pairs = {(shorter[i], longer[j]) for x, y in spelling.near_in_cell(longer, shorter, spelling.LONGER) for i, j in zip(x, y)}
     assert pairs == {(a, b) for a in shorter for b in longer if any(b[:k] + b[k + 1 :] == a for k in range(8))}
 
 
