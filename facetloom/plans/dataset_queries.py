@@ -9,7 +9,7 @@ from facetloom.functions import vocab as V
 from facetloom.operators import candidates as K
 from facetloom.operators import catalog as C
 from facetloom.operators import dataset as D
-from facetloom.operators import metrics, scoring, training
+from facetloom.operators import features, metrics, training
 from facetloom.plans import oracle as O
 from facetloom.plans import ranking_queries as R
 from facetloom.plans.catalog_queries import ITEM_SQL, SPLIT_SQL
@@ -17,6 +17,7 @@ from facetloom.plans.facet_queries import (
     LABELLED_SQL, SURVIVORS_SQL, WANTED_SQL, labelled_candidates, labelled_states, other_members, wanted_states,
 )
 from facetloom.plans.registry import query
+from facetloom.session import spread_join
 from facetloom.sources.tables import Tables, product_id
 
 
@@ -377,86 +378,170 @@ def named_pairs(t: Tables):
 @query("bpr_fit_linear")
 def q_bpr_fit_linear(t: Tables):
     pairs = t.keep("named_pairs", lambda: named_pairs(t))
-    fitted = training.bpr_fit_linear(pairs.select("positive", "negative", "weight"), max_iter=10)
+    fitted = training.bpr_fit_linear(pairs.select("positive", "negative", "weight"))
     return fitted.select("name", F.round("weight", 4).alias("weight"))
 
 
-def fit_fm(t: Tables, epochs: int = 2, dimension: int = 4):
-    """A short hybrid fit on train pairs, validated by MRR on validation states."""
+def fm_tables(t: Tables):
+    """Features of training states and products, the crosses of both, and the names of all parameters."""
     vocab = R.vocabulary(t)
-    ids = {side: vocab.filter(F.col("side") == side).select("name", F.col("feature_id").cast("int").alias("id")) for side in ("context", "item")}
-    crossed = R.crosses(t).select("context_feature", "item_feature").orderBy("context_feature", "item_feature")
-    known = [(r["context_feature"], r["item_feature"]) for r in crossed.limit(100_001).collect()]
-    if len(known) > 100_000:
-        raise ValueError("too many crosses to keep as parameters; raise the minimum support")
-    cross_ids = t.spark.createDataFrame([(c, i, n) for n, (c, i) in enumerate(known)], "context_feature string, item_feature string, cross_id int")
-
-    def encode(rows, key, names, side):
-        mapped = rows.select(key, F.explode(names).alias("name")).distinct().join(ids[side], "name")
-        return mapped.groupBy(key).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-
     states = training_states(t)
-    known_names = F.transform("known", lambda k: F.concat(F.lit("ctx:"), k))
-    named = states.select("state_id", F.array_append(known_names, F.concat(F.lit("ctx:category="), F.lower("category"))).alias("names"))
-    context = t.keep("fm_context", lambda: encode(named, "state_id", "names", "context").withColumnRenamed("ids", "context"))
-    item = t.keep("fm_item", lambda: encode(R.items(t), "parent_asin", "features", "item"))
-    product_cross = (
-        R.items(t).select("parent_asin", F.explode("features").alias("item_feature")).join(cross_ids, "item_feature")
-        .groupBy("context_feature", "parent_asin").agg(F.collect_list("cross_id").alias("ids"))
-    )
 
-    def crosses_of(rows, side):
-        """Active cross ids of (state, product) pairs."""
-        features_of = named.select("state_id", F.explode("names").alias("context_feature"))
-        return (
-            rows.select("state_id", side).distinct().join(features_of, "state_id")
-            .join(product_cross.withColumnRenamed("parent_asin", side), ["context_feature", side])
-            .groupBy("state_id", side).agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias(f"cross_{side}"))
+    def state_names():
+        own = F.concat(
+            F.transform("known", lambda k: F.concat(F.lit("ctx:"), k)),
+            F.array(
+                F.concat(F.lit("ctx:category="), F.lower("category")), F.concat(F.lit("ctx:turn="), S.turn_bucket(F.col("turn")))
+            ),
         )
+        rows = states.select(F.col("state_id").alias("context"), F.explode(own).alias("name"))
+        side = vocab.where(F.col("side") == "context")
+        return features.vocab_map(rows, side, ["context"]).join(side.select("feature_id", "name"), "feature_id").select("context", "name")
+
+    contexts = t.keep("fm_contexts", state_names)
+    items = t.keep("fm_items", lambda: R.items(t).select(F.col("parent_asin").alias("product"), F.explode("features").alias("name")))
+
+    def eligible():
+        train = states.where(F.col("split") == "train")
+        positive = train.select(F.col("state_id").alias("context_key"), F.col("target").alias("parent_asin"), F.col("n_sessions").alias("n"))
+        named = contexts.groupBy(F.col("context").alias("context_key")).agg(F.collect_list("name").alias("features"))
+        found = features.eligible_crosses(positive, named, R.items(t), 20)
+        return found.withColumn("name", F.concat("context_feature", F.lit("×"), "item_feature"))
+
+    known = t.keep("fm_crosses", eligible)
+
+    def crossed():
+        asked = fm_pairs(t).select("context", F.col("positive").alias("product")).unionByName(
+            fm_pairs(t).select("context", F.col("negative").alias("product"))
+        ).unionByName(fm_validation(t)).distinct()
+        by_product = items.join(known.select(F.col("item_feature").alias("name"), "context_feature", F.col("name").alias("cross")), "name")
+        own = contexts.join(known.select(F.col("context_feature").alias("name")).distinct(), "name", "left_semi")
+        rows = spread_join(asked, own.withColumnRenamed("name", "context_feature"), ["context"], ["product"])
+        return rows.join(by_product.select("context_feature", "product", "cross"), ["context_feature", "product"]).select(
+            "context", "product", F.col("cross").alias("name")
+        )
+
+    crosses = t.keep("fm_crossed", crossed)
+    names = vocab.select(F.col("side").alias("kind"), "name").unionByName(known.select(F.lit("cross").alias("kind"), "name"))
+    return training.FmData(contexts, items, crosses), names
+
 
+def fm_pairs(t: Tables):
+    """(context, positive, negative, weight) of the train split."""
     def build():
-        train = states.filter(F.col("split") == "train").select("state_id")
-        rows = weighted_pairs(t).join(train, "state_id", "left_semi").select(
-            "state_id", F.col("target").alias("p"), F.col("parent_asin").alias("n"), F.col("effective_weight").alias("weight")
+        train = training_states(t).where(F.col("split") == "train").select("state_id")
+        return weighted_pairs(t).join(train, "state_id", "left_semi").select(
+            F.col("state_id").alias("context"), F.col("target").alias("positive"), F.col("parent_asin").alias("negative"),
+            F.col("effective_weight").alias("weight"),
         )
-        none = F.array().cast("array<int>")
-        return (
-            rows.join(context, "state_id")
-            .join(item.select(F.col("parent_asin").alias("p"), F.col("ids").alias("positive")), "p")
-            .join(item.select(F.col("parent_asin").alias("n"), F.col("ids").alias("negative")), "n")
-            .join(crosses_of(rows, "p"), ["state_id", "p"], "left").join(crosses_of(rows, "n"), ["state_id", "n"], "left")
-            .select(
-                "context", "positive", "negative", F.coalesce("cross_p", none).alias("cross_positive"),
-                F.coalesce("cross_n", none).alias("cross_negative"), "weight",
-            )
+
+    return t.keep("fm_pairs", build)
+
+
+def fm_validation(t: Tables):
+    """(context, product): validation states with all products their facts leave."""
+    held_out = training_states(t).where(F.col("split") == "validation")
+    return t.keep("fm_validation", lambda: labelled_candidates(t, held_out)).select(
+        F.col("state_id").alias("context"), F.col("parent_asin").alias("product")
+    )
+
+
+STEP_SQL = f"""{PAIRS_SQL}, {R.VOCAB_SQL},
+tn AS (SELECT state_id, 'ctx:' || unnest(known_tokens) AS n FROM lab UNION SELECT state_id, 'ctx:category=' || lower(category) FROM lab
+  UNION SELECT state_id, 'ctx:turn=' || {O.turn_bucket('turn')} FROM lab),
+tf AS MATERIALIZED (SELECT DISTINCT state_id, coalesce(e.name, r.name) AS name FROM tn LEFT JOIN ctxn e ON e.name = n
+  LEFT JOIN ctxn r ON contains(n, '=') AND r.name = split_part(n, '=', 1) || '={V.RARE}' WHERE coalesce(e.name, r.name) IS NOT NULL),
+tp AS (SELECT l.state_id, l.target, n FROM lab l JOIN nst USING (state_id) JOIN splits s ON s.parent_asin = l.target WHERE split = 'train'),
+ta AS (SELECT * FROM tf WHERE split_part(split_part(name, '=', 1), ':', 2) IN ({O.quoted(V.ASK_ATTRIBUTES)}) AND NOT contains(name, '{V.RARE}')),
+te AS (SELECT name, sum(n) AS exposure FROM tp JOIN ta USING (state_id) GROUP BY 1 HAVING sum(n) >= 20),
+xr AS MATERIALIZED (SELECT ta.name AS cf, i.name AS itf FROM tp JOIN ta USING (state_id) JOIN items i ON i.parent_asin = tp.target
+  WHERE NOT contains(i.name, '{V.RARE}') AND ta.name IN (SELECT name FROM te) GROUP BY 1, 2 HAVING sum(n) >= 20),
+ds AS (SELECT unnest(range(1, 17)) AS d),
+v0 AS MATERIALIZED (SELECT kind, name, d, (({O.stable_int("'fm-start-2026'", 'kind', 'name', 'd::VARCHAR')} % 2001)::BIGINT - 1000) / 50000.0::DOUBLE AS v
+  FROM (SELECT 'context' AS kind, name FROM ctxn UNION ALL SELECT 'item', name FROM itemn), ds),
+tc AS MATERIALIZED (SELECT state_id, d, sum(v) AS c FROM tf JOIN v0 ON kind = 'context' AND v0.name = tf.name GROUP BY 1, 2),
+ts AS MATERIALIZED (SELECT parent_asin, d, sum(v) AS s, sum(v * v) AS q FROM items i JOIN v0 ON kind = 'item' AND v0.name = i.name GROUP BY 1, 2),
+tb AS MATERIALIZED (SELECT parent_asin, 0.5 * sum(s * s - q) AS base FROM ts GROUP BY 1),
+tw AS MATERIALIZED (SELECT state_id, prs.target AS p, prs.parent_asin AS n, tw * ew * sw * aw / sum(tw * ew * sw * aw) OVER () AS w
+  FROM prs JOIN splits s ON s.parent_asin = prs.target WHERE s.split = 'train'),
+tdot AS (SELECT state_id, p, n, sum(c * (a.s - b.s)) AS dot FROM tw JOIN tc USING (state_id) JOIN ts a ON a.parent_asin = p AND a.d = tc.d JOIN ts b ON b.parent_asin = n AND b.d = tc.d GROUP BY 1, 2, 3),
+tg AS MATERIALIZED (SELECT tw.state_id, tw.p, tw.n, -w / (1 + exp(a.base - b.base + coalesce(dot, 0))) AS g FROM tw JOIN tb a ON a.parent_asin = p JOIN tb b ON b.parent_asin = n
+  LEFT JOIN tdot ON tdot.state_id = tw.state_id AND tdot.p = tw.p AND tdot.n = tw.n),
+gc AS (SELECT 'context' AS kind, name, d, sum(x) AS g FROM (SELECT state_id, a.d, sum(g * (a.s - b.s)) AS x FROM tg JOIN ts a ON a.parent_asin = p JOIN ts b ON b.parent_asin = n AND b.d = a.d GROUP BY 1, 2) JOIN tf USING (state_id) GROUP BY 2, 3),
+sg AS MATERIALIZED (SELECT state_id, p AS parent_asin, g FROM tg UNION ALL SELECT state_id, n, -g FROM tg),
+gb AS (SELECT parent_asin, d, sum(g * c) AS b FROM sg JOIN tc USING (state_id) GROUP BY 1, 2), ga AS (SELECT parent_asin, sum(g) AS a FROM sg GROUP BY 1),
+gi AS (SELECT 'item' AS kind, i.name, ts.d, sum(coalesce(b, 0) + a * (s - v)) AS g FROM items i JOIN ga USING (parent_asin) JOIN ts USING (parent_asin)
+  LEFT JOIN gb ON gb.parent_asin = i.parent_asin AND gb.d = ts.d JOIN v0 ON kind = 'item' AND v0.name = i.name AND v0.d = ts.d GROUP BY 2, 3),
+gl AS (SELECT 'item' AS kind, i.name, 0 AS d, sum(a) AS g FROM items i JOIN ga USING (parent_asin) GROUP BY 2),
+gx AS (SELECT 'cross' AS kind, cf || '×' || itf AS name, 0 AS d, sum(g) AS g FROM xr JOIN tf ON tf.name = cf JOIN sg USING (state_id) JOIN items i ON i.parent_asin = sg.parent_asin AND i.name = itf GROUP BY 2),
+gr AS (SELECT * FROM gc UNION ALL SELECT * FROM gi UNION ALL SELECT * FROM gl UNION ALL SELECT * FROM gx),
+al AS (SELECT kind, name, d, v FROM v0 UNION ALL SELECT 'item', name, 0, 0 FROM itemn UNION ALL SELECT 'cross', cf || '×' || itf, 0, 0 FROM xr),
+st1 AS (SELECT al.kind, al.name, al.d, v, coalesce(g, 0) + v * 1e-5 AS g FROM al LEFT JOIN gr ON gr.kind = al.kind AND gr.name = al.name AND gr.d = al.d)"""
+
+
+@query(
+    "fm_adam_step",
+    O.with_views("states facts", f""", {STEP_SQL} SELECT kind, name, d::INT AS place, round(v - 0.01 * g / (abs(g) + 1e-8), 6) AS value, round(0.1 * g, 9) AS moment FROM st1"""),
+)
+def q_fm_adam_step(t: Tables):
+    """All parameters after the first step of a fit."""
+    config = training.FmConfig()
+    data, names = fm_tables(t)
+    start = training.start_parameters(names, config.dimension)
+    pairs = fm_pairs(t)
+    total = pairs.agg(F.sum("weight").alias("total"))
+    # One row of totals.
+    scaled = pairs.crossJoin(F.broadcast(total)).withColumn("weight", F.col("weight") / F.col("total")).drop("total")
+    sums = training.fm_sums(scaled, data, start, config.dimension)
+    moved = training.adam(training.fm_gradients(sums, data, start, config.dimension), config, 1)
+    return fm_values(moved, config.dimension, "m").select(
+        "kind", "name", "place", F.round("value", 6).alias("value"), F.round("m", 9).alias("moment")
+    )
+
+
+def fm_values(parameters, dimension: int, *others: str):
+    """(kind, name, place, value, *others): one row per number; places a kind does not use are left out."""
+    entries = [
+        F.struct(F.lit(d).alias("place"), F.get("v", F.lit(d)).alias("value"), *[F.get(o, F.lit(d)).alias(o) for o in others])
+        for d in range(dimension + 1)
+    ]
+    used = F.when(F.col("kind") == "cross", F.col("place") == 0).when(F.col("kind") == "context", F.col("place") > 0).otherwise(F.lit(True))
+    return parameters.select("kind", "name", F.inline(F.array(*entries))).where(used)
+
+
+def fit_fm(t: Tables, config: training.FmConfig | None = None) -> training.FmFit:
+    """A fit on train pairs; the epoch with the best MRR on validation states is kept."""
+    config = config or training.FmConfig()
+    data, names = fm_tables(t)
+    start = t.keep(f"fm_start_{config.dimension}", lambda: training.start_parameters(names, config.dimension))
+    pairs = fm_pairs(t)
+    held_out = training_states(t).where(F.col("split") == "validation").select("state_id", "target", "weight")
+    rows = fm_validation(t)
+
+    def validate(parameters) -> float:
+        scores = training.fm_scores(rows, data, parameters, config.dimension)
+        goals = held_out.select(F.col("state_id").alias("context"), "target", "weight")
+        goal = scores.join(goals, (scores["context"] == goals["context"]) & (scores["product"] == goals["target"])).select(
+            goals["context"], "target", "weight", F.col("score").alias("own")
         )
+        # Each state has one target: its rank is what stands before it, counted.
+        before = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("product") < F.col("target")))
+        ranks = spread_join(scores, goal, ["context"], ["product"]).groupBy("context").agg(
+            (F.sum(before.cast("int")) + 1).alias("rank"), F.first("weight").alias("weight")
+        )
+        return ranks.agg(metrics.weighted_mean(1.0 / F.col("rank"), F.col("weight"))).first()[0] or 0.0
 
-    pairs = t.keep("fm_pairs", build)
-    sizes = {r["side"]: r["n"] for r in vocab.groupBy("side").agg(F.count("*").alias("n")).collect()}
-    start = training.FmParameters.start(sizes["context"], sizes["item"], len(known), dimension)
-    held_out = states.filter(F.col("split") == "validation")
-    survivors = t.keep("fm_validation", lambda: labelled_candidates(t, held_out))
-
-    def validate(p) -> float:
-        spark = t.spark
-        items = spark.createDataFrame([(i, float(p.linear[i]), p.item[i].tolist()) for i in range(len(p.linear))], "id int, linear double, vector array<double>")
-        ctx = spark.createDataFrame([(i, 0.0, p.context[i].tolist()) for i in range(len(p.context))], "id int, linear double, vector array<double>")
-        named_item = items.join(ids["item"], "id").select("name", "linear", "vector")
-        parts = scoring.item_components(R.items(t).select("parent_asin", F.explode("features").alias("name")), named_item, dimension)
-        rows = named.join(held_out, "state_id", "left_semi").select(F.col("state_id").alias("context_key"), F.explode("names").alias("name"))
-        contexts = scoring.context_vectors(rows, ctx.join(ids["context"], "id").select("name", "linear", "vector"), dimension)
-        scored = scoring.score_fm(survivors.withColumnRenamed("state_id", "context_key"), contexts, parts)
-        ranks = metrics.target_rank(scored, held_out.select(F.col("state_id").alias("context_key"), "target"), "context_key")
-        weights = held_out.select(F.col("state_id").alias("context_key"), "weight")
-        return ranks.join(weights, "context_key").agg(metrics.weighted_mean(1.0 / F.col("rank"), F.col("weight"))).first()[0]
-
-    config = training.FmConfig(dimension=dimension, epochs=epochs)
-    return training.bpr_fit_fm(lambda epoch, p: pairs, start, config, validate), sizes
+    return training.bpr_fit_fm(lambda epoch, p: pairs, data, start, config, validate)
 
 
 @query("bpr_fit_fm")
 def q_bpr_fit_fm(t: Tables):
-    fit, _ = fit_fm(t)
-    rows = [(r["epoch"], round(r["loss"], 6), round(r["mrr"], 6), r["epoch"] == fit.best_epoch) for r in fit.history]
-    return t.spark.createDataFrame(rows, "epoch int, loss double, mrr double, best boolean")
-
+    """The best epoch's parameters, and loss and MRR of every epoch."""
+    config = training.FmConfig()
+    fit = fit_fm(t, config)
+    rows = [
+        ("history", f"{name}{' (best)' if r['epoch'] == fit.best_epoch else ''}", r["epoch"], round(r[name], 6))
+        for r in fit.history for name in ("loss", "mrr")
+    ]
+    history = t.spark.createDataFrame(rows, "kind string, name string, place int, value double")
+    return fm_values(fit.parameters, config.dimension).withColumn("value", F.round("value", 6)).unionByName(history)

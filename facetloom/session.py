@@ -59,6 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a lineage cut whose size Spark knows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def salt_of(salts: int, *columns: Column) -> Column:
     """Deterministic salt, so a recomputed task places its rows as before."""
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")

@@ -357,34 +357,95 @@ def test_linear_ranker_learns(spark):
     assert w["good"] > 0 > w["bad"] and abs(w.get("x", 0.0)) < 1e-6
 
 
+def fm_case(spark):
+    """Three pairs over small tables, and the loss of given parameters by hand."""
+    import numpy as np
+
+    contexts = {"k1": ["c1", "c2"], "k2": ["c3"]}
+    products = {"a": ["i1", "i2"], "b": ["i3", "i4"], "c": ["i2", "i4"]}
+    crossed = {("k1", "a"): ["x1"], ("k1", "b"): ["x2"], ("k2", "b"): ["x1", "x2"]}
+    pairs = [("k1", "a", "b", 2.0), ("k2", "c", "b", 1.0), ("k3", "a", "c", 0.5)]
+    flat = lambda table: [(*(k if isinstance(k, tuple) else (k,)), n) for k, names in table.items() for n in names]
+    data = training.FmData(
+        spark.createDataFrame(flat(contexts), "context string, name string"),
+        spark.createDataFrame(flat(products), "product string, name string"),
+        spark.createDataFrame(flat(crossed), "context string, product string, name string"),
+    )
+    names = [("context", n) for n in ("c1", "c2", "c3", "c4")] + [("item", f"i{k}") for k in range(1, 5)] + [("cross", "x1"), ("cross", "x2")]
+
+    def loss(p):
+        def score(k, x):
+            s = sum((p["item", i] for i in products[x]), np.zeros(4))
+            q = sum((p["item", i] ** 2 for i in products[x]), np.zeros(4))
+            c = sum((p["context", n] for n in contexts.get(k, [])), np.zeros(4))
+            return s[0] + 0.5 * (s[1:] ** 2 - q[1:]).sum() + c[1:] @ s[1:] + sum(p["cross", n][0] for n in crossed.get((k, x), []))
+
+        return sum(w * np.logaddexp(0.0, -(score(k, a) - score(k, b))) for k, a, b, w in pairs)
+
+    return data, spark.createDataFrame(names, "kind string, name string"), spark.createDataFrame(
+        pairs, "context string, positive string, negative string, weight double"
+    ), loss
+
+
+def slope(loss, p, key, place):
+    up, down = ({**p, key: p[key].copy()} for _ in range(2))
+    up[key][place] += 1e-5
+    down[key][place] -= 1e-5
+    return (loss(up) - loss(down)) / 2e-5
+
+
+def used_places(kind):
+    return {"context": (1, 2, 3), "item": (0, 1, 2, 3), "cross": (0,)}[kind]
+
+
 def test_fm_gradient_matches_differences(spark):
     import numpy as np
 
-    p = training.FmParameters.start(3, 4, 2, 3)
-    p.linear[:] = [0.1, -0.2, 0.3, 0.0]
-    p.cross[:] = [0.5, -0.4]
-    rows = [([0, 1], [0, 1], [2, 3], [0], [1], 2.0), ([2], [1], [3], [], [0], 1.0)]
-    pairs = spark.createDataFrame(rows, "context array<int>, positive array<int>, negative array<int>, cross_positive array<int>, cross_negative array<int>, weight double")
-
-    def loss(q):
-        total = 0.0
-        for c, a, b, xa, xb, w in rows:
-            def score(items, crosses):
-                s = q.item[items].sum(0)
-                base = q.linear[items].sum() + 0.5 * ((s * s).sum() - (q.item[items] ** 2).sum())
-                return base + q.context[c].sum(0) @ s + q.cross[crosses].sum()
-            total += w * np.logaddexp(0.0, -(score(a, xa) - score(b, xb)))
-        return total
-
-    sums = training.gradient_rows(pairs, p).toPandas()
-    assert abs(float(sums[sums.kind == "loss"].g0.iloc[0]) - loss(p)) < 1e-9
-    for kind, index in (("context", (1, 2)), ("item", (3, 0)), ("linear", (1,)), ("cross", (0,))):
-        up, down = p.copy(), p.copy()
-        up.blocks()[kind][index] += 1e-5
-        down.blocks()[kind][index] -= 1e-5
-        row = sums[(sums.kind == kind) & (sums.id == index[0])]
-        got = float(row[f"g{index[1] if len(index) > 1 else 0}"].iloc[0])
-        assert abs(got - (loss(up) - loss(down)) / 2e-5) < 1e-6
+    data, names, pairs, loss = fm_case(spark)
+    drawn = training.start_parameters(names, 3)
+    # Larger numbers than a start has, and weights that are not zero.
+    start = drawn.withColumn("v", F.transform("v", lambda x, d: F.when((F.col("kind") == "context") & (d == 0), 0.0).otherwise(x * 40 + F.when(d == 0, F.length("name") / 7).otherwise(0))))
+    p = {(r["kind"], r["name"]): np.array(r["v"]) for r in start.collect()}
+    sums = training.fm_sums(pairs, data, start, 3)
+    assert abs(sums.where("kind = 'loss'").first()["a"] - loss(p)) < 1e-9
+    for r in training.fm_gradients(sums, data, start, 3).collect():
+        for place in used_places(r["kind"]):
+            assert abs(r["g"][place] - slope(loss, p, (r["kind"], r["name"]), place)) < 1e-6, (r["kind"], r["name"], place)
+
+
+@pytest.mark.parametrize("variant", ["hybrid", "fm", "linear"])
+def test_fm_fit_takes_adam_steps(spark, variant):
+    import numpy as np
+
+    data, names, pairs, loss = fm_case(spark)
+    start = training.start_parameters(names, 3, variant=variant)
+    p = {(r["kind"], r["name"]): np.array(r["v"]) for r in start.collect()}
+    m = {k: np.zeros(4) for k in p}
+    u = {k: np.zeros(4) for k in p}
+    total, losses = 3.5, []
+    for step in (1, 2, 3):
+        losses.append(loss(p) / total)
+        slopes = {(k, d): slope(loss, p, k, d) / total for k in p for d in used_places(k[0])}
+        for (key, d), g in slopes.items():
+            if variant == "linear" and (key[0] != "item" or d) or variant == "fm" and key[0] == "cross":
+                continue
+            g += {"cross": 1e-4}.get(key[0], 1e-5) * p[key][d]
+            m[key][d] += 0.1 * (g - m[key][d])
+            u[key][d] += 0.001 * (g * g - u[key][d])
+            p[key][d] -= 0.01 * (m[key][d] / (1 - 0.9**step)) / (np.sqrt(u[key][d] / (1 - 0.999**step)) + 1e-8)
+    values = iter([0.5, 0.7, 0.7, 0.1])
+    config = training.FmConfig(dimension=3, epochs=3, variant=variant)
+    fit = training.bpr_fit_fm(lambda epoch, now: pairs, data, start, config)
+    assert np.allclose([r["loss"] for r in fit.history], losses, atol=1e-7)
+    for r in fit.parameters.collect():
+        for d in used_places(r["kind"]):
+            assert abs(r["v"][d] - p[r["kind"], r["name"]][d]) < 1e-4, (r["kind"], r["name"], d)
+    if variant == "linear":
+        kept = training.bpr_fit_fm(
+            lambda epoch, now: pairs, data, start, training.FmConfig(dimension=3, epochs=9, patience=2, batches=2, variant=variant),
+            lambda now: next(values),
+        )
+        assert kept.best_epoch == 2 and len(kept.history) == 4
 
 
 def test_no_cartesian_product_and_pushdown(spark):
