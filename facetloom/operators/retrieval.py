@@ -26,6 +26,11 @@ def _stemmer():
     return pandas_udf(stem_batch, StringType())
 
 
+def stems(words: Column) -> Column:
+    """Stems of words, diacritics removed; ask for distinct ones."""
+    return _stemmer()(words)
+
+
 def text_index(
     documents: DataFrame, id_col: str, text_col: str, stem: bool = True, unicode: bool = True
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -73,8 +78,8 @@ def bm25_search(
 
     ``queries``: (query_id, tokens).  ``candidates``: (query_id, id) restricts a
     query's hits before anything is summed; scores keep collection statistics.
-    Query terms are joined to their statistics first, then to the postings with
-    the terms' hot posting lists salted; only hits reach the shuffle.
+    Query terms are joined to their statistics first, then to the postings, or to
+    the candidates' postings; hot terms, documents and queries are salted.
     """
     if limit < 0:
         raise ValueError("limit must be non-negative")
@@ -84,9 +89,13 @@ def bm25_search(
         asked.join(terms, "term").crossJoin(F.broadcast(totals))
         .select("query_id", "term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
     )
-    hits = spread_join(postings, weighted, ["term"], ["id"])
-    if candidates is not None:
-        hits = hits.join(candidates.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    if candidates is None:
+        hits = spread_join(postings, weighted, ["term"], ["id"])
+    else:
+        # Only what a query may find is looked at: its candidates' postings of terms that anybody asked for.
+        wanted = postings.join(asked.select("term").distinct(), "term", "left_semi")
+        mine = spread_join(candidates.select("query_id", "id").distinct(), wanted, ["id"], ["query_id"])
+        hits = spread_join(mine, weighted, ["query_id", "term"], ["id"])
     tf = F.col("tf")
     part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))

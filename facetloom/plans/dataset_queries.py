@@ -234,20 +234,38 @@ def q_survivor_negatives(t: Tables):
     return sampled(t).select("state_id", "target", "parent_asin", "sampler", "tie")
 
 
-@query(
-    "product_fixed_negatives",
-    O.with_views(
-        "profile",
-        f""", {ITEM_SQL}, {SPLITS_SQL}, feat AS MATERIALIZED (SELECT parent_asin, list(name) AS fs FROM items GROUP BY 1),
+FIXED_SQL = f"""{ITEM_SQL}, {SPLITS_SQL}, feat AS MATERIALIZED (SELECT parent_asin, list(name) AS fs FROM items GROUP BY 1),
 ring AS MATERIALIZED (SELECT parent_asin, category, split, count(*) OVER (PARTITION BY category, split) AS size,
   row_number() OVER (PARTITION BY category, split ORDER BY {O.hash_key("'product-fixed-pool'", "'2026'", 'parent_asin')}, parent_asin) AS place FROM splits),
 wa AS (SELECT parent_asin AS target, category, split, (place - 1 + step) % size + 1 AS place FROM (SELECT *, unnest(range(1, least(128, size - 1) + 1)) AS step FROM ring)),
-sh AS (SELECT target, r.parent_asin, len(list_intersect(a.fs, b.fs)) AS shared FROM wa JOIN ring r USING (category, split, place) JOIN feat a ON a.parent_asin = target JOIN feat b ON b.parent_asin = r.parent_asin)
-SELECT * FROM (SELECT target, parent_asin, shared, row_number() OVER (PARTITION BY target ORDER BY shared DESC, {O.hash_key("'product-fixed'", "'2026'", 'target', 'parent_asin')}, parent_asin) AS rank FROM sh) WHERE rank <= 16""",
+sh AS (SELECT target, r.parent_asin, len(list_intersect(a.fs, b.fs)) AS shared FROM wa JOIN ring r USING (category, split, place) JOIN feat a ON a.parent_asin = target JOIN feat b ON b.parent_asin = r.parent_asin),
+fx AS MATERIALIZED (SELECT target, parent_asin, shared, row_number() OVER (PARTITION BY target ORDER BY shared DESC, {O.hash_key("'product-fixed'", "'2026'", 'target', 'parent_asin')}, parent_asin) AS rank FROM sh)"""
+
+
+@query("product_fixed_pool", O.with_views("profile", f", {FIXED_SQL} SELECT target, parent_asin, shared, rank FROM fx"))
+def q_product_fixed_pool(t: Tables):
+    return fixed_pool(t).select("target", "parent_asin", "shared", "rank")
+
+
+def fixed_pool(t: Tables):
+    return t.keep("fixed_pool", lambda: D.product_fixed_pool(product_splits(t), R.items(t)))
+
+
+@query(
+    "product_fixed_negatives",
+    O.with_views(
+        "states facts",
+        f""", {FIXED_SQL}, {LABELLED_SQL},
+tf AS (SELECT lab.state_id, fx.target, fx.parent_asin, fx.rank FROM lab JOIN fx USING (target) JOIN ev e ON e.parent_asin = fx.parent_asin JOIN ev te ON te.parent_asin = fx.target
+  WHERE len(list_intersect(known_tokens, e.ev)) < len(list_intersect(known_tokens, te.ev)))
+SELECT * FROM (SELECT state_id, target, parent_asin, row_number() OVER (PARTITION BY state_id ORDER BY rank) AS place FROM tf) WHERE place <= 16""",
     ),
 )
 def q_product_fixed_negatives(t: Tables):
-    return D.product_fixed_negatives(product_splits(t), R.items(t)).select("target", "parent_asin", "shared", "rank")
+    """Every state's first sixteen of its target's pool, once the products it cannot tell apart are gone."""
+    states = training_states(t).select("state_id", "target", "known")
+    found = D.product_fixed_negatives(fixed_pool(t), states, K.evidence_of(t.profile))
+    return found.select("state_id", "target", "parent_asin", "place")
 
 
 def weighted_pairs(t: Tables):

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from facetloom.functions import scalars as S
+from facetloom.functions import text as X
 from facetloom.functions import vocab as V
 from facetloom.operators import candidates as K
 from facetloom.operators import features, metrics, ordering, questions, retrieval, scoring
 from facetloom.plans import oracle as O
-from facetloom.plans.catalog_queries import CONTEXT_SQL, ITEM_SQL, state_context, tokens_sql
+from facetloom.plans.catalog_queries import CONTEXT_SQL, DOCUMENT_SQL, ITEM_SQL, state_context, tokens_sql
 from facetloom.plans.facet_queries import PLAIN_SQL, SURVIVORS_SQL, other_members, wanted_states
 from facetloom.plans.registry import query
 from facetloom.session import spread_join
@@ -574,13 +574,24 @@ def word_index(t: Tables, stem: bool):
 
 
 def kept_index(t: Tables):
-    """Unstemmed postings kept on disk; statistics are read back from them."""
+    """Unstemmed postings and their statistics, kept on disk."""
     postings = t.keep("postings", lambda: word_index(t, False)[0])
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+    terms = t.keep("term_counts", lambda: postings.groupBy("term").agg(F.count("*").alias("df")))
     lengths = t.keep("doc_lengths", lambda: t.documents.select(F.size(retrieval.X.document_terms(F.col("text"), True)).alias("dl")))
     return postings, terms, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def product_index(t: Tables, stem: bool):
+    """Postings of product documents and their statistics, kept on disk."""
+    kind = "stemmed" if stem else "plain"
+    documents = t.catalog.select("parent_asin", X.product_document().alias("text"))
+    index = lambda: retrieval.text_index(documents, "parent_asin", "text", stem)
+    postings = t.keep(f"product_postings_{kind}", lambda: index()[0])
+    terms = t.keep(f"product_terms_{kind}", lambda: postings.groupBy("term").agg(F.count("*").alias("df")))
+    totals = t.keep(f"product_totals_{kind}", lambda: index()[2])
+    return postings, terms, totals
+
+
 TERMS_SQL = "regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+')"
 INDEX_SQL = f"""w AS MATERIALIZED (SELECT doc_id AS id, {TERMS_SQL} AS ws FROM documents),
 po AS MATERIALIZED (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(ws) AS dl, unnest(ws) AS term FROM w) GROUP BY 1, 2),
@@ -602,17 +613,13 @@ def q_text_index_stemmed(t: Tables):
 
 
 BM25_SQL = f"""{INDEX_SQL}, q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark),
-cand AS (SELECT doc_id AS id FROM documents WHERE lang IN ('en', 'fr')),
 bm AS MATERIALIZED (SELECT query_id, id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
-  FROM q JOIN te USING (term) JOIN po USING (term), tt WHERE id IN (SELECT id FROM cand) GROUP BY 1, 2),
+  FROM q JOIN te USING (term) JOIN po USING (term), tt GROUP BY 1, 2),
 bmr AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm)"""
 
 
 def lexical_hits(t: Tables, limit: int = 500):
-    postings, terms, totals = kept_index(t)
-    allowed = t.table("documents").filter(F.col("lang").isin("en", "fr")).select(F.col("doc_id").alias("id"))
-    inside = postings.join(allowed, "id", "left_semi")
-    return retrieval.bm25_search(t.text_queries, inside, terms, totals, None, limit)
+    return retrieval.bm25_search(t.text_queries, *kept_index(t), None, limit)
 
 
 @query("bm25_search", f"WITH {BM25_SQL} SELECT query_id, id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 500")
@@ -658,58 +665,104 @@ def q_l2_normalize(t: Tables):
     )
 
 
-def base_hits(t: Tables, depth: int = 200):
-    """The longest documents, for every query: a stand-in ranker."""
-    return listed(t.text_queries.select("query_id"), first_documents(t, [F.desc("n_chars"), F.asc("id")], depth))
+# Search of a state: its category and wanted values, among the products that its facts leave.
+
+
+def state_queries(t: Tables):
+    """(query_id, tokens) of every context."""
+    rows = context_rows(t).select(F.col("context_key").alias("query_id"), "pool", "wanted").dropDuplicates(["query_id"])
+    said = F.concat_ws(" ", "pool", F.array_join(F.transform("wanted", lambda w: F.substr(w, F.lit(7))), " "))
+    return rows.select("query_id", X.query_tokens(said, unicode=True).alias("tokens"))
 
 
-def first_documents(t: Tables, order, depth: int):
-    """One row: the first ``depth`` documents in an order, with their places."""
-    best = t.table("documents").select(F.col("doc_id").alias("id"), "n_chars").orderBy(*order).limit(depth)
-    placed = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return placed.agg(F.collect_list(F.struct("id", "rank")).alias("l"))
+def state_candidates(t: Tables):
+    return pairs(t).select(F.col("context_key").alias("query_id"), F.col("parent_asin").alias("id"))
 
 
-def listed(queries, one):
-    """Every query with the entries of the one list."""
-    return queries.crossJoin(F.broadcast(one)).select("query_id", F.inline("l"))
+def ranker_list(t: Tables, depth: int = 200):
+    best = metrics.rank_candidates(scored(t), "context_key", depth)
+    return best.select(F.col("context_key").alias("query_id"), F.col("parent_asin").alias("id"), "rank")
 
 
-LISTS_SQL = f"""{BM25_SQL}, bs AS (SELECT item_id AS query_id, id, rank FROM benchmark, (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 200),
-dn AS (SELECT item_id AS query_id, id, rank FROM benchmark, (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars, doc_id) AS rank FROM documents) WHERE rank <= 200 AND item_id % 3 > 0)"""
+def product_hits(t: Tables, stem: bool, limit: int = 200):
+    """Stemmed words are looked for as stems; tokens that share one count once."""
+    asked = state_queries(t)
+    if stem:
+        asked = asked.select("query_id", F.explode("tokens").alias("word"))
+        lexicon = asked.select("word").distinct().withColumn("term", retrieval.stems(F.col("word")))
+        asked = asked.join(lexicon, "word").groupBy("query_id").agg(F.collect_set("term").alias("tokens"))
+    return retrieval.bm25_search(asked, *product_index(t, stem), state_candidates(t), limit)
+
+
+def vector_list(t: Tables, depth: int = 200):
+    """Cosine of a context's vector with its candidates'; both are dealt from ``embeddings``."""
+    one = t.vectors.agg(F.count("*").alias("n"))
+    queries = raw_contexts(t).select(F.col("context_key").alias("query_id")).crossJoin(F.broadcast(one)).select(
+        "query_id", S.stable_mod(F.col("n"), F.lit("query"), F.col("query_id")).alias("id")
+    ).join(t.vectors.select("id", "vector"), "id").select("query_id", "vector")
+    products = t.products.select("parent_asin", F.substring("parent_asin", 2, 8).cast("long").alias("k")).crossJoin(F.broadcast(one)).select(
+        "parent_asin", F.pmod("k", "n").alias("id")
+    ).join(t.vectors.select("id", "vector"), "id").select(F.col("parent_asin").alias("id"), "vector")
+    return retrieval.cosine_pairs(queries, products, state_candidates(t), depth)
+
+
+LISTS_SQL = f"""xw AS MATERIALIZED (SELECT parent_asin AS id, {TERMS_SQL.replace('text', 'document')} AS ws FROM (SELECT parent_asin, {DOCUMENT_SQL} AS document FROM prod)),
+xpo AS MATERIALIZED (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(ws) AS dl, unnest(ws) AS term FROM xw) GROUP BY 1, 2),
+xte AS (SELECT term, count(*) AS df FROM xpo GROUP BY 1), xtt AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM xw),
+xq AS (SELECT context_key AS query_id, unnest({tokens_sql("said")}) AS term FROM (SELECT context_key, category || ' ' || array_to_string(list_transform(wanted, lambda w: substr(w, 7)), ' ') AS said FROM cx)),
+xbm AS MATERIALIZED (SELECT query_id, id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM xq JOIN xte USING (term) JOIN xpo USING (term) JOIN pr ON pr.context_key = query_id AND pr.parent_asin = id, xtt GROUP BY 1, 2),
+lx AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM xbm),
+xn AS (SELECT count(*) AS n FROM embeddings), xe AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+qv AS (SELECT context_key AS query_id, v FROM (SELECT context_key, ({O.stable_int("'query'", 'context_key')} % n::UBIGINT)::BIGINT AS i FROM cx, xn) JOIN xe ON vec_id = i),
+pv AS (SELECT parent_asin AS id, v FROM (SELECT parent_asin, substr(parent_asin, 2)::BIGINT % n AS i FROM prod, xn) JOIN xe ON vec_id = i),
+dn AS MATERIALIZED (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(qv.v, pv.v) / sqrt(list_dot_product(qv.v, qv.v)) DESC, id) AS rank
+  FROM pr JOIN qv ON query_id = context_key JOIN pv ON id = parent_asin),
+bl AS MATERIALIZED (SELECT context_key AS query_id, parent_asin AS id, row_number() OVER (PARTITION BY context_key ORDER BY score DESC, parent_asin) AS rank FROM sc)"""
 FUSE_SQL = """pl AS (SELECT query_id, source, weight, id, row_number() OVER (PARTITION BY query_id, source ORDER BY rank, id) AS place FROM (SELECT query_id, source, any_value(weight) AS weight, id, min(rank) AS rank FROM li GROUP BY query_id, source, id)),
 fu AS (SELECT query_id, id, sum(weight / (60 + place)) AS score, min((source, place)) AS seen FROM pl GROUP BY 1, 2)
 SELECT query_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, id) AS rank FROM fu) WHERE rank <= {0}"""
 
 
+@query("product_search", sql(f", {LISTS_SQL} SELECT query_id, id, round(score, 6) AS score, rank FROM lx WHERE rank <= 200"))
+def q_product_search(t: Tables):
+    """Each context's candidates by the words of their documents."""
+    return product_hits(t, stem=False).withColumn("score", F.round("score", 6))
+
+
+@query("product_search_stemmed")
+def q_product_search_stemmed(t: Tables):
+    return product_hits(t, stem=True).withColumn("score", F.round("score", 6))
+
+
 @query(
     "rrf_fuse",
-    f"""WITH {LISTS_SQL}, li AS (SELECT query_id, 0 AS source, 1.0::DOUBLE AS weight, id, rank FROM bs UNION ALL SELECT query_id, 1, 2.0, id, rank FROM bmr WHERE rank <= 200
-  UNION ALL SELECT query_id, 1, 2.0, id, rank + 500 FROM bmr WHERE rank <= 20), """ + FUSE_SQL.format(20),
+    sql(
+        f""", {LISTS_SQL}, li AS (SELECT query_id, 0 AS source, 1.0::DOUBLE AS weight, id, rank FROM bl WHERE rank <= 200 UNION ALL SELECT query_id, 1, 2.0, id, rank FROM lx WHERE rank <= 200
+  UNION ALL SELECT query_id, 1, 2.0, id, rank + 500 FROM lx WHERE rank <= 20), """ + FUSE_SQL.format(20)
+    ),
 )
 def q_rrf_fuse(t: Tables):
+    """Repeats within a list count once, a list without weight does not count."""
     part = lambda df, n, w: df.select("query_id", F.lit(n).alias("source"), "rank", "id", F.lit(w).alias("weight"))
-    words = lexical_hits(t, 200)
+    words = product_hits(t, stem=False)
     repeated = words.filter(F.col("rank") <= 20).withColumn("rank", F.col("rank") + 500)
-    ignored = part(base_hits(t, 20), 2, 0.0)
-    lists = part(base_hits(t), 0, 1.0).unionByName(part(words, 1, 2.0)).unionByName(part(repeated, 1, 2.0))
+    ignored = part(vector_list(t, 20), 2, 0.0)
+    lists = part(ranker_list(t), 0, 1.0).unionByName(part(words, 1, 2.0)).unionByName(part(repeated, 1, 2.0))
     fused = retrieval.rrf_fuse(lists.unionByName(ignored), 60, 20)
     return fused.withColumn("score", F.round("score", 9))
 
 
-def dense_hits(t: Tables, depth: int = 200):
-    """Shortest documents, for two thirds of the queries: a stand-in dense list."""
-    asked = t.text_queries.filter(F.pmod("query_id", F.lit(3)) > 0).select("query_id")
-    return listed(asked, first_documents(t, [F.asc("n_chars"), F.asc("id")], depth))
-
-
 @query(
     "hybrid_rank",
-    f"""WITH {LISTS_SQL}, li AS (SELECT query_id, 0 AS source, 0.75::DOUBLE AS weight, id, rank FROM bs UNION ALL SELECT query_id, 2, 1.5, id, rank FROM dn
-  UNION ALL SELECT query_id, 3, 1.0, id, rank FROM bmr WHERE rank <= 200 AND query_id NOT IN (SELECT query_id FROM dn)), """ + FUSE_SQL.format(10),
+    sql(
+        f""", {LISTS_SQL}, li AS (SELECT query_id, 0 AS source, 0.75::DOUBLE AS weight, id, rank FROM bl WHERE rank <= 200 UNION ALL SELECT query_id, 1, 0.75, id, rank FROM lx WHERE rank <= 200
+  UNION ALL SELECT query_id, 2, 1.5, id, rank FROM dn WHERE rank <= 200), """ + FUSE_SQL.format(10)
+    ),
 )
 def q_hybrid_rank(t: Tables):
-    fused = retrieval.hybrid_rank(base_hits(t), lexical_hits(t, 200), dense_hits(t), "dense")
+    """Ranker, words and vectors over the same candidates of every context."""
+    fused = retrieval.hybrid_rank(ranker_list(t), product_hits(t, stem=False), vector_list(t), "hybrid")
     return fused.withColumn("score", F.round("score", 9))
 
 

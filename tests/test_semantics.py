@@ -504,3 +504,58 @@ def test_targets_of_one_context(spark):
     targets = spark.createDataFrame([("k", t) for t in "abcd"] + [("j", "a"), ("k", "c")], "k string, target string")
     got = {(r["k"], r["target"]): (r["rank"], r["width"], r["wins"]) for r in metrics.target_rank(scores, targets, "k").collect()}
     assert got == {("k", "a"): (1, 4, 3.0), ("k", "b"): (2, 4, 1.5), ("k", "c"): (3, 4, 1.5), ("k", "d"): (4, 4, 0.0), ("j", "a"): (1, 1, 0.0)}
+
+
+def test_stemmed_search_among_candidates(spark):
+    import math
+
+    texts = {1: "running shoes for runners", 2: "a shoe to run in, run and run", 3: "leather boots", 4: "été running", 5: None, 6: "runs"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    index = retrieval.text_index(docs, "doc_id", "text", stem=True)
+    asked = spark.createDataFrame([("q", ["running", "shoes"]), ("r", ["boot"]), ("s", ["nothing"])], "query_id string, tokens array<string>")
+    stemmed = asked.select("query_id", F.transform("tokens", lambda w: w).alias("tokens")).select("query_id", F.explode("tokens").alias("w"))
+    stemmed = stemmed.select("query_id", retrieval.stems(F.col("w")).alias("w")).groupBy("query_id").agg(F.collect_set("w").alias("tokens"))
+    allowed = [("q", 1), ("q", 2), ("q", 3), ("q", 5), ("r", 3), ("r", 1), ("s", 1), ("q", 2)]
+    candidates = spark.createDataFrame(allowed, "query_id string, id int")
+    found = retrieval.bm25_search(stemmed, *index, candidates, 10).collect()
+    words = {k: [fold_and_stem(w) for w in (t or "").replace(",", "").split()] for k, t in texts.items()}
+    # A text that is missing counts as a document but has no length.
+    n, average = len(texts), sum(map(len, words.values())) / 5
+
+    def score(query, k):
+        total = 0.0
+        for term in {fold_and_stem(w) for w in query}:
+            df, tf = sum(term in w for w in words.values()), words[k].count(term)
+            part = max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+            total += part * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words[k]) / average)) if tf else 0.0
+        return total
+
+    want = {}
+    for q, tokens in (("q", ["running", "shoes"]), ("r", ["boot"])):
+        hits = sorted(((-score(tokens, k), k) for a, k in set(allowed) if a == q and score(tokens, k)), key=lambda x: (round(x[0], 9), x[1]))
+        want |= {(q, rank): (k, round(-s, 6)) for rank, (s, k) in enumerate(hits, 1)}
+    assert {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 6)) for r in found} == want
+    # Without candidates every document may be found.
+    assert {r["id"] for r in retrieval.bm25_search(stemmed, *index).collect() if r["query_id"] == "q"} == {1, 2, 4, 6}
+
+
+def test_fixed_negatives_skip_a_states_ties_before_the_cut(spark):
+    products = spark.createDataFrame([(f"p{k:02d}", "c", "train") for k in range(30)] + [("x", "c", "test"), ("y", "d", "train")], "parent_asin string, category string, split string")
+    items = spark.createDataFrame([(f"p{k:02d}", [f"f{k // 10}", f"g{k % 3}"]) for k in range(30)] + [("x", []), ("y", ["f0"])], "parent_asin string, features array<string>")
+    pool = D.product_fixed_pool(products, items, 20)
+    ordered = {}
+    for r in pool.orderBy("target", "rank").collect():
+        ordered.setdefault(r["target"], []).append(r["parent_asin"])
+    assert set(ordered) == {f"p{k:02d}" for k in range(30)} and all(len(v) == 20 for v in ordered.values())
+    states = spark.createDataFrame([("s1", "p00", ["f0"]), ("s2", "p00", []), ("s3", "p15", ["g0"]), ("s4", "y", ["f0"])], "state_id string, target string, known array<string>")
+    evidence = items.select("parent_asin", F.col("features").alias("evidence"))
+    tied = {"s1": {f"p{k:02d}" for k in range(10)}, "s2": {f"p{k:02d}" for k in range(30)}, "s3": {f"p{k:02d}" for k in range(0, 30, 3)}}
+    target = {"s1": "p00", "s2": "p00", "s3": "p15"}
+    got = {}
+    for r in D.product_fixed_negatives(pool, states, evidence, "skip_ties", 6).orderBy("state_id", "place").collect():
+        got.setdefault(r["state_id"], []).append(r["parent_asin"])
+    want = {s: [p for p in ordered[target[s]] if p not in ties][:6] for s, ties in tied.items()}
+    assert got == {s: v for s, v in want.items() if v} and len(got["s1"]) == 6
+    kept = D.product_fixed_negatives(pool, states, evidence, "downweight_ties", 6)
+    assert {r["parent_asin"] for r in kept.where("state_id = 's2'").collect()} == set(ordered["p00"][:6])
+    assert kept.where("tie").count() > 0
