@@ -15,6 +15,7 @@ from facetloom.plans.registry import ORACLES, query
 from facetloom.session import scratch_path
 from facetloom.sources.tables import Tables
 from facetloom.streaming import edits as stream
+from facetloom.streaming import turns as stream_turns
 
 
 def esc(pattern: str) -> str:
@@ -293,6 +294,55 @@ def q_fold_edits_stream(t: Tables):
     )
 
 
+ARRIVALS = 6
+ARRIVAL_SQL = f"""(SELECT *, ((epoch_us(ts) - min(epoch_us(ts)) OVER ()) * {ARRIVALS} // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1)) AS slot FROM events)"""
+
+
+def arriving_turns(t: Tables):
+    """(session_id, turn, ts, arrival): events as turns, a fifth of them twice, some far too late."""
+    events = t.table("events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("turn"), "ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min(us).alias("first"), F.max(us).alias("last"))
+    # One row of bounds.
+    slotted = events.crossJoin(F.broadcast(ends)).withColumn(
+        "slot", F.expr(f"(unix_micros(cast(ts AS timestamp)) - first) * {ARRIVALS} DIV (last - first + 1)")
+    )
+    held = (F.pmod("turn", F.lit(97)) == 0) & (F.col("slot") < 2)
+    once = slotted.withColumn("arrival", F.when(held, F.col("slot") + 4).otherwise(F.col("slot")))
+    again = once.where(F.pmod("turn", F.lit(5)) == 0).withColumn("arrival", F.least(F.col("arrival") + 1, F.lit(ARRIVALS - 1)))
+    return once.unionByName(again).select("session_id", "turn", F.col("ts").cast("timestamp").alias("ts"), "arrival")
+
+
+@query(
+    "dedup_late_turns",
+    f"SELECT user_id AS session_id, event_id AS turn, count(*)::BIGINT AS n, event_id % 97 = 0 AND slot < 2 AS late FROM {ARRIVAL_SQL} GROUP BY ALL",
+)
+def q_dedup_late_turns(t: Tables):
+    """Turns as the stream keeps them: each once (``n``), or dropped as late."""
+    spark = t.spark
+    source, sink, progress = (scratch_path(spark, f"turns-{x}") for x in ("in", "out", "checkpoint"))
+    arriving = t.keep("arriving_turns", lambda: arriving_turns(t))
+    schema = "session_id bigint, turn bigint, ts timestamp"
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    for arrival in range(ARRIVALS):
+        # What has come so far is worked off before the next lot lands; the checkpoint carries the state.
+        arriving.where(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(source)
+        run = (
+            stream_turns.dedup_late_turns(spark.readStream.schema(schema).parquet(source))
+            .writeStream.outputMode("append").foreachBatch(keep)
+            .option("checkpointLocation", progress).trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    kept = spark.read.schema(schema).parquet(f"{sink}/batch=*").groupBy("session_id", "turn").agg(F.count("*").alias("n"))
+    every = arriving.select("session_id", "turn").distinct()
+    return every.join(kept, ["session_id", "turn"], "left").select(
+        "session_id", "turn", F.coalesce("n", F.lit(1)).alias("n"), F.col("n").isNull().alias("late")
+    )
+
+
 def asked_turns(t: Tables):
     """Every turn asks the attribute its message answers; buying openings advance."""
     asked = F.get(F.col("known"), F.col("turn") - 1)["attribute"]

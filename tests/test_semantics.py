@@ -559,3 +559,27 @@ def test_fixed_negatives_skip_a_states_ties_before_the_cut(spark):
     kept = D.product_fixed_negatives(pool, states, evidence, "downweight_ties", 6)
     assert {r["parent_asin"] for r in kept.where("state_id = 's2'").collect()} == set(ordered["p00"][:6])
     assert kept.where("tie").count() > 0
+
+
+def test_late_and_repeated_turns(spark, tmp_path):
+    from facetloom.streaming.turns import dedup_late_turns
+
+    lots = [
+        [(1, 1, "2024-01-01 00:00:00"), (1, 1, "2024-01-01 00:00:00"), (1, 2, "2024-01-01 02:00:00"), (2, 9, None)],
+        [(1, 1, "2024-01-01 00:00:00"), (1, 3, "2024-01-02 00:00:00")],
+        [(1, 4, "2024-01-01 19:00:00"), (1, 3, "2024-01-02 00:00:00"), (1, 6, "2024-01-03 00:00:00")],
+        [(1, 5, "2024-01-01 01:00:00"), (1, 7, "2024-01-02 20:00:00"), (1, 7, "2024-01-02 20:00:00")],
+    ]
+    schema = "session_id int, turn int, ts timestamp"
+    got = []
+    for number, lot in enumerate(lots):
+        rows = spark.createDataFrame(lot, "session_id int, turn int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run = (
+            dedup_late_turns(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.outputMode("append")
+            .foreachBatch(lambda batch, k: got.extend(r["turn"] for r in batch.collect()))
+            .option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    # Turn 4 is an hour inside the delay, turn 5 two days late, turn 9 has no time.
+    assert sorted(got) == [1, 2, 3, 4, 6, 7]
