@@ -6,7 +6,9 @@ normalised text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetloom.functions import text as X
@@ -14,6 +16,10 @@ from facetloom.functions import vocab as V
 from facetloom.operators.sessions import cue_intent, is_override
 
 SPANS = "array<struct<value:string,start:int,stop:int>>"
+DICTIONARIES = {
+    "a_category": V.CATEGORY_ALIASES, "a_color": V.COLOR_ALIASES, "a_material": {m: m for m in V.MESSAGE_MATERIALS},
+    "a_use_case": V.USE_CASE_ALIASES, "a_feature": V.FEATURE_ALIASES,
+}
 FIELDS = ("category", "color", "material", "brand", "use_case", "feature")
 
 
@@ -21,10 +27,35 @@ def span(value: Column, start: Column, stop: Column) -> Column:
     return F.struct(value.alias("value"), start.cast("int").alias("start"), stop.cast("int").alias("stop"))
 
 
-def bounded(text: Column, start: Column, stop: Column) -> Column:
-    """No letter or digit right before ``start`` or at ``stop``."""
-    before = F.substring(text, start, F.lit(1))
-    return ~((start > 0) & before.rlike("[a-z0-9]")) & ~F.substring(text, stop + 1, F.lit(1)).rlike("[a-z0-9]")
+def word_grams(messages: DataFrame, longest: int) -> DataFrame:
+    """(message_id, core, start, stop, i, before, after, ends): sequences of up to ``longest`` words.
+
+    ``messages``: (message_id, norm).  ``core`` runs from a word's first to another's
+    last letter or digit; ``before`` and ``after`` are what stands around it up to the
+    next words, ``ends`` tells the last word.  Places are sums over the words before,
+    and a sequence grows by the next word: linear in the text.
+    """
+    word, gap = r"([a-z0-9]+)", "[a-z0-9]+"
+    words, gaps = F.regexp_extract_all("norm", F.lit(word)), F.split("norm", gap)
+    parts = F.arrays_zip(
+        words.alias("word"), F.slice(gaps, F.lit(1), F.size(words)).alias("before"), F.slice(gaps, F.lit(2), F.size(words)).alias("after")
+    )
+    rows = messages.where("norm IS NOT NULL").select("message_id", F.posexplode(parts).alias("i", "p")).select(
+        "message_id", "i", F.col("p.word").alias("word"), F.col("p.before").alias("before"), F.col("p.after").alias("after")
+    )
+    along = Window.partitionBy("message_id").orderBy("i")
+    passed = F.sum(F.char_length("before") + F.char_length("word")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("start", (passed - F.char_length("word")).cast("int"))
+    sequences, text = [], None
+    for k in range(max(1, longest)):
+        next_word, next_gap = F.lead("word", k).over(along), F.lead("after", k).over(along)
+        text = next_word if text is None else F.concat(text, F.lead("after", k - 1).over(along), next_word)
+        ends = F.lead("i", k + 1).over(along).isNull()
+        sequences.append(F.struct(text.alias("core"), next_gap.alias("after"), ends.alias("ends")))
+    grown = rows.select("message_id", "i", "start", "before", F.array(*sequences).alias("s"))
+    return grown.select("message_id", "i", "start", "before", F.inline("s")).where("core IS NOT NULL").withColumn(
+        "stop", F.col("start") + F.char_length("core")
+    )
 
 
 def drop_overlaps(found: Column) -> Column:
@@ -45,27 +76,30 @@ def drop_overlaps(found: Column) -> Column:
     return F.transform(by_start, lambda x: x["s"])
 
 
-def alias_mentions(text: Column, aliases: dict[str, str]) -> Column:
-    """Non-overlapping mentions of a fixed dictionary, in text order."""
-    table = F.array(
-        *[
-            F.struct(F.lit(phrase).alias("p"), F.lit(len(phrase)).alias("n"), F.lit(label).alias("v"), F.lit(i).alias("i"))
-            for i, (phrase, label) in enumerate(aliases.items())
-        ]
-    )
-    present = F.filter(table, lambda d: F.contains(text, d["p"]))
-
-    def places(d: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.greatest(F.char_length(text) - d["n"], F.lit(0))),
-            lambda i: (F.substring(text, i + 1, d["n"]) == d["p"]) & bounded(text, i, i + d["n"]),
-        )
-        return F.transform(
-            starts,
-            lambda i: F.struct(d["n"].alias("size"), d["i"].alias("order"), span(d["v"], i, i + d["n"]).alias("span")),
-        )
+def alias_mentions(messages: DataFrame, dictionaries: dict[str, dict[str, str]]) -> DataFrame:
+    """Add to ``messages`` (message_id, norm) the mentions of each dictionary, in text order.
 
-    return drop_overlaps(F.flatten(F.transform(present, places)))
+    A dictionary maps phrases, which begin and end with a letter or digit, to
+    labels.  Word sequences meet all phrases in one equi join; where mentions
+    overlap the longest stay, then the ones listed first.
+    """
+    rows = [
+        (kind, phrase, label, place)
+        for kind, aliases in dictionaries.items() for place, (phrase, label) in enumerate(aliases.items())
+    ]
+    table = messages.sparkSession.createDataFrame(rows, "kind string, core string, label string, place int")
+    longest = max(len(re.findall("[a-z0-9]+", phrase)) for _, phrase, _, _ in rows)
+    hits = word_grams(messages, longest).join(table, "core")
+    told = F.struct(
+        F.char_length("core").alias("size"), F.col("place").alias("order"), span(F.col("label"), F.col("start"), F.col("stop")).alias("span")
+    )
+    found = hits.groupBy("message_id").agg(
+        *[F.collect_list(F.when(F.col("kind") == kind, told)).alias(f"_{kind}") for kind in dictionaries]
+    )
+    joined = messages.join(found, "message_id", "left")
+    none = F.array().cast(SPANS)
+    kept = {kind: F.coalesce(drop_overlaps(F.col(f"_{kind}")), none) for kind in dictionaries}
+    return joined.withColumns(kept).drop(*[f"_{kind}" for kind in dictionaries])
 
 
 def brand_mentions(messages: DataFrame, brands: DataFrame) -> DataFrame:
@@ -73,7 +107,8 @@ def brand_mentions(messages: DataFrame, brands: DataFrame) -> DataFrame:
 
     ``messages``: (message_id, norm); ``brands``: (brand).  Word sequences of a
     message, as long as the longest brand, meet the dictionary in an equi join;
-    brands under three characters and everyday words are left out.
+    brands under three characters and everyday words are left out.  Signs around
+    a brand's words have to be there too.
     """
     named = (
         brands.select("brand", X.normalize_utterance(F.col("brand")).alias("phrase"))
@@ -81,38 +116,22 @@ def brand_mentions(messages: DataFrame, brands: DataFrame) -> DataFrame:
         .groupBy("phrase").agg(F.min("brand").alias("brand"))
         .withColumn("core", F.regexp_replace("phrase", r"^[^a-z0-9]+|[^a-z0-9]+$", ""))
         .filter(F.col("core") != "")
-        .withColumn("lead", F.expr("instr(phrase, core) - 1"))
-    )
-    longest = named.agg(
-        F.coalesce(F.max(F.size(F.regexp_extract_all("core", F.lit(r"([a-z0-9]+)")))), F.lit(0)).alias("longest")
-    )
-    words = messages.select(
-        "message_id", "norm",
-        F.filter(
-            F.sequence(F.lit(0), F.greatest(F.char_length("norm") - 1, F.lit(0))),
-            lambda i: F.substring(F.col("norm"), i + 1, F.lit(1)).rlike("[a-z0-9]")
-            & ~((i > 0) & F.substring(F.col("norm"), i, F.lit(1)).rlike("[a-z0-9]")),
-        ).alias("starts"),
-    ).withColumn(
-        "stops",
-        F.transform("starts", lambda s: s + F.char_length(F.regexp_extract(F.substring(F.col("norm"), s + 1, F.char_length("norm")), "^[a-z0-9]+", 0))),
-    ).crossJoin(F.broadcast(longest))  # one row
-    grams = (
-        words.select("message_id", "norm", "stops", "longest", F.posexplode("starts").alias("i", "start"))
-        .withColumn("stop", F.explode(F.slice("stops", F.col("i") + 1, F.col("longest"))))
-        .withColumn("core", F.expr("substring(norm, start + 1, stop - start)"))
-    )
-    hits = grams.join(named, "core").withColumn("start", F.col("start") - F.col("lead")).withColumn(
-        "stop", F.col("start") + F.char_length("phrase")
-    ).filter(
-        (F.col("start") >= 0) & (F.expr("substring(norm, start + 1, stop - start)") == F.col("phrase"))
-        & bounded(F.col("norm"), F.col("start"), F.col("stop"))
+        .withColumn("lead", F.regexp_extract("phrase", "^[^a-z0-9]*", 0))
+        .withColumn("tail", F.regexp_extract("phrase", "[^a-z0-9]*$", 0))
     )
+    # One number: the words of the longest brand.
+    longest = named.agg(F.max(F.size(F.regexp_extract_all("core", F.lit(r"([a-z0-9]+)"))))).first()[0] or 1
+    # Signs that touch the word before or after belong to that word too.
+    fits = lambda gap, sign, outer: (sign == "") | ((F.char_length(gap) > F.char_length(sign)) | outer)
+    hits = word_grams(messages, longest).join(named, "core").where(
+        F.col("before").endswith(F.col("lead")) & fits(F.col("before"), F.col("lead"), F.col("i") == 0)
+        & F.col("after").startswith(F.col("tail")) & fits(F.col("after"), F.col("tail"), F.col("ends"))
+    ).withColumn("start", F.col("start") - F.char_length("lead"))
     spans = hits.groupBy("message_id").agg(
         F.collect_set(
             F.struct(
                 F.char_length("brand").alias("size"), F.col("phrase").alias("order"),
-                span(F.col("brand"), F.col("start"), F.col("stop")).alias("span"),
+                span(F.col("brand"), F.col("start"), F.col("start") + F.char_length("phrase")).alias("span"),
             )
         ).alias("found")
     ).select("message_id", drop_overlaps(F.col("found")).alias("brand_spans"))
@@ -223,22 +242,21 @@ def parse_messages(messages: DataFrame, brands: DataFrame, unicode: bool = True)
     max_price, inclusive, qualitative_budget, intent.
     """
     base = messages.select("message_id", X.normalize_utterance(F.col("text"), unicode).alias("norm"))
-    base = brand_mentions(base, brands)
+    base = alias_mentions(brand_mentions(base, brands), DICTIONARIES)
     text, own = F.col("norm"), F.col("brand_spans")
     free = lambda spans: F.filter(spans, lambda m: ~inside(m, own))
-    materials = {m: m for m in V.MESSAGE_MATERIALS}
     df = (
         base.withColumn("removed", removed_attributes(text))
-        .withColumn("m_category", negation_flags(text, free(alias_mentions(text, V.CATEGORY_ALIASES))))
-        .withColumn("m_color", negation_flags(text, unprotected_colors(text, free(alias_mentions(text, V.COLOR_ALIASES)))))
-        .withColumn("m_material", negation_flags(text, unprotected_materials(text, free(alias_mentions(text, materials)))))
+        .withColumn("m_category", negation_flags(text, free(F.col("a_category"))))
+        .withColumn("m_color", negation_flags(text, unprotected_colors(text, free(F.col("a_color")))))
+        .withColumn("m_material", negation_flags(text, unprotected_materials(text, free(F.col("a_material")))))
         .withColumn("m_brand", negation_flags(text, own))
-        .withColumn("m_use_case", free(alias_mentions(text, V.USE_CASE_ALIASES)))
+        .withColumn("m_use_case", free(F.col("a_use_case")))
         .withColumn(
             "m_use_case",
             negation_flags(text, F.filter("m_use_case", lambda m: ~inside(m, F.filter("m_category", lambda c: c["negated"])))),
         )
-        .withColumn("m_feature", negation_flags(text, free(alias_mentions(text, V.FEATURE_ALIASES))))
+        .withColumn("m_feature", negation_flags(text, free(F.col("a_feature"))))
     )
 
     def slot(name: str) -> Column:
@@ -305,7 +323,7 @@ def parse_messages(messages: DataFrame, brands: DataFrame, unicode: bool = True)
     )
     return df.withColumn("has_constraints", has).withColumn(
         "intent", F.when(browsing, "browsing").when(has, "buying").otherwise("unknown")
-    ).drop("slots", "_c", "_specific", "_uses", "_price")
+    ).drop("slots", "_c", "_specific", "_uses", "_price", *DICTIONARIES)
 
 
 def partial_similarity(text: Column, cue: str) -> Column:

@@ -45,15 +45,44 @@ def spelled(spans):
     )
 
 
-@query("alias_mentions")
+def said(t: Tables):
+    """(message_id, norm): every different message, wishes and turns of conversations, normalised."""
+    texts = t.free_texts.select("text").unionByName(t.table("conversations").select("text"))
+    norm = X.normalize_utterance(F.col("text"))
+    return texts.select(norm.alias("norm")).where("norm IS NOT NULL").distinct().select(F.sha2("norm", 256).alias("message_id"), "norm")
+
+
+ALIAS_ROWS = ", ".join(
+    f"('{kind}', '{esc(phrase)}', '{esc(label)}', {place})"
+    for kind, aliases in U.DICTIONARIES.items() for place, (phrase, label) in enumerate(aliases.items())
+)
+SAID_SQL = f"""nm AS MATERIALIZED (SELECT DISTINCT {NORM_SQL.replace('lower(text)', "replace(lower(text), 'ß', 'ss')")} AS norm FROM (SELECT text FROM free UNION ALL SELECT text FROM conversations) WHERE text IS NOT NULL),
+di AS (SELECT * FROM (VALUES {ALIAS_ROWS}) AS v(kind, phrase, label, place)),
+oc AS (SELECT norm, kind, phrase, label, place, length(phrase) AS size, unnest(range(0, length(norm) - length(phrase) + 1)) AS i FROM nm JOIN di ON contains(norm, phrase)),
+hi AS (SELECT * FROM oc WHERE substr(norm, (i + 1)::BIGINT, size) = phrase AND (i = 0 OR NOT regexp_matches(substr(norm, i::BIGINT, 1), '[a-z0-9]'))
+  AND NOT regexp_matches(substr(norm, (i + size + 1)::BIGINT, 1), '[a-z0-9]')),
+so AS (SELECT norm, kind, list({{'s': i, 'e': i + size, 'v': label}} ORDER BY size DESC, place, i) AS l FROM hi GROUP BY 1, 2),
+me AS MATERIALIZED (SELECT norm, kind, list_sort(list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda k: k.s < x[1].e AND x[1].s < k.e)) > 0 THEN a ELSE list_concat(a, x) END)) AS l FROM so)"""
+
+
+def spelled_sql(kind: str, name: str, keep: str = "true") -> str:
+    kept = f"list_filter(l, lambda m: {keep})"
+    told = f"array_to_string(list_transform({kept}, lambda m: concat_ws(':', m.v, m.s, m.e)), '|')"
+    return f"coalesce((SELECT {told} FROM me WHERE me.norm = nm.norm AND kind = '{kind}'), '') AS {name}"
+
+
+@query(
+    "alias_mentions",
+    O.with_views(
+        "free",
+        f""", {SAID_SQL} SELECT sha256(norm) AS message_id, {spelled_sql('a_category', 'categories')}, {spelled_sql('a_color', 'colors')},
+  {spelled_sql('a_use_case', 'use_cases')}, {spelled_sql('a_feature', 'features')} FROM nm""",
+    ),
+)
 def q_alias_mentions(t: Tables):
-    text = F.col("norm")
-    return normalized(t).select(
-        "message_id", spelled(U.alias_mentions(text, V.CATEGORY_ALIASES)).alias("categories"),
-        spelled(U.alias_mentions(text, V.COLOR_ALIASES)).alias("colors"),
-        spelled(U.alias_mentions(text, V.USE_CASE_ALIASES)).alias("use_cases"),
-        spelled(U.alias_mentions(text, V.FEATURE_ALIASES)).alias("features"),
-    )
+    names = {"categories": "a_category", "colors": "a_color", "use_cases": "a_use_case", "features": "a_feature"}
+    found = U.alias_mentions(said(t), {kind: U.DICTIONARIES[kind] for kind in names.values()})
+    return found.select("message_id", *[spelled(F.col(kind)).alias(name) for name, kind in names.items()])
 
 
 @query(
@@ -76,13 +105,22 @@ def parsed(t: Tables):
     return t.keep("parsed", lambda: U.parse_messages(t.free_texts, brands(t)))
 
 
-@query("protected_spans")
+@query(
+    "protected_spans",
+    O.with_views(
+        "free",
+        f""", {SAID_SQL} SELECT sha256(norm) AS message_id,
+  {spelled_sql('a_color', 'colors', f"length(regexp_extract(substr(norm, (m.s + 1)::BIGINT), '{esc(V.COLOR_IDIOMS)}')) < m.e - m.s + 1")},
+  {spelled_sql('a_material', 'materials', f"NOT regexp_matches(substr(norm, (greatest(0, m.s - 16) + 1)::BIGINT, (m.s - greatest(0, m.s - 16))::BIGINT), '{esc(V.MATERIAL_BEFORE)}') AND NOT regexp_matches(substr(norm, (m.e + 1)::BIGINT, 12), '{esc(V.MATERIAL_AFTER)}')")}
+FROM nm""",
+    ),
+)
 def q_protected_spans(t: Tables):
     text = F.col("norm")
-    materials = U.alias_mentions(text, {m: m for m in V.MESSAGE_MATERIALS})
-    return normalized(t).select(
-        "message_id", spelled(U.unprotected_colors(text, U.alias_mentions(text, V.COLOR_ALIASES))).alias("colors"),
-        spelled(U.unprotected_materials(text, materials)).alias("materials"),
+    found = U.alias_mentions(said(t), {kind: U.DICTIONARIES[kind] for kind in ("a_color", "a_material")})
+    return found.select(
+        "message_id", spelled(U.unprotected_colors(text, F.col("a_color"))).alias("colors"),
+        spelled(U.unprotected_materials(text, F.col("a_material"))).alias("materials"),
     )
 
 

@@ -583,3 +583,40 @@ def test_late_and_repeated_turns(spark, tmp_path):
         run.awaitTermination()
     # Turn 4 is an hour inside the delay, turn 5 two days late, turn 9 has no time.
     assert sorted(got) == [1, 2, 3, 4, 6, 7]
+
+
+def test_mentions_of_dictionaries(spark):
+    texts = {
+        1: "black or white black white tie, extra-black", 2: "road runner roadrunner road runners", 3: "", 4: None,
+        5: "a-b a.b 'black' $black black9 9black", 6: "running shoes running shoe", 7: "x " * 300 + "black",
+    }
+    messages = spark.createDataFrame(list(texts.items()), "message_id int, norm string")
+    words = {"black": "B", "white": "W", "black white": "BW", "road runner": "R", "road runners": "RS", "running": "run", "running shoes": "shoes", "shoe": "shoe", "a.b": "ab"}
+    found = {r["message_id"]: [(m["value"], m["start"], m["stop"]) for m in r["seen"]] for r in U.alias_mentions(messages, {"seen": words, "other": {"zzz": "z"}}).collect()}
+
+    def plain(text):
+        spots = []
+        for place, (phrase, label) in enumerate(words.items()):
+            for k in range(len(text or "") - len(phrase) + 1):
+                around = (text[k - 1 : k] if k else "") + text[k + len(phrase) : k + len(phrase) + 1]
+                if text[k : k + len(phrase)] == phrase and not any(c.isalnum() for c in around):
+                    spots.append((-len(phrase), place, k, label))
+        kept = []
+        for size, _, k, label in sorted(spots):
+            if all(k - size <= a or b <= k for _, a, b in kept):
+                kept.append((label, k, k - size))
+        return sorted(kept, key=lambda m: m[1])
+
+    assert found == {k: plain(t) for k, t in texts.items()}
+    assert found[7] == [("B", 600, 605)] and ("BW", 15, 26) in found[1]
+
+
+def test_brands_with_signs(spark):
+    brands = spark.createDataFrame([("$uper",), ("A.B.",), ("north face",), ("brand-7",)], "brand string")
+    rows = {1: "$uper x", 2: "x$uper", 3: "x $uper", 4: "a.b. yes", 5: "a.b.c", 6: "the north face jacket", 7: "north  face", 8: "brand-7 brand-77", 9: "a.b", 10: "1 $$uper"}
+    messages = spark.createDataFrame(list(rows.items()), "message_id int, norm string")
+    got = {r["message_id"]: [(m["value"], m["start"], m["stop"]) for m in r["brand_spans"]] for r in U.brand_mentions(messages, brands).collect()}
+    assert got == {
+        1: [("$uper", 0, 5)], 2: [], 3: [("$uper", 2, 7)], 4: [("A.B.", 0, 4)], 5: [], 6: [("north face", 4, 14)], 7: [], 8: [("brand-7", 0, 7)], 9: [],
+        10: [("$uper", 3, 8)],
+    }
