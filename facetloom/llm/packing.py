@@ -26,7 +26,7 @@ from facetloom.llm.common import arrow_map, store
 from facetloom.llm.tokens import WordIds, vocabulary_path
 
 END_ID = 1
-TEXTS_AT_ONCE = 1024
+TEXTS_AT_ONCE = 256
 
 TOKENS = "part int, before long, doc_id long, n long, ids binary"
 

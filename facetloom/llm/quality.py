@@ -108,9 +108,23 @@ def feature_ids(d: Document) -> np.ndarray:
     return np.append(ids, FEATURES).astype(np.int32)
 
 
-def votes(docs: DataFrame) -> DataFrame:
-    """(doc_id, one pattern string per task) of every document (doc_id, text)."""
+def votes(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, one pattern string per task, take, ids) of every document (doc_id, text).
+
+    One pass over the texts: those that a scorer may learn from, at most about ``rows``, hand
+    over their features (``ids``) with their votes. ``take`` says why: ``known`` for a sample of
+    the documents with known labels, half of ``rows`` at most, ``other`` for a hash sample of all.
+    """
     labellers = {task: list(fs.values()) for task, fs in TASKS.items()}
+    steps = 1 << 30
+    chosen = lambda share: F.pmod(F.xxhash64(F.lit("training"), "doc_id"), F.lit(steps)) < int(min(1.0, share) * steps)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    n_known, n = known.count(), docs.count()
+    of_known = min(n_known, rows // 2)
+    # A sample of known size: rows / 2 ids.
+    few = known.where(chosen(of_known / max(1, n_known))).withColumn("labelled", F.lit(True))
+    take = F.when(F.col("labelled"), "known").when(chosen((rows - of_known) / max(1, n - n_known)), "other")
+    marked = docs.join(F.broadcast(few), "doc_id", "left").select("doc_id", "text", take.alias("take"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -118,9 +132,11 @@ def votes(docs: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 64)
                 found = [Document(t) for t in batch.column(1).to_pylist()]
                 columns = [pa.array(["".join(str(f(d)) for f in fs) for d in found], pa.string()) for fs in labellers.values()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *labellers])
+                ids = [feature_ids(d) if x else None for d, x in zip(found, batch.column(2).to_pylist(), strict=True)]
+                columns += [batch.column(2), pa.array(ids, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *labellers, "take", "ids"])
 
-    return docs.transform(arrow_map, run, ", ".join(["doc_id long", *(f"{t} string" for t in labellers)]))
+    return marked.transform(arrow_map, run, ", ".join(["doc_id long", *(f"{t} string" for t in labellers), "take string, ids array<int>"]))
 
 
 def with_known(voted: DataFrame, labels: DataFrame) -> DataFrame:
@@ -186,21 +202,13 @@ def posteriors(voted: DataFrame) -> dict[str, dict[str, float]]:
     return found
 
 
-def training_rows(docs: DataFrame, voted: DataFrame, rows: int) -> DataFrame:
-    """(text, patterns) of at most about ``rows`` documents.
+def training_rows(voted: DataFrame) -> DataFrame:
+    """(ids, patterns) of the documents to learn from, one row per id.
 
-    Documents with known labels take half of the rows at most, a hash sample of all
-    others the rest.
+    Of documents with known labels only their own sample counts.
     """
     known = " or ".join(f"right({t}, 1) <> '{ABSTAIN}'" for t in TASKS)
-    n_known, n = voted.agg(F.count_if(F.expr(known)), F.count("*")).first()
-    of_known = min(n_known, rows // 2)
-    steps = 1 << 30
-    share = F.when(F.expr(known), int(of_known / max(1, n_known) * steps)).otherwise(
-        int(min(1.0, (rows - of_known) / max(1, n - n_known)) * steps)
-    )
-    take = F.pmod(F.xxhash64(F.lit("training"), "doc_id"), F.lit(steps)) < share
-    return docs.join(voted.where(take).dropDuplicates(["doc_id"]), "doc_id").select("text", *TASKS)
+    return voted.where(f"take = 'known' or take = 'other' and not ({known})").dropDuplicates(["doc_id"]).select("ids", *TASKS)
 
 
 def follow_the_leader(rows: list[np.ndarray], chances: np.ndarray, shares: np.ndarray | None = None) -> np.ndarray:
@@ -251,24 +259,18 @@ def learned_weights(rows: list[np.ndarray], chances: np.ndarray, known: np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """Weights of each task's scorer, the intercept last."""
-    voted = store(with_known(votes(docs), labels), "votes")
+    voted = store(with_known(store(votes(docs, labels, rows), "own-votes"), labels), "votes")
     bad = posteriors(voted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids = [feature_ids(Document(t)) for t in part.column(0).to_pylist()]
-                chances = [
-                    pa.array([bad[task].get(p, 0.0) for p in part.column(k + 1).to_pylist()], pa.float64())
-                    for k, task in enumerate(TASKS)
-                ]
-                settled = [pa.array([p[-1] != str(ABSTAIN) for p in part.column(k + 1).to_pylist()], pa.bool_()) for k in range(len(TASKS))]
-                columns = [pa.array(ids, pa.list_(pa.int32())), *chances, *settled]
-                yield pa.RecordBatch.from_arrays(columns, ["ids", *TASKS, *(f"{t}_known" for t in TASKS)])
+            patterns = [batch.column(k + 1).to_pylist() for k in range(len(TASKS))]
+            chances = [pa.array([bad[task].get(p, 0.0) for p in own], pa.float64()) for task, own in zip(TASKS, patterns, strict=True)]
+            settled = [pa.array([p[-1] != str(ABSTAIN) for p in own], pa.bool_()) for own in patterns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *chances, *settled], ["ids", *TASKS, *(f"{t}_known" for t in TASKS)])
 
     shape = ", ".join(["ids array<int>", *(f"{t} double" for t in TASKS), *(f"{t}_known boolean" for t in TASKS)])
-    sample = training_rows(docs, voted, rows).transform(arrow_map, run, shape)
+    sample = training_rows(voted).transform(arrow_map, run, shape)
     # One task learns each scorer, from a number of rows that is bounded whatever the corpus.
     each = store(sample, "training-rows").select("ids", F.explode(F.create_map(
         *[x for t in TASKS for x in (F.lit(t), F.struct(F.col(t).alias("chance"), F.col(f"{t}_known").alias("known")))]

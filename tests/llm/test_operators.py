@@ -425,8 +425,10 @@ def test_votes_teach_beside_labels(spark, monkeypatch):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     before = quality.fit(docs, labels)["junk"]
     one = labels.where("quality = 1").orderBy("doc_id").limit(1)
-    alone = quality.training_rows(docs, quality.with_known(quality.votes(docs), one), 20_000)
-    assert alone.count() == docs.select("doc_id").distinct().count()  # one label does not silence the others
+    voted = quality.with_known(quality.votes(docs, one, 20_000), one)
+    assert quality.training_rows(voted).count() == docs.select("doc_id").distinct().count()  # one label does not silence the others
+    few = quality.training_rows(quality.with_known(quality.votes(docs, labels, 40), labels)).count()
+    assert 10 <= few <= 80  # by hash, so about as many as asked for
     known = labels.select(F.col("doc_id").alias("known")).distinct()
     assert docs.join(known, docs.doc_id == known.known, "left_anti").count() > 0
     monkeypatch.setitem(quality.TASKS, "junk", {name: lambda d: quality.BAD if len(d.text) % 2 else quality.GOOD for name in quality.TASKS["junk"]})
