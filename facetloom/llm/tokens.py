@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-OTHERS_KEPT = 12_000
-RUNS_KEPT = 60_000
+OTHERS_KEPT = 30_000
+RUNS_KEPT = 150_000
 LONGEST_KEPT = 48
 
 #: Where the tokenizer splits words of plain letters, and which words those are.
