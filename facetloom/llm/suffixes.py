@@ -14,18 +14,21 @@ never sorted:
    refinement (only groups that are still tied are sorted again, by the rank
    twice as far on) and common prefixes by Kasai's recurrence, all stretches in
    step. A window repeats if it shares ``length`` bytes with a neighbour in the
-   array, or belongs to a stretch with copies.
-3. A gram with very many stretches is dealt over several shards. Each sends one
-   entry for every different window under it; entries are merged in sorted runs
-   and looked up by binary search, and a window met in two shards repeats.
+   array, or belongs to a stretch with copies. Order and prefixes are followed
+   no further than ``length`` bytes, and only where a window starts.
+3. A gram with very many stretches is dealt over several shards. Each sorts one
+   entry for every different window under it, finds common splitters in its run
+   by binary search and sends a row for each piece between two; runs of a piece
+   are merged two by two, each entry of one looked up in the other by binary
+   search, and a window met in two shards repeats.
 
 No step holds more than a shard or a slice of a document, nothing but counts
 reaches the driver, and no window, gram or stretch is left out: two lists of
 64-bit hashes, of gram and of stretch, identify a stretch, 128 bits a window.
 
 Null texts are empty. Texts shorter than ``length`` are kept. Repeated rows are
-copies like any other, so both lose their text. Documents are told apart by id
-and text; a null id is an id.
+copies like any other, so both lose their text; spans are found once for all rows
+of one id and text. Documents are told apart by id and text; a null id is an id.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ GRAM = 32
 SLICE = 1 << 20  # bytes of a document worked on at once
 SHARD = 3072  # stretches in a shard, on average
 WIDE = 4096  # stretches of one gram in one shard
-RUN_ROWS = 500_000  # entries merged in one task, on average
+RUN_ROWS = 500_000  # entries merged at once, at most on average
 
 
 def _numbers(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,8 +156,11 @@ def stretch_table(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     return docs.transform(arrow_map, run, STRETCHES)
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of small non-negative integers (below 2^9)."""
+def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order and ranks of all suffixes of small non-negative integers (below 2^9).
+
+    Suffixes that share ``depth`` places or more may stay tied: they have one rank.
+    """
     n = len(text)
     packed = np.zeros(n + 7, np.int64)
     packed[:n] = text
@@ -172,7 +178,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     # Places in the array whose group is still tied.
     tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
     step = 7
-    while len(tied) and step < n:
+    while len(tied) and step < (n if depth is None else min(n, depth)):
         suffix = order[tied]
         group = rank[suffix]
         ahead = rank[np.minimum(suffix + step, n)] + 1
@@ -184,47 +190,55 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         rank[suffix] = tied[first]
         tied = tied[~(fresh & np.append(fresh[1:], True))]
         step *= 2
-    return order
+    return order, rank[:n]
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Per suffix the bytes it shares with the one before it in ``order``, within its stretch.
+def common_prefixes(
+    text: np.ndarray, order: np.ndarray, rank: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, n_starts: np.ndarray, length: int
+) -> np.ndarray:
+    """Per suffix the bytes, up to ``length``, it shares with the one before it in ``order``, within its stretch.
 
-    Kasai's recurrence: one place further on, at most one byte is lost. All
-    stretches take their next place together.
+    Only the first ``n_starts`` places of a stretch are asked. Kasai's recurrence:
+    one place further on, at most one byte is lost. All stretches take their next
+    place together. Suffixes of one rank share ``length`` bytes and stand in any
+    order, so nothing follows for the place after them.
     """
     n = len(text)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    ends = np.zeros(n, np.int64)
-    for_each = np.repeat(offsets + sizes, sizes)
-    where = np.repeat(offsets, sizes) + np.arange(len(for_each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    ends[where] = for_each
-    shared = np.zeros(n, np.int64)
-    now = np.zeros(len(offsets), np.int64)
+    # Every place asked, the first of all stretches before the second of any.
+    lane = np.repeat(np.arange(len(offsets)), n_starts)
+    step = np.arange(len(lane)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
+    by = np.argsort(step, kind="stable")
+    lane, at = lane[by], (offsets[lane] + step)[by]
+    edges = np.searchsorted(step[by], np.arange(int(n_starts.max(initial=0)) + 1))
+    before_all, tied_all = np.full(n, -1, np.int32), np.zeros(n, bool)
+    before_all[order[1:]] = order[:-1]
+    tied_all[order[1:]] = rank[order[1:]] == rank[order[:-1]]
+    left = np.zeros(n, np.int32)  # bytes to the end of the stretch
+    for_each = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left[np.repeat(offsets, sizes) + for_each] = np.repeat(sizes, sizes) - for_each
+    before, tied = before_all[at], tied_all[at]
+    most = np.where(before >= 0, np.minimum(np.minimum(left[before], left[at]), length), 0)
     words = np.zeros(n + 8, np.uint64)
     padded = np.concatenate([text.astype(np.uint64) & np.uint64(255), np.zeros(8, np.uint64)])
     for k in range(8):
         words[:n] |= padded[k : k + n] << np.uint64(8 * k)
-    for j in range(int(sizes.max(initial=0))):
-        lanes = np.flatnonzero(sizes > j)
-        at = offsets[lanes] + j
-        spot = place[at]
-        has = spot > 0
-        before = order[np.maximum(spot - 1, 0)]
-        most = np.where(has, np.clip(ends[before] - before, 0, ends[at] - at), 0)
-        h = np.minimum(np.maximum(now[lanes] - 1, 0), most)
-        going = np.flatnonzero(h < most)
+    now = np.zeros(len(offsets), np.int64)
+    found = np.zeros(len(at), np.int64)
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        known = np.maximum(now[lane[s:e]] - 1, 0)
+        h = np.where(tied[s:e], most[s:e], np.minimum(known, most[s:e]))
+        going = np.flatnonzero(h < most[s:e])
         while len(going):
-            differ = words[at[going] + h[going]] ^ words[before[going] + h[going]]
-            # Equal bytes at the low end of the words.
-            same = np.full(len(going), 8)
-            for k in range(7, -1, -1):
-                same[(differ >> np.uint64(8 * k)) & np.uint64(255) != 0] = k
-            h[going] = np.minimum(h[going] + same, most[going])
-            going = going[(same == 8) & (h[going] < most[going])]
-        now[lanes] = h
-        shared[at] = h
+            differ = words[at[s + going] + h[going]] ^ words[before[s + going] + h[going]]
+            # Equal bytes at the low end of the words: those below the lowest bit that differs.
+            low = differ & (~differ + np.uint64(1))
+            same = np.where(differ == 0, 8, np.log2(np.maximum(low, np.uint64(1))).astype(np.int64) >> 3)
+            h[going] = np.minimum(h[going] + same, most[s + going])
+            going = going[(same == 8) & (h[going] < most[s + going])]
+        now[lane[s:e]] = np.where(tied[s:e], 0, h)
+        found[s:e] = h
+    shared = np.zeros(n, np.int64)
+    shared[at] = found
     return shared
 
 
@@ -241,12 +255,12 @@ def repeated_windows(frame: pd.DataFrame, length: int):
     inside = np.ones(len(text), bool)
     inside[offsets + sizes] = False
     text[inside] = flat
-    order = suffix_array(text)
+    n = frame.n.to_numpy(np.int64)
+    order, rank = suffix_array(text, length)
     # Kasai compares bytes; a stretch's end bounds it, so the mark after it is never read.
-    shared = common_prefixes(np.where(inside, text - 1, 0), order, offsets, sizes)
+    shared = common_prefixes(np.where(inside, text - 1, 0), order, rank, offsets, sizes, n, length)
     with_last = shared[order] >= length
     equal = with_last | np.append(with_last[1:], False)
-    n = frame.n.to_numpy(np.int64)
     which = np.repeat(np.arange(len(frame)), n)
     start = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     place = np.empty(len(text), np.int64)
@@ -256,14 +270,16 @@ def repeated_windows(frame: pd.DataFrame, length: int):
 
 
 SPANS = "doc_id long, text_key long, begin long, end long"
-FOUND = f"{SPANS}, d1 long, d2 long"
+FOUND = f"{SPANS}, piece long, run binary"
+#: A window in a run. Flags: 1, known to repeat; 2, its document's id is null.
+ENTRY = np.dtype([("key", "S16"), ("doc", "<i8"), ("text", "<i8"), ("begin", "<i8"), ("flags", "u1")])
 
 
-def shard_spans(fetched: DataFrame, length: int) -> DataFrame:
-    """Per shard the repeated spans, and an entry (d1, d2) per window of a gram in several shards.
+def shard_spans(fetched: DataFrame, length: int, pieces: int) -> DataFrame:
+    """Per shard the repeated spans, and sorted runs of windows of grams in several shards.
 
-    A span without digest is final; an entry with a null document only says that
-    its window was met.
+    A row is a span, or the windows whose digests lie in one of ``pieces`` equal
+    ranges; of equal windows a run has one.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -278,23 +294,27 @@ def shard_spans(fetched: DataFrame, length: int) -> DataFrame:
         # Neighbouring windows make one span.
         fresh = (done.which != done.which.shift()) | (done.begin != done.begin.shift() + 1)
         done = done.groupby(fresh.cumsum(), sort=False).agg(which=("which", "first"), begin=("begin", "first"), last=("begin", "last"))
-        out = [pd.DataFrame({
+        out = pd.DataFrame({
             "doc_id": ids.take(done.which).to_numpy(), "text_key": keys.take(done.which).to_numpy(),
             "begin": done.begin.to_numpy(), "end": done["last"].to_numpy() + length,
-            "d1": pd.NA, "d2": pd.NA,
-        })]
+        }).astype("Int64")
+        out["piece"], out["run"] = pd.array([pd.NA] * len(out), "Int64"), None
         split = (frame.parts.to_numpy() > 1)[which] & first
         if split.any():
-            w, s = which[split], start[split]
-            sizes = frame.data.map(len).to_numpy(np.int64)
-            d1, d2 = digests(frame.data, sizes, w, s, length)
-            known = (equal | copies[which])[split]
-            out.append(pd.DataFrame({
-                "doc_id": ids.take(w).to_numpy(), "text_key": pd.array(keys.take(w)).astype("Int64"),
-                "begin": begin[split], "end": np.where(known, -1, begin[split] + length), "d1": d1, "d2": d2,
-            }))
-        both = pd.concat(out, ignore_index=True)
-        return both.astype(dict.fromkeys(both.columns, "Int64"))
+            w = which[split]
+            sent = np.zeros(len(w), ENTRY)
+            both = np.stack(digests(frame.data, frame.data.map(len).to_numpy(np.int64), w, start[split], length), axis=1)
+            sent["key"] = np.ascontiguousarray(both.view(np.uint64).astype(">u8")).view("S16").ravel()
+            sent["doc"], sent["text"], sent["begin"] = ids.fillna(0).to_numpy(np.int64)[w], keys.to_numpy()[w], begin[split]
+            sent["flags"] = (equal | copies[which])[split] + 2 * ids.isna().to_numpy()[w]
+            sent = sent[np.argsort(sent["key"], kind="stable")]
+            edges = np.array([(k << 64) // pieces << 64 for k in range(1, pieces)], object)
+            edges = np.array([e.to_bytes(16, "big") for e in edges], "S16")
+            cut = np.concatenate([[0], np.searchsorted(sent["key"], edges), [len(sent)]])
+            some = np.flatnonzero(np.diff(cut))
+            runs = pd.DataFrame({"piece": some, "run": [sent[cut[k] : cut[k + 1]].tobytes() for k in some]})
+            out = pd.concat([out, runs.astype({"piece": "Int64"})], ignore_index=True)
+        return out
 
     return fetched.groupBy("shard").applyInPandas(run, FOUND)
 
@@ -314,26 +334,45 @@ def digests(data: pd.Series, sizes: np.ndarray, which: np.ndarray, start: np.nda
     return d1, d2
 
 
-def merge_shards(entries: DataFrame) -> DataFrame:
-    """Spans of windows that two shards met: sorted runs, searched by bisection."""
-    parts = max(1, -(-entries.count() // RUN_ROWS))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
-        if not held:
-            return
-        frame = pd.concat(held, ignore_index=True)
-        pair = np.empty(len(frame), [("a", np.int64), ("b", np.int64)])
-        pair["a"], pair["b"] = frame.d1.to_numpy(), frame.d2.to_numpy()
-        order = np.lexsort((pair["b"], pair["a"]))
-        # A number for each different pair, ascending: runs can be searched by it.
-        ordered = pair[order]
-        code = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        met = np.searchsorted(code, code, "right") - np.searchsorted(code, code, "left")
-        often = frame.iloc[order[met > 1]]
-        yield often.loc[often.end >= 0, ["doc_id", "text_key", "begin", "end"]]
-
-    return entries.repartition(parts, "d1", "d2").mapInPandas(run, SPANS)
+def merge_runs(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two sorted runs of different keys as one, the places in it that both had, and what of ``other`` is in ``one``."""
+    at = np.searchsorted(one["key"], other["key"])
+    met = one["key"][np.minimum(at, len(one) - 1)] == other["key"]
+    rest = np.flatnonzero(~met)
+    # Places in ``one`` move up by what is put in before them.
+    places = at[met] + np.searchsorted(at[rest], at[met], "right")
+    return np.insert(one, at[rest], other[rest]), places, other[met]
+
+
+def merge_shards(runs: DataFrame, length: int) -> DataFrame:
+    """Spans of windows that two shards met: runs of a piece merged two by two."""
+
+    def spans(entries: np.ndarray) -> pd.DataFrame:
+        entries = entries[entries["flags"] & 1 == 0]
+        doc = pd.Series(entries["doc"], dtype="Int64").mask(pd.Series(entries["flags"] & 2 > 0))
+        return pd.DataFrame({"doc_id": doc, "text_key": entries["text"], "begin": entries["begin"], "end": entries["begin"] + length})
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        # Of entries that met, one stays and is marked; the others are reported at once.
+        left = [(np.frombuffer(r, ENTRY), np.zeros(len(r) // ENTRY.itemsize, bool)) for r in frame.run]
+        out = []
+        while len(left) > 1:
+            ahead = [left.pop()] if len(left) % 2 else []
+            for (a, met_a), (b, met_b) in zip(left[::2], left[1::2], strict=True):
+                if len(a) < len(b):
+                    a, met_a, b, met_b = b, met_b, a, met_a
+                both, places, gone = merge_runs(a, b)
+                marks = np.zeros(len(both), bool)
+                marks[np.searchsorted(both["key"], a["key"][met_a])] = True
+                marks[np.searchsorted(both["key"], b["key"][met_b])] = True
+                marks[places] = True
+                out.append(spans(gone))
+                ahead.append((both, marks))
+            left = ahead
+        out += [spans(entries[marks]) for entries, marks in left]
+        return pd.concat(out, ignore_index=True)
+
+    return runs.select("piece", "run").groupBy("piece").applyInPandas(merge, SPANS)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -359,31 +398,46 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     # Grams under which some stretch has no copy: only there a window can still be undecided.
     undecided = wholes.groupBy("gram").agg(
-        F.count("*").alias("kinds"), F.count_if(F.col("copies") == 1).alias("single")
+        F.count("*").alias("kinds"), F.count_if(F.col("copies") == 1).alias("single"), F.sum("first.n").alias("windows")
     ).where("single > 0")
     undecided = store(undecided, "grams-undecided")
     parts = F.ceil(F.col("kinds") / WIDE)
     wanted = wholes.join(undecided, "gram").select(
         "gram", "whole", "copies", "first.*", parts.alias("parts"), F.pmod("whole", parts).alias("part")
     )
-    shards = max(1, -(-undecided.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0] // SHARD))
+    kinds, entries = undecided.agg(F.sum("kinds"), F.sum(F.when(F.col("kinds") > WIDE, F.col("windows")))).first()
+    shards = max(1, -(-(kinds or 0) // SHARD))
+    pieces = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(entries or 0) // RUN_ROWS))
     wanted = wanted.withColumn("shard", F.pmod(F.xxhash64("gram", "part"), F.lit(shards))).drop("part")
-    fetched = fetch(docs, wanted, length)
-    shard = store(shard_spans(fetched, length), "shard-spans")
-    sure = shard.where("d1 is null").select("doc_id", "text_key", "begin", "end")
-    crossed = merge_shards(shard.where("d1 is not null"))
+    # Rows that repeat both id and text: every text with a stretch has one at its start.
+    again = found.where("start = 0").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
+    fetched = fetch(docs, wanted, store(again, "rows-again"), length)
+    shard = store(shard_spans(fetched, length, pieces), "shard-spans")
+    sure = shard.where("piece is null").select("doc_id", "text_key", "begin", "end")
+    crossed = merge_shards(shard.where("piece is not null"), length)
     return copies.unionByName(sure).unionByName(crossed)
 
 
 FETCHED = "shard long, gram long, whole long, copies long, parts long, doc_id long, text_key long, start long, n int, data binary"
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of wanted stretches: each document is opened once for all of its own."""
-    lists = wanted.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("shard", "gram", "whole", "copies", "parts", "start", "n")).alias("wanted")
-    ).withColumnsRenamed({"doc_id": "want_id", "text_key": "want_key"})
+def fetch(docs: DataFrame, wanted: DataFrame, again: DataFrame, length: int) -> DataFrame:
+    """The bytes of wanted stretches: each document is opened once for all of its own.
+
+    ``again`` (doc_id, text_key) are documents with several rows: one row of each is opened.
+    """
+    one = wanted.select("doc_id", "text_key", F.struct("shard", "gram", "whole", "copies", "parts", "start", "n").alias("one"))
+    several = not again.isEmpty()
+    if several:
+        marks = again.withColumn("again", F.lit(True))
+        one = one.withColumn("again", F.lit(False)).unionByName(marks.withColumn("one", F.lit(None).cast(one.schema["one"].dataType)))
+    else:
+        one = one.withColumn("again", F.lit(False))
+    lists = one.groupBy("doc_id", "text_key").agg(F.collect_list("one").alias("wanted"), F.max("again").alias("again"))
+    lists = lists.where("size(wanted) > 0").withColumnsRenamed({"doc_id": "want_id", "text_key": "want_key"})
     both = docs.join(lists, docs["doc_id"].eqNullSafe(lists["want_id"]) & (docs["text_key"] == lists["want_key"]))
+    if several:
+        both = both.where("NOT again").unionByName(both.where("again").dropDuplicates(["doc_id", "text_key"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FETCHED.split(", ")]
@@ -415,7 +469,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, into
     text = F.col("text").cast("string")
     keyed = rows.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
     lists = repeated_spans(keyed, length, gram).groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("begin", "end")).alias("spans")
+        F.collect_set(F.struct("begin", "end")).alias("spans")
     )
     mark = "_" * (max(len(c) for c in rows.columns) + 1)
     lists = lists.toDF(mark + "id", mark + "key", mark + "spans")

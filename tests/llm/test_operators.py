@@ -558,10 +558,10 @@ def test_suffix_array_and_prefixes():
         text = np.zeros(int((sizes + 1).sum()), np.int16)
         for o, p in zip(offsets, parts, strict=True):
             text[o:o + len(p)] = np.frombuffer(p, np.uint8).astype(np.int16) + 1
-        order = suffixes.suffix_array(text)
+        order, rank = suffixes.suffix_array(text)
         plain = text.tolist()
         assert order.tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])
-        shared = suffixes.common_prefixes(np.where(text > 0, text - 1, 0), order, offsets, sizes)
+        shared = suffixes.common_prefixes(np.where(text > 0, text - 1, 0), order, rank, offsets, sizes, sizes, len(text))
         place = np.argsort(order)
         for o, p in zip(offsets, parts, strict=True):
             for j in range(len(p)):
@@ -573,6 +573,52 @@ def test_suffix_array_and_prefixes():
                 assert shared[i] == n
 
 
+def test_truncated_order_gives_the_same_windows():
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    for trial in range(20):
+        length = 20
+        base = rng.integers(97, 99, 300).astype(np.uint8).tobytes()
+        pieces = [base[a:a + int(rng.integers(length, 60))] for a in rng.integers(0, 240, 12)] + [b"a" * 50, b"ab" * 25]
+        frame = pd.DataFrame({"data": pieces, "n": [len(p) - length + 1 for p in pieces]})
+        which, start, equal, alone = suffixes.repeated_windows(frame, length)
+        found = [pieces[w][s:s + length] for w, s in zip(which, start, strict=True)]
+        count = Counter(found)
+        assert [count[f] > 1 for f in found] == equal.tolist()
+        # One of several equal windows is reported.
+        assert Counter(f for f, a in zip(found, alone, strict=True) if a) == Counter(set(found))
+
+
+def test_runs_meet_by_binary_search(spark):
+    rng = np.random.default_rng(3)
+    rows, want, seen = [], Counter(), defaultdict(list)
+    for shard in range(7):
+        keys = np.sort(rng.choice(40, 15, replace=False))
+        run = np.zeros(len(keys), suffixes.ENTRY)
+        run["key"] = [int(k).to_bytes(16, "big") for k in keys]
+        run["doc"], run["begin"], run["flags"] = shard, keys, [2 * (shard == 0) + (k % 5 == 0) for k in keys]
+        for k in keys:
+            seen[int(k)].append(shard)
+        rows.append((0, bytearray(run.tobytes())))
+    for k, shards in seen.items():
+        if len(shards) > 1 and k % 5:
+            want.update((None if s == 0 else s, 0, k, k + 20) for s in shards)
+    got = suffixes.merge_shards(spark.createDataFrame(rows, "piece long, run binary"), 20).collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_many_equal_rows_are_opened_once(spark):
+    text = " ".join(f"word{k}" for k in range(300))
+    docs = spark.range(0, 600, 1, 8).selectExpr("CASE WHEN id < 300 THEN 1 END AS doc_id", f"'{text}' AS text")
+    other = spark.createDataFrame([(2, text[:900] + " an own end " + "xyz " * 100), (3, "short")], "doc_id long, text string")
+    rows = suffixes.remove_repeats(docs.unionByName(other), 200).collect()
+    datas = [r["text"].encode() for r in rows]
+    for r, data, mask in zip(rows, datas, brute_cover(datas, 200), strict=True):
+        assert r["cuts"]["kept"] == np.frombuffer(data, np.uint8)[~mask].tobytes()
+        assert len(r["cuts"]["spans"]) <= 1 + (r["doc_id"] == 2)
+
+
 def test_drop_repeats(corpus, empty):
     kept = suffixes.drop_repeats(corpus)
     assert kept.columns == corpus.columns and kept.count() == corpus.count()
