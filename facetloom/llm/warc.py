@@ -1,8 +1,8 @@
 """WARC archives compressed record by record against a dictionary of their own.
 
-Each task writes the records of its rows into archives: the first records train
-a Zstandard dictionary, which stands in a skippable frame at the head of the
-file; every record is a frame of its own, so any record can be read alone. Files
+Each task writes the records of its rows into archives: pieces spread evenly over
+an archive's bytes train a Zstandard dictionary (or are it, where too few to train
+on), which stands in a skippable frame at the head of the file; every record is a frame of its own, so any record can be read alone. Files
 get a name of their own per attempt and are listed in the returned manifest;
 what a lost attempt left is in no manifest and is never read.
 
@@ -33,10 +33,11 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 DICTIONARY_BYTES = 64 << 10
 TRAINING_BYTES = 1 << 20
+PIECES = 512  # of an archive, to train on
 ARCHIVE_BYTES = 64 << 20  # of uncompressed records, after which a new archive starts
 LEVEL = 3
 
-MANIFEST = "path string, records long, raw_bytes long, archive_bytes long"
+MANIFEST = "path string, records long, raw_bytes long, archive_bytes long, dictionary_bytes long"
 RECORDS = (
     "page_id long, url string, record_type string, refers_to long, payload binary,"
     " payload_bytes long, payload_digest string, path string, position long"
@@ -109,17 +110,31 @@ def parse(data: bytes) -> dict:
     }
 
 
-def train(records: list[bytes], size: int = DICTIONARY_BYTES):
-    """Dictionary trained on records, or None when there are too few to learn from."""
+def sample(records: list[bytes]) -> list[bytes]:
+    """Pieces spread evenly over the bytes of ``records``: ``PIECES`` of them, or all of few bytes."""
+    total = sum(map(len, records))
+    size = max(64, min(TRAINING_BYTES, total) // PIECES)
+    step, at, passed, found = max(size, total // PIECES), 0, 0, []
+    for data in records:
+        while at < passed + len(data):
+            begin = at - passed
+            found.append(data[begin : begin + size])
+            at += step
+        passed += len(data)
+    return found
+
+
+def train(pieces: list[bytes], size: int = DICTIONARY_BYTES):
+    """Dictionary of some pieces: a trained one, or their own bytes if they have too little in common to train on."""
     import zstandard
 
-    size = min(size, sum(map(len, records)) // 8)
-    if len(records) < 8 or size < 1024:
-        return None
+    size = max(256, min(size, sum(map(len, pieces)) // 8))
     try:
-        return zstandard.train_dictionary(size, records, k=512, d=8, level=LEVEL)
-    except zstandard.ZstdError:  # the records have nothing in common
-        return None
+        return zstandard.train_dictionary(size, pieces, k=512, d=8, level=LEVEL)
+    except zstandard.ZstdError:
+        # A reader takes what starts with the magic number, whose first byte is "7", for a trained one.
+        raw = b"".join(pieces)[-size:].lstrip(b"7")
+        return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive(records: list[bytes], dictionary) -> Iterator[bytes]:
@@ -154,23 +169,20 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
     def put(records: list[bytes], size: int) -> pa.RecordBatch:
         from pyarrow import fs
 
-        sample, room = [], TRAINING_BYTES
-        for data in records[:: max(1, size // TRAINING_BYTES)]:  # spread over the archive
-            sample.append(data[:room])
-            room -= len(sample[-1])
-            if room <= 0:
-                break
         store_, root = fs.FileSystem.from_uri(folder)
         name = f"{uuid.uuid4().hex}.warc.zst"
         store_.create_dir(root, recursive=True)
-        written = 0
+        written, dictionary = 0, train(sample(records))
         with store_.open_output_stream(f"{root}/{name}") as out:
-            for frame in archive(records, train(sample)):
+            for frame in archive(records, dictionary):
                 out.write(frame)
                 written += len(frame)
         return pa.RecordBatch.from_pylist(
-            [{"path": f"{folder}/{name}", "records": len(records), "raw_bytes": size, "archive_bytes": written}],
-            pa.schema([("path", pa.string()), ("records", pa.int64()), ("raw_bytes", pa.int64()), ("archive_bytes", pa.int64())]),
+            [{
+                "path": f"{folder}/{name}", "records": len(records), "raw_bytes": size, "archive_bytes": written,
+                "dictionary_bytes": len(dictionary.as_bytes()),
+            }],
+            pa.schema([("path", pa.string()), *((k, pa.int64()) for k in ("records", "raw_bytes", "archive_bytes", "dictionary_bytes"))]),
         )
 
     return store(with_revisits(pages, min_bytes).transform(arrow_map, write, MANIFEST), "warc-manifest")
