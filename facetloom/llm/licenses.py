@@ -1,7 +1,9 @@
 """License scan by conditional compression.
 
-Sentences with a licence cue, and runs of such sentences close to one another,
-are candidate blocks. Each block is compressed alone and with every template as
+Lines and sentences with a licence cue, and runs of such close to one another,
+are candidate blocks. A notice may be wrapped at any width and stand in comments:
+beside lines, sentences are taken over line ends, with comment marks as spaces,
+from the longest template's words before a cue to as many after it. Each block is compressed alone and with every template as
 a raw Zstandard dictionary; the template that saves the largest share is the
 winner. A winner counts only if its exact wording holds: the words it has more
 or fewer than the block, between the first and the last word they share, must
@@ -9,14 +11,18 @@ stay within ``TOLERANCE`` of its length, and its numbers must all be there.
 
 Whole texts are scanned, lines of any length. Null and empty texts have no
 blocks; repeated blocks are judged once per worker and reported each time; of
-equal savings the first template by name wins. Repeated rows report twice.
+equal savings the first template by name wins. Repeated rows report twice. Of
+two blocks one of which lies inside the words of a confirmed other, the outer is
+reported; notices that stand next to each other are reported each.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,42 +64,77 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 #: What a sentence of a notice has in it.
-CUE = r"(?i)licen[sc]e|redistribut|permission is hereby|public domain|creative commons|copyright"
+CUE = r"(?i)licen[sc]e|redistribut|permission[\W_]+is[\W_]+hereby|public[\W_]+domain|creative[\W_]+commons|copyright"
 
 SENTENCE = re.compile(r"[^\n]+?(?:[.!?;](?=\s)|(?=\n)|$)", re.S)
 WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W\d_]+")
 
 
-def blocks(text: str) -> list[list[tuple[int, int]]]:
-    """Candidates by (start, end): sentences with a cue and runs of them, each with longer versions.
+#: Ends of lines inside a paragraph, with the comment marks of the next line.
+LINE_END = re.compile(r"\n[^\S\n]*(?:(?:[#*;%>]|//|--)+[^\S\n]*)?(?=\S)")
 
-    A notice may go on after its last cue, so a version reaches up to ``NEAR``
-    sentences further.
-    """
+
+def runs(text: str, places: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int]]]:
+    """Places of ``text`` with a cue, and first and last of runs of them."""
     cue = re.compile(CUE)
-    places = [m.span() for m in SENTENCE.finditer(text)]
     hits = [k for k, (s, e) in enumerate(places) if cue.search(text, s, e)]
-    runs, run = [(k, k) for k in hits], []
+    found, run = [], []
     for k in [*hits, None]:
         if run and (k is None or k - run[-1] > NEAR + 1):
             if len(run) > 1:
-                runs.append((run[0], run[-1]))
+                found.append((run[0], run[-1]))
             run = []
         run.append(k)
-    last = len(places) - 1
-    return [[(places[a][0], places[k][1]) for k in range(b, min(b + NEAR, last) + 1)] for a, b in runs]
+    return hits, found
+
 
+def blocks(text: str, reach: int) -> list[list[tuple[int, int, bool]]]:
+    """Candidates by (start, end, over line ends): each with longer versions.
 
-def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
-    """Words missing from the block, and those it has beside, within the shared stretch."""
+    A notice may go on after its last cue, so a version reaches up to ``NEAR``
+    sentences further. Over line ends it has at most ``reach`` words on each side of a cue.
+    """
+    places = [m.span() for m in SENTENCE.finditer(text)]
+    hits, several = runs(text, places)
+    last = len(places) - 1
+    out = [[(places[a][0], places[k][1], False) for k in range(b, min(b + NEAR, last) + 1)] for a, b in [(k, k) for k in hits] + several]
+    flat = LINE_END.sub(lambda m: " " * len(m[0]), text)
+    if flat == text:
+        return out
+    wide = [m.span() for m in SENTENCE.finditer(flat)]
+    starts = [s for s, _ in wide]
+    words = [m.span() for m in WORD.finditer(flat)]
+    firsts = [s for s, _ in words]
+    cue = re.compile(CUE)
+    group = {k: (a, b) for a, b in runs(flat, wide)[1] for k in range(a, b + 1)}
+    cues = [(cue.search(text, *versions[0][:2]).start(), versions) for versions in out[: len(hits)]]
+    # Cues that are wrapped themselves.
+    cues += [(m.start(), []) for m in cue.finditer(flat) if "\n" in text[m.start() : m.end()] and "\n" not in m[0]]
+    out += [versions for _, versions in cues[len(hits) :]]
+    for at, versions in cues:
+        own = bisect_right(starts, at) - 1
+        middle = bisect_left(firsts, at)
+        low = firsts[max(0, middle - reach)] if words else 0
+        high = words[min(len(words) - 1, middle + reach)][1] if words else len(flat)
+        ends = [(own, k) for k in range(own, min(own + NEAR, len(wide) - 1) + 1)]
+        for a, b in [*ends, *([group[own]] if own in group else [])]:
+            one = (max(low, wide[a][0]), min(high, wide[b][1]) if high > at else wide[b][1], True)
+            if one not in versions:
+                versions.append(one)
+    return out
+
+
+def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str], tuple[int, int]]:
+    """Words missing from the block, and those it has beside, within the shared stretch, and this stretch."""
     same = [m for m in SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
     if not same:
-        return template, []
+        return template, [], (0, 0)
     missing, extra = list(template[: same[0].b]), []
     for a, b in zip(same, same[1:], strict=False):
         extra += block[a.a + a.size : b.a]
         missing += template[a.b + a.size : b.b]
-    return missing + template[same[-1].b + same[-1].size :], extra
+    stretch = same[0].a, same[-1].a + same[-1].size
+    return missing + template[same[-1].b + same[-1].size :], extra, stretch
 
 
 class Scanner:
@@ -113,31 +154,57 @@ class Scanner:
             )
             for name, text in sorted(templates.items())
         }
+        self.reach = int(max(map(len, self.words.values())) * (1 + tolerance)) + 1
         self.known = Memory(self.judge, BLOCKS_KEPT)
 
     def judge(self, block: str) -> dict:
-        data = block.encode()
+        data = " ".join(block.split()).encode()
         plain = len(self.alone.compress(data))
         saved = {name: 1 - len(c.compress(data)) / plain for name, c in self.given.items()}
         ranked = sorted(saved, key=lambda n: (-saved[n], n))
-        winner, words = ranked[0], WORD.findall(block.lower())
+        winner, places = ranked[0], list(WORD.finditer(block))
         wording = self.words[winner]
-        missing, extra = differences(words, wording)
+        missing, extra, (first, after) = differences([m[0].lower() for m in places], wording)
         numbers = not any(w[0].isdigit() for w in missing)
         return {
             "license": winner, "reduction": saved[winner], "runner_up": ranked[1] if len(ranked) > 1 else None,
             "missing": " ".join(missing), "extra": " ".join(extra),
             "confirmed": numbers and len(missing) + len(extra) <= self.tolerance * len(wording),
+            "span": (places[first].start(), places[after - 1].end()) if after else (0, 0),
         }
 
-    def first(self, text: str, versions: list[tuple[int, int]]) -> tuple[int, int, dict]:
+    def first(self, text: str, flat: str, versions: list[tuple[int, int, bool]]) -> tuple[int, int, dict]:
         """The shortest version that is confirmed, or else the shortest."""
-        judged = [(s, e, self.known[text[s:e]]) for s, e in versions[:1]]
-        for s, e in versions[1:]:
-            if judged[-1][2]["confirmed"]:
-                return judged[-1]
-            judged.append((s, e, self.known[text[s:e]]))
-        return judged[-1] if judged[-1][2]["confirmed"] else judged[0]
+        shortest = None
+        for s, e, over in versions:
+            judged = (s, e, self.known[(flat if over else text)[s:e]])
+            if judged[2]["confirmed"]:
+                return judged
+            shortest = shortest or judged
+        return shortest
+
+    def scan(self, text: str) -> list[dict]:
+        """Judged blocks of one text, each once, without those inside the words of a confirmed one."""
+        flat = LINE_END.sub(lambda m: " " * len(m[0]), text)
+        judged = {}
+        for versions in blocks(text, self.reach):
+            s, e, j = self.first(text, flat, versions)
+            judged[s, e] = j
+        # Words of confirmed blocks, from first to last shared one, outer before inner.
+        whole = sorted((s + j["span"][0], -s - j["span"][1], s, -e) for (s, e), j in judged.items() if j["confirmed"])
+        ends = list(accumulate((-w[1] for w in whole), max))
+        inner = {(w[2], -w[3]) for w, before in zip(whole[1:], ends, strict=False) if -w[1] <= before}
+        for (s, e), j in judged.items():
+            if not j["confirmed"]:
+                block = text[s:e]
+                low, high = e - len(block.lstrip()), s + len(block.rstrip(" \t\n.;"))
+                k = bisect_right(whole, (low, 1)) - 1
+                if k >= 0 and ends[k] >= high:
+                    inner.add((s, e))
+        return [
+            {"start": s, "end": e} | {k: v for k, v in j.items() if k != "span"}
+            for (s, e), j in judged.items() if (s, e) not in inner
+        ]
 
 
 FOUND = (
@@ -149,7 +216,7 @@ FOUND = (
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Judged blocks of ``docs`` (doc_id, text): characters from ``start`` to ``end``.
 
-    A sentence inside a confirmed run is not reported again.
+    A block inside the words of a confirmed one is not reported again.
     """
     templates = templates or TEMPLATES
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -164,12 +231,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, tolerance: fl
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                judged = [scanner.first(text, versions) for versions in blocks(text)]
-                whole = [(s, e) for s, e, j in judged if j["confirmed"]]
-                out += [
-                    {"doc_id": doc, "start": s, "end": e, **j} for s, e, j in judged
-                    if not any(a <= s and e <= b and (a, b) != (s, e) for a, b in whole)
-                ]
+                out += [{"doc_id": doc, **found} for found in scanner.scan(text)]
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return rows.where(F.col("text").rlike(CUE)).transform(arrow_map, run, FOUND)

@@ -108,6 +108,20 @@ def test_warc_of_nothing(spark):
     assert warc.roundtrip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_every_archive_has_a_dictionary(spark):
+    for sizes in ([1], [70_000] * 3, [400_000] * 5, [0, 10]):
+        records = [warc.record(k, None, f"<p>text {k}</p>".encode() * n, None, "1970-01-01T00:00:00Z") for k, n in enumerate(sizes)]
+        dictionary = warc.train(warc.sample(records))
+        data = b"".join(warc.archive(records, dictionary))
+        assert len(dictionary.as_bytes()) >= 200 and data[:4] == warc.struct.pack("<I", warc.DICTIONARY_FRAME)
+        assert [r for _, r in warc.records_in(data)] == records
+    pieces = warc.sample([bytes(100_000)] * 30)
+    assert warc.PIECES <= len(pieces) <= warc.PIECES + 1 and sum(map(len, pieces)) <= warc.TRAINING_BYTES
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>")], "page_id long, url string, html string")
+    folder = "file:" + str(warc.scratch_path(spark, "warc-one")).removeprefix("file:")
+    assert warc.write_archives(pages, folder.replace("file:/", "file:///", 1)).where("dictionary_bytes >= 200").count() == 1
+
+
 # -- 3 urls
 
 
@@ -326,6 +340,33 @@ def test_license_blocks(spark):
     assert text[one["start"]:one["end"]].strip() == "Released under the MIT License."
 
 
+@pytest.mark.parametrize("width", [30, 40, 60, 80])
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * "])
+def test_licenses_wrapped_at_any_width(width, mark):
+    import textwrap
+
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.TOLERANCE)
+    for name, notice in licenses.TEMPLATES.items():
+        lines = textwrap.wrap(notice + ("" if notice.endswith(".") else "."), width, break_long_words=False)
+        text = "int main();\n\n" + "\n".join(mark + line for line in lines) + "\n\nOther words of the file."
+        good = [r for r in scanner.scan(text) if r["confirmed"]]
+        assert [r["license"] for r in good] == [name], (name, good)
+        assert notice.split()[0] in text[good[0]["start"]:good[0]["end"]]
+
+
+def test_neighbouring_licenses_are_both_reported():
+    import textwrap
+
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.TOLERANCE)
+    two = [licenses.TEMPLATES["MIT-text"] + ".", licenses.TEMPLATES["Apache-2.0-header"] + "."]
+    text = "\n\n".join("\n".join(textwrap.wrap(n, 80)) for n in two)
+    assert sorted(r["license"] for r in scanner.scan(text) if r["confirmed"]) == ["Apache-2.0-header", "MIT-text"]
+    # A cue in very long text without any mark between sentences.
+    filler = "\n".join(["some words of a line without an end"] * 5000)
+    text = filler + "\n" + "\n".join(textwrap.wrap(licenses.TEMPLATES["MIT-text"], 40)) + "\n" + filler
+    assert [r["license"] for r in scanner.scan(text) if r["confirmed"]] == ["MIT-text"]
+
+
 # -- 6 decontamination
 
 
