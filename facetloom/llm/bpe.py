@@ -1,7 +1,8 @@
 """Byte-level BPE through a table of distinct words.
 
 Texts are split into words in Spark tasks and kept as blocks: a block has its own list
-of different words, and each text is a row of positions in that list. The words of all
+of different words, and each text is a row of positions in that list (0 for the next
+word that has not been met yet, others counted from 1). The words of all
 blocks meet in one table in which every distinct word is encoded once, and its ids are
 turned into pieces once, by a join with the vocabulary. Ids come back to the blocks by
 (block, position), and pieces with them unless they spell the word itself; there texts
@@ -134,7 +135,9 @@ def blocked(rows: DataFrame, split: Callable[[], Callable], kind: str) -> DataFr
 
         def block():
             data = np.frombuffer(codes, np.uint32)
-            data = data.astype(np.uint16) if len(own) <= 1 << 16 else data
+            # A word's first place says only that the next word of the list is new.
+            new = np.diff(np.maximum.accumulate(data.astype(np.int64)), prepend=-1) > 0
+            data = np.where(new, 0, data + 1).astype(np.uint16 if len(own) < 1 << 16 else np.uint32)
             # Low bytes first, then high bytes: both compress better alone.
             planes = data.view(np.uint8).reshape(len(data), -1).T.tobytes()
             values = [number, ids, sizes, press.compress(planes), list(own)]
@@ -214,6 +217,9 @@ def unblocked(blocks: DataFrame, found: DataFrame, with_ids: bool) -> DataFrame:
                 wide = np.uint16 if len(planes) == 2 * n else np.uint32
                 at = np.ascontiguousarray(planes.reshape(-1, n).T).view(wide).ravel() if n else np.zeros(0, np.uint16)
                 del planes
+                new = at == 0
+                at = at - at.dtype.type(1)
+                at[new] = np.arange(np.count_nonzero(new))
                 pieces, coded = [], None
                 if row["values"].is_valid:
                     data, widths = values_of(row["values"].values)
