@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +26,15 @@ BATCH = {
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """``df.mapInArrow`` with batches that stay small when texts are long."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        # Workers live on: what Arrow keeps for reuse would count in every later stage.
+        pa.default_memory_pool().release_unused()
+
     for key, value in BATCH.items():
         df.sparkSession.conf.set(key, value)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(whole, schema)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

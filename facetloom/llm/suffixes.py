@@ -78,6 +78,11 @@ class Hashes:
             np.cumsum(table[data] * up[: len(data)], out=total[1:])
             self.sums.append(total)
 
+    @staticmethod
+    def forget() -> None:
+        """Free the tables: workers live on and serve later stages."""
+        Hashes._KEPT = []
+
     def of(self, which: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         total = self.sums[which]
         return (total[end] - total[begin]) * Hashes._KEPT[which][2][begin]
@@ -144,6 +149,7 @@ def stretch_table(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                     held, size = [], 0
             if held:
                 yield table(held, names, types)
+        Hashes.forget()
 
     def table(held, names, types) -> pa.RecordBatch:
         counts = [len(h[2]) for h in held]
@@ -331,6 +337,7 @@ def digests(data: pd.Series, sizes: np.ndarray, which: np.ndarray, start: np.nda
         at = offset[which[own] - a] + start[own]
         d1[own] = hashes.of(0, at, at + length).view(np.int64)
         d2[own] = hashes.of(1, at, at + length).view(np.int64)
+    Hashes.forget()
     return d1, d2
 
 
