@@ -55,6 +55,16 @@ def fold_case(c: Column, unicode: bool = False) -> Column:
     return F.coalesce(_fold_unicode()(odd), F.lower(c))
 
 
+def fold_list(c: Column) -> Column:
+    """Every item of a list folded with ``unicode``; a missing item is empty, NUL counts as a space.
+
+    Python columns cannot stand inside a lambda, so the items travel as one text.
+    """
+    items = F.transform(c, lambda v: F.translate(F.coalesce(v, F.lit("")), "\0", " "))
+    folded = F.split(fold_case(F.array_join(items, "\0"), True), "\0")
+    return F.when(F.size(c) > 0, folded).otherwise(F.array().cast("array<string>"))
+
+
 def normalize_value(c: Column, unicode: bool = False) -> Column:
     return F.trim(collapse_white(fold_case(c, unicode)))
 

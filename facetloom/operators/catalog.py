@@ -199,18 +199,19 @@ def intent_card(catalog: DataFrame) -> DataFrame:
 
 
 def product_profile(catalog: DataFrame) -> DataFrame:
-    """Products as rankers see them: category, typed constraints, buckets.
+    """Products as rankers see them: category, typed constraints, buckets; values folded as facts are.
 
     ``constraints`` holds hard then soft constraints, so a product with one or
     two of them repeats the first.
     """
     base = with_constraints(catalog)
+    folded = X.fold_list(F.transform("constraints", lambda c: X.clean_text(c, None)))
     typed = F.filter(
-        F.transform(
-            "constraints",
-            lambda c: F.struct(
+        F.zip_with(
+            "constraints", folded,
+            lambda c, v: F.struct(
                 X.classify_constraint(c).alias("attribute"),
-                X.normalize_constraint(c).alias("value"),
+                F.trim(X.collapse_white(v)).alias("value"),
                 c.alias("display"),
             ),
         ),
@@ -222,7 +223,7 @@ def product_profile(catalog: DataFrame) -> DataFrame:
         "parent_asin",
         X.coarse_category(X.category_names(F.col("categories"))).alias("category"),
         F.concat(F.slice("t", 1, 2), soft).alias("constraints"),
-        F.nullif(X.normalize_value(F.coalesce("store", F.lit(""))), F.lit("")).alias("brand"),
+        F.nullif(X.normalize_value(F.coalesce("store", F.lit("")), True), F.lit("")).alias("brand"),
         S.price_bucket(F.col("price")).alias("price_bucket"),
         S.rating_bucket(F.col("average_rating")).alias("rating_bucket"),
         S.popularity_bucket(F.col("rating_number")).alias("popularity_bucket"),

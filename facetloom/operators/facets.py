@@ -151,16 +151,17 @@ def category_name_products(bridge: DataFrame, nodes: DataFrame, targets: DataFra
     """(label, parent_asin): products under nodes of the given names.
 
     ``targets`` has (label, names, terms); a node's path must contain every term.
+    Names, terms and paths are folded alike, so a label finds its own node in any script.
     """
-    wanted = targets.select(
-        "label",
-        F.explode(F.array_distinct(F.transform("names", lambda n: X.normalize_value(n)))).alias("normalized_name"),
-        F.transform("terms", lambda x: X.normalize_value(x)).alias("terms"),
-    )
+    wanted = X.with_normalized(
+        targets.select("label", F.explode(F.array_distinct("names")).alias("_name"), X.fold_list(F.col("terms")).alias("terms"))
+        .filter(F.trim("_name") != ""),
+        "_name", "normalized_name",
+    ).select("label", "normalized_name", F.transform("terms", lambda x: X.normalize_value(x)).alias("terms"))
     paths = (
-        nodes.select("normalized_name", "full_path")
+        nodes.select("normalized_name", "full_path", X.fold_case(F.col("full_path"), True).alias("_folded_path"))
         .join(wanted, "normalized_name")
-        .filter(F.forall("terms", lambda term: F.contains(F.lower("full_path"), term)))
+        .filter(F.forall("terms", lambda term: F.contains("_folded_path", term)))
         .select("label", "full_path")
     )
     return bridge.select("full_path", "parent_asin").join(paths, "full_path").select("label", "parent_asin").distinct()

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from facetloom.functions import scalars as S
 from facetloom.functions import text as X
 from facetloom.functions import vocab as V
-from facetloom.operators.ordering import numbered
+from facetloom.operators.ordering import numbered, ranged
 
 EMPTY = "array<string>"
 
 
 def context_names(
     category: Column, scenario: Column, turn: Column, post_override: Column,
-    known: Column, mode: str = "dual", unicode: bool = False,
+    known: Column, mode: str = "dual",
 ) -> Column:
     """Ordered, distinct context feature names of a session state.
 
@@ -26,31 +26,37 @@ def context_names(
     if mode not in ("dual", "legacy"):
         raise ValueError("mode must be dual or legacy")
     head = F.array(
-        F.concat(F.lit("ctx:category="), X.normalize_value(category, unicode)),
+        F.concat(F.lit("ctx:category="), X.normalize_value(category, True)),
         F.concat(F.lit("ctx:scenario="), scenario),
         F.concat(F.lit("ctx:turn="), S.turn_bucket(turn)),
         F.when(post_override, "ctx:override=post").otherwise("ctx:override=pre"),
     )
 
     def encode(item: Column) -> Column:
-        attribute, display = item["attribute"], item["display"]
+        attribute, value = item["attribute"], item["value"]
         if mode == "legacy":
-            return F.array(F.concat(F.lit("ctx:"), attribute, F.lit("="), X.normalize_value(display, unicode)))
-        value = X.normalize_constraint(display, unicode)
+            return F.array(F.concat(F.lit("ctx:"), attribute, F.lit("="), value))
         field = F.lower(F.trim(attribute))
         open_answer = F.array(
             F.lit("ctx:answer_source=other"),
             F.concat(F.lit("ctx:other="), value),
-            F.concat(F.lit("ctx:"), X.classify_constraint(display), F.lit("="), value),
+            F.concat(F.lit("ctx:"), X.classify_constraint(item["display"]), F.lit("="), value),
         )
         typed = F.array(F.concat(F.lit("ctx:"), field, F.lit("="), value))
         return F.when(value == "", F.array().cast(EMPTY)).when(field == "other", open_answer).otherwise(typed)
 
+    shown = F.transform(known, lambda k: X.clean_text(k["display"], None) if mode == "dual" else k["display"])
+    valued = F.zip_with(
+        known, X.fold_list(shown),
+        lambda k, v: F.struct(
+            k["attribute"].alias("attribute"), k["display"].alias("display"), F.trim(X.collapse_white(v)).alias("value")
+        ),
+    )
     # Attributes in alphabetical order, values of one attribute as they came.
-    ordered = F.flatten(
+    ordered = F.array_sort(
         F.transform(
-            F.array_sort(F.array_distinct(F.transform(known, lambda k: k["attribute"]))),
-            lambda a: F.filter(known, lambda k: k["attribute"] == a),
+            F.filter(valued, lambda k: k["attribute"].isNotNull()),
+            lambda k, i: F.struct(k["attribute"].alias("attribute"), i.alias("i"), k["display"].alias("display"), k["value"].alias("value")),
         )
     )
     return F.array_distinct(F.concat(head, F.flatten(F.transform(ordered, encode))))
@@ -66,7 +72,7 @@ def train_support(profile: DataFrame, split: Column) -> DataFrame:
     train = profile.filter(split == "train")
     pair = lambda a, v: F.struct(a.alias("field"), v.alias("value"))
     values = F.concat(
-        F.array(pair(F.lit("category"), X.normalize_constraint(F.col("category")))),
+        F.array(pair(F.lit("category"), X.normalize_constraint(F.col("category"), True))),
         F.transform("constraints", lambda c: pair(c["attribute"], c["value"])),
         F.transform("constraints", lambda c: pair(F.lit("other"), c["value"])),
         F.when(F.col("brand").isNotNull(), F.array(pair(F.lit("#brand"), F.col("brand")))).otherwise(
@@ -85,7 +91,7 @@ def item_pairs(profile: DataFrame) -> DataFrame:
     pair = lambda f, v: F.struct(F.lit(f).alias("field"), v.alias("value"))
     pairs = F.concat(
         F.array(
-            pair("category", X.normalize_constraint(F.col("category"))),
+            pair("category", X.normalize_constraint(F.col("category"), True)),
             pair("#brand", F.coalesce("brand", F.lit(V.RARE))),
             pair("price", F.col("price_bucket")),
             pair("rating", F.col("rating_bucket")),
@@ -117,7 +123,7 @@ def product_context_names(profile: DataFrame, support: DataFrame, min_support: i
     """Distinct context names products can give rise to, rare values folded."""
     pair = lambda f, v: F.struct(f.alias("field"), v.alias("value"))
     pairs = F.concat(
-        F.array(pair(F.lit("category"), X.normalize_constraint(F.col("category")))),
+        F.array(pair(F.lit("category"), X.normalize_constraint(F.col("category"), True))),
         F.transform("constraints", lambda c: pair(c["attribute"], c["value"])),
         F.transform("constraints", lambda c: pair(F.lit("other"), c["value"])),
     )
@@ -149,9 +155,9 @@ def fit_vocabulary(
         .unionByName(spark.createDataFrame(fixed, "side string, name string"))
         .distinct()
     )
-    # Ids follow name order.  Blocks are name prefixes, which never decrease
-    # along that order, so no task has to number a whole side.
-    ranked = numbered(names, ["side"], [F.col("name")], F.substring("name", 1, 14), "n")
+    # Ids follow name order.  Blocks are ranges of it cut at sampled names, so no task has to number
+    # a whole side, or all values of a field.
+    ranked = numbered(ranged(names, ["side", "name"]), ["side"], [F.col("name")], F.col("range"), "n")
     return ranked.select("side", "name", (F.col("n") - 1).alias("feature_id"))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetloom.session import written
+
 
 def numbered(
     df: DataFrame, keys: list[str], order: list[Column], block: Column, name: str = "rn"
@@ -32,6 +34,42 @@ def numbered(
     )
 
 
+def ranged(df: DataFrame, order: list[str], name: str = "range") -> DataFrame:
+    """``df`` with the number of its range along ``order``: a block for keys of any shape.
+
+    Ranges are cut at sampled rows, and equal rows share one.  A second sample may cut elsewhere,
+    so the table is written once and read back.
+    """
+    return written(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()), name)
+
+
+def following(
+    df: DataFrame, keys: list[str], order: str, block: Column, values: dict[str, Column], back: bool = False
+) -> DataFrame:
+    """For each of ``values`` its nearest non-null value after the row (before it, if ``back``), block by block.
+
+    ``order`` is unique within a group.
+    """
+    df = df.withColumn("_block", block)
+    for name, value in values.items():
+        df = df.withColumn(f"_{name}", value)
+    way = F.desc if back else F.asc
+    pick = F.max_by if back else F.min_by
+    nearest = df.groupBy(*keys, "_block").agg(
+        *[pick(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col(order))).alias(f"_first_{n}") for n in values]
+    )
+    after = Window.partitionBy(*keys).orderBy(way("_block")).rowsBetween(1, Window.unboundedFollowing)
+    later = nearest.select(*keys, "_block", *[F.first(f"_first_{n}", ignorenulls=True).over(after).alias(f"_later_{n}") for n in values])
+    local = Window.partitionBy(*keys, "_block").orderBy(way(order)).rowsBetween(1, Window.unboundedFollowing)
+    here = df
+    for n in values:
+        here = here.withColumn(f"_next_{n}", F.first(f"_{n}", ignorenulls=True).over(local))
+    joined = here.join(later, [*keys, "_block"])
+    for n in values:
+        joined = joined.withColumn(n, F.coalesce(f"_next_{n}", f"_later_{n}"))
+    return joined.drop("_block", *[f"{p}{n}" for n in values for p in ("_", "_next_", "_later_")])
+
+
 def running_sum(
     df: DataFrame, keys: list[str], order: list[Column], block: Column,
     value: Column, name: str,

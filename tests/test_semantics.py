@@ -13,7 +13,7 @@ from facetloom.functions.stem import fold_and_stem
 from facetloom.operators import candidates as K
 from facetloom.operators import catalog as C
 from facetloom.operators import dataset as D
-from facetloom.operators import metrics, ordering, questions, retrieval
+from facetloom.operators import features, metrics, ordering, questions, retrieval
 from facetloom.operators import sessions as N
 from facetloom.operators import training
 from facetloom.operators import utterances as U
@@ -620,3 +620,36 @@ def test_brands_with_signs(spark):
         1: [("$uper", 0, 5)], 2: [], 3: [("$uper", 2, 7)], 4: [("A.B.", 0, 4)], 5: [], 6: [("north face", 4, 14)], 7: [], 8: [("brand-7", 0, 7)], 9: [],
         10: [("$uper", 3, 8)],
     }
+
+
+def test_values_fold_alike_in_any_script(spark):
+    bridge = spark.createDataFrame([("Straße", "A"), ("Mode > Straße", "B"), ("Plain", "C")], "full_path string, parent_asin string")
+    nodes = X.with_normalized(
+        spark.createDataFrame([("Straße", "Straße"), ("Straße", "Mode > Straße"), ("Plain", "Plain")], "name string, full_path string"),
+        "name", "normalized_name",
+    )
+    targets = spark.createDataFrame(
+        [("any", ["Straße", " "], []), ("below", ["STRASSE"], ["MODE", "straße"]), ("none", ["Plain"], ["x"])],
+        "label string, names array<string>, terms array<string>",
+    )
+    from facetloom.operators.facets import category_name_products
+
+    got = {(r["label"], r["parent_asin"]) for r in category_name_products(bridge, nodes, targets).collect()}
+    assert got == {("any", "A"), ("any", "B"), ("below", "B")}
+    known = spark.createDataFrame([([("color", "STRASSE"), ("color", "Straße."), ("brand", "ÉTÉ"), ("brand", None)],)], "k array<struct<attribute:string,display:string>>")
+    names = known.select(features.context_names(F.lit("Ｓchuhe"), F.lit("buying"), F.lit(1), F.lit(False), F.col("k")).alias("n")).first()["n"]
+    assert names[0] == "ctx:category=schuhe" and names[4:] == ["ctx:brand=été", "ctx:color=strasse"]
+
+
+def test_ranges_and_neighbours(spark):
+    rows = spark.createDataFrame([("item:color=" + f"{i:05d}",) for i in range(3000)], "name string")
+    numbers = ordering.numbered(ordering.ranged(rows, ["name"]), [], [F.col("name")], F.col("range"), "n")
+    assert all(int(r["name"][-5:]) == r["n"] - 1 for r in numbers.collect())
+    rng = random.Random(3)
+    values = {(g, i): rng.choice([None, i]) for g in "ab" for i in range(200)}
+    df = spark.createDataFrame([(g, i, v) for (g, i), v in values.items()], "g string, i int, v int")
+    for back in (False, True):
+        got = ordering.following(df, ["g"], "i", ordering.int_block(F.col("i"), 16), {"near": F.col("v")}, back)
+        for r in got.collect():
+            order = range(r["i"] - 1, -1, -1) if back else range(r["i"] + 1, 200)
+            assert r["near"] == next((values[r["g"], k] for k in order if values[r["g"], k] is not None), None)
