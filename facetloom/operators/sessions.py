@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from facetloom.functions import text as X
 from facetloom.functions import vocab as V
-from facetloom.operators.ordering import int_block, numbered, running_sum
+from facetloom.operators.ordering import following, int_block, numbered, ranged, running_sum
 from facetloom.session import spread_join
 
 
@@ -108,6 +108,88 @@ def fold_edits_batch(edits: DataFrame) -> DataFrame:
     return rows.withColumn("role", role).filter(F.col("role").isNotNull()).select(*field_keys, "value", "role")
 
 
+def field_events(edits: DataFrame) -> DataFrame:
+    """(session_id, seq, attribute, value, kind, role): what each edit does to which field.
+
+    A ``price`` states the budget in words and sets the ceiling; a ``budget`` in words leaves the
+    ceiling alone, and removing the budget lifts both.  A ``category`` refines the search, a
+    ``new_category`` clears all preferences first; no clear touches the category itself.  An edit
+    without session, field or needed value does nothing.
+    """
+    op, attribute, value = F.col("op"), F.col("attribute"), F.col("value")
+    does = lambda a, v, kind, role: F.struct(
+        a.alias("attribute"), v.alias("value"), F.lit(kind).alias("kind"), F.lit(role).cast("string").alias("role")
+    )
+    none, budget, ceiling = F.lit(None).cast("string"), F.lit("budget"), F.lit("maximum_price")
+    items = (
+        F.when(op == "set", F.array(does(attribute, value, "put", "required")))
+        .when(op == "alternatives", F.array(does(attribute, value, "put", "alternative")))
+        .when(op == "exclude", F.array(does(attribute, value, "exclude", "excluded")))
+        .when((op == "remove") & (attribute == "budget"), F.array(does(attribute, none, "reset", None), does(ceiling, none, "reset", None)))
+        .when(op == "remove", F.array(does(attribute, none, "reset", None)))
+        .when(op == "price", F.array(does(budget, F.concat(F.lit("maximum $"), value), "put", "stated"), does(ceiling, value, "put", "ceiling")))
+        .when(op == "budget", F.array(does(budget, value, "put", "stated")))
+        .when(op.isin("category", "new_category"), F.array(does(F.lit("category"), value, "put", "category")))
+    )
+    events = edits.select("session_id", "seq", F.explode(items).alias("e")).select("session_id", "seq", "e.*")
+    events = events.filter(
+        F.col("session_id").isNotNull() & F.col("seq").isNotNull() & F.col("attribute").isNotNull()
+        & ((F.col("kind") == "reset") | F.col("value").isNotNull())
+    )
+    clears = edits.filter(op.isin("clear", "new_category") & F.col("seq").isNotNull()).select("session_id", "seq").distinct()
+    fields = events.filter(F.col("attribute") != "category").select("session_id", "attribute").distinct()
+    cleared = spread_join(clears, fields, ["session_id"], ["seq"]).select(
+        "session_id", "seq", "attribute", none.alias("value"), F.lit("reset").alias("kind"), none.alias("role")
+    )
+    return events.unionByName(cleared)
+
+
+def preference_history(edits: DataFrame) -> DataFrame:
+    """(session_id, attribute, value, role, since, until): the state after every edit, as intervals.
+
+    ``edits``: (session_id, seq, op, attribute, value), ops as in ``field_events``.  A row holds after
+    every edit of a number from ``since`` to below ``until`` (null: to the end), so the table grows with
+    the edits, not with edits times preferences.  Edits of one number act together: resets first, then
+    positive ones, then exclusions.  Repeated edits are one; an exclusion said again goes on.
+
+    An interval ends at the nearest later edit of a kind, which is found range by range, so a
+    session that holds a third of all edits is no task of its own.
+    """
+    events = field_events(edits)
+    field = ["session_id", "attribute"]
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("seq")))
+    line = ranged(events.groupBy(*field, "seq").agg(at("put").alias("put"), at("reset").alias("reset")), [*field, "seq"])
+    ahead = following(line, field, "seq", F.col("range"), {"next_put": F.col("put"), "next_reset": F.col("reset")})
+    behind = following(line, field, "seq", F.col("range"), {"last_reset": F.col("reset")}, back=True)
+    resets = ahead.select(*field, "seq", "next_put", "next_reset").join(
+        behind.select(*field, "seq", F.coalesce("reset", "last_reset").alias("last_reset")), [*field, "seq"]
+    )
+    said = events.filter(F.col("kind") != "reset").groupBy(*field, "value", "seq").agg(
+        at("put").alias("put"), at("exclude").alias("excluded"),
+        F.min(F.when(F.col("kind") == "put", F.col("role"))).alias("role"),
+    )
+    said = ranged(said, [*field, "value", "seq"])
+    key = [*field, "value"]
+    later = following(said, key, "seq", F.col("range"), {"next_same": F.col("put"), "next_exclude": F.col("excluded")})
+    before = F.struct("seq", F.col("excluded").isNotNull().alias("out"))
+    earlier = following(said, key, "seq", F.col("range"), {"before": before}, back=True).select(*key, "seq", "before")
+    rows = later.join(earlier, [*key, "seq"]).join(resets, [*field, "seq"])
+    goes_on = F.col("before.out") & F.coalesce(F.col("last_reset") <= F.col("before.seq"), F.lit(True)) & F.col("put").isNull()
+    holds = (
+        F.when(
+            F.col("excluded").isNotNull() & ~F.coalesce(goes_on, F.lit(False)),
+            F.struct(F.lit("excluded").alias("role"), F.least("next_reset", "next_same").alias("until")),
+        )
+        .when(
+            F.col("excluded").isNull(),
+            F.struct(F.col("role"), F.least("next_put", "next_reset", "next_exclude").alias("until")),
+        )
+    )
+    return rows.withColumn("h", holds).filter(F.col("h").isNotNull()).select(
+        *key, F.col("h.role").alias("role"), F.col("seq").alias("since"), F.col("h.until").alias("until")
+    )
+
+
 def attribute_stage(attribute: Column) -> Column:
     result = F.when(F.lit(False), 0)
     for i, stage in enumerate(V.STAGES):

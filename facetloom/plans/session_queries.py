@@ -305,6 +305,56 @@ def q_fold_edits_batch(t: Tables):
     return N.fold_edits_batch(sequenced_edits(t))
 
 
+SPOKEN_FIELDS = ("material", "color", "size", "style", "brand", "price", "budget", "category")
+
+
+def spoken_edits(t: Tables):
+    """Edits of attributes, prices, budgets and categories, numbered within their session."""
+    kind = F.element_at(F.array(*[F.lit(a) for a in SPOKEN_FIELDS]), (F.pmod(F.floor("value"), F.lit(8)) + 1).cast("int"))
+    event, said = F.col("event_type"), F.col("kind")
+    op = (
+        F.when(event == "signup", "clear").when(event == "error", "exclude").when(event == "purchase", "remove")
+        .when((said == "category") & (event == "click"), "new_category").when(said.isin("price", "budget", "category"), said)
+        .when(event == "view", "set").otherwise("alternatives")
+    )
+    rows = t.table("events").withColumn("kind", kind).select(
+        F.col("user_id").alias("session_id"), "ts", "event_id", op.alias("op"),
+        F.when(said == "price", "budget").otherwise(said).alias("attribute"),
+        F.when(said == "price", F.floor("value").cast("string")).otherwise(F.concat(F.lit("v"), F.get_json_object("props", "$.k"))).alias("value"),
+    )
+    line = ordering.ranged(rows, ["session_id", "ts", "event_id"])
+    return ordering.numbered(line, ["session_id"], [F.col("ts"), F.col("event_id")], F.col("range"), "seq")
+
+
+@query(
+    "preference_history",
+    f"""WITH k AS (SELECT *, ([{', '.join(f"'{a}'" for a in SPOKEN_FIELDS)}])[(floor(value)::BIGINT % 8) + 1] AS said FROM events),
+e AS MATERIALIZED (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
+  CASE WHEN event_type = 'signup' THEN 'clear' WHEN event_type = 'error' THEN 'exclude' WHEN event_type = 'purchase' THEN 'remove'
+    WHEN said = 'category' AND event_type = 'click' THEN 'new_category' WHEN said IN ('price', 'budget', 'category') THEN said
+    WHEN event_type = 'view' THEN 'set' ELSE 'alternatives' END AS op,
+  CASE said WHEN 'price' THEN 'budget' ELSE said END AS attribute,
+  CASE said WHEN 'price' THEN floor(value)::BIGINT::VARCHAR ELSE 'v' || json_extract_string(props, '$.k') END AS value FROM k),
+w AS (SELECT session_id, seq, attribute, value, 'put' AS kind, CASE op WHEN 'set' THEN 'required' ELSE 'alternative' END AS role FROM e WHERE op IN ('set', 'alternatives')
+  UNION ALL SELECT session_id, seq, attribute, value, 'exclude', 'excluded' FROM e WHERE op = 'exclude'
+  UNION ALL SELECT session_id, seq, unnest(CASE attribute WHEN 'budget' THEN ['budget', 'maximum_price'] ELSE [attribute] END), NULL, 'reset', NULL FROM e WHERE op = 'remove'
+  UNION ALL SELECT session_id, seq, 'budget', CASE op WHEN 'price' THEN 'maximum $' || value ELSE value END, 'put', 'stated' FROM e WHERE op IN ('price', 'budget')
+  UNION ALL SELECT session_id, seq, 'maximum_price', value, 'put', 'ceiling' FROM e WHERE op = 'price'
+  UNION ALL SELECT session_id, seq, 'category', value, 'put', 'category' FROM e WHERE op IN ('category', 'new_category')),
+v AS MATERIALIZED (SELECT * FROM w WHERE kind = 'reset' OR value IS NOT NULL
+  UNION ALL SELECT e.session_id, seq, f.attribute, NULL, 'reset', NULL FROM e JOIN (SELECT DISTINCT session_id, attribute FROM w WHERE attribute <> 'category') f USING (session_id) WHERE op IN ('clear', 'new_category')),
+ends AS MATERIALIZED (SELECT p.session_id, p.attribute, p.value, p.kind, p.role, p.seq AS since, min(x.seq) AS until FROM v p
+  LEFT JOIN v x ON x.session_id = p.session_id AND x.attribute = p.attribute AND x.seq > p.seq
+    AND (x.kind = 'reset' OR (p.kind = 'put' AND x.kind = 'put') OR (x.kind <> p.kind AND x.value = p.value))
+  WHERE p.kind <> 'reset' GROUP BY ALL),
+again AS (SELECT *, lag(until) OVER o AS till, lag(since) OVER o AS was FROM ends WHERE kind = 'exclude' WINDOW o AS (PARTITION BY session_id, attribute, value ORDER BY since))
+SELECT session_id, attribute, value, role, since, until FROM ends WHERE kind = 'put'
+UNION ALL SELECT session_id, attribute, value, role, since, until FROM again WHERE was IS NULL OR till <= since""",
+)
+def q_preference_history(t: Tables):
+    return N.preference_history(spoken_edits(t))
+
+
 @query("fold_edits_stream", ORACLES["fold_edits_batch"])
 def q_fold_edits_stream(t: Tables):
     """The edits replayed as a file stream; the last emission per session."""

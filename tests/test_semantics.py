@@ -653,3 +653,62 @@ def test_ranges_and_neighbours(spark):
         for r in got.collect():
             order = range(r["i"] - 1, -1, -1) if back else range(r["i"] + 1, 200)
             assert r["near"] == next((values[r["g"], k] for k in order if values[r["g"], k] is not None), None)
+
+
+def spoken_state(rows):
+    """Plain in-order fold of edits, prices, budgets and categories."""
+    state, ceiling, category, roles = {}, None, None, {"set": "required", "alternatives": "alternative"}
+    for _, op, attribute, value in sorted(rows):
+        if op in ("clear", "new_category"):
+            state, ceiling = {}, None
+        if op in ("category", "new_category"):
+            category = value
+        elif op == "remove":
+            state.pop(attribute, None)
+            ceiling = None if attribute == "budget" else ceiling
+        elif op == "exclude":
+            positive, out = state.setdefault(attribute, ({}, set()))
+            positive.pop(value, None)
+            out.add(value)
+        elif op != "clear":
+            field, shown = (attribute, value) if op in roles else ("budget", value if op == "budget" else f"maximum ${value}")
+            positive, out = state.setdefault(field, ({}, set()))
+            positive.clear()
+            positive[shown] = roles.get(op, "stated")
+            out.discard(shown)
+            ceiling = value if op == "price" else ceiling
+    rows = {(a, v, r) for a, (p, x) in state.items() for v, r in [*p.items(), *[(v, "excluded") for v in x]]}
+    return rows | ({("maximum_price", ceiling, "ceiling")} if ceiling else set()) | ({("category", category, "category")} if category else set())
+
+
+def test_preference_history_is_the_state_after_every_edit(spark):
+    rng = random.Random(8)
+    ops = ("set", "alternatives", "exclude", "remove", "clear", "price", "budget", "category", "new_category")
+    fields = ("color", "size", "budget")
+    sessions = {
+        s: [(i, rng.choices(ops, (6, 4, 8, 2, 1, 3, 2, 2, 1))[0], rng.choice(fields), rng.choice("12")) for i in range(rng.choice((1, 6, 40)))]
+        for s in range(40)
+    }
+    rows = [(s, *r) for s, edits in sessions.items() for r in edits]
+    empty = [(None, 1, "set", "color", "1"), (3, None, "set", "color", "1"), (3, 99, "set", None, "1"), (3, 99, "price", None, None), (3, 99, None, "color", "1"), (3, 99, "other", "color", "1")]
+    edits = spark.createDataFrame(rows + rows[:50] + empty, "session_id long, seq long, op string, attribute string, value string")
+    got = N.preference_history(edits).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r["session_id"], []).append(r)
+    assert set(of) <= set(sessions)
+    for s, own in sessions.items():
+        for k in range(len(own)):
+            held = [(r["attribute"], r["value"], r["role"]) for r in of.get(s, []) if r["since"] <= k and (r["until"] is None or k < r["until"])]
+            assert len(held) == len(set(held)) and set(held) == spoken_state(own[: k + 1])
+    assert N.preference_history(edits.limit(0)).count() == 0
+
+
+def test_preference_history_of_one_message(spark):
+    edits = spark.createDataFrame(
+        [(1, 0, "set", "color", "red"), (1, 0, "set", "color", "blue"), (1, 0, "exclude", "color", "blue"), (1, 0, "clear", None, None),
+         (1, 5, "exclude", "color", "blue"), (1, 5, "remove", "color", None)],
+        "session_id long, seq long, op string, attribute string, value string",
+    )
+    got = {tuple(r) for r in N.preference_history(edits).collect()}
+    assert got == {(1, "color", "red", "required", 0, 5), (1, "color", "blue", "excluded", 0, 5), (1, "color", "blue", "excluded", 5, None)}
