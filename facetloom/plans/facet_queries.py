@@ -12,6 +12,7 @@ from facetloom.operators import catalog as C
 from facetloom.operators import facets
 from facetloom.plans import oracle as O
 from facetloom.plans.registry import query
+from facetloom.session import spread_join
 from facetloom.sources.tables import Tables
 
 
@@ -115,23 +116,19 @@ def q_category_products(t: Tables):
     "coarse_category_products",
     O.with_views(
         "states",
-        """, named AS (SELECT session_id, CASE WHEN scenario = 'boundary' THEN 'no such shelf' ELSE category END AS category FROM states WHERE turn = 1),
-sizes AS (SELECT category, count(*) AS n, min(parent_asin) AS first_id, max(parent_asin) AS last_id FROM profile GROUP BY 1
-  UNION ALL SELECT '*', count(*), min(parent_asin), max(parent_asin) FROM profile)
-SELECT session_id, pool, n, first_id, last_id FROM (SELECT session_id,
-  CASE WHEN category IN (SELECT category FROM profile) THEN category WHEN 'clothing item' IN (SELECT category FROM profile) THEN 'clothing item' ELSE '*' END AS pool FROM named)
-JOIN sizes ON sizes.category = pool""",
+        """, named AS (SELECT CASE WHEN scenario = 'boundary' THEN 'no such shelf' ELSE category END AS category, count(*) AS n_sessions FROM states WHERE turn = 1 GROUP BY 1),
+pools AS (SELECT *, CASE WHEN category IN (SELECT category FROM profile) THEN category WHEN 'clothing item' IN (SELECT category FROM profile) THEN 'clothing item' ELSE '*' END AS pool FROM named)
+SELECT pools.category, pool, n_sessions, parent_asin FROM pools JOIN profile p ON p.category = pool OR pool = '*'""",
     ),
 )
 def q_coarse_category_products(t: Tables):
+    """All members of each named category; sessions that name the same one share its rows."""
     named = t.session_profiles.select(
-        "session_id", F.when(F.col("scenario") == "boundary", "no such shelf").otherwise(F.col("category")).alias("category")
-    )
-    sizes = facets.pool_members(t.products).groupBy("pool").agg(
-        F.count("*").alias("n"), F.min("parent_asin").alias("first_id"), F.max("parent_asin").alias("last_id")
-    )
-    return facets.resolve_pools(named, t.products).join(sizes, "pool").select(
-        "session_id", "pool", "n", "first_id", "last_id"
+        F.when(F.col("scenario") == "boundary", "no such shelf").otherwise(F.col("category")).alias("category")
+    ).groupBy("category").agg(F.count("*").alias("n_sessions"))
+    pools = facets.resolve_pools(named, t.products)
+    return spread_join(facets.pool_members(t.products), pools, ["pool"], ["parent_asin"]).select(
+        "category", "pool", "n_sessions", "parent_asin"
     )
 
 
@@ -242,6 +239,22 @@ def q_and_intersect_rollback(t: Tables):
     return rows.select("session_id", "turn", "state_key").join(outcome, "state_key").drop("state_key")
 
 
+@query(
+    "and_intersect_survivors",
+    O.with_views(
+        "states facts",
+        f""", {WANTED_SQL}, {SURVIVORS_SQL}
+SELECT category AS pool, array_to_string(wanted, '|') AS wanted, parent_asin FROM surv WHERE len(wanted) > 0""",
+    ),
+)
+def q_and_intersect_survivors(t: Tables):
+    """Every product left by each state that wants something; sessions in the same state share its rows."""
+    states = wanted_states(t).select("state_key", "pool", "wanted").distinct()
+    members, _ = other_members(t)
+    shown = states.select("state_key", "pool", F.array_join("wanted", "|").alias("wanted"))
+    return spread_join(K.match_all(states, members), shown, ["state_key"], ["parent_asin"]).drop("state_key")
+
+
 MATERIAL_OF_SQL = f"([{O.quoted(V.MATERIALS)}])[length(category) % 9 + 1]"
 
 

@@ -219,8 +219,8 @@ def q_cross_audit(t: Tables):
 @query(
     "fm_item_components",
     sql(
-        """ SELECT parent_asin, round(linear, 6) AS linear, round(base, 6) AS base, round(v[1], 6) AS v_first, round(v[16], 6) AS v_last
-FROM ibase JOIN (SELECT parent_asin, list(s ORDER BY d::INT) AS v FROM isum WHERE d <> 'linear' GROUP BY 1) USING (parent_asin)""",
+        """ SELECT parent_asin, round(linear, 6) AS linear, round(base, 6) AS base, d::INT AS place, round(s, 6) AS value
+FROM ibase JOIN isum USING (parent_asin) WHERE d <> 'linear'""",
         BASE_SQL,
     ),
 )
@@ -229,8 +229,8 @@ def q_fm_item_components(t: Tables):
     parts = scoring.item_components(named, parameters(named.select("name").distinct()), DIMENSION)
     return parts.select(
         "parent_asin", F.round("linear", 6).alias("linear"), F.round("base", 6).alias("base"),
-        F.round(F.get("vector", F.lit(0)), 6).alias("v_first"), F.round(F.element_at("vector", -1), 6).alias("v_last"),
-    )
+        F.posexplode("vector").alias("place", "value"),
+    ).withColumn("value", F.round("value", 6))
 
 
 @query("score_linear", sql(" SELECT context_key, parent_asin, round(linear, 6) AS score FROM pr JOIN ibase USING (parent_asin)", BASE_SQL))
@@ -655,13 +655,14 @@ def q_cosine_candidates(t: Tables):
 
 @query(
     "l2_normalize",
-    """SELECT vec_id AS id, round(v[1] / greatest(n, 1e-12), 6) AS first, round(v[-1] / greatest(n, 1e-12), 6) AS last FROM
-(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE * 9))) AS n FROM embeddings)""",
+    """SELECT vec_id AS id, (i - 1)::INT AS place, round(v[i] / greatest(n, 1e-12), 6) AS value FROM
+(SELECT *, unnest(generate_series(1, len(v))) AS i FROM
+(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE * 9))) AS n FROM embeddings))""",
 )
 def q_l2_normalize(t: Tables):
     scaled = F.transform("vector", lambda x: x.cast("double") * 3)
-    return t.vectors.select("id", retrieval.l2_normalize(scaled).alias("v")).select(
-        "id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last")
+    return t.vectors.select("id", F.posexplode(retrieval.l2_normalize(scaled)).alias("place", "value")).select(
+        "id", "place", F.round("value", 6).alias("value")
     )
 
 
