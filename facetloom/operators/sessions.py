@@ -190,6 +190,31 @@ def preference_history(edits: DataFrame) -> DataFrame:
     )
 
 
+def edits_of_messages(parsed: DataFrame) -> DataFrame:
+    """(session_id, seq, op, attribute, value): the edits that parsed messages make.
+
+    ``parsed``: session_id, seq and the slots of ``parse_messages``.  Values of one message share its
+    number.  Alternative or excluded categories are a field of their own, ``categories``, beside the
+    one category that a message may name.
+    """
+    field = lambda a: F.when(a == "category", "categories").otherwise(a)
+    edit = lambda op, a, v: F.struct(F.lit(op).alias("op"), a.cast("string").alias("attribute"), v.cast("string").alias("value"))
+    none = F.lit(None).cast("string")
+
+    def each(column: str, op: str):
+        return F.flatten(F.transform(column, lambda s: F.transform(s["values"], lambda v: edit(op, field(s["attribute"]), v))))
+
+    slots = [each("required", "set"), each("alternatives", "alternatives"), each("excluded", "exclude")]
+    one = lambda op, c: F.when(c.isNotNull(), F.array(edit(op, none, c)))
+    price = F.regexp_replace(F.col("max_price").cast("decimal(18,2)").cast("string"), r"\.?0+$", "")
+    parts = [
+        F.transform("removed", lambda a: edit("remove", a, none)), *slots,
+        one("price", price), one("budget", F.col("qualitative_budget")), one("category", F.col("category")),
+    ]
+    empty = F.array().cast("array<struct<op:string,attribute:string,value:string>>")
+    return parsed.select("session_id", "seq", F.inline(F.concat(*[F.coalesce(p, empty) for p in parts])))
+
+
 def attribute_stage(attribute: Column) -> Column:
     result = F.when(F.lit(False), 0)
     for i, stage in enumerate(V.STAGES):

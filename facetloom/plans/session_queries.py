@@ -355,6 +355,14 @@ def q_preference_history(t: Tables):
     return N.preference_history(spoken_edits(t))
 
 
+@query("customer_history")
+def q_customer_history(t: Tables):
+    """Wishes of a customer, one per order, parsed, turned into edits and folded: the state after each wish."""
+    owner = t.table("orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("session_id"))
+    wishes = parsed(t).withColumnRenamed("message_id", "seq").join(owner, "seq")
+    return N.preference_history(N.edits_of_messages(wishes))
+
+
 @query("fold_edits_stream", ORACLES["fold_edits_batch"])
 def q_fold_edits_stream(t: Tables):
     """The edits replayed as a file stream; the last emission per session."""

@@ -712,3 +712,21 @@ def test_preference_history_of_one_message(spark):
     )
     got = {tuple(r) for r in N.preference_history(edits).collect()}
     assert got == {(1, "color", "red", "required", 0, 5), (1, "color", "blue", "excluded", 0, 5), (1, "color", "blue", "excluded", 5, None)}
+
+
+def test_history_of_parsed_messages(spark):
+    said = [
+        (1, "black or white shirt under $50"), (2, "not black, leather shirt"), (3, "any color is fine, cheap boots"), (4, "zzz"),
+    ]
+    messages = spark.createDataFrame(said, "message_id long, text string")
+    brands = spark.createDataFrame([("Zed",)], "brand string")
+    parsed = U.parse_messages(messages, brands).withColumnRenamed("message_id", "seq").withColumn("session_id", F.lit(7))
+    got = {(r["attribute"], r["value"], r["role"], r["since"], r["until"]) for r in N.preference_history(N.edits_of_messages(parsed)).collect()}
+    print(sorted(got, key=str))
+    assert got >= {
+        ("color", "black", "alternative", 1, 2), ("color", "white", "alternative", 1, 3), ("color", "black", "excluded", 2, 3),
+        ("material", "leather", "required", 2, None), ("maximum_price", "50", "ceiling", 1, None), ("budget", "maximum $50", "stated", 1, 3),
+        ("budget", "affordable", "stated", 3, None),
+    }
+    # Not a word of the last message is known, and no interval is empty.
+    assert not any(4 in (g[3], g[4]) or g[3] == g[4] for g in got)
