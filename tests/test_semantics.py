@@ -17,6 +17,7 @@ from facetloom.operators import features, metrics, ordering, questions, retrieva
 from facetloom.operators import sessions as N
 from facetloom.operators import training
 from facetloom.operators import utterances as U
+from facetloom.plans import QUERIES
 from facetloom.sources.catalog import read_catalog
 from facetloom.sources.sinks import write_audit_csv, write_facts
 from facetloom.streaming import edits as stream
@@ -730,3 +731,19 @@ def test_history_of_parsed_messages(spark):
     }
     # Not a word of the last message is known, and no interval is empty.
     assert not any(4 in (g[3], g[4]) or g[3] == g[4] for g in got)
+
+
+def test_files_that_look_small_are_not_broadcast(spark, tmp_path):
+    # Half a megabyte of files, but over 30 MB as rows.
+    spark.range(300_000).select("id", F.lit("x" * 100).alias("text")).write.parquet(str(tmp_path / "t"))
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    own.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    QUERIES["weighted_mean"](own, "/root/testdata/sf0.001")
+    table = own.read.parquet(str(tmp_path / "t"))
+    joined = table.join(table.withColumnRenamed("text", "other"), "id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert own.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "10m"
+    small = own.range(10).join(own.createDataFrame([(3,)], "id long"), "id")
+    small.collect()
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
