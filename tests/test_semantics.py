@@ -747,3 +747,13 @@ def test_files_that_look_small_are_not_broadcast(spark, tmp_path):
     small = own.range(10).join(own.createDataFrame([(3,)], "id long"), "id")
     small.collect()
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_values_are_spread_over_tasks(spark):
+    own = spark.newSession()
+    for key, value in (("autoBroadcastJoinThreshold", "-1"), ("adaptive.coalescePartitions.enabled", "false"), ("shuffle.partitions", "8")):
+        own.conf.set(f"spark.sql.{key}", value)
+    # One value of another script, so that the join stays.
+    rows = own.range(4000).select("id", F.when(F.col("id") == 0, "Rød").otherwise("Red").alias("v"))
+    got = X.with_normalized(rows, "v", "n").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.collect_set("n").alias("v")).collect()
+    assert sum(r["n"] for r in got) == 4000 and max(r["n"] for r in got) < 1000 and {v for r in got for v in r["v"]} == {"red", "rød"}
