@@ -693,3 +693,21 @@ def test_pipeline(spark, corpus):
     left = {d for d, _ in texts(docs)}
     assert 900007 not in left and 900010 in left
     assert not {900005, 900006} <= left
+
+
+def test_texts_that_share_half_are_not_compared_in_pairs(spark, monkeypatch):
+    """Many texts with one long passage in common meet under shared keys, yet only the similar ones are compared."""
+    common = " ".join(f"c{k}" for k in range(100))
+    texts = [f"{common} " + " ".join(f"d{i}w{k}" for k in range(100)) for i in range(120)]
+    texts.append(texts[0] + " one more word")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, store = [], copies.store
+
+    def counted(df, name):
+        out = store(df, name)
+        asked.extend([out.count()] * (name == "candidate-pairs"))
+        return out
+
+    monkeypatch.setattr(copies, "store", counted)
+    assert {r["doc_id"] for r in copies.drop_near_copies(docs).collect()} == set(range(120))
+    assert 1 <= sum(asked) < 60
