@@ -291,6 +291,47 @@ def test_negatives_respect_the_rules(spark):
     assert {r["sampler"] for r in few} == {"all"}
 
 
+def test_negatives_ask_for_the_pre_pool_only(spark):
+    pool = spark.range(300).select(
+        F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("state_id"), F.lit("t").alias("target"),
+        F.format_string("p%03d", (F.col("id") / 2).cast("int")).alias("parent_asin"), (F.col("id") % 7 == 0).alias("tie"),
+    )
+    score = lambda rows: rows.select("state_id", "parent_asin", (F.crc32("parent_asin") / F.lit(2.0**32)).alias("score"))
+    shared = lambda rows: rows.select("state_id", "parent_asin", (F.crc32(F.reverse("parent_asin")) % 5).cast("int").alias("shared"))
+    asked = []
+
+    def seen(of):
+        def ask(rows):
+            asked.append(rows.groupBy("state_id").count().agg(F.max("count")).first()[0])
+            return of(rows)
+
+        return ask
+
+    got = D.survivor_negatives(pool, seen(score), seen(shared), pre_pool=20)
+    want = D.survivor_negatives(pool, score(pool), shared(pool), pre_pool=20)
+    assert sorted(got.collect()) == sorted(want.collect()) and asked == [20, 20]
+
+
+def test_shared_evidence_is_the_evidence_of_each_state(spark):
+    evidence = spark.createDataFrame(
+        [(f"p{k}", [f"a={k % 2}", f"b={k % 3}", None if k % 4 else "c=0"]) for k in range(12)], "parent_asin string, evidence array<string>"
+    )
+    states = spark.createDataFrame(
+        [(f"s{k}", f"k{k % 2}", f"p{k % 5}", [["a=0", "a=0", "b=1"], ["a=0", None], [], ["b=2", "c=0"]][k % 4]) for k in range(16)],
+        "state_id string, state_key string, target string, known array<string>",
+    )
+    sets = evidence.select("parent_asin", F.explode(F.array(F.lit("k0"), F.lit("k1"))).alias("state_key")).where("state_key = 'k0' OR parent_asin < 'p5'")
+    got = K.shared_evidence_match(sets, states, evidence)
+    names = ["state_id", "parent_asin", "matched", "needed", "indistinguishable"]
+    each = states.select("state_id", "state_key").join(sets, "state_key").drop("state_key")
+    want = K.evidence_match(each, states.drop("state_key"), evidence)
+    assert sorted(got.select(names).collect()) == sorted(want.select(names).collect())
+    # Nothing shuffles the pairs: above the join that makes them there is no exchange.
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    ensured = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in ensured[: ensured.index("Join")] and "_known" in plan
+
+
 def test_numbering_equals_row_number(spark):
     rows = spark.range(3000).select((F.col("id") % 3 == 0).cast("int").alias("k"), ((F.col("id") * 7919) % 3001).alias("o"))
     got = ordering.numbered(rows, ["k"], [F.col("o")], ordering.int_block(F.col("o"), 100))
