@@ -51,7 +51,11 @@ def fingerprint(text: str | None, shingle: int) -> int:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    digests = np.frombuffer(b"".join([xxh64_digest(g, SEED) for g in grams]), np.uint8).reshape(-1, 8)
+    return voted(np.frombuffer(b"".join([xxh64_digest(g, SEED) for g in grams]), np.uint8).reshape(-1, 8))
+
+
+def voted(digests: np.ndarray) -> int:
+    """Signed fingerprint: bits that are set in over half of the rows of eight bytes."""
     count = np.zeros(BITS, np.int64)
     for at in range(0, len(digests), 1 << 14):
         count += np.unpackbits(digests[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)

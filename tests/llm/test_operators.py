@@ -695,6 +695,35 @@ def test_pipeline(spark, corpus):
     assert not {900005, 900006} <= left
 
 
+def test_near_copies_start_from_simhash_and_check_it(spark, corpus):
+    """First candidates reach what SimHash links, and a link between unlike sets of shingles does not count."""
+    line = "one line that comes back seven words "
+    loud = [(700000 + k, line * 900 + " ".join(f"t{k}w{j}" for j in range(60))) for k in range(4)]
+    docs = corpus.select("doc_id", "text").union(spark.createDataFrame(loud, "doc_id long, text string"))
+    rows = copies.nodes_of(docs, 5)
+    text_of = {d: t for d, t in texts(docs) if d is not None and d not in (900005, 900009)}
+    for r in rows.where("doc_id IS NOT NULL").select("doc_id", "fp").collect():
+        if r["doc_id"] in text_of:
+            assert r["fp"] == simhash.fingerprint(text_of[r["doc_id"]], 5)
+    pairs = [tuple(r) for r in copies.simhash_pairs(rows).collect()]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    linked = simhash.near_duplicates(docs, shingle=5).select("text_key", "doc_id", "keeper_id", "keeper_key").distinct()
+    groups = {}
+    for r in rows.join(linked, ["text_key", "doc_id"]).select("node", "keeper_id", "keeper_key").collect():
+        groups.setdefault((r["keeper_id"], r["keeper_key"]), set()).add(find(r["node"]))
+    assert pairs and all(len(g) == 1 for g in groups.values())
+    assert rows.where("doc_id BETWEEN 700000 AND 700003").select("fp").distinct().count() == 1
+    assert {d for d, _ in texts(copies.drop_near_copies(docs))} >= {d for d, _ in loud}
+
+
 def test_texts_that_share_half_are_not_compared_in_pairs(spark, monkeypatch):
     """Many texts with one long passage in common meet under shared keys, yet only the similar ones are compared."""
     common = " ".join(f"c{k}" for k in range(100))
