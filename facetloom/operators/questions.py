@@ -149,7 +149,8 @@ def informative_attributes(answers: DataFrame, key: str) -> DataFrame:
         .filter(F.col("lo") != F.col("hi"))
         .withColumn("stage", stage_of(F.col("attribute")))
     )
-    earliest = varied.groupBy(key).agg(F.min("stage").alias("stage"))
-    return varied.join(earliest, [key, "stage"]).select(key, "attribute", "stage")
+    # A key has a handful of attributes: gathered, the answers are walked once.
+    gathered = varied.groupBy(key).agg(F.collect_list(F.struct("attribute", "stage")).alias("v"), F.min("stage").alias("low"))
+    return gathered.select(key, F.inline(F.filter("v", lambda a: a["stage"] == F.col("low"))))
 
 

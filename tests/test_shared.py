@@ -22,3 +22,8 @@ def test_names_are_found_once_per_situation(t):
 
 def test_lists_hold_no_more_than_targets(t):
     assert R.recommendations(t).groupBy("session_id", "turn").count().where("count > 1").isEmpty()
+
+
+def test_kinds_count_every_product(t):
+    every = R.pairs(t).groupBy("context_key").agg(F.count("*").alias("n"))
+    assert R.kind_pairs(t).groupBy("context_key").agg(F.sum("n").alias("n")).exceptAll(every).isEmpty()
