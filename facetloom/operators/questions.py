@@ -111,20 +111,25 @@ def largest_bucket(candidates: DataFrame, facts: DataFrame, key: str) -> DataFra
     per_product = wanted.groupBy("parent_asin").agg(
         F.collect_list(F.struct("attribute", "normalized_value")).alias("facts")
     )
-    rows = candidates.join(per_product, "parent_asin", "left")
+    # A product counts once for having an attribute: at the attribute's first fact.
+    names = F.transform("facts", lambda f: f["attribute"])
+    per_product = per_product.select("parent_asin", F.transform(
+        "facts",
+        lambda f, i: F.struct(
+            f["attribute"].alias("attribute"), f["normalized_value"].alias("normalized_value"),
+            (F.array_position(names, f["attribute"]) == i + 1).cast("int").alias("first"),
+        ),
+    ).alias("facts"))
+    rows = candidates.join(per_product, "parent_asin")
     total = candidates.groupBy(key).agg(F.count("*").alias("n"))
     values = (
-        rows.select(key, F.explode("facts").alias("f"))
-        .groupBy(key, "f.attribute", "f.normalized_value").agg(F.count("*").alias("size"))
-        .groupBy(key, "attribute").agg(F.max("size").alias("size"))
-    )
-    having = (
-        rows.select(key, F.explode(F.array_distinct(F.transform("facts", lambda f: f["attribute"]))).alias("attribute"))
-        .groupBy(key, "attribute").agg(F.count("*").alias("having"))
+        rows.select(key, F.inline("facts"))
+        .groupBy(key, "attribute", "normalized_value").agg(F.count("*").alias("size"), F.sum("first").alias("having"))
+        .groupBy(key, "attribute").agg(F.max("size").alias("size"), F.sum("having").alias("having"))
     )
     every = total.select(key, "n", F.explode(F.array(*[F.lit(a) for a in V.QUESTIONS])).alias("attribute"))
     return (
-        every.join(values, [key, "attribute"], "left").join(having, [key, "attribute"], "left")
+        every.join(values, [key, "attribute"], "left")
         .select(
             key, "attribute",
             F.greatest(F.coalesce("size", F.lit(0)), F.col("n") - F.coalesce("having", F.lit(0))).alias("bucket"),

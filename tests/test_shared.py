@@ -27,3 +27,18 @@ def test_lists_hold_no_more_than_targets(t):
 def test_kinds_count_every_product(t):
     every = R.pairs(t).groupBy("context_key").agg(F.count("*").alias("n"))
     assert R.kind_pairs(t).groupBy("context_key").agg(F.sum("n").alias("n")).exceptAll(every).isEmpty()
+
+
+def test_a_product_has_an_attribute_once(spark):
+    candidates = spark.createDataFrame([("k", "a"), ("k", "b"), ("k", "c")], "key string, parent_asin string")
+    facts = spark.createDataFrame(
+        [("a", "color", "red"), ("a", "color", "blue"), ("b", "color", "red")],
+        "parent_asin string, attribute string, normalized_value string",
+    )
+    found = {r.attribute: r.bucket for r in questions.largest_bucket(candidates, facts, "key").collect()}
+    assert found["color"] == 2 and found["size"] == 3
+
+
+def test_buckets_are_found_per_state(t):
+    assert "state_key" in questions.largest_bucket(R.survivors(t), t.facts, "state_key").columns
+    assert R.buckets(t).count() == 9 * R.raw_contexts(t).count()
