@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -139,6 +139,100 @@ def cosine_pairs(queries: DataFrame, vectors: DataFrame, candidates: DataFrame,
     return top_k(kept, ["query_id"], order, limit).select("query_id", "id", "score", "rank")
 
 
+def cosine_within(queries: DataFrame, vectors: DataFrame, group: str, limit: int, tile: int = 4096) -> DataFrame:
+    """``cosine_pairs`` where a query's candidates are all other vectors of its ``group``.
+
+    ``queries``: (query_id, vector, group), ``vectors``: (id, vector, group).  A group is
+    cut into tiles of about ``tile`` rows, a task multiplies one tile of queries with one
+    of vectors and emits at most ``limit`` rows per query: no pair is ever written.  The
+    product only picks; who may be among the best is summed again in the order of the
+    vector, so equal vectors score equally.
+    """
+    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+
+    schema = StructType([
+        StructField("query_id", queries.schema["query_id"].dataType), StructField("id", vectors.schema["id"].dataType),
+        StructField("score", DoubleType()), StructField("scored", BooleanType()),
+    ])
+    wide = F.transform("vector", lambda x: x.cast("double"))
+    whole = F.when(~F.exists("vector", lambda x: x.isNull()), wide)
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
+
+    def tiles(df: DataFrame, key: str) -> DataFrame:
+        sizes = df.groupBy(group).agg(F.ceil(F.count("*") / tile).alias(f"n_{key}"))
+        return sizes.where(F.col(group).isNotNull())
+
+    counts = tiles(queries, "q").join(tiles(vectors, "v"), group)
+
+    def dealt(df: DataFrame, key: str, own: str, other: str, *columns: Column) -> DataFrame:
+        rows = spread_join(df, counts, [group], [key])
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)).alias(other)
+        return rows.select(F.col(group).alias("g"), F.pmod(F.xxhash64(key), F.col(f"n_{own}")).alias(own), every, key, *columns)
+
+    left = dealt(queries, "query_id", "q", "v", whole.alias("vector"), norm.alias("norm"))
+    right = dealt(vectors, "id", "v", "q", whole.alias("vector"))
+
+    def multiply(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        out = {"query_id": [], "id": [], "score": [], "scored": []}
+
+        def tell(name, found, scores=None):
+            out["query_id"].extend([name] * len(found))
+            out["id"].extend(found)
+            out["score"].extend([None] * len(found) if scores is None else scores)
+            out["scored"].extend([scores is not None] * len(found))
+
+        items = items.sort_values("id", kind="stable")
+        ids, sizes = items["id"].to_numpy(), np.array([-1 if v is None else len(v) for v in items["vector"]])
+        names, norms = asked["query_id"].to_numpy(), asked["norm"].to_numpy(dtype="float64", na_value=np.nan)
+        usable = np.isfinite(norms) & (norms > 0)
+        widths = np.array([len(v) if v is not None and ok else -1 for v, ok in zip(asked["vector"], usable)], dtype=int)
+        for width in np.unique(widths):
+            rows, at = np.flatnonzero(widths == width), np.flatnonzero(sizes == width)
+            if width <= 0:
+                at = at[:0]
+            own = ids[at]
+            if len(at):
+                v = np.stack(items["vector"].iloc[at].to_list()).astype("float64")
+                reach = np.sqrt((v * v).sum(axis=1)).max()
+            for low in range(0, len(rows), 256):
+                block = rows[low : low + 256]
+                done = np.zeros(len(block), bool)
+                if len(at):
+                    q = np.stack(asked["vector"].iloc[block].to_list()).astype("float64")
+                    near = q @ v.T
+                    k = min(limit + 1, len(at))
+                    floor = np.partition(near, len(at) - k, axis=1)[:, len(at) - k]
+                    floor = floor - 8 * width * np.finfo("float64").eps * norms[block] * reach
+                    r, c = np.nonzero(~(near < floor[:, None]) & (own[None, :] != names[block][:, None]))
+                    total = np.zeros(len(r))
+                    for d in range(width):
+                        total += q[r, d] * v[c, d]
+                    total /= norms[block][r]
+                    order = np.lexsort((c, -total, ~np.isnan(total), r))
+                    r, c, total = r[order], c[order], total[order]
+                    starts = np.searchsorted(r, np.arange(len(block)))
+                    stops = np.searchsorted(r, np.arange(len(block)), side="right")
+                    for i, (a, b) in enumerate(zip(starts, stops)):
+                        done[i] = b > a
+                        tell(names[block[i]], own[c[a:b][:limit]].tolist(), total[a:b][:limit].tolist())
+                for i in np.flatnonzero(~done):
+                    name = names[block[i]]
+                    firsts = ids[: limit + 1][ids[: limit + 1] != name][:limit].tolist()
+                    tell(name, firsts)
+        return pd.DataFrame(out)
+
+    found = left.groupBy("g", "q", "v").cogroup(right.groupBy("g", "q", "v")).applyInPandas(multiply, schema)
+    # Arrow takes a NaN of pandas for a null.
+    score = F.when(F.col("scored"), F.coalesce("score", F.lit(float("nan"))))
+    found = found.select("query_id", "id", score.alias("score"))
+    # A tile without a usable vector offers its first ids; they count if no tile has a score.
+    best = top_k(found, ["query_id"], [F.desc_nulls_last("score"), F.asc("id")], limit)
+    best = best.withColumn("_best", F.max("score").over(Window.partitionBy("query_id")))
+    return best.where(F.col("_best").isNull() | F.col("score").isNotNull()).select("query_id", "id", "score", "rank")
+
+
 def cosine_topk(
     queries: DataFrame, vectors: DataFrame, limit: int, block: int = 256, pack: int = 50_000
 ) -> DataFrame:
@@ -205,8 +299,6 @@ def rrf_fuse(rankings: DataFrame, k: int = 60, limit: int = 10) -> DataFrame:
     also moves later entries up; weights that are not positive are skipped.
     Ties go to the id seen first (earlier list, then rank), then to the id.
     """
-    from pyspark.sql import Window
-
     if k < 0:
         raise ValueError("k must be non-negative")
     firsts = (

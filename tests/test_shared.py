@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from facetloom.operators import questions
+from facetloom.operators import questions, retrieval
 from facetloom.plans import ranking_queries as R
 from facetloom.sources.tables import Tables
 
@@ -49,3 +49,21 @@ def test_scores_are_found_per_model(t):
     assert models.count() == R.survivors(t).count()
     assert R.scored(t).count() == R.pairs(t).count()
     assert R.model_items(t).count() == models.select("model").distinct().count()
+
+
+def test_vectors_of_a_group_meet_in_tiles(spark):
+    import random
+
+    draw = random.Random(7)
+    rows = [(k, [draw.choice((-1.0, 0.5, 2.0, 0.1)) for _ in range(5)], k % 3) for k in range(90)]
+    rows += [(200 + k, [1.0, 0.0, 0.0, 0.0, 0.3], 1) for k in range(30)]
+    rows += [(300, [0.0] * 5, 1), (301, None, 1), (302, [float("nan")] * 5, 2), (303, [1.0] * 5, None), (304, [1.0] * 5, 9)]
+    rows += [(305, [0.0] * 5, 8), (306, None, 8), (307, [1.0, 2.0], 2), (308, [1.0, None, 0.0, 0.0, 0.0], 0), (309, [2.0, 1.0], 2)]
+    rows += [(310, [], 7), (311, [1.0], 7)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<float>, label int")
+    queries = vectors.withColumnRenamed("id", "query_id")
+    given = queries.select("query_id", "label").join(vectors.select("id", "label"), "label").where("id <> query_id")
+    told = lambda df: {(r.query_id, r.id, repr(r.score), r.rank) for r in df.collect()}
+    want = told(retrieval.cosine_pairs(queries, vectors, given.select("query_id", "id"), 4))
+    for tile in (7, 4096):
+        assert told(retrieval.cosine_within(queries, vectors, "label", 4, tile)) == want
