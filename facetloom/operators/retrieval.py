@@ -78,8 +78,9 @@ def bm25_search(
 
     ``queries``: (query_id, tokens).  ``candidates``: (query_id, id) restricts a
     query's hits before anything is summed; scores keep collection statistics.
-    Query terms are joined to their statistics first, then to the postings, or to
-    the candidates' postings; hot terms, documents and queries are salted.
+    Query terms are joined to their statistics first, then to the postings; a
+    candidate meets its query's terms and its document's counts as two short lists,
+    so it stays one row.  Hot terms, documents and queries are salted.
     """
     if limit < 0:
         raise ValueError("limit must be non-negative")
@@ -89,16 +90,29 @@ def bm25_search(
         asked.join(terms, "term").crossJoin(F.broadcast(totals))
         .select("query_id", "term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
     )
+    part = lambda tf, idf, dl, avgdl: idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
     if candidates is None:
         hits = spread_join(postings, weighted, ["term"], ["id"])
+        gain = part(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"))
+        scored = hits.groupBy("query_id", "id").agg(F.sum(gain).alias("score"))
     else:
-        # Only what a query may find is looked at: its candidates' postings of terms that anybody asked for.
+        # Only what a query may find is looked at, and of its document only terms that anybody asked for.
+        lists = weighted.groupBy("query_id").agg(
+            F.collect_list(F.struct("term", "idf")).alias("asked"), F.any_value("avgdl").alias("avgdl")
+        )
         wanted = postings.join(asked.select("term").distinct(), "term", "left_semi")
-        mine = spread_join(candidates.select("query_id", "id").distinct(), wanted, ["id"], ["query_id"])
-        hits = spread_join(mine, weighted, ["query_id", "term"], ["id"])
-    tf = F.col("tf")
-    part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+        counts = wanted.groupBy("id").agg(
+            F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("said"), F.any_value("dl").alias("dl")
+        )
+        mine = spread_join(candidates.select("query_id", "id").distinct(), lists, ["query_id"], ["id"])
+        met = spread_join(mine, counts, ["id"], ["query_id"])
+        gains = F.filter(
+            F.transform("asked", lambda a: part(F.try_element_at("said", a["term"]), a["idf"], F.col("dl"), F.col("avgdl"))),
+            lambda g: g.isNotNull(),
+        )
+        scored = met.withColumn("_gains", gains).where(F.size("_gains") > 0).select(
+            "query_id", "id", F.aggregate("_gains", F.lit(0.0), lambda s, g: s + g).alias("score")
+        )
     # Sums taken in another order may differ in the last bits: ties are exact
     # to nine decimals.
     return top_k(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("id")], limit)

@@ -51,6 +51,15 @@ def test_scores_are_found_per_model(t):
     assert R.model_items(t).count() == models.select("model").distinct().count()
 
 
+def test_words_are_searched_once_per_state(t, monkeypatch):
+    asked = []
+    search = retrieval.bm25_search
+    monkeypatch.setattr(retrieval, "bm25_search", lambda queries, *rest: asked.append(queries.count()) or search(queries, *rest))
+    hits = R.product_hits(t, stem=False)
+    assert asked == [R.raw_contexts(t).select("state_key").distinct().count()]
+    assert hits.select("query_id").distinct().join(R.raw_contexts(t), F.col("query_id") == F.col("context_key"), "left_anti").isEmpty()
+
+
 def test_vectors_of_a_group_meet_in_tiles(spark):
     import random
 
