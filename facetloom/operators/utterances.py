@@ -241,8 +241,17 @@ def parse_messages(messages: DataFrame, brands: DataFrame, unicode: bool = True)
     category, required / alternatives / excluded (arrays of (attribute, values)),
     max_price, inclusive, qualitative_budget, intent.
     """
-    base = messages.select("message_id", X.normalize_utterance(F.col("text"), unicode).alias("norm"))
-    base = alias_mentions(brand_mentions(base, brands), DICTIONARIES)
+    # Customers repeat themselves: each different message is read once.
+    norm = X.normalize_utterance(F.col("text"), unicode)
+    said = messages.select("message_id", norm.alias("norm")).withColumn("_said", F.unhex(F.sha2(F.to_json(F.struct("norm")), 256)))
+    different = said.groupBy(F.col("_said").alias("message_id")).agg(F.first("norm").alias("norm"))
+    read = parse_different(different, brands).withColumnRenamed("message_id", "_said")
+    return said.select("message_id", "_said").join(read, "_said").drop("_said")
+
+
+def parse_different(messages: DataFrame, brands: DataFrame) -> DataFrame:
+    """``parse_messages`` of (message_id, norm)."""
+    base = alias_mentions(brand_mentions(messages, brands), DICTIONARIES)
     text, own = F.col("norm"), F.col("brand_spans")
     free = lambda spans: F.filter(spans, lambda m: ~inside(m, own))
     df = (

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetloom.operators import questions, retrieval
+from facetloom.operators import utterances as U
 from facetloom.plans import ranking_queries as R
 from facetloom.sources.tables import Tables
 
@@ -51,6 +52,18 @@ def test_scores_are_found_per_model(t):
     assert R.model_items(t).count() == models.select("model").distinct().count()
 
 
+def test_a_repeated_message_is_read_once(spark, monkeypatch):
+    read = []
+    mentions = U.brand_mentions
+    monkeypatch.setattr(U, "brand_mentions", lambda messages, brands: read.append(messages.count()) or mentions(messages, brands))
+    texts = ["red shoes, no leather", "Red  shoes, no leather", None, "red shoes, no leather", None, ""]
+    messages = spark.createDataFrame(list(enumerate(texts)), "message_id long, text string")
+    found = {r.message_id: r for r in U.parse_messages(messages, spark.createDataFrame([("Acme",)], "brand string")).collect()}
+    assert read == [3] and sorted(found) == list(range(6))
+    assert found[0][1:] == found[1][1:] == found[3][1:] and found[2][1:] == found[4][1:]
+    assert found[2].norm is None and found[5].norm == "" and found[0].required
+
+
 def test_words_are_searched_once_per_state(t, monkeypatch):
     asked = []
     search = retrieval.bm25_search
