@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from facetloom.operators import dataset as D
 from facetloom.operators import questions, retrieval
 from facetloom.operators import utterances as U
 from facetloom.plans import ranking_queries as R
@@ -64,6 +65,18 @@ def test_a_repeated_message_is_read_once(spark, monkeypatch):
     assert found[2].norm is None and found[5].norm == "" and found[0].required
 
 
+def test_pools_of_states_are_lists(spark):
+    pool = spark.createDataFrame([("t", "a", 1), ("t", "b", 2), ("t", "c", 3)], "target string, parent_asin string, rank int")
+    states = spark.createDataFrame([("s", "t", ["x", "y"]), ("u", "t", ["y"])], "state_id string, target string, known array<string>")
+    evidence = spark.createDataFrame(
+        [("t", ["x", "y"]), ("a", ["x", "y"]), ("b", ["x"]), ("c", [])], "parent_asin string, evidence array<string>"
+    )
+    found = D.product_fixed_negatives(pool, states, evidence)
+    assert {(r.state_id, r.parent_asin, r.place) for r in found.collect()} == {("s", "b", 1), ("s", "c", 2), ("u", "b", 1), ("u", "c", 2)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join Inner, ((state_id" not in plan
+
+
 def test_words_are_searched_once_per_state(t, monkeypatch):
     asked = []
     search = retrieval.bm25_search
