@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetloom.functions import scalars as S
@@ -37,16 +37,57 @@ def target_rank(scores: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     )
     goal = targets.select(key, F.col("target").alias("parent_asin")).distinct()
     found = tied.join(goal, [key, "parent_asin"]).join(walked.select(key, "score", "n", "upto", "width"), [key, "score"])
-    return found.select(
-        key, F.col("parent_asin").alias("target"),
-        (F.col("upto") - F.col("n") + F.col("place")).alias("rank"), "width",
-        (F.col("width") - F.col("upto") + 0.5 * (F.col("n") - 1)).alias("wins"),
+    return ranked(found.withColumnsRenamed({"parent_asin": "target", "n": "tied"})).select(
+        key, "target", "rank", "width", "wins", "rank_percentile", "pairwise_accuracy"
+    )
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """Add rank, wins, percentile and pairwise accuracy to rows of (place, tied, upto, width).
+
+    ``tied`` products have the target's score, it has ``place`` among them; ``upto`` are not below it.
+    """
+    return rows.select(
+        "*", (F.col("upto") - F.col("tied") + F.col("place")).alias("rank"),
+        (F.col("width") - F.col("upto") + 0.5 * (F.col("tied") - 1)).alias("wins"),
     ).withColumn(
         "rank_percentile", (F.col("rank") - 1) / F.greatest(F.lit(1), F.col("width") - 1)
     ).withColumn(
         "pairwise_accuracy",
         F.when(F.col("width") == 1, F.lit(1.0)).otherwise(F.col("wins") / (F.col("width") - 1)),
+    ).drop("place", "tied", "upto")
+
+
+def placed(products: DataFrame, keys: list[str]) -> DataFrame:
+    """Number the products of a group by id, block by block, as ``place``."""
+    return numbered(products, keys, [F.col("parent_asin")], F.substring("parent_asin", 1, 7), "place")
+
+
+def standing(scores: DataFrame, key: str) -> DataFrame:
+    """Where each row of (key, ..., n products, score) stands: products ``tied`` with it, ``models`` (rows) of them, products ``upto`` its score and ``width`` of all.
+
+    Equal scores are counted before they are walked, block by block along the key's range of scores.
+    """
+    per_score = scores.groupBy(key, "score").agg(F.sum("n").alias("tied"), F.count("*").alias("models"))
+    span = per_score.groupBy(key).agg(
+        F.max("score").alias("top"), F.min("score").alias("low"), F.sum("tied").alias("width")
     )
+    reach = F.col("top") - F.col("low")
+    block = F.when(reach > 0, F.floor((F.col("top") - F.col("score")) / reach * 255)).otherwise(F.lit(0))
+    walked = running_sum(per_score.join(span, key), [key], [F.desc("score")], block, F.col("tied"), "upto")
+    return scores.join(walked.drop("top", "low"), [key, "score"])
+
+
+def leading(scores: DataFrame, key: str, k: int) -> DataFrame:
+    """Rows of (key, ..., n products, score) that fewer than ``k`` better products of the key precede.
+
+    A row holds a product at least, so the rank of rows limits them before the shuffle too.
+    """
+    order = Window.partitionBy(key).orderBy(F.desc("score"))
+    near = scores.withColumn("_r", F.rank().over(order)).filter(F.col("_r") <= k).drop("_r")
+    own = Window.partitionBy(key, "score")
+    before = F.sum("n").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("n").over(own)
+    return near.withColumn("_before", before).filter(F.col("_before") < k).drop("_before")
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -55,6 +96,11 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.when(total > 0, F.sum(value * weight) / total).otherwise(F.lit(0.0))
 
 
+def counted_mean(value: Column, n: Column) -> Column:
+    """Aggregate: mean of values that stand for ``n`` rows each, null for none."""
+    return F.sum(value * n) / F.sum(F.when(value.isNotNull(), n))
+
+
 def weighted_median(df: DataFrame, value: str, weight: str, groups: list[str]) -> DataFrame:
     """First value whose cumulative weight reaches half of the group's total.
 
@@ -85,34 +131,36 @@ def sliced(df: DataFrame, slices: list[str]) -> DataFrame:
     )
 
 
-def ranking_metrics(ranks: DataFrame, slices: list[str]) -> DataFrame:
+def ranking_metrics(ranks: DataFrame, slices: list[str], count: str | None = None) -> DataFrame:
     """Weighted ranking summary over all states and every slice.
 
     ``ranks``: rank, width, rank_percentile, pairwise_accuracy, weight and the
     slice columns.  Informative hit@10 only looks at states with more than ten
-    products, and is null when there are none.
+    products, and is null when there are none.  A row may stand for ``count``
+    states, whose weight it has.
     """
-    rows = sliced(ranks, slices)
+    rows = sliced(ranks.withColumn("_n", F.col(count) if count else F.lit(1)), slices)
+    n = F.col("_n")
     w, rank, width = F.col("weight"), F.col("rank"), F.col("width")
     mean = lambda c: weighted_mean(c, w)
     hit = lambda k: (rank <= k).cast("double")
     wide = F.when(width > 10, hit(10))
     keys = ["slice", "value"]
     result = rows.groupBy(*keys).agg(
-        F.count("*").alias("state_count"),
+        F.sum(n).alias("state_count"),
         mean(1.0 / rank).alias("mrr"),
         mean(hit(1)).alias("hit_rate_at_1"),
         mean(hit(5)).alias("hit_rate_at_5"),
         F.when(F.count(wide) > 0, mean(wide)).alias("hit_rate_at_10"),
-        F.count(wide).alias("informative_state_count"),
+        F.coalesce(F.sum(F.when(wide.isNotNull(), n)), F.lit(0)).alias("informative_state_count"),
         mean(hit(10)).alias("hit_rate_at_10_raw"),
         mean(rank.cast("double")).alias("mean_rank"),
         mean(F.col("rank_percentile")).alias("mean_rank_percentile"),
         mean(width.cast("double")).alias("mean_candidate_width"),
         mean(F.col("pairwise_accuracy")).alias("pairwise_accuracy"),
-        F.avg(1.0 / rank).alias("micro_mrr"),
-        F.avg(wide).alias("micro_hit_rate_at_10"),
-        F.avg(hit(10)).alias("micro_hit_rate_at_10_raw"),
+        counted_mean(1.0 / rank, n).alias("micro_mrr"),
+        counted_mean(wide, n).alias("micro_hit_rate_at_10"),
+        counted_mean(hit(10), n).alias("micro_hit_rate_at_10_raw"),
     )
     for column, name in (("rank", "median_rank"), ("width", "median_candidate_width")):
         median = weighted_median(rows, column, "weight", keys).withColumnRenamed("median", name)
@@ -121,19 +169,21 @@ def ranking_metrics(ranks: DataFrame, slices: list[str]) -> DataFrame:
 
 
 def temperature_grid(
-    scores: DataFrame, targets: DataFrame, key: str, temperatures=V.TEMPERATURES
+    scores: DataFrame, targets: DataFrame, key: str, temperatures=V.TEMPERATURES, count: str | None = None
 ) -> DataFrame:
     """Weighted negative log likelihood of the target per temperature.
 
     ``targets``: (key, target, weight), several targets per key allowed.  The
     grid is five aggregate columns of a single pass over the scores; ``best``
-    marks the smallest loss, the first one on ties.
+    marks the smallest loss, the first one on ties.  A row of scores may stand
+    for ``count`` products.
     """
+    n = F.col(count) if count else F.lit(1)
     peaks = scores.groupBy(key).agg(F.max("score").alias("peak"))
     shifted = F.col("score") - F.col("peak")
     masses = spread_join(scores, peaks, [key], ["parent_asin"]).groupBy(key).agg(
         F.any_value("peak").alias("peak"),
-        *[F.sum(F.exp(shifted / t)).alias(f"z{i}") for i, t in enumerate(temperatures)],
+        *[F.sum(n * F.exp(shifted / t)).alias(f"z{i}") for i, t in enumerate(temperatures)],
     )
     goal = scores.join(
         targets.withColumnRenamed("target", "parent_asin"), [key, "parent_asin"]

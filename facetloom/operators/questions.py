@@ -9,18 +9,20 @@ from facetloom.functions import vocab as V
 from facetloom.session import spread_join
 
 
-def posterior(scores: DataFrame, key: str, temperature: float = 1.0) -> DataFrame:
+def posterior(scores: DataFrame, key: str, temperature: float = 1.0, count: str | None = None) -> DataFrame:
     """Softmax of the scores per key; uniform where it is not a number.
 
     Peak and total are combined map-side and joined back, so a key with very
-    many products is never gathered in one task.
+    many products is never gathered in one task.  A row may stand for ``count``
+    products of one score; ``p`` is the share of each.
     """
     t = max(float(temperature), 1e-6)
-    peaks = scores.groupBy(key).agg(F.max("score").alias("_peak"), F.count("*").alias("_n"))
-    scaled = spread_join(scores, peaks, [key], ["parent_asin"]).withColumn(
+    n = F.col(count) if count else F.lit(1)
+    peaks = scores.groupBy(key).agg(F.max("score").alias("_peak"), F.sum(n).alias("_n"))
+    scaled = spread_join(scores.withColumn("_one", n), peaks, [key], ["parent_asin"]).withColumn(
         "_e", F.exp((F.col("score") - F.col("_peak")) / t)
     )
-    totals = scaled.groupBy(key).agg(F.sum("_e").alias("_z"))
+    totals = scaled.groupBy(key).agg(F.sum(F.col("_one") * F.col("_e")).alias("_z"))
     finite = F.col("_z").isNotNull() & ~F.isnan("_z") & (F.col("_z") > 0) & (F.col("_z") < float("inf"))
     return spread_join(scaled, totals, [key], ["parent_asin"]).select(
         key, "parent_asin", F.when(finite, F.col("_e") / F.col("_z")).otherwise(1.0 / F.col("_n")).alias("p")

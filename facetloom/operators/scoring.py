@@ -73,25 +73,54 @@ def feature_field(name: str) -> Column:
     return F.regexp_extract(name, r"^[^:]+:([^=]*)", 1)
 
 
-def product_crosses(items: DataFrame, crosses: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def product_crosses(items: DataFrame, crosses: DataFrame, asked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Cross weight of (context feature, product), summed over the product's features.
 
-    ``crosses``: (context_feature, item_feature, weight).
+    ``crosses``: (context_feature, item_feature, weight).  A feature crosses very many others: only the
+    (context_feature, parent_asin) of ``asked`` are looked up.
     """
-    named = items.select("parent_asin", F.explode("features").alias("item_feature"))
-    joined = named.join(crosses, "item_feature")
+    named = asked.join(items.select("parent_asin", "features"), "parent_asin").select(
+        "context_feature", "parent_asin", F.explode("features").alias("item_feature")
+    )
+    joined = named.join(crosses, ["context_feature", "item_feature"])
     if "item_field" in by:
         joined = joined.withColumn("item_field", feature_field("item_feature"))
     return joined.groupBy("context_feature", "parent_asin", *by).agg(F.sum("weight").alias("weight"))
 
 
-def crossing_features(pairs: DataFrame, contexts: DataFrame, crosses: DataFrame) -> DataFrame:
-    """(context_key, parent_asin, context_feature) for features that have a cross."""
+def crossing_sets(contexts: DataFrame, crosses: DataFrame) -> DataFrame:
+    """(context_key, cross_key, crossing): a context's features that have a cross; equal sets share a key."""
     useful = crosses.select("context_feature").distinct()
     own = contexts.select("context_key", F.explode("features").alias("context_feature")).join(
         useful, "context_feature", "left_semi"
     )
-    return spread_join(pairs.select("context_key", "parent_asin"), own, ["context_key"], ["parent_asin"])
+    sets = own.groupBy("context_key").agg(F.array_sort(F.collect_set("context_feature")).alias("crossing"))
+    return sets.withColumn("cross_key", F.sha2(F.to_json(F.struct("crossing")), 256))
+
+
+def crossing_features(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct (cross_key, parent_asin, context_feature) of the pairs: contexts with the same crossing features share them."""
+    keyed = spread_join(
+        pairs.select("context_key", "parent_asin"), sets.select("context_key", "cross_key"), ["context_key"], ["parent_asin"]
+    ).select("cross_key", "parent_asin").distinct()
+    own = sets.select("cross_key", "crossing").dropDuplicates(["cross_key"])
+    return spread_join(keyed, own, ["cross_key"], ["parent_asin"]).select(
+        "cross_key", "parent_asin", F.explode("crossing").alias("context_feature")
+    )
+
+
+def crossed(pairs: DataFrame, contexts: DataFrame, items: DataFrame, crosses: DataFrame, by: tuple[str, ...] = ()):
+    """Weights of (cross_key, parent_asin, context_feature, *by), and the contexts' cross keys."""
+    sets = crossing_sets(contexts, crosses)
+    rows = crossing_features(pairs, sets)
+    weights = product_crosses(items, crosses, rows.select("context_feature", "parent_asin").distinct(), by)
+    return rows.join(weights, ["context_feature", "parent_asin"]), sets.select("context_key", "cross_key")
+
+
+def for_contexts(pairs: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found of (cross_key, parent_asin), for each pair of a context with that key."""
+    keyed = spread_join(pairs.select("context_key", "parent_asin"), sets, ["context_key"], ["parent_asin"])
+    return keyed.join(found, ["cross_key", "parent_asin"]).drop("cross_key")
 
 
 def cross_weight_join(
@@ -100,17 +129,15 @@ def cross_weight_join(
 ) -> DataFrame:
     """(context_key, parent_asin, cross_score) of the pairs that have any cross.
 
-    Weights are first summed per (context feature, product), which every context
-    with that feature shares; a pair then adds up its dozen features.
+    Weights are summed per (context feature, product) for those that some pair brings together,
+    then once for all contexts with the same crossing features.
     """
     if disabled is not None:
         off = (feature_field("context_feature") == disabled[0]) & (feature_field("item_feature") == disabled[1])
         crosses = crosses.filter(~off)
-    rows = crossing_features(pairs, contexts, crosses)
-    return (
-        rows.join(product_crosses(items, crosses), ["context_feature", "parent_asin"])
-        .groupBy("context_key", "parent_asin").agg(F.sum("weight").alias("cross_score"))
-    )
+    rows, sets = crossed(pairs, contexts, items, crosses)
+    found = rows.groupBy("cross_key", "parent_asin").agg(F.sum("weight").alias("cross_score"))
+    return for_contexts(pairs, sets, found)
 
 
 def score_hybrid(
@@ -148,10 +175,10 @@ def cross_contributions(
     pairs: DataFrame, contexts: DataFrame, items: DataFrame, crosses: DataFrame
 ) -> DataFrame:
     """(context_key, parent_asin, context_field, item_field, contribution)."""
-    rows = crossing_features(pairs, contexts, crosses)
-    return (
-        rows.join(product_crosses(items, crosses, ("item_field",)), ["context_feature", "parent_asin"])
-        .withColumn("context_field", feature_field("context_feature"))
-        .groupBy("context_key", "parent_asin", "context_field", "item_field")
+    rows, sets = crossed(pairs, contexts, items, crosses, ("item_field",))
+    found = (
+        rows.withColumn("context_field", feature_field("context_feature"))
+        .groupBy("cross_key", "parent_asin", "context_field", "item_field")
         .agg(F.sum("weight").alias("contribution"))
     )
+    return for_contexts(pairs, sets, found)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetloom.operators import dataset as D
-from facetloom.operators import questions, retrieval
+from facetloom.operators import metrics, questions, retrieval, scoring
 from facetloom.operators import utterances as U
 from facetloom.plans import ranking_queries as R
 from facetloom.sources.tables import Tables
@@ -102,3 +102,56 @@ def test_vectors_of_a_group_meet_in_tiles(spark):
     want = told(retrieval.cosine_pairs(queries, vectors, given.select("query_id", "id"), 4))
     for tile in (7, 4096):
         assert told(retrieval.cosine_within(queries, vectors, "label", 4, tile)) == want
+
+
+def test_models_rank_like_products(spark, monkeypatch):
+    """Ranks, best lists and shares found per model are those of all products, also where several models share a score."""
+    t = Tables(spark, "/root/testdata/./sf0.001")
+    few = F.filter("features", lambda f: f.startswith("item:category") | f.startswith("item:material") | f.startswith("item:price"))
+    own = R.items
+    monkeypatch.setattr(R, "items", lambda t: own(t).withColumn("features", few).withColumn(
+        "base", F.size("features").cast("double")).withColumn("linear", F.col("base")).withColumn("vector", F.array_repeat(F.lit(0.5), 16)))
+    scores = R.model_scores(t)
+    blunt = scores.withColumn("score", F.round(F.col("score") / 4))
+    assert blunt.groupBy("context_key", "score").agg(F.count("*").alias("m")).where("m > 1").count() > 0
+    monkeypatch.setattr(R, "model_scores", lambda t: blunt)
+    pairs = R.scored(t)
+    assert pairs.count() == R.pairs(t).count() > scores.count()
+    goals = R.context_rows(t).select("context_key", "target")
+    names = ["context_key", "target", "rank", "width", "wins", "rank_percentile", "pairwise_accuracy"]
+    told = lambda df: sorted(map(tuple, df.collect()))
+    assert told(R.target_ranks(t).select(names)) == told(metrics.target_rank(pairs, goals, "context_key").select(names))
+    columns = ["context_key", "parent_asin", "rank"]
+    for k in (1, 3, 20):
+        assert told(R.best_products(t, blunt, k).select(columns)) == told(metrics.rank_candidates(pairs, "context_key", k).select(columns))
+    near = lambda df: told(df.select("context_key", "parent_asin", F.round("p", 9)))
+    assert near(R.of_models(t, R.model_posterior(t))) == near(questions.posterior(pairs, "context_key", 0.5))
+
+
+def test_only_models_that_may_lead_are_written_out(spark):
+    scores = spark.createDataFrame(
+        [("k", "a", 3, 2.0), ("k", "b", 1, 1.0), ("k", "c", 1, 1.0), ("k", "d", 5, 0.0)], "key string, model string, n long, score double"
+    )
+    kept = lambda k: {r.model for r in metrics.leading(scores, "key", k).collect()}
+    assert kept(3) == {"a"} and kept(4) == {"a", "b", "c"} == kept(5) and kept(6) == {"a", "b", "c", "d"}
+
+
+def test_crosses_are_looked_up_once_per_set_of_features(spark):
+    contexts = spark.createDataFrame([("x", ["ctx:color=red", "ctx:turn=early"]), ("y", ["ctx:turn=late", "ctx:color=red"])], "context_key string, features array<string>")
+    crosses = spark.createDataFrame([("ctx:color=red", "item:size=1", 0.5), ("ctx:size=9", "item:size=1", 9.0)], "context_feature string, item_feature string, weight double")
+    items = spark.createDataFrame([("p", ["item:size=1"]), ("q", ["item:size=1"])], "parent_asin string, features array<string>")
+    pairs = spark.createDataFrame([("x", "p"), ("y", "p")], "context_key string, parent_asin string")
+    sets = scoring.crossing_sets(contexts, crosses)
+    rows = scoring.crossing_features(pairs, sets)
+    assert rows.count() == 1
+    # No weight is summed for a feature or a product that no pair brings together.
+    weights = scoring.product_crosses(items, crosses, rows.select("context_feature", "parent_asin").distinct())
+    assert [tuple(r) for r in weights.collect()] == [("ctx:color=red", "p", 0.5)]
+    found = scoring.cross_weight_join(pairs, contexts, items, crosses)
+    assert {tuple(r) for r in found.select("context_key", "parent_asin", "cross_score").collect()} == {("x", "p", 0.5), ("y", "p", 0.5)}
+
+
+def test_goals_are_counted_per_model(t):
+    assert R.model_goals(t).agg(F.sum("n")).first()[0] == R.context_rows(t).count()
+    assert abs(R.model_goals(t).agg(F.sum("weight")).first()[0] - t.session_profiles.count()) < 1e-6
+    assert R.alike_survivors(t).agg(F.sum("n")).first()[0] == R.survivors(t).count()
