@@ -155,3 +155,33 @@ def test_goals_are_counted_per_model(t):
     assert R.model_goals(t).agg(F.sum("n")).first()[0] == R.context_rows(t).count()
     assert abs(R.model_goals(t).agg(F.sum("weight")).first()[0] - t.session_profiles.count()) < 1e-6
     assert R.alike_survivors(t).agg(F.sum("n")).first()[0] == R.survivors(t).count()
+
+
+def test_ring_blocks_hold_what_follows(spark):
+    """Rings shorter than a block, of several blocks and with a last block shorter than a pool give the same lists as one block."""
+    rows = [(f"P{size:03d}{i:05d}", f"c{size}", "train") for size in (1, 2, 7, 8, 9, 15, 17, 23, 33) for i in range(size)]
+    products = spark.createDataFrame(rows, "parent_asin string, category string, split string")
+    items = spark.createDataFrame(
+        [(p, [f"f{j}" for j in range(int(p[-2:]) % 4)]) for p, _, _ in rows if not p.endswith("6")], "parent_asin string, features array<string>"
+    )
+    told = lambda block: sorted(
+        (r.target, e.parent_asin, e.shared, n) for r in D.fixed_lists(products, items, 7, block=block).collect() for n, e in enumerate(r.pool)
+    )
+    whole = told(1024)
+    assert whole == told(8) == told(7)
+    assert max(n for *_, n in whole) == 6 and not any(x.endswith("6") for row in whole for x in row[:2])
+
+
+def test_negatives_of_lists_are_those_of_rows(spark):
+    lists = spark.createDataFrame(
+        [("t", (["x", "y"], [("s", ["x", "y"]), ("u", ["y", "y"])]), [(f"a{i}", ["x", "y"] if i % 3 else ["x"]) for i in range(9)])],
+        "target string, own struct<evidence:array<string>,states:array<struct<state_id:string,known:array<string>>>>, "
+        "pool array<struct<parent_asin:string,evidence:array<string>>>",
+    )
+    pool = lists.select("target", F.posexplode("pool").alias("rank", "p")).select("target", "p.parent_asin", "rank")
+    evidence = lists.select(F.inline("pool")).unionByName(lists.select(F.col("target").alias("parent_asin"), "own.evidence"))
+    states = lists.select("target", F.inline("own.states"))
+    told = lambda df: sorted((r.state_id, r.parent_asin, r.place, r.tie) for r in df.collect())
+    for policy in D.POLICIES:
+        for n in (1, 3, 16):
+            assert told(D.fixed_negatives_of_lists(lists, policy, n)) == told(D.product_fixed_negatives(pool, states, evidence, policy, n))
