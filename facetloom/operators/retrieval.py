@@ -248,15 +248,14 @@ def cosine_within(queries: DataFrame, vectors: DataFrame, group: str, limit: int
 
 
 def cosine_topk(
-    queries: DataFrame, vectors: DataFrame, limit: int, block: int = 256, pack: int = 50_000
+    queries: DataFrame, vectors: DataFrame, limit: int, block: int = 256, pack: int = 50_000, tile: int = 16_384
 ) -> DataFrame:
     """Exact cosine of every query against all vectors, best ``limit`` each.
 
-    Queries are packed into blocks of about ``block`` vectors and items into
-    packs of about ``pack``; a task multiplies one block with one pack and emits
-    at most ``limit`` rows per query, so scores are never materialised for all
-    pairs and a task's memory does not grow with the tables.  A zero or NaN query
-    gets the first items by id with score 0.
+    Queries are dealt into tiles of about ``tile`` vectors and items into packs of about ``pack``; a task
+    multiplies one tile, ``block`` queries at a time, with one pack and emits at most ``limit`` rows per
+    query, so scores are never materialised for all pairs, a task's memory does not grow with the tables
+    and an item is copied once per tile.  A zero or NaN query gets the first items by id with score 0.
     """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -266,17 +265,15 @@ def cosine_topk(
         [StructField("query_id", query_type), StructField("id", item_type), StructField("score", DoubleType())]
     )
     q = queries.filter(F.col("vector").isNotNull())
-    n_blocks = max(1, -(-q.count() // block))
-    blocks = (
-        q.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("b"), "query_id", "vector")
-        .groupBy("b").agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
-    )
+    n_tiles = max(1, -(-q.count() // tile))
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     spread = max(cores, -(-vectors.count() // pack))
-    # Each block meets each pack once.
-    packed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(spread)).alias("p"), "id", "vector")
-    left = packed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
-    right = blocks.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    # Each tile meets each pack once.
+    left = vectors.select(F.pmod(F.xxhash64("id"), F.lit(spread)).alias("p"), "id", F.col("vector").alias("item")).withColumn("b", every(n_tiles))
+    right = q.select(
+        F.pmod(F.xxhash64("query_id"), F.lit(n_tiles)).alias("b"), "query_id", F.col("vector").alias("asked")
+    ).withColumn("p", every(spread))
 
     def multiply(left_batches: pd.DataFrame, right_batches: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -284,18 +281,23 @@ def cosine_topk(
         out = {"query_id": [], "id": [], "score": []}
         if len(left_batches) and len(right_batches):
             ids = left_batches["id"].to_numpy()
-            items = np.stack(left_batches["vector"].to_numpy()).astype("float64")
+            items = np.stack(left_batches["item"].to_numpy()).astype("float64")
             by_id = np.argsort(ids, kind="stable")
             ids, items = ids[by_id], items[by_id]
-            for qs in right_batches["qs"]:
-                names = [r["query_id"] for r in qs]
-                m = np.stack([np.asarray(r["vector"], dtype="float64") for r in qs])
+            k = min(limit, len(ids))
+            for low in range(0, len(right_batches), block):
+                part = right_batches.iloc[low : low + block]
+                m = np.stack([np.asarray(v, dtype="float64") for v in part["asked"]])
                 norm = np.linalg.norm(m, axis=1, keepdims=True)
                 # A query without direction scores everything zero: order by id.
                 m = np.where(np.isfinite(norm) & (norm > 0), m / np.where(norm > 0, norm, 1), 0.0)
                 scores = m @ items.T
-                for name, row in zip(names, scores):
-                    best = np.argsort(-np.round(row, 12), kind="stable")[:limit]
+                for name, row in zip(part["query_id"].tolist(), scores):
+                    near = np.round(row, 12)
+                    near[np.isnan(near)] = -np.inf
+                    # Only what reaches the last place is put in order.
+                    at = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k]) if k else np.arange(0)
+                    best = at[np.argsort(-near[at], kind="stable")[:k]]
                     out["query_id"].extend([name] * len(best))
                     out["id"].extend(ids[best].tolist())
                     out["score"].extend(row[best].tolist())

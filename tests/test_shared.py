@@ -185,3 +185,19 @@ def test_negatives_of_lists_are_those_of_rows(spark):
     for policy in D.POLICIES:
         for n in (1, 3, 16):
             assert told(D.fixed_negatives_of_lists(lists, policy, n)) == told(D.product_fixed_negatives(pool, states, evidence, policy, n))
+
+
+def test_an_item_is_copied_once_per_tile(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [(k, [draw.choice((-1.0, 0.5, 2.0, 0.1)) for _ in range(4)]) for k in range(600)] + [(900, [0.0] * 4), (901, [float("nan")] * 4)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<float>")
+    queries = vectors.withColumnRenamed("id", "query_id")
+    told = lambda **sizes: sorted((r.query_id, r.id, round(r.score, 9), r.rank) for r in retrieval.cosine_topk(queries, vectors.where("id < 900"), 5, **sizes).collect())
+    whole = told()
+    assert len(whole) == 5 * 602 and whole == told(block=7, pack=50, tile=64)
+    assert [(r[1], r[2]) for r in whole if r[0] == 900] == [(k, 0.0) for k in range(5)]
+    # 602 queries are one tile: no item is copied.
+    plan = retrieval.cosine_topk(queries, vectors, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "[0]" in plan
