@@ -153,6 +153,28 @@ def cosine_pairs(queries: DataFrame, vectors: DataFrame, candidates: DataFrame,
     return top_k(kept, ["query_id"], order, limit).select("query_id", "id", "score", "rank")
 
 
+def cosine_shared(queries: DataFrame, candidates: DataFrame, group: str, limit: int) -> DataFrame:
+    """``cosine_pairs`` where all queries of a ``group`` have its candidates.
+
+    ``queries``: (query_id, vector, group), ``candidates``: (group, id, vector), a few queries a group.  They
+    travel as a list, so candidates and their vectors are shuffled once per group, and pairs as scores only.
+    """
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    usable = F.col("qnorm").isNotNull() & ~F.isnan("qnorm") & (F.col("qnorm") > 0) & (F.col("qnorm") < float("inf"))
+    q = queries.withColumn("qnorm", norm).groupBy(group).agg(
+        F.collect_list(F.struct("query_id", F.when(usable, F.col("vector")).alias("qv"), "qnorm")).alias("queries")
+    )
+    rows = spread_join(candidates, q, [group], ["id"]).select("id", "vector", F.inline("queries"))
+    product = F.aggregate(
+        F.zip_with("qv", "vector", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
+    )
+    scored = rows.select("query_id", "id", (product / F.col("qnorm")).alias("score"))
+    # Candidates without a score count for queries that have no other.
+    best = top_k(scored, ["query_id"], [F.desc_nulls_last("score"), F.asc("id")], limit)
+    best = best.withColumn("_best", F.max("score").over(Window.partitionBy("query_id")))
+    return best.where(F.col("_best").isNull() | F.col("score").isNotNull()).select("query_id", "id", "score", "rank")
+
+
 def cosine_within(queries: DataFrame, vectors: DataFrame, group: str, limit: int, tile: int = 4096) -> DataFrame:
     """``cosine_pairs`` where a query's candidates are all other vectors of its ``group``.
 

@@ -201,3 +201,22 @@ def test_an_item_is_copied_once_per_tile(spark):
     # 602 queries are one tile: no item is copied.
     plan = retrieval.cosine_topk(queries, vectors, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "[0]" in plan
+
+
+def test_queries_of_a_group_share_its_candidates(spark):
+    nan = float("nan")
+    queries = spark.createDataFrame(
+        [("a", [1.0, 0.5], "g"), ("b", [0.0, 0.0], "g"), ("c", [nan, 1.0], "g"), ("d", [2.0, 1.0], "h"), ("e", [1.0, 1.0], "g")],
+        "query_id string, vector array<float>, g string",
+    )
+    candidates = spark.createDataFrame(
+        [("g", 1, [1.0, 0.0]), ("g", 2, None), ("g", 3, [0.0, 1.0]), ("g", 4, [1.0, 0.0]), ("h", 2, None), ("h", 5, None)],
+        "g string, id long, vector array<float>",
+    )
+    pairs = queries.select("query_id", "g").join(candidates, "g").select("query_id", "id")
+    told = lambda df: sorted((r.query_id, r.rank, r.id, r.score) for r in df.collect())
+    vectors = candidates.where("vector is not null").select("id", "vector")
+    for k in (1, 2, 9):
+        assert told(retrieval.cosine_shared(queries, candidates, "g", k)) == told(retrieval.cosine_pairs(queries.drop("g"), vectors, pairs, k))
+    plan = retrieval.cosine_shared(queries, candidates, "g", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "query_id" not in plan[plan.index("Join"):].split("\n")[0]
